@@ -107,14 +107,18 @@ def gram(
     return _gram_arrow(df, cols, weight, group, shift)
 
 
-def gram_mapped(df: DataFrame, features, target: str, fmap, out_dim: int, weight=None, group=None) -> dict:
-    """Uncentred moments of ``[fmap(X), y]`` where ``fmap`` is a picklable
+def gram_mapped(df: DataFrame, features, targets, fmap, out_dim: int, weight=None, group=None) -> dict:
+    """Uncentred moments of ``[fmap(X), Y]`` where ``fmap`` is a picklable
     numpy feature map applied per Arrow batch on the executors (random
-    hidden layers, kernel landmark features)."""
-    return _gram_arrow(df, list(features) + [target], weight, group, np.zeros(out_dim + 1), fmap=fmap)
+    hidden layers, kernel landmark features).  ``targets`` is one column
+    name or a list (multi-output)."""
+    targets = [targets] if isinstance(targets, str) else list(targets)
+    return _gram_arrow(
+        df, list(features) + targets, weight, group, np.zeros(out_dim + len(targets)), fmap=fmap, n_targets=len(targets)
+    )
 
 
-def _gram_arrow(df, cols, weight, group, shift, fmap=None) -> dict:
+def _gram_arrow(df, cols, weight, group, shift, fmap=None, n_targets: int = 1) -> dict:
     q_in = len(cols)
     q = len(shift)
     iu = np.triu_indices(q)
@@ -130,7 +134,7 @@ def _gram_arrow(df, cols, weight, group, shift, fmap=None) -> dict:
             w = b.column("w").to_numpy(zero_copy_only=False)
             Z = np.column_stack([b.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(q_in)])
             if fmap is not None:
-                Z = np.column_stack([fmap(Z[:, :-1]), Z[:, -1]])
+                Z = np.column_stack([fmap(Z[:, :-n_targets]), Z[:, -n_targets:]])
             Z = Z - shift_b
             for gv in np.unique(g):
                 m = g == gv

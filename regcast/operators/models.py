@@ -87,6 +87,12 @@ REGISTRY: dict[str, ModelDefinition] = {
         ModelDefinition("random_forest", "Random Forest", _lazy("trees", "random_forest_fit"), {"n_estimators": 100, "max_depth": None, "min_samples_split": 2}),
         ModelDefinition("bagging", "Bagging", _lazy("trees", "bagging_fit"), {"n_estimators": 10, "max_samples": 1.0}),
         ModelDefinition("gradient_boosting", "Gradient Boosting", _lazy("trees", "gradient_boosting_fit"), {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}),
+        ModelDefinition("extra_tree", "Extra Tree", _lazy("trees", "extra_tree_fit"), {"max_depth": None, "min_samples_split": 2}),
+        ModelDefinition("extra_trees", "Extra Trees", _lazy("trees", "extra_trees_fit"), {"n_estimators": 100, "max_depth": None, "min_samples_split": 2}),
+        ModelDefinition("hist_gradient_boosting", "Hist Gradient Boosting", _lazy("trees", "hist_gradient_boosting_fit"), {"max_iter": 100, "learning_rate": 0.1, "max_leaf_nodes": 31}),
+        ModelDefinition("xgboost", "XGBoost", _lazy("trees", "xgboost_fit"), {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3}),
+        ModelDefinition("lightgbm", "LightGBM", _lazy("trees", "lightgbm_fit"), {"n_estimators": 100, "learning_rate": 0.1, "max_depth": -1, "num_leaves": 31, "subsample": 1.0, "colsample_bytree": 1.0}),
+        ModelDefinition("catboost", "CatBoost", _lazy("trees", "catboost_fit"), {"iterations": 500, "depth": 6, "learning_rate": 0.03}),
         ModelDefinition("knn", "K-Nearest Neighbors", _lazy("neighbors", "knn_fit"), {"n_neighbors": 5, "weights": "uniform"}),
     ]
 }

@@ -49,6 +49,11 @@ def with_row_index(
     num_partitions: int | None = None,
 ) -> Indexed:
     spark = df.sparkSession
+    drop_tmp = False
+    if order_by is None:
+        # no meaningful order: any stable one (materialised below)
+        df = df.withColumn("_mid", F.monotonically_increasing_id())
+        order_by, drop_tmp = ["_mid"], True
     order = _order_cols(order_by)
     if num_partitions is None:
         num_partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -77,4 +82,6 @@ def with_row_index(
     out = tagged.withColumn(
         idx_col, offset_col + F.col("_m").bitwiseAND(F.lit(_LOW_MASK))
     ).drop("_m")
+    if drop_tmp:
+        out = out.drop("_mid")
     return Indexed(out, running, idx_col)

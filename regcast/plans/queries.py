@@ -593,11 +593,16 @@ SQL_SELECT_LAGS_BEST = (
 
 
 def q_select_lags_threshold(spark, sf):
+    """ACF-threshold lag choice at half the 95 % white-noise bound (0.98/√n)."""
     ix = _events_ix(spark, sf)
-    return _lags_df(spark, autocorr.select_lags(ix, "value", 20, "ACF threshold", threshold=0.015))
+    threshold = 0.98 / float(np.sqrt(ix.n))
+    return _lags_df(spark, autocorr.select_lags(ix, "value", 20, "ACF threshold", threshold=threshold))
 
 
-SQL_SELECT_LAGS_THRESHOLD = _ACF_CTE.format(K=20) + "\nSELECT CAST(lag AS BIGINT) AS lag FROM a WHERE lag >= 1 AND abs(acf) >= 0.015"
+SQL_SELECT_LAGS_THRESHOLD = (
+    _ACF_CTE.format(K=20)
+    + "\nSELECT CAST(lag AS BIGINT) AS lag FROM a WHERE lag >= 1 AND abs(acf) >= 0.98 / sqrt((SELECT count(*) FROM events))"
+)
 
 
 def q_ar_forecast(spark, sf):
@@ -628,6 +633,117 @@ fc AS (SELECT 1 AS step, my - b1 * m1 - b2 * m2 + b1 * y1 + b2 * y2 AS v, y1 AS
 SELECT CAST(step AS BIGINT) AS step, round(v, {D}) AS forecast FROM fc"""
 
 
+# ------------------------------------------------------------------ models
+
+MODEL_FEATURES = ("p_size", "p_type", "p_brand")
+
+# Parameters of the registered model queries.  Reference defaults unless
+# noted; the boosting/forest sizes are reduced for the per-round check
+# (every tree level is one pass over the table) — the operators accept
+# the reference defaults unchanged.
+MODEL_QUERY_PARAMS = {
+    "linear_regression": {},
+    "ridge": {},
+    "lasso": {"alpha": 0.1},
+    "elastic_net": {"alpha": 0.1},
+    "lars": {},
+    "lasso_lars": {"alpha": 0.1},
+    "bayesian_ridge": {},
+    "huber_regressor": {},
+    "sgd_regressor": {},
+    "quantile_regressor": {"alpha": 0.01},
+    "tweedie_regressor": {"power": 2.0, "alpha": 0.01},
+    "pls_regression": {"n_components": 2},
+    "kernel_ridge": {},
+    "elm": {},
+    "decision_tree": {"max_depth": 8},
+    "extra_tree": {"max_depth": 8},
+    "random_forest": {"n_estimators": 10, "max_depth": 6},
+    "extra_trees": {"n_estimators": 10, "max_depth": 6},
+    "bagging": {"n_estimators": 5},
+    "gradient_boosting": {"n_estimators": 20},
+    "hist_gradient_boosting": {"max_iter": 10},
+    "xgboost": {"n_estimators": 10},
+    "lightgbm": {"n_estimators": 10},
+    "catboost": {"iterations": 10},
+    "knn": {},
+}
+
+
+def _model_query(key: str):
+    def run(spark, sf):
+        part, cfg = _part_cfg(spark, sf, MODEL_FEATURES, key=key, params=MODEL_QUERY_PARAMS.get(key, {}))
+        res = W.validate(part, ValidationConfig(cfg, "Last split", 20))
+        return res.prediction.data.select("idx", r("Real").alias("Real"), r("Prediction").alias("Prediction"))
+
+    run.__name__ = f"q_model_{key}"
+    return run
+
+
+def q_knn(spark, sf):
+    """knn (k=5, uniform) trained on the first 80 % of part, raw features."""
+    part, cfg = _part_cfg(spark, sf, ("p_size", "p_partkey"), key="knn", scaling="None")
+    res = W.validate(part, ValidationConfig(cfg, "Last split", 20))
+    return res.prediction.data.select("idx", r("Prediction").alias("Prediction"))
+
+
+SQL_KNN = f"""WITH s AS (SELECT p_partkey, p_size, p_retailprice, row_number() OVER (ORDER BY p_partkey) - 1 AS rn,
+    count(*) OVER () AS n FROM part),
+c AS (SELECT max(n) - greatest(1, (max(n) * 20 + 99) // 100) AS cut FROM s),
+tr AS (SELECT s.* FROM s, c WHERE rn < cut), te AS (SELECT s.*, c.cut FROM s, c WHERE rn >= cut),
+d AS (SELECT te.rn - te.cut AS idx, tr.rn AS did, tr.p_retailprice AS y,
+        sqrt((te.p_size - tr.p_size) * (te.p_size - tr.p_size) + (te.p_partkey - tr.p_partkey) * (te.p_partkey - tr.p_partkey)) AS dist
+      FROM te, tr),
+k AS (SELECT idx, y, row_number() OVER (PARTITION BY idx ORDER BY dist, did) AS r FROM d)
+SELECT idx, round(avg(y), {D}) AS "Prediction" FROM k WHERE r <= 5 GROUP BY idx"""
+
+
+def q_relief_regression(spark, sf):
+    from ..operators.neighbors import relief_scores
+
+    part = load(spark, sf, "part")
+    feats = ["p_size", "p_partkey"]
+    scores = relief_scores(part, feats, "p_retailprice", order_by=["p_partkey"])
+    return spark.createDataFrame([(f, float(round(v, DS))) for f, v in zip(feats, scores)], "Variable string, score double")
+
+
+SQL_RELIEF_REGRESSION = f"""WITH s AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id,
+    (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) AS x1,
+    (p_partkey - min(p_partkey) OVER ()) / (max(p_partkey) OVER () - min(p_partkey) OVER ()) AS x2,
+    p_retailprice AS y, max(p_retailprice) OVER () - min(p_retailprice) OVER () AS yr FROM part),
+d AS (SELECT a.id, b.id AS did, sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) AS dist,
+        abs(b.x1 - a.x1) AS f1, abs(b.x2 - a.x2) AS f2, abs(b.y - a.y) / a.yr AS td
+      FROM s a JOIN s b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, did) AS k FROM d),
+nb AS (SELECT *, exp(-dist / greatest(avg(dist) OVER (PARTITION BY id), 2.220446049250313e-16)) AS w FROM r WHERE k <= 10),
+t AS (SELECT sum(w) AS sw, sum(w * td) AS st, sum(w * f1) AS s1, sum(w * f2) AS s2, sum(w * td * f1) AS j1, sum(w * td * f2) AS j2 FROM nb)
+SELECT 'p_size' AS "Variable",
+  round((j1 / sw) / greatest(st / sw, 2.220446049250313e-16) - (s1 / sw - j1 / sw) / greatest(1 - st / sw, 2.220446049250313e-16), {DS}) AS score FROM t
+UNION ALL
+SELECT 'p_partkey' AS "Variable",
+  round((j2 / sw) / greatest(st / sw, 2.220446049250313e-16) - (s2 / sw - j2 / sw) / greatest(1 - st / sw, 2.220446049250313e-16), {DS}) AS score FROM t"""
+
+
+def q_mrmr_regression(spark, sf):
+    """mRMR ranking (KSG relevance, |corr| redundancy) of part features."""
+    from ..operators.neighbors import mrmr_scores
+
+    part = load(spark, sf, "part")
+    feats = ["p_size", "p_partkey"]
+    scores = mrmr_scores(part, feats, "p_retailprice")
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(feats, scores)], "Variable string, score double")
+
+
+def q_feature_selection_pipeline(spark, sf):
+    """FS0 inside a workflow: Relief picks 2 of the encoded part features."""
+    from .config import FeatureSelection
+
+    part, cfg = _part_cfg(spark, sf, ("p_size", "p_type", "p_partkey"))
+    cfg = PipelineConfig(cfg.features, cfg.target, cfg.order_by, cfg.plan, cfg.model, feature_selection=FeatureSelection("F Regression", 2))
+    res = W.train(part, TrainingConfig(cfg, "Last percent", 100), test=part)
+    return res.prediction.data.select("idx", r("Prediction").alias("Prediction"))
+
+
 # ---------------------------------------------------------------- registry
 
 
@@ -670,4 +786,9 @@ def registry() -> dict:
         "select_lags_best": (q_select_lags_best, SQL_SELECT_LAGS_BEST),
         "select_lags_threshold": (q_select_lags_threshold, SQL_SELECT_LAGS_THRESHOLD),
         "ar_forecast": (q_ar_forecast, SQL_AR_FORECAST),
+        "knn": (q_knn, SQL_KNN),
+        "relief_regression": (q_relief_regression, SQL_RELIEF_REGRESSION),
+        "mrmr_regression": (q_mrmr_regression, None),
+        "feature_selection_pipeline": (q_feature_selection_pipeline, None),
+        **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
     }
