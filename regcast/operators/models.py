@@ -70,34 +70,51 @@ REGISTRY: dict[str, ModelDefinition] = {
     d.key: d
     for d in [
         ModelDefinition("linear_regression", "Linear Regression", _g1(L.ols_from_moments), {}),
-        ModelDefinition("ridge", "Ridge", _g1(L.ridge_from_moments), {"alpha": 1.0}),
-        ModelDefinition("lasso", "Lasso", _g1(_lasso), {"alpha": 1.0}),
+        ModelDefinition("ridge", "Ridge Regression", _g1(L.ridge_from_moments), {"alpha": 1.0}),
+        ModelDefinition("lasso", "Lasso Regression", _g1(_lasso), {"alpha": 1.0}),
         ModelDefinition("elastic_net", "Elastic Net", _g1(L.enet_from_moments), {"alpha": 1.0, "l1_ratio": 0.5}),
-        ModelDefinition("lars", "LARS", _g1(_lars), {"n_nonzero_coefs": 500}),
-        ModelDefinition("lasso_lars", "Lasso LARS", _g1(_lasso_lars), {"alpha": 1.0}),
+        ModelDefinition("lars", "Least Angle Regression", _g1(_lars), {"n_nonzero_coefs": 500}),
+        ModelDefinition("lasso_lars", "Lasso Lars", _g1(_lasso_lars), {"alpha": 1.0}),
         ModelDefinition("bayesian_ridge", "Bayesian Ridge", _g1(L.bayesian_ridge_from_moments), {"max_iter": 300}),
         ModelDefinition("huber_regressor", "Huber Regressor", L.huber_fit, {"epsilon": 1.35, "alpha": 1e-4}),
         ModelDefinition("sgd_regressor", "SGD Regressor", _sgd, {"loss": "squared_error", "alpha": 1e-4, "penalty": "l2"}),
         ModelDefinition("quantile_regressor", "Quantile Regressor", L.quantile_fit, {"quantile": 0.5, "alpha": 1.0}),
         ModelDefinition("tweedie_regressor", "Tweedie Regressor", L.tweedie_fit, {"power": 0.0, "alpha": 1.0}),
-        ModelDefinition("pls_regression", "PLS Regression", _g1(L.pls_from_moments), {"n_components": 1}),
-        ModelDefinition("kernel_ridge", "Kernel Ridge", _kernel_ridge, {"alpha": 1.0, "kernel": "linear"}),
-        ModelDefinition("elm", "Extreme Learning Machine", _lazy("elm", "elm_fit"), {"n_hidden": 100, "activation": "tanh", "alpha": 1e-3}),
-        ModelDefinition("decision_tree", "Decision Tree", _lazy("trees", "decision_tree_fit"), {"max_depth": None, "min_samples_split": 2}),
-        ModelDefinition("random_forest", "Random Forest", _lazy("trees", "random_forest_fit"), {"n_estimators": 100, "max_depth": None, "min_samples_split": 2}),
-        ModelDefinition("bagging", "Bagging", _lazy("trees", "bagging_fit"), {"n_estimators": 10, "max_samples": 1.0}),
-        ModelDefinition("gradient_boosting", "Gradient Boosting", _lazy("trees", "gradient_boosting_fit"), {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}),
-        ModelDefinition("extra_tree", "Extra Tree", _lazy("trees", "extra_tree_fit"), {"max_depth": None, "min_samples_split": 2}),
-        ModelDefinition("extra_trees", "Extra Trees", _lazy("trees", "extra_trees_fit"), {"n_estimators": 100, "max_depth": None, "min_samples_split": 2}),
-        ModelDefinition("hist_gradient_boosting", "Hist Gradient Boosting", _lazy("trees", "hist_gradient_boosting_fit"), {"max_iter": 100, "learning_rate": 0.1, "max_leaf_nodes": 31}),
-        ModelDefinition("xgboost", "XGBoost", _lazy("trees", "xgboost_fit"), {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3}),
-        ModelDefinition("lightgbm", "LightGBM", _lazy("trees", "lightgbm_fit"), {"n_estimators": 100, "learning_rate": 0.1, "max_depth": -1, "num_leaves": 31, "subsample": 1.0, "colsample_bytree": 1.0}),
-        ModelDefinition("catboost", "CatBoost", _lazy("trees", "catboost_fit"), {"iterations": 500, "depth": 6, "learning_rate": 0.03}),
-        ModelDefinition("knn", "K-Nearest Neighbors", _lazy("neighbors", "knn_fit"), {"n_neighbors": 5, "weights": "uniform"}),
+        ModelDefinition("pls_regression", "Partial Least Squares Regressor", _g1(L.pls_from_moments), {"n_components": 1}),
+        ModelDefinition("kernel_ridge", "Kernel Ridge Regressor", _kernel_ridge, {"alpha": 1.0, "kernel": "linear"}),
+        ModelDefinition("elm", "Extreme Learning Machine Regressor", _lazy("elm", "elm_fit"), {"n_hidden": 100, "activation": "tanh", "alpha": 1e-3}),
+        ModelDefinition("decision_tree", "Decision Tree Regressor", _lazy("trees", "decision_tree_fit"), {"max_depth": None, "min_samples_split": 2}),
+        ModelDefinition("random_forest", "Random Forest Regressor", _lazy("trees", "random_forest_fit"), {"n_estimators": 100, "max_depth": None, "min_samples_split": 2}),
+        ModelDefinition("bagging", "Bagging Regressor", _lazy("trees", "bagging_fit"), {"n_estimators": 10, "max_samples": 1.0}),
+        ModelDefinition("gradient_boosting", "Gradient Boosting Regressor", _lazy("trees", "gradient_boosting_fit"), {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}),
+        ModelDefinition("extra_tree", "Extra Tree Regressor", _lazy("trees", "extra_tree_fit"), {"max_depth": None, "min_samples_split": 2}),
+        ModelDefinition("extra_trees", "Extra Trees Regressor", _lazy("trees", "extra_trees_fit"), {"n_estimators": 100, "max_depth": None, "min_samples_split": 2}),
+        ModelDefinition("hist_gradient_boosting", "Histogram Gradient Boosting Regressor", _lazy("trees", "hist_gradient_boosting_fit"), {"max_iter": 100, "learning_rate": 0.1, "max_leaf_nodes": 31}),
+        ModelDefinition("xgboost", "XGBoost Regressor", _lazy("trees", "xgboost_fit"), {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3}),
+        ModelDefinition("lightgbm", "LightGBM Regressor", _lazy("trees", "lightgbm_fit"), {"n_estimators": 100, "learning_rate": 0.1, "max_depth": -1, "num_leaves": 31, "subsample": 1.0, "colsample_bytree": 1.0}),
+        ModelDefinition("catboost", "CatBoost Regressor", _lazy("trees", "catboost_fit"), {"iterations": 500, "depth": 6, "learning_rate": 0.03}),
+        ModelDefinition("knn", "K-Neighbors Regressor", _lazy("neighbors", "knn_fit"), {"n_neighbors": 5, "weights": "uniform"}),
+        ModelDefinition("adaboost", "AdaBoost Regressor", _lazy("boosting", "adaboost_fit"), {"n_estimators": 50, "learning_rate": 1.0, "loss": "linear"}),
+        ModelDefinition("svm", "Support Vector Regressor", _lazy("kernels", "svr_fit"), {"kernel": "rbf", "C": 1.0, "epsilon": 0.1, "degree": 3, "gamma": "scale", "coef0": 0.0}),
+        ModelDefinition("nu_svr", "Nu Support Vector Regressor", _lazy("kernels", "nu_svr_fit"), {"nu": 0.5, "C": 1.0, "kernel": "rbf"}),
+        ModelDefinition("gaussian_process", "Gaussian Process Regressor", _lazy("kernels", "gaussian_process_fit"), {"alpha": 1e-10}),
+        ModelDefinition("mlp", "Multi-layer Perceptron Regressor", _lazy("mlp", "mlp_fit"), {"hidden_layer_sizes": "100", "activation": "relu", "alpha": 1e-4, "max_iter": 200}),
     ]
 }
 
 
+def _voting(df, features, target, estimators=None, **params):
+    """Plain mean of the member regressors (all 30 by default); member
+    parameters use nested ``<key>__<param>`` names."""
+    from .voting import voting_fit
+
+    return voting_fit(df, features, target, estimators=estimators, **params)
+
+
+REGISTRY["voting_regressor"] = ModelDefinition("voting_regressor", "Voting Regressor", _voting, {})
+VOTING_MEMBERS = [k for k in REGISTRY if k != "voting_regressor"]
+
+
 def get_definition(key: str) -> ModelDefinition:
     if key not in REGISTRY:
         raise ValueError(f"Unknown model: {key}")

@@ -48,10 +48,9 @@ def _recursive_frame(fitted, df: DataFrame, keep, idx: str = "idx") -> DataFrame
         + ["_ps double"]
     )
     outputs = []
-    for start in range(0, n, BLOCK_ROWS):
-        init = list(state[-L:])
 
-        def run(pdf: pd.DataFrame, init=init) -> pd.DataFrame:
+    def make_run(init):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(idx).reset_index(drop=True)
             X = pdf[feats].to_numpy(dtype=float) if feats else np.zeros((len(pdf), 0))
             hist = list(init)
@@ -68,6 +67,10 @@ def _recursive_frame(fitted, df: DataFrame, keep, idx: str = "idx") -> DataFrame
             out["_ps"] = preds
             return out
 
+        return run
+
+    for start in range(0, n, BLOCK_ROWS):
+        run = make_run(list(state[-L:]))
         block = enc.where((F.col(idx) >= start) & (F.col(idx) < start + BLOCK_ROWS))
         res = block.groupBy(F.lit(start).alias("_blk")).applyInPandas(run, schema_fields)
         if n > BLOCK_ROWS:

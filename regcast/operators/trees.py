@@ -530,9 +530,11 @@ class _LocalSearch:
 def _prepare(df: DataFrame, features, target: str, max_bins: int, weight: str | None = None):
     edges = bin_edges(df, features, max_bins)
     extra = [F.col(weight).cast("double").alias("_w")] if weight else []
-    src = df.select(*[F.col(f) for f in features], F.col(target).cast("double").alias("_y"), *extra)
-    binned = _binned(src, features, edges).drop(*features)
-    binned = materialize(binned.withColumn("_rid", F.monotonically_increasing_id()))
+    # row ids for the seeded bootstrap must not depend on partitioning: the
+    # pipeline's row index when present, else a hash of the row's values
+    rid = F.col("idx").cast("long") if "idx" in df.columns else F.xxhash64(*[F.col(f) for f in features], F.col(target))
+    src = df.select(*[F.col(f) for f in features], F.col(target).cast("double").alias("_y"), *extra, rid.alias("_rid"))
+    binned = materialize(_binned(src, features, edges).drop(*features))
     n_bins = max(len(e) for e in edges) + 1 if edges else 1
     return binned, edges, n_bins
 

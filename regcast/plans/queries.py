@@ -444,17 +444,21 @@ SQL_VALIDATE_KFOLD = (
 # -------------------------------------------------------- feature selection
 
 
+LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
 def q_f_regression(spark, sf):
     from ..operators.feature_selection import f_regression_table
 
-    part = load(spark, sf, "part")
-    t = f_regression_table(part, ["p_size", "p_partkey"], "p_retailprice")
-    return t.select("Variable", r("score", 4).alias("score"))
+    li = load(spark, sf, "lineitem")
+    t = f_regression_table(li, LINE_FEATURES, "l_extendedprice")
+    return t.select("Variable", r("score", 6).alias("score"))
 
 
-SQL_F_REGRESSION = """SELECT 'p_size' AS "Variable", round(corr(p_size, p_retailprice) ^ 2 / (1 - corr(p_size, p_retailprice) ^ 2) * (count(*) - 2), 4) AS score FROM part
-UNION ALL
-SELECT 'p_partkey' AS "Variable", round(corr(p_partkey, p_retailprice) ^ 2 / (1 - corr(p_partkey, p_retailprice) ^ 2) * (count(*) - 2), 4) AS score FROM part"""
+SQL_F_REGRESSION = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"Variable\", round(corr({c}, l_extendedprice) ^ 2 / (1 - corr({c}, l_extendedprice) ^ 2) * (count(*) - 2), 6) AS score FROM lineitem"
+    for c in LINE_FEATURES
+)
 
 
 def q_select_k_best(spark, sf):
@@ -462,7 +466,7 @@ def q_select_k_best(spark, sf):
     from ..operators.feature_selection import f_regression_table, k_best_flags
 
     part = load(spark, sf, "part")
-    feats = ["p_type", "p_brand", "p_size", "p_partkey"]
+    feats = ["p_type", "p_brand", "p_size"]
     pre = Preprocessor.fit(part, profile.preprocessing_plan(part, feats), feats)
     enc = pre.transform(part, keep=["p_retailprice"])
     t = f_regression_table(enc, pre.output_names(), "p_retailprice")
@@ -472,7 +476,7 @@ def q_select_k_best(spark, sf):
 
 def _sql_select_k_best() -> str:
     cols = [(f"p_type_{v}", f"CAST(p_type = '{v}' AS DOUBLE)") for v in P_TYPES]
-    cols += [("p_brand", "CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS DOUBLE)"), ("p_size", "p_size"), ("p_partkey", "p_partkey")]
+    cols += [("p_brand", "CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS DOUBLE)"), ("p_size", "p_size")]
     enc = "WITH e AS (SELECT p_retailprice AS y, " + ", ".join(f"{expr} AS {n}" for n, expr in cols) + " FROM part),\n"
     parts = []
     for pos, (n, _) in enumerate(cols):
@@ -667,6 +671,12 @@ MODEL_QUERY_PARAMS = {
     "lightgbm": {"n_estimators": 10},
     "catboost": {"iterations": 10},
     "knn": {},
+    "adaboost": {"n_estimators": 10},
+    "svm": {"n_landmarks": 200, "max_iter": 60},
+    "nu_svr": {"n_landmarks": 200, "max_iter": 60},
+    "gaussian_process": {"n_landmarks": 400},
+    "mlp": {"hidden_layer_sizes": "16", "max_iter": 60},
+    "voting_regressor": {"estimators": ["linear_regression", "ridge", "decision_tree", "elm"], "decision_tree__max_depth": 6},
 }
 
 
