@@ -36,15 +36,15 @@ def with_lags(
     B = max(block, 2 * L)
     value_col = F.col(value) if isinstance(value, str) else value
     names = list(names) if names is not None else [f"lag_{k}" for k in lags]
-    base = df.withColumn("_v", value_col).withColumn("_b", F.floor(F.col(idx) / B).cast("long"))
-    halo = (F.col(idx) - F.col("_b") * B) >= (B - L)
+    base = df.withColumn("__lagv", value_col).withColumn("__lagb", F.floor(F.col(idx) / B).cast("long"))
+    halo = (F.col(idx) - F.col("__lagb") * B) >= (B - L)
     shifted = base.withColumn(
-        "_s", F.explode(F.when(halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).withColumn("_wb", F.col("_b") + F.col("_s"))
-    keys = ([F.col(series)] if series else []) + [F.col("_wb")]
+        "__lags", F.explode(F.when(halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    ).withColumn("__lagwb", F.col("__lagb") + F.col("__lags"))
+    keys = ([F.col(series)] if series else []) + [F.col("__lagwb")]
     w = Window.partitionBy(*keys).orderBy(F.col(idx))
-    out = shifted.select("*", *[F.lag("_v", k).over(w).alias(nm) for k, nm in zip(lags, names)])
-    return out.where(F.col("_s") == 0).drop("_v", "_b", "_s", "_wb")
+    out = shifted.select("*", *[F.lag("__lagv", k).over(w).alias(nm) for k, nm in zip(lags, names)])
+    return out.where(F.col("__lags") == 0).drop("__lagv", "__lagb", "__lags", "__lagwb")
 
 
 def lookback_features(df: DataFrame, target, lookback: int, idx: str = "idx", prefix: str | None = None, **kw) -> DataFrame:

@@ -1,0 +1,416 @@
+"""Window networks for univariate forecasting (T10-T16) in NumPy.
+
+Architectures follow the reference: MLP (Linear+act per layer, Linear(1)
++ output act), CNN (Conv1d k=3 pad=1 + act per layer, mean pool, Linear),
+RNN (ReLU iff hidden activation is ReLU else tanh), GRU, LSTM, Bi-LSTM
+(forward + reverse LSTM, concatenated), ConvLSTM (Conv1d front end then
+LSTM stack); recurrent heads read the last step through
+act → Linear(1) → output act.  Every layer has an explicit backward pass
+(BPTT for the recurrent ones); parameters live in one flat vector so the
+Spark trainer can broadcast, average and store them.  Initialisation uses
+the usual uniform fan-in bounds from ``RandomState(42)``.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+MODEL_NAMES = ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")
+HIDDEN_ACTIVATIONS = ("ReLU", "Tanh", "Sigmoid", "GELU")
+OUTPUT_ACTIVATIONS = ("Linear", "ReLU", "Sigmoid", "Tanh")
+
+
+def _erf(x):
+    # Abramowitz–Stegun 7.1.26 (|error| < 1.5e-7)
+    s = np.sign(x)
+    a = np.abs(x)
+    t = 1.0 / (1.0 + 0.3275911 * a)
+    y = 1.0 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * np.exp(-a * a)
+    return s * y
+
+
+def act(z, kind):
+    if kind in ("Linear", "identity"):
+        return z
+    if kind == "ReLU":
+        return np.maximum(z, 0.0)
+    if kind == "Tanh":
+        return np.tanh(z)
+    if kind == "Sigmoid":
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+    if kind == "GELU":
+        return 0.5 * z * (1.0 + _erf(z / np.sqrt(2.0)))
+    raise ValueError(kind)
+
+
+def dact(z, kind):
+    """Derivative with respect to the pre-activation ``z``."""
+    if kind in ("Linear", "identity"):
+        return np.ones_like(z)
+    if kind == "ReLU":
+        return (z > 0).astype(float)
+    if kind == "Tanh":
+        t = np.tanh(z)
+        return 1.0 - t * t
+    if kind == "Sigmoid":
+        s = act(z, "Sigmoid")
+        return s * (1.0 - s)
+    if kind == "GELU":
+        return 0.5 * (1.0 + _erf(z / np.sqrt(2.0))) + z * np.exp(-0.5 * z * z) / np.sqrt(2.0 * np.pi)
+    raise ValueError(kind)
+
+
+def sig(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+
+
+class Params:
+    """Named slices of one flat parameter vector."""
+
+    def __init__(self):
+        self.shapes: list[tuple[str, tuple, float]] = []
+
+    def add(self, name, shape, bound):
+        self.shapes.append((name, tuple(shape), float(bound)))
+
+    def size(self):
+        return int(sum(np.prod(s) for _, s, _ in self.shapes))
+
+    def init(self, seed=42):
+        rng = np.random.RandomState(seed)
+        return np.concatenate([rng.uniform(-b, b, size=int(np.prod(s))) for _, s, b in self.shapes])
+
+    def unpack(self, theta):
+        out, i = {}, 0
+        for name, s, _ in self.shapes:
+            k = int(np.prod(s))
+            out[name] = theta[i : i + k].reshape(s)
+            i += k
+        return out
+
+    def pack(self, grads: dict):
+        return np.concatenate([grads[name].ravel() for name, _, _ in self.shapes])
+
+
+# ------------------------------------------------------------- recurrent cells
+
+
+def rnn_forward(x, P, pre, nonlin):
+    """x (B,T,I) → h (B,T,H)."""
+    Wih, Whh, b = P[pre + "Wih"], P[pre + "Whh"], P[pre + "b"]
+    B, T, _ = x.shape
+    H = Whh.shape[0]
+    h = np.zeros((B, T, H))
+    z = np.zeros((B, T, H))
+    prev = np.zeros((B, H))
+    for t in range(T):
+        z[:, t] = x[:, t] @ Wih + prev @ Whh + b
+        h[:, t] = act(z[:, t], nonlin)
+        prev = h[:, t]
+    return h, (x, z, h)
+
+
+def rnn_backward(dh, cache, P, pre, nonlin, G):
+    x, z, h = cache
+    Wih, Whh = P[pre + "Wih"], P[pre + "Whh"]
+    B, T, _ = x.shape
+    H = Whh.shape[0]
+    dx = np.zeros_like(x)
+    dnext = np.zeros((B, H))
+    for t in range(T - 1, -1, -1):
+        dz = (dh[:, t] + dnext) * dact(z[:, t], nonlin)
+        prev = h[:, t - 1] if t > 0 else np.zeros((B, H))
+        G[pre + "Wih"] += x[:, t].T @ dz
+        G[pre + "Whh"] += prev.T @ dz
+        G[pre + "b"] += dz.sum(0)
+        dx[:, t] = dz @ Wih.T
+        dnext = dz @ Whh.T
+    return dx
+
+
+def gru_forward(x, P, pre):
+    Wi, Wh, bi, bh = P[pre + "Wih"], P[pre + "Whh"], P[pre + "bih"], P[pre + "bhh"]
+    B, T, _ = x.shape
+    H = Wh.shape[0]
+    hs = np.zeros((B, T, H))
+    cache = []
+    prev = np.zeros((B, H))
+    for t in range(T):
+        gi = x[:, t] @ Wi + bi
+        gh = prev @ Wh + bh
+        r = sig(gi[:, :H] + gh[:, :H])
+        zz = sig(gi[:, H : 2 * H] + gh[:, H : 2 * H])
+        n = np.tanh(gi[:, 2 * H :] + r * gh[:, 2 * H :])
+        h = (1 - zz) * n + zz * prev
+        cache.append((prev, r, zz, n, gh))
+        hs[:, t] = h
+        prev = h
+    return hs, (x, cache)
+
+
+def gru_backward(dh, cache, P, pre, G):
+    x, steps = cache
+    Wi, Wh = P[pre + "Wih"], P[pre + "Whh"]
+    B, T, _ = x.shape
+    H = Wh.shape[0]
+    dx = np.zeros_like(x)
+    dnext = np.zeros((B, H))
+    for t in range(T - 1, -1, -1):
+        prev, r, zz, n, gh = steps[t]
+        d = dh[:, t] + dnext
+        dn = d * (1 - zz)
+        dz = d * (prev - n)
+        dprev = d * zz
+        dan = dn * (1 - n * n)
+        dr = dan * gh[:, 2 * H :]
+        dar = dr * r * (1 - r)
+        daz = dz * zz * (1 - zz)
+        dgi = np.concatenate([dar, daz, dan], axis=1)
+        dgh = np.concatenate([dar, daz, dan * r], axis=1)
+        G[pre + "Wih"] += x[:, t].T @ dgi
+        G[pre + "Whh"] += prev.T @ dgh
+        G[pre + "bih"] += dgi.sum(0)
+        G[pre + "bhh"] += dgh.sum(0)
+        dx[:, t] = dgi @ Wi.T
+        dnext = dprev + dgh @ Wh.T
+    return dx
+
+
+def lstm_forward(x, P, pre, reverse=False):
+    Wi, Wh, b = P[pre + "Wih"], P[pre + "Whh"], P[pre + "b"]
+    B, T, _ = x.shape
+    H = Wh.shape[0]
+    hs = np.zeros((B, T, H))
+    cache = {}
+    h = np.zeros((B, H))
+    c = np.zeros((B, H))
+    order = range(T - 1, -1, -1) if reverse else range(T)
+    for t in order:
+        g = x[:, t] @ Wi + h @ Wh + b
+        i, f, gg, o = sig(g[:, :H]), sig(g[:, H : 2 * H]), np.tanh(g[:, 2 * H : 3 * H]), sig(g[:, 3 * H :])
+        c_new = f * c + i * gg
+        tc = np.tanh(c_new)
+        h_new = o * tc
+        cache[t] = (h, c, i, f, gg, o, tc)
+        h, c = h_new, c_new
+        hs[:, t] = h
+    return hs, (x, cache, reverse)
+
+
+def lstm_backward(dh, cache, P, pre, G):
+    x, steps, reverse = cache
+    Wi, Wh = P[pre + "Wih"], P[pre + "Whh"]
+    B, T, _ = x.shape
+    H = Wh.shape[0]
+    dx = np.zeros_like(x)
+    dh_next = np.zeros((B, H))
+    dc_next = np.zeros((B, H))
+    order = range(T) if reverse else range(T - 1, -1, -1)
+    for t in order:
+        hp, cp, i, f, gg, o, tc = steps[t]
+        d = dh[:, t] + dh_next
+        do = d * tc
+        dc = d * o * (1 - tc * tc) + dc_next
+        di, df, dgg = dc * gg, dc * cp, dc * i
+        dg = np.concatenate([di * i * (1 - i), df * f * (1 - f), dgg * (1 - gg * gg), do * o * (1 - o)], axis=1)
+        G[pre + "Wih"] += x[:, t].T @ dg
+        G[pre + "Whh"] += hp.T @ dg
+        G[pre + "b"] += dg.sum(0)
+        dx[:, t] = dg @ Wi.T
+        dh_next = dg @ Wh.T
+        dc_next = dc * f
+    return dx
+
+
+# ----------------------------------------------------------------- conv
+
+
+def conv_forward(x, W, b):
+    """x (B,C,T), W (O,C,3), padding 1 → (B,O,T)."""
+    B, C, T = x.shape
+    xp = np.pad(x, ((0, 0), (0, 0), (1, 1)))
+    cols = np.stack([xp[:, :, k : k + T] for k in range(3)], axis=3)  # B,C,T,3
+    out = np.einsum("bctk,ock->bot", cols, W) + b[None, :, None]
+    return out, cols
+
+
+def conv_backward(dout, cols, W, x_shape):
+    B, C, T = x_shape
+    dW = np.einsum("bot,bctk->ock", dout, cols)
+    db = dout.sum((0, 2))
+    dcols = np.einsum("bot,ock->bctk", dout, W)
+    dxp = np.zeros((B, C, T + 2))
+    for k in range(3):
+        dxp[:, :, k : k + T] += dcols[:, :, :, k]
+    return dxp[:, :, 1:-1], dW, db
+
+
+# ---------------------------------------------------------------- models
+
+
+class WindowNet:
+    def __init__(self, model_name: str, n_lags: int, layer_sizes, hidden: str = "ReLU", output: str = "Linear"):
+        if model_name not in MODEL_NAMES:
+            raise ValueError(f"Unsupported time-series model: {model_name}.")
+        self.name, self.L, self.sizes = model_name, int(n_lags), tuple(int(s) for s in layer_sizes)
+        self.hidden, self.output = hidden, output
+        p = Params()
+        if model_name == "MLP":
+            fan = self.L
+            for i, s in enumerate(self.sizes):
+                p.add(f"W{i}", (fan, s), 1 / np.sqrt(fan))
+                p.add(f"c{i}", (s,), 1 / np.sqrt(fan))
+                fan = s
+            p.add("Wo", (fan, 1), 1 / np.sqrt(fan))
+            p.add("co", (1,), 1 / np.sqrt(fan))
+        elif model_name == "CNN":
+            cin = 1
+            for i, s in enumerate(self.sizes):
+                p.add(f"K{i}", (s, cin, 3), 1 / np.sqrt(cin * 3))
+                p.add(f"kb{i}", (s,), 1 / np.sqrt(cin * 3))
+                cin = s
+            p.add("Wo", (cin, 1), 1 / np.sqrt(cin))
+            p.add("co", (1,), 1 / np.sqrt(cin))
+        else:
+            inp = 1
+            if model_name == "ConvLSTM":
+                c0 = self.sizes[0]
+                p.add("K", (c0, 1, 3), 1 / np.sqrt(3))
+                p.add("kb", (c0,), 1 / np.sqrt(3))
+                inp = c0
+            dirs = 2 if model_name == "Bi-LSTM" else 1
+            gates = {"RNN": 1, "GRU": 3}.get(model_name, 4)
+            for i, s in enumerate(self.sizes):
+                bound = 1 / np.sqrt(s)
+                for d in range(dirs):
+                    pre = f"r{i}d{d}"
+                    p.add(pre + "Wih", (inp, gates * s), bound)
+                    p.add(pre + "Whh", (s, gates * s), bound)
+                    if model_name == "GRU":
+                        p.add(pre + "bih", (gates * s,), bound)
+                        p.add(pre + "bhh", (gates * s,), bound)
+                    else:
+                        p.add(pre + "b", (gates * s,), bound)
+                inp = s * dirs
+            p.add("Wo", (inp, 1), 1 / np.sqrt(inp))
+            p.add("co", (1,), 1 / np.sqrt(inp))
+        self.params = p
+
+    def n_params(self):
+        return self.params.size()
+
+    def init(self, seed=42):
+        return self.params.init(seed)
+
+    # windows: (B, L) oldest first
+    def forward(self, theta, X, keep=False):
+        P = self.params.unpack(theta)
+        caches = {}
+        if self.name == "MLP":
+            h = X
+            zs = []
+            for i in range(len(self.sizes)):
+                z = h @ P[f"W{i}"] + P[f"c{i}"]
+                zs.append((h, z))
+                h = act(z, self.hidden)
+            caches["mlp"] = zs
+            feat = h
+        elif self.name == "CNN":
+            h = X[:, None, :]
+            convs = []
+            for i in range(len(self.sizes)):
+                z, cols = conv_forward(h, P[f"K{i}"], P[f"kb{i}"])
+                convs.append((h.shape, cols, z))
+                h = act(z, self.hidden)
+            caches["conv"] = convs
+            caches["T"] = h.shape[2]
+            feat = h.mean(axis=2)
+        else:
+            seq = X[:, :, None]
+            if self.name == "ConvLSTM":
+                z, cols = conv_forward(X[:, None, :], P["K"], P["kb"])
+                caches["front"] = (cols, z)
+                seq = act(z, self.hidden).transpose(0, 2, 1)
+            layers = []
+            for i in range(len(self.sizes)):
+                pre = f"r{i}d0"
+                if self.name == "RNN":
+                    nl = "ReLU" if self.hidden == "ReLU" else "Tanh"
+                    out, c = rnn_forward(seq, P, pre, nl)
+                    layers.append(("rnn", c, nl))
+                elif self.name == "GRU":
+                    out, c = gru_forward(seq, P, pre)
+                    layers.append(("gru", c, None))
+                elif self.name == "Bi-LSTM":
+                    of, cf = lstm_forward(seq, P, f"r{i}d0")
+                    ob, cb = lstm_forward(seq, P, f"r{i}d1", reverse=True)
+                    out = np.concatenate([of, ob], axis=2)
+                    layers.append(("bi", (cf, cb), of.shape[2]))
+                else:
+                    out, c = lstm_forward(seq, P, pre)
+                    layers.append(("lstm", c, None))
+                seq = out
+            caches["rec"] = layers
+            caches["seq_shape"] = seq.shape
+            last = seq[:, -1, :]
+            caches["last"] = last
+            feat = act(last, self.hidden)
+        zo = feat @ P["Wo"] + P["co"]
+        y = act(zo, self.output)[:, 0]
+        if keep:
+            return y, (P, caches, feat, zo)
+        return y
+
+    def loss_grad(self, theta, X, y):
+        """Σ (ŷ − y)² over the batch and its gradient (MSE sum)."""
+        pred, (P, caches, feat, zo) = self.forward(theta, X, keep=True)
+        err = pred - y
+        loss = float(err @ err)
+        G = {name: np.zeros(s) for name, s, _ in self.params.shapes}
+        dz = (2 * err)[:, None] * dact(zo, self.output)
+        G["Wo"] += feat.T @ dz
+        G["co"] += dz.sum(0)
+        dfeat = dz @ P["Wo"].T
+        if self.name == "MLP":
+            d = dfeat
+            for i in range(len(self.sizes) - 1, -1, -1):
+                h_in, z = caches["mlp"][i]
+                dzl = d * dact(z, self.hidden)
+                G[f"W{i}"] += h_in.T @ dzl
+                G[f"c{i}"] += dzl.sum(0)
+                d = dzl @ P[f"W{i}"].T
+        elif self.name == "CNN":
+            T = caches["T"]
+            d = np.repeat(dfeat[:, :, None], T, axis=2) / T
+            for i in range(len(self.sizes) - 1, -1, -1):
+                shape, cols, z = caches["conv"][i]
+                dzl = d * dact(z, self.hidden)
+                d, dW, db = conv_backward(dzl, cols, P[f"K{i}"], shape)
+                G[f"K{i}"] += dW
+                G[f"kb{i}"] += db
+        else:
+            last = caches["last"]
+            dlast = dfeat * dact(last, self.hidden)
+            B, T, Hs = caches["seq_shape"]
+            dseq = np.zeros((B, T, Hs))
+            dseq[:, -1, :] = dlast
+            for i in range(len(self.sizes) - 1, -1, -1):
+                kind, c, extra = caches["rec"][i]
+                pre = f"r{i}d0"
+                if kind == "rnn":
+                    dseq = rnn_backward(dseq, c, P, pre, extra, G)
+                elif kind == "gru":
+                    dseq = gru_backward(dseq, c, P, pre, G)
+                elif kind == "bi":
+                    H = extra
+                    cf, cb = c
+                    dseq = lstm_backward(dseq[:, :, :H], cf, P, f"r{i}d0", G) + lstm_backward(dseq[:, :, H:], cb, P, f"r{i}d1", G)
+                else:
+                    dseq = lstm_backward(dseq, c, P, pre, G)
+            if self.name == "ConvLSTM":
+                cols, z = caches["front"]
+                dz = dseq.transpose(0, 2, 1) * dact(z, self.hidden)
+                _, dW, db = conv_backward(dz, cols, P["K"], (X.shape[0], 1, X.shape[1]))
+                G["K"] += dW
+                G["kb"] += db
+        return loss, self.params.pack(G)

@@ -754,6 +754,65 @@ def q_feature_selection_pipeline(spark, sf):
     return res.prediction.data.select("idx", r("Prediction").alias("Prediction"))
 
 
+# ------------------------------------------------------ window networks
+
+# Query-sized network settings (the reference defaults are two layers of 64
+# and 100 epochs; the operators take them unchanged).
+TS_QUERY = {"max_time_lag": 5, "lag_indices": (1, 2, 3, 5), "layer_sizes": (8,), "epochs": 2, "batch_size": 32}
+
+
+def _ts_query(model_name: str):
+    def run(spark, sf):
+        from .timeseries import TimeSeriesConfig, forecast_timeseries_model, train_timeseries_model
+
+        ev = load(spark, sf, "events").select("ts", "event_id", "value")
+        cfg = TimeSeriesConfig(model_name, **TS_QUERY)
+        res = train_timeseries_model(ev, "value", cfg, EVENTS_ORDER)
+        fc = forecast_timeseries_model(res.artifact, 12, spark=spark)
+        return fc.data.select("idx", r("Prediction").alias("Prediction"))
+
+    return run
+
+
+def q_ts_loss_table(spark, sf):
+    """Per-epoch mean MSE of an MLP window network on events.value."""
+    from .timeseries import TimeSeriesConfig, train_timeseries_model
+
+    ev = load(spark, sf, "events").select("ts", "event_id", "value")
+    res = train_timeseries_model(ev, "value", TimeSeriesConfig("MLP", **{**TS_QUERY, "epochs": 3}), EVENTS_ORDER)
+    return res.loss_table
+
+
+def q_lookback_validate(spark, sf):
+    """T1 + T2 in a workflow: ridge with 3 target lags on events, Last split
+    10 %, recursive predictions from the training history."""
+    from .config import ModelSpec
+
+    ev = load(spark, sf, "events")
+    plan = profile.preprocessing_plan(ev, ["event_type"])
+    cfg = PipelineConfig(("event_type",), "value", tuple(EVENTS_ORDER), plan, ModelSpec("ridge"), lookback=3)
+    res = W.validate(ev, ValidationConfig(cfg, "Last split", 10))
+    return res.prediction.data.select("idx", r("Real").alias("Real"), r("Prediction").alias("Prediction"))
+
+
+def q_known_history_score(spark, sf):
+    """One-step predictions with actual history on the last 10 % of events."""
+    from ..operators.recursive import known_history_predict
+    from ..operators.rowindex import Indexed
+    from .config import ModelSpec
+
+    ev = load(spark, sf, "events")
+    plan = profile.preprocessing_plan(ev, ["event_type"])
+    cfg = PipelineConfig(("event_type",), "value", tuple(EVENTS_ORDER), plan, ModelSpec("linear_regression"), lookback=3)
+    ix = with_row_index(ev, EVENTS_ORDER)
+    cut = ix.n - max(1, -(-ix.n * 10 // 100))
+    tr = Indexed(ix.df.where(F.col("idx") < cut), cut, "idx")
+    fitted = W.fit_pipeline(tr, cfg)
+    te = ix.df.where(F.col("idx") >= cut).withColumn("idx", F.col("idx") - cut)
+    out = known_history_predict(fitted, tr, te, keep=["idx", "value"])
+    return out.select("idx", r("value").alias("Real"), r("Prediction").alias("Prediction"))
+
+
 # ---------------------------------------------------------------- registry
 
 
@@ -801,4 +860,8 @@ def registry() -> dict:
         "mrmr_regression": (q_mrmr_regression, None),
         "feature_selection_pipeline": (q_feature_selection_pipeline, None),
         **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
+        **{f"ts_{n.lower().replace('-', '_')}": (_ts_query(n), None) for n in ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")},
+        "ts_loss_table": (q_ts_loss_table, None),
+        "lookback_validate": (q_lookback_validate, None),
+        "known_history_score": (q_known_history_score, None),
     }

@@ -1,0 +1,102 @@
+import numpy as np
+import pandas as pd
+import pytest
+
+from regcast.operators.nets import MODEL_NAMES, WindowNet
+from regcast.plans.timeseries import (
+    TimeSeriesArtifact,
+    TimeSeriesConfig,
+    forecast_timeseries_model,
+    forecast_values,
+    train_timeseries_model,
+    validate_config,
+)
+
+
+@pytest.fixture(scope="module")
+def series(spark):
+    return spark.createDataFrame(pd.DataFrame({"t": range(12), "target": np.arange(12.0)}))
+
+
+@pytest.mark.parametrize("name", MODEL_NAMES)
+def test_gradients_match_finite_differences(name):
+    rng = np.random.default_rng(0)
+    X, y = rng.normal(size=(4, 3)), rng.normal(size=4)
+    net = WindowNet(name, 3, (3, 2), "Tanh", "Linear")
+    th = net.init(3)
+    _, g = net.loss_grad(th, X, y)
+    e = np.zeros_like(th)
+    num = np.zeros_like(th)
+    for i in range(th.size):
+        e[:] = 0
+        e[i] = 1e-6
+        num[i] = (net.loss_grad(th + e, X, y)[0] - net.loss_grad(th - e, X, y)[0]) / 2e-6
+    assert np.allclose(g, num, atol=1e-5)
+
+
+@pytest.mark.parametrize("name", MODEL_NAMES)
+def test_every_network_trains_and_forecasts(series, name):
+    cfg = TimeSeriesConfig(name, max_time_lag=3, lag_indices=(1, 2, 3), layer_sizes=(4,), epochs=2, batch_size=4)
+    res = train_timeseries_model(series, "target", cfg, ["t"])
+    assert res.trained_windows == 9 and len(res.losses) == 2
+    assert res.artifact.target_history == (9.0, 10.0, 11.0)
+    assert len(forecast_values(res.artifact, 3)) == 3
+
+
+def test_sparse_lags_window_count_and_history(series):
+    cfg = TimeSeriesConfig("MLP", max_time_lag=5, lag_indices=(1, 3, 5), layer_sizes=(4,), epochs=1)
+    res = train_timeseries_model(series, "target", cfg, ["t"])
+    assert res.trained_windows == 7 and res.artifact.target_history == (7.0, 8.0, 9.0, 10.0, 11.0)
+
+
+def test_single_partition_equals_sequential_adam(series):
+    cfg = TimeSeriesConfig("MLP", max_time_lag=3, lag_indices=(1, 2, 3), layer_sizes=(5,), epochs=3, batch_size=4, target_processing="None")
+    res = train_timeseries_model(series, "target", cfg, ["t"], partitions=1)
+    net = WindowNet("MLP", 3, (5,), "ReLU", "Linear")
+    v = np.arange(12.0)
+    X = np.array([[v[i - 3], v[i - 2], v[i - 1]] for i in range(3, 12)])
+    y = v[3:]
+    th, m, s2, t = net.init(42), 0.0, 0.0, 0
+    for epoch in range(3):
+        # rows reach the task in window order; the seeded permutation matches
+        order = np.random.RandomState(42 + 1009 * epoch).permutation(len(y))
+        for b in range(0, len(y), 4):
+            idx = order[b : b + 4]
+            _, g = net.loss_grad(th, X[idx], y[idx])
+            g = g / len(idx)
+            t += 1
+            m = 0.9 * m + 0.1 * g
+            s2 = 0.999 * s2 + 0.001 * g * g
+            th = th - 0.001 * (m / (1 - 0.9 ** t)) / (np.sqrt(s2 / (1 - 0.999 ** t)) + 1e-8)
+    assert np.allclose(res.artifact.theta, th)
+
+
+def test_forecast_ignores_actuals_and_round_trips(series, spark):
+    cfg = TimeSeriesConfig("GRU", max_time_lag=3, lag_indices=(1, 2, 3), layer_sizes=(3,), epochs=1)
+    res = train_timeseries_model(series, "target", cfg, ["t"])
+    zeros = spark.createDataFrame(pd.DataFrame({"t": range(3), "target": [0.0] * 3}))
+    big = spark.createDataFrame(pd.DataFrame({"t": range(3), "target": [100.0, 200.0, 300.0]}))
+    a = forecast_timeseries_model(res.artifact, 3, zeros)
+    b = forecast_timeseries_model(res.artifact, 3, big)
+    assert a.values == b.values and a.metrics.mape is None and b.metrics is not None
+    again = TimeSeriesArtifact.from_json(res.artifact.to_json())
+    assert forecast_values(again, 3) == a.values
+    with pytest.raises(ValueError, match="match the forecast horizon"):
+        forecast_timeseries_model(res.artifact, 2, zeros)
+
+
+def test_config_errors():
+    with pytest.raises(ValueError, match="unique and sorted"):
+        validate_config(TimeSeriesConfig("MLP", max_time_lag=4, lag_indices=(2, 1)))
+    with pytest.raises(ValueError, match="exceed the max"):
+        validate_config(TimeSeriesConfig("MLP", max_time_lag=2, lag_indices=(1, 3)))
+    with pytest.raises(ValueError, match="Unsupported time-series model"):
+        validate_config(TimeSeriesConfig("Transformer"))
+    with pytest.raises(ValueError, match="hidden activation"):
+        validate_config(TimeSeriesConfig("MLP", hidden_activation="Swish"))
+
+
+def test_training_needs_more_rows_than_max_lag(spark):
+    df = spark.createDataFrame(pd.DataFrame({"t": range(3), "target": [1.0, 2.0, 3.0]}))
+    with pytest.raises(ValueError, match="more rows than the max time lag"):
+        train_timeseries_model(df, "target", TimeSeriesConfig("MLP", max_time_lag=3, lag_indices=(1, 2, 3)), ["t"])
