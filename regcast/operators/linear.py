@@ -314,7 +314,13 @@ def huber_fit(df: DataFrame, features, target: str, epsilon: float = 1.35, alpha
         g[p + 1] *= sigma  # d/du with σ = exp(u)
         return f + n * sigma + alpha * float(w @ w), g
 
-    theta = lbfgs(fun, np.concatenate([np.zeros(p + 1), [0.0]]), max_iter=max_iter, tol=1e-9)
+    # warm start: least squares from one Gram pass, σ from its residual std
+    m = moments_of(df, features, target)
+    start = ols_from_moments(m, features)
+    G, c, yty, _, _ = m.parts()
+    rss = max(float(yty - 2 * start.coef @ c + start.coef @ G @ start.coef), 1e-12)
+    theta0 = np.concatenate([start.coef, [start.intercept], [0.5 * np.log(rss / max(m.n, 1.0))]])
+    theta = lbfgs(fun, theta0, max_iter=max_iter, tol=1e-8)
     model = LinearModel(list(features), theta[:p], float(theta[p]))
     model.extra = {"scale": float(np.exp(theta[p + 1]))}
     return model
@@ -410,7 +416,8 @@ def sgd_objective_fit(
         g[:p] += alpha * ((1 - rho) * w + rho * w / soft)
         return f, g
 
-    theta = lbfgs(fun, np.zeros(p + 1), max_iter=max_iter, tol=1e-10)
+    start = ols_from_moments(moments_of(df, features, target), features)  # warm start
+    theta = lbfgs(fun, np.concatenate([start.coef, [start.intercept]]), max_iter=max_iter, tol=1e-9)
     return LinearModel(list(features), theta[:p], float(theta[p]))
 
 

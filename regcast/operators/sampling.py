@@ -114,6 +114,11 @@ def kfold_of_rank(rank: Column, n: int, k: int) -> Column:
     )
 
 
+def kfold_sizes(n: int, k: int) -> list[int]:
+    q, r = divmod(n, k)
+    return [q + 1 if f < r else q for f in range(k)]
+
+
 def _check_folds(n: int, k: int) -> None:
     if k < 2:
         raise ValueError("Cross-validation needs at least two folds.")

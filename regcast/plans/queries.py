@@ -813,6 +813,170 @@ def q_known_history_score(spark, sf):
     return out.select("idx", r("value").alias("Real"), r("Prediction").alias("Prediction"))
 
 
+# ------------------------------------------------ sources, gather, grid
+
+
+def q_head_rows(spark, sf):
+    """IO3: the first 100 rows of orders in (o_orderdate, o_orderkey) order."""
+    from ..sources.tables import head_rows
+
+    ix = _orders_ix(spark, sf)
+    return head_rows(ix.df, 100).select("o_orderkey", "idx")
+
+
+SQL_HEAD_ROWS = "SELECT o_orderkey, idx FROM (" + SQL_ROW_INDEX + ") WHERE idx < 100"
+
+
+def q_feature_families(spark, sf):
+    """IO5 + C2: type family of every lineitem column and whether it can be a
+    feature for the target ``l_extendedprice``."""
+    li = load(spark, sf, "lineitem")
+    fams = checks.schema_families(li, li.columns)
+    rows = [(c, fams[c], c != "l_extendedprice" and fams[c] in ("numeric", "string", "boolean")) for c in li.columns]
+    return spark.createDataFrame(rows, "column string, family string, candidate boolean")
+
+
+SQL_FEATURE_FAMILIES = """SELECT column_name AS "column",
+  CASE WHEN column_type IN ('TINYINT','SMALLINT','INTEGER','BIGINT','HUGEINT','FLOAT','DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'numeric'
+       WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE lower(column_type) END AS family,
+  column_name <> 'l_extendedprice' AND (column_type IN ('TINYINT','SMALLINT','INTEGER','BIGINT','HUGEINT','FLOAT','DOUBLE','VARCHAR','BOOLEAN')
+       OR column_type LIKE 'DECIMAL%') AS candidate
+FROM (DESCRIBE lineitem)"""
+
+
+def q_gather_rows(spark, sf):
+    """Orders rows whose position is listed by the last expanding fold."""
+    ix = _orders_ix(spark, sf)
+    tagged = sampling.expanding_folds(ix, 4).df
+    indices = tagged.where(F.col("fold") == 3).select("idx")
+    return sampling.gather(ix, indices).select("o_orderkey", "idx")
+
+
+SQL_GATHER_ROWS = _ORD_RN + """
+SELECT o_orderkey, rn AS idx FROM s WHERE rn >= n - 4 * (n // 5) AND (rn - (n - 4 * (n // 5))) // (n // 5) = 3"""
+
+
+def q_artifact_roundtrip(spark, sf):
+    """IO4: predictions of a saved-and-reloaded pipeline next to the original's."""
+    from ..sources.artifacts import deserialize_artifact, serialize_artifact
+
+    part, cfg = _part_cfg(spark, sf, MODEL_FEATURES, key="gradient_boosting", params={"n_estimators": 5})
+    res = W.train(part, TrainingConfig(cfg, "Random percent", 80))
+    again = deserialize_artifact(serialize_artifact(res.artifact))
+    ix = with_row_index(part, ["p_partkey"])
+    a = res.artifact.predict(ix.df, keep=["idx"]).withColumnRenamed("Prediction", "before")
+    b = again.predict(ix.df, keep=["idx"]).withColumnRenamed("Prediction", "after")
+    return a.join(b, "idx").select("idx", r("before").alias("before"), r("after").alias("after"))
+
+
+def q_grid_search_summary(spark, sf):
+    """W4 + A5: ridge alpha grid, 3 unshuffled folds, mean R² per candidate."""
+    from .config import ModelSpec
+
+    part, cfg = _part_cfg(spark, sf, MODEL_FEATURES)
+    spec = ModelSpec("ridge", {}, True, {"model__alpha": [0.1, 1.0, 10.0]}, 3)
+    cfg = PipelineConfig(cfg.features, cfg.target, cfg.order_by, cfg.plan, spec)
+    res = W.train(part, TrainingConfig(cfg, "Random percent", 100))
+    gs = res.grid_search
+    rows = [(float(c["model__alpha"]), float(round(sc, DS)), bool(c == {"model__alpha": gs.best_parameters["model__alpha"]})) for c, sc in gs.scores]
+    return spark.createDataFrame(rows, "alpha double, mean_r2 double, best boolean")
+
+
+# --------------------------------------------------- classification fixtures
+
+
+def _docs(spark, sf):
+    d = load(spark, sf, "documents")
+    lab = load(spark, sf, "labels")
+    return d.join(lab, "doc_id").select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(F.col("text"), " ")).cast("double").alias("n_words"),
+        "lang",
+        "quality",
+    )
+
+
+def q_relief_classif(spark, sf):
+    from ..operators.neighbors import relief_classif_scores
+
+    docs = _docs(spark, sf)
+    sc = relief_classif_scores(docs, ["n_chars", "n_words"], "quality", order_by=["doc_id"])
+    return spark.createDataFrame([("n_chars", float(round(sc[0], DS))), ("n_words", float(round(sc[1], DS)))], "Variable string, score double")
+
+
+SQL_RELIEF_CLASSIF = f"""WITH d0 AS (SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS f1, CAST(len(string_split(d.text, ' ')) AS DOUBLE) AS f2,
+    l.quality AS c FROM documents d JOIN labels l USING (doc_id)),
+s AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id,
+    (f1 - min(f1) OVER ()) / (max(f1) OVER () - min(f1) OVER ()) AS x1,
+    (f2 - min(f2) OVER ()) / (max(f2) OVER () - min(f2) OVER ()) AS x2, c FROM d0),
+n AS (SELECT count(*) AS n FROM s),
+pr AS (SELECT c, count(*) / max(n.n) AS p FROM s, n GROUP BY c),
+pairs AS (SELECT a.id, a.c AS ac, b.c AS nc, b.id AS did,
+    sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) AS dist,
+    abs(b.x1 - a.x1) AS d1, abs(b.x2 - a.x2) AS d2 FROM s a JOIN s b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, nc ORDER BY dist, did) AS k FROM pairs),
+nb AS (SELECT *, count(*) OVER (PARTITION BY id, nc) AS cnt FROM r WHERE k <= (SELECT least(10, n - 1) FROM n)),
+w AS (SELECT nb.d1, nb.d2, (CASE WHEN nb.nc = nb.ac THEN -1.0 / nb.cnt ELSE pn.p / (1 - pa.p) / nb.cnt END) / (SELECT n FROM n) AS wt
+      FROM nb JOIN pr pn ON pn.c = nb.nc JOIN pr pa ON pa.c = nb.ac)
+SELECT 'n_chars' AS "Variable", round(sum(wt * d1), {DS}) AS score FROM w
+UNION ALL SELECT 'n_words' AS "Variable", round(sum(wt * d2), {DS}) AS score FROM w"""
+
+
+def q_mrmr_classif(spark, sf):
+    from ..operators.neighbors import mrmr_classif_scores
+
+    docs = _docs(spark, sf)
+    sc = mrmr_classif_scores(docs, ["n_chars", "n_words"], "quality")
+    return spark.createDataFrame([("n_chars", float(sc[0])), ("n_words", float(sc[1]))], "Variable string, score double")
+
+
+def q_elm_classifier(spark, sf):
+    """ELM classifier on documents ⋈ labels (standardised counts, one-hot lang)."""
+    from ..operators.elm import elm_classifier_fit
+
+    docs = _docs(spark, sf)
+    feats = ["n_chars", "n_words", "lang"]
+    pre = Preprocessor.fit(docs, profile.preprocessing_plan(docs, feats), feats)
+    enc = pre.transform(docs, keep=["doc_id", "quality"])
+    m = elm_classifier_fit(enc, pre.output_names(), "quality", n_hidden=50)
+    return m.transform(enc, "predicted").select("doc_id", "quality", "predicted")
+
+
+# ------------------------------------------------------------ many series
+
+
+def q_acf_by_series(spark, sf):
+    """T4 per series (events per user): one global index over (user, time),
+    per-series halo lags, grouped sums — no per-series window or task."""
+    from ..operators.lags import with_lags
+
+    ev = load(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    ix = with_row_index(ev, ["user_id", "ts", "event_id"])
+    stats = ix.df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mu"))
+    c = ix.df.join(stats.where(F.col("n") > 3), "user_id").select("user_id", "idx", (F.col("value") - F.col("mu")).alias("c"))
+    lagged = with_lags(c, "c", [1, 2, 3], idx="idx", names=["l1", "l2", "l3"], series="user_id")
+    agg = lagged.groupBy("user_id").agg(
+        F.sum(F.col("c") * F.col("c")).alias("s0"), *[F.sum(F.col("c") * F.col(f"l{k}")).alias(f"s{k}") for k in (1, 2, 3)]
+    )
+    out = agg.select(
+        "user_id",
+        F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.try_divide(F.col(f"s{k}"), F.col("s0")).alias("acf")) for k in (1, 2, 3)])).alias("x"),
+    )
+    return out.select("user_id", F.col("x.lag").alias("lag"), r(F.col("x.acf"), 8).alias("acf"))
+
+
+SQL_ACF_BY_SERIES = """WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+    count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id) AS mu FROM events),
+c AS (SELECT user_id, i, value - mu AS c FROM s WHERE n > 3),
+l AS (SELECT user_id, c, lag(c, 1) OVER w AS l1, lag(c, 2) OVER w AS l2, lag(c, 3) OVER w AS l3 FROM c
+      WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+g AS (SELECT user_id, sum(c * c) AS s0, sum(c * l1) AS s1, sum(c * l2) AS s2, sum(c * l3) AS s3 FROM l GROUP BY user_id)
+SELECT user_id, CAST(1 AS BIGINT) AS lag, round(s1 / nullif(s0, 0), 8) AS acf FROM g
+UNION ALL SELECT user_id, CAST(2 AS BIGINT) AS lag, round(s2 / nullif(s0, 0), 8) AS acf FROM g
+UNION ALL SELECT user_id, CAST(3 AS BIGINT) AS lag, round(s3 / nullif(s0, 0), 8) AS acf FROM g"""
+
+
 # ---------------------------------------------------------------- registry
 
 
@@ -862,6 +1026,15 @@ def registry() -> dict:
         **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
         **{f"ts_{n.lower().replace('-', '_')}": (_ts_query(n), None) for n in ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")},
         "ts_loss_table": (q_ts_loss_table, None),
+        "head_rows": (q_head_rows, SQL_HEAD_ROWS),
+        "feature_families": (q_feature_families, SQL_FEATURE_FAMILIES),
+        "gather_rows": (q_gather_rows, SQL_GATHER_ROWS),
+        "artifact_roundtrip": (q_artifact_roundtrip, None),
+        "grid_search_summary": (q_grid_search_summary, None),
+        "relief_classif": (q_relief_classif, SQL_RELIEF_CLASSIF),
+        "mrmr_classif": (q_mrmr_classif, None),
+        "elm_classifier": (q_elm_classifier, None),
+        "acf_by_series": (q_acf_by_series, SQL_ACF_BY_SERIES),
         "lookback_validate": (q_lookback_validate, None),
         "known_history_score": (q_known_history_score, None),
     }

@@ -76,3 +76,55 @@ def test_unknown_method_and_bad_count(selection):
         FS.select_k_best(df, ["x0"], "y", "Nope", 1)
     with pytest.raises(ValueError, match="at least one"):
         FS.select_k_best(df, ["x0"], "y", "F Regression", 0)
+
+
+def _psi(n):
+    from regcast.operators.neighbors import _digamma_int
+
+    return _digamma_int(np.asarray(n))
+
+
+def test_relief_classif_matches_numpy(spark):
+    from regcast.operators.neighbors import relief_classif_scores
+
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(60, 2))
+    lab = (X[:, 0] + 0.3 * rng.normal(size=60) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "c": lab, "k": np.arange(60)}))
+    got = relief_classif_scores(df, ["a", "b"], "c", order_by=["k"])
+    Xs = (X - X.min(0)) / np.ptp(X, 0)
+    D = np.sqrt(((Xs[:, None] - Xs[None]) ** 2).sum(-1))
+    classes, counts = np.unique(lab, return_counts=True)
+    pri = dict(zip(classes, counts / 60))
+    sc = np.zeros(2)
+    for i in range(60):
+        diffs = np.abs(Xs - Xs[i])
+        hits = np.array([j for j in np.lexsort((np.arange(60), D[i])) if lab[j] == lab[i] and j != i])[:10]
+        sc -= diffs[hits].mean(0) / 60
+        for c in classes[classes != lab[i]]:
+            miss = np.array([j for j in np.lexsort((np.arange(60), D[i])) if lab[j] == c])[:10]
+            sc += pri[c] / (1 - pri[lab[i]]) * diffs[miss].mean(0) / 60
+    assert np.allclose(got, sc)
+
+
+def test_ksg_mi_continuous_discrete_matches_numpy(spark):
+    from regcast.operators.neighbors import ksg_mi_cd
+
+    rng = np.random.default_rng(12)
+    lab = rng.integers(0, 3, 90)
+    x = lab + rng.normal(scale=0.7, size=90)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "c": lab}))
+    got = ksg_mi_cd(df, "x", "c", 3)
+    xs = x / x.std()
+    n = len(xs)
+    k_all, cnt_all, m_all = np.zeros(n), np.zeros(n), np.zeros(n)
+    for c in np.unique(lab):
+        idx = np.flatnonzero(lab == c)
+        k = min(3, len(idx) - 1)
+        for i in idx:
+            d = np.sort(np.round(np.abs(xs[idx] - xs[i]), 9)[idx != i])
+            r = d[k - 1]
+            m_all[i] = np.sum(np.round(np.abs(xs - xs[i]), 9) < r)
+            k_all[i], cnt_all[i] = k, len(idx)
+    ref = _psi([n])[0] + np.mean(_psi(k_all.astype(int))) - np.mean(_psi(cnt_all.astype(int))) - np.mean(_psi(m_all.astype(int)))
+    assert got == pytest.approx(max(ref, 0.0))
