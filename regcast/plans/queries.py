@@ -813,6 +813,51 @@ def q_known_history_score(spark, sf):
     return out.select("idx", r("value").alias("Real"), r("Prediction").alias("Prediction"))
 
 
+# ----------------------------------------- one-feature closed-form models
+
+
+def _one_feature_model(key, params, feature="p_partkey"):
+    def run(spark, sf):
+        part, cfg = _part_cfg(spark, sf, (feature,), key=key, params=params, scaling="None")
+        res = W.train(part, TrainingConfig(cfg, "Last percent", 100), test=part)
+        return res.prediction.data.select("idx", r("Prediction").alias("Prediction"))
+
+    return run
+
+
+_ONE_CTE = """WITH m AS (SELECT covar_pop({x}, p_retailprice) * count(*) AS sxy, var_pop({x}) * count(*) AS sxx,
+    sum({x} * p_retailprice) AS uxy, sum({x} * {x}) AS uxx, avg({x}) AS mx, avg(p_retailprice) AS my, count(*) AS n FROM part),
+c AS (SELECT {w} AS w, {b} AS b FROM m)
+SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, round(b + w * {x}, {d}) AS "Prediction" FROM part, c"""
+
+
+def _one_sql(w: str, b: str = "my - w_ * mx", x: str = "p_partkey") -> str:
+    # ``w_`` in the intercept refers to the slope expression itself
+    return _ONE_CTE.format(x=x, w=w, b=b.replace("w_", f"({w})"), d=D)
+
+
+SQL_LASSO_1 = _one_sql("sign(sxy) * greatest(abs(sxy) - n * 1.0, 0) / sxx")
+SQL_ELASTIC_NET_1 = _one_sql("sign(sxy) * greatest(abs(sxy) - n * 1.0 * 0.5, 0) / (sxx + n * 1.0 * 0.5)")
+SQL_KERNEL_RIDGE_1 = _one_sql("uxy / (uxx + 1.0)", b="0.0")
+SQL_TWEEDIE_1 = _one_sql("sxy / (sxx + n * 1.0)")
+SQL_PLS_1 = _one_sql("sxy / sxx")
+
+
+def q_decision_stump(spark, sf):
+    """decision_tree with max_depth=1 on p_size (exact thresholds)."""
+    return _one_feature_model("decision_tree", {"max_depth": 1}, "p_size")(spark, sf)
+
+
+SQL_DECISION_STUMP = f"""WITH v AS (SELECT p_size AS x, count(*) AS c, sum(p_retailprice) AS s FROM part GROUP BY p_size),
+cum AS (SELECT x, sum(c) OVER (ORDER BY x) AS cl, sum(s) OVER (ORDER BY x) AS sl,
+        sum(c) OVER () AS ct, sum(s) OVER () AS st, lead(x) OVER (ORDER BY x) AS nx FROM v),
+g AS (SELECT (x + nx) / 2.0 AS thr, sl / cl AS ml, (st - sl) / (ct - cl) AS mr,
+        sl * sl / cl + (st - sl) * (st - sl) / (ct - cl) AS gain FROM cum WHERE nx IS NOT NULL),
+b AS (SELECT thr, ml, mr FROM g ORDER BY gain DESC, thr LIMIT 1)
+SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, round(CASE WHEN p_size < thr THEN ml ELSE mr END, {D}) AS "Prediction"
+FROM part, b"""
+
+
 # ------------------------------------------------ sources, gather, grid
 
 
@@ -1026,6 +1071,12 @@ def registry() -> dict:
         **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
         **{f"ts_{n.lower().replace('-', '_')}": (_ts_query(n), None) for n in ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")},
         "ts_loss_table": (q_ts_loss_table, None),
+        "lasso_1": (_one_feature_model("lasso", {"alpha": 1.0}), SQL_LASSO_1),
+        "elastic_net_1": (_one_feature_model("elastic_net", {"alpha": 1.0, "l1_ratio": 0.5}), SQL_ELASTIC_NET_1),
+        "kernel_ridge_1": (_one_feature_model("kernel_ridge", {"alpha": 1.0, "kernel": "linear"}), SQL_KERNEL_RIDGE_1),
+        "tweedie_1": (_one_feature_model("tweedie_regressor", {"power": 0.0, "alpha": 1.0}), SQL_TWEEDIE_1),
+        "pls_1": (_one_feature_model("pls_regression", {"n_components": 1}), SQL_PLS_1),
+        "decision_stump": (q_decision_stump, SQL_DECISION_STUMP),
         "head_rows": (q_head_rows, SQL_HEAD_ROWS),
         "feature_families": (q_feature_families, SQL_FEATURE_FAMILIES),
         "gather_rows": (q_gather_rows, SQL_GATHER_ROWS),
