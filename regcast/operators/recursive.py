@@ -24,6 +24,7 @@ from .lags import lag_names, with_lags
 from .rowindex import Indexed
 
 BLOCK_ROWS = 1_000_000
+SCAN_BLOCK = 65_536  # rows per block of the parallel linear-recurrence scan
 
 
 def _numpy_scorer(model):
@@ -32,8 +33,87 @@ def _numpy_scorer(model):
     return model.predict_numpy
 
 
+def _linear_parts(fitted):
+    """(feature weights, lag weights, intercept) of an identity-link linear model."""
+    from .linear import LinearModel
+
+    m = fitted.model
+    if not isinstance(m, LinearModel) or m.link != "identity":
+        return None
+    p = len(fitted.selected)
+    return np.asarray(m.coef[:p], dtype=float), np.asarray(m.coef[p:], dtype=float), float(m.intercept)
+
+
+def _scan_frame(fitted, df: DataFrame, keep, idx: str, parts) -> DataFrame:
+    """Parallel exact recursion for a linear model.
+
+    y_t = c_t + Σ_k w_k y_{t−k} with c_t = b + x_t·β is affine in the state
+    entering a block, so pass 1 computes every block's state map (L×L + L
+    numbers) in parallel, the driver chains the maps (blocks × L² work) and
+    pass 2 replays each block from its true incoming state, again in
+    parallel.  Exact, and no task holds more than SCAN_BLOCK rows."""
+    beta, w, b = parts
+    L = len(w)
+    feats = list(fitted.selected)
+    lags = lag_names(fitted.target, L)
+    keep = list(keep)
+    enc = fitted.encode(df, keep=keep).withColumn("_blk", F.floor(F.col(idx) / SCAN_BLOCK).cast("long"))
+    enc = enc.withColumn("_c", F.lit(b) + sum((F.lit(float(v)) * F.col(f) for f, v in zip(feats, beta)), F.lit(0.0)))
+
+    def run_block(c: np.ndarray, init: np.ndarray):
+        """Outputs and lag rows for one block from state ``init`` (newest first)."""
+        state = list(init)
+        out = np.zeros(len(c))
+        lag_rows = np.zeros((len(c), L))
+        for t in range(len(c)):
+            lag_rows[t] = state
+            out[t] = c[t] + float(np.dot(w, state))
+            state = [out[t]] + state[:-1]
+        return out, lag_rows, np.asarray(state)
+
+    def maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx)
+        c = pdf["_c"].to_numpy(dtype=float)
+        _, _, a = run_block(c, np.zeros(L))
+        cols = []
+        for j in range(L):
+            e = np.zeros(L)
+            e[j] = 1.0
+            _, _, col = run_block(np.zeros(len(c)), e)
+            cols.append(col)
+        A = np.column_stack(cols)
+        return pd.DataFrame({"_blk": [int(pdf["_blk"].iloc[0])], "A": [A.ravel().tolist()], "a": [a.tolist()]})
+
+    rows = enc.select("_blk", idx, "_c").groupBy("_blk").applyInPandas(maps, "_blk long, A array<double>, a array<double>").collect()
+    state = np.asarray(list(reversed(fitted.history))[:L], dtype=float)  # newest first
+    starts = {}
+    for r in sorted(rows, key=lambda r: r["_blk"]):
+        starts[int(r["_blk"])] = state.tolist()
+        state = np.asarray(r["A"]).reshape(L, L) @ state + np.asarray(r["a"])
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx).reset_index(drop=True)
+        init = np.asarray(starts[int(pdf["_blk"].iloc[0])])
+        out, lag_rows, _ = run_block(pdf["_c"].to_numpy(dtype=float), init)
+        res = pdf[keep + feats].copy()
+        for k, name in enumerate(lags):
+            res[name] = lag_rows[:, k]
+        res["_ps"] = out
+        return res
+
+    schema = ", ".join(
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in enc.schema.fields if f.name in keep]
+        + [f"`{c}` double" for c in feats + lags]
+        + ["_ps double"]
+    )
+    return enc.groupBy("_blk").applyInPandas(replay, schema)
+
+
 def _recursive_frame(fitted, df: DataFrame, keep, idx: str = "idx") -> DataFrame:
     """Scaled predictions and the lag values used, in blocks."""
+    parts = _linear_parts(fitted)
+    if parts is not None:
+        return _scan_frame(fitted, df, keep, idx, parts)
     L = fitted.config.lookback
     feats = list(fitted.selected)
     lags = lag_names(fitted.target, L)

@@ -198,3 +198,24 @@ def test_streaming_scoring_matches_batch(base, spark, tmp_path):
     got = spark.sql("SELECT * FROM scored").orderBy("row").toPandas()["Prediction"].to_numpy()
     ref = res.artifact.predict(base, keep=["row"]).orderBy("row").toPandas()["Prediction"].to_numpy()
     assert np.allclose(got, ref)
+
+
+def test_parallel_linear_scan_equals_sequential_recursion(spark, monkeypatch):
+    from regcast.operators import recursive as R
+    from regcast.operators.rowindex import with_row_index
+
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"row": range(120), "x": rng.normal(size=120)})
+    pdf["target"] = np.cumsum(rng.normal(size=120)) * 0.1 + pdf.x
+    df = spark.createDataFrame(pdf)
+    c = PipelineConfig(("x",), "target", ("row",), [("x", "Numeric", "StandardScaler", 120)], ModelSpec("ridge"),
+                       lookback=3, target_processing="StandardScaler")
+    fitted = W.fit_pipeline(W._index(df, c), c)
+    ix = with_row_index(spark.createDataFrame(pd.DataFrame({"row": range(90), "x": rng.normal(size=90)})), ["row"])
+    monkeypatch.setattr(R, "SCAN_BLOCK", 17)
+    fast = R._recursive_frame(fitted, ix.df, ["idx"]).orderBy("idx").toPandas()
+    monkeypatch.setattr(R, "_linear_parts", lambda f: None)
+    slow = R._recursive_frame(fitted, ix.df, ["idx"]).orderBy("idx").toPandas()
+    assert np.allclose(fast["_ps"], slow["_ps"], atol=1e-12)
+    lags = ["target_lag_1", "target_lag_2", "target_lag_3"]
+    assert np.allclose(fast[lags].to_numpy(), slow[lags].to_numpy(), atol=1e-12)
