@@ -63,5 +63,11 @@ def voting_fit(df: DataFrame, features, target: str, estimators=None, **params):
         if not sep or key not in VOTING_MEMBERS:
             raise ValueError(f"Unknown voting parameter: {name}")
         nested.setdefault(key, {})[param] = value
-    members = [(k, fit_model(k, df, features, target, nested.get(k, {}))) for k in keys]
-    return VotingModel(list(features), members)
+    from ..plans.parallel import run_all
+
+    data = df.persist()
+    try:
+        fits = run_all([lambda k=k: fit_model(k, data, features, target, nested.get(k, {})) for k in keys])
+    finally:
+        data.unpersist()
+    return VotingModel(list(features), list(zip(keys, fits)))
