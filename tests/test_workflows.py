@@ -219,3 +219,42 @@ def test_parallel_linear_scan_equals_sequential_recursion(spark, monkeypatch):
     assert np.allclose(fast["_ps"], slow["_ps"], atol=1e-12)
     lags = ["target_lag_1", "target_lag_2", "target_lag_3"]
     assert np.allclose(fast[lags].to_numpy(), slow[lags].to_numpy(), atol=1e-12)
+
+
+@pytest.mark.parametrize("key,params,tp,scaling", [
+    ("ridge", {"alpha": 3.0}, "StandardScaler", None),
+    ("lasso", {"alpha": 0.5}, "MinMaxScaler", "MinMaxScaler"),
+    ("bayesian_ridge", {}, "None", None),
+])
+def test_fold_additive_cv_equals_per_fold_refits(spark, key, params, tp, scaling, monkeypatch):
+    from regcast.functions.profile import override_plan
+    from regcast.plans import fastcv
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": range(200), "x": rng.normal(size=200) * 3 + 5, "cat": rng.choice(["a", "b", "c"], 200)})
+    pdf["target"] = 2 * pdf.x + (pdf.cat == "b") * 1.5 + rng.normal(size=200)
+    df = spark.createDataFrame(pdf)
+    plan = preprocessing_plan(df, ["x", "cat"])
+    if scaling:
+        plan = override_plan(plan, scaling=scaling)
+    c = PipelineConfig(("x", "cat"), "target", ("k",), plan, ModelSpec(key, params), target_processing=tp)
+    fast = W.validate(df, ValidationConfig(c, "Cross-validation", folds=4)).prediction.data.orderBy("idx").toPandas()
+    monkeypatch.setattr(fastcv, "eligible", lambda *a, **k: False)
+    slow = W.validate(df, ValidationConfig(c, "Cross-validation", folds=4)).prediction.data.orderBy("idx").toPandas()
+    assert np.allclose(fast.Prediction, slow.Prediction, atol=1e-9)
+
+
+def test_fold_additive_grid_scores_equal_per_fold_refits(spark, monkeypatch):
+    from regcast.plans import fastcv
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": range(150), "x": rng.normal(size=150), "z": rng.normal(size=150)})
+    pdf["target"] = pdf.x - 0.5 * pdf.z + rng.normal(scale=0.5, size=150)
+    df = spark.createDataFrame(pdf)
+    spec = ModelSpec("ridge", {}, True, {"model__alpha": [0.1, 10.0, 100.0]}, 3)
+    c = PipelineConfig(("x", "z"), "target", ("k",), preprocessing_plan(df, ["x", "z"]), spec)
+    fast = W.train(df, TrainingConfig(c, "Random percent", 100)).grid_search
+    monkeypatch.setattr(fastcv, "eligible", lambda *a, **k: False)
+    slow = W.train(df, TrainingConfig(c, "Random percent", 100)).grid_search
+    assert fast.best_parameters == slow.best_parameters
+    assert np.allclose([s for _c, s in fast.scores], [s for _c, s in slow.scores], atol=1e-9)
