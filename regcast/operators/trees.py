@@ -210,12 +210,19 @@ class GrowSpec:
     col_fraction: float = 1.0
 
 
-def _uniform(seed: int, *ints) -> float:
-    h = np.uint64(1469598103934665603)
-    for v in (seed, *ints):
-        h = np.uint64((int(h) ^ (int(v) & 0xFFFFFFFFFFFFFFFF)) * 1099511628211 % (1 << 64))
-        h = np.uint64((int(h) ^ (int(h) >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64))
-    return (int(h) >> 11) / float(1 << 53)
+def _uniform(seed: int, level_seed: int, *longs) -> float:
+    """The driver-side twin of ``pmod(xxhash64(seed, level_seed, longs…), 2³⁰) / 2³⁰``:
+    Spark hashes int literals as 4 bytes and long columns as 8 bytes, each
+    step seeded with the previous hash (initial seed 42), so both split
+    searches draw identical random thresholds."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v, fmt in [(seed, "<i"), (level_seed, "<i"), *[(x, "<q") for x in longs]]:
+        h = xxhash.xxh64_intdigest(struct.pack(fmt, int(v)), seed=h)
+    return (h % (1 << 30)) / float(1 << 30)
 
 
 def _row_uniform(rowid: np.ndarray, tree: int, seed: int) -> np.ndarray:
@@ -342,14 +349,14 @@ class _Grower:
             & (HR >= s.min_child_weight)
             & (F.col("Ct") >= s.min_samples_split)
         )
-        h = h.withColumn("gain", F.when(valid, gain)).withColumn("valid", valid)
+        h = h.withColumn("rawgain", gain).withColumn("gain", F.when(valid, gain)).withColumn("valid", valid)
         if s.policy == "random":
             # one uniformly drawn threshold bin per (tree, node, feature)
-            u = (F.abs(F.xxhash64(F.lit(SEED), F.lit(level_seed), "t", "node", "f")) % F.lit(1 << 30)) / float(1 << 30)
+            u = F.pmod(F.xxhash64(F.lit(SEED), F.lit(level_seed), "t", "node", "f"), F.lit(1 << 30)) / float(1 << 30)
             pick = F.col("minb") + F.floor(u * (F.col("maxb") - F.col("minb")))
             h = h.where(F.col("bin") <= pick).withColumn("_last", F.max("bin").over(w_all)).where(F.col("bin") == F.col("_last")).drop("_last")
         if s.col_fraction < 1.0:
-            u = (F.abs(F.xxhash64(F.lit(SEED), F.lit(level_seed // 1000), "t", "f")) % F.lit(1 << 30)) / float(1 << 30)
+            u = F.pmod(F.xxhash64(F.lit(SEED), F.lit(level_seed // 1000), "t", "f"), F.lit(1 << 30)) / float(1 << 30)
             h = h.where(u < s.col_fraction)
         return h
 
@@ -359,10 +366,24 @@ class _Grower:
         return best.select("t", "node", "f", "bin", "gain", "valid", "Gt", "Ht", "Ct", "GL", "HL").collect()
 
     def best_symmetric(self, cand: DataFrame):
-        """One (feature, bin) per tree and level: maximise the summed gain."""
-        g = cand.where(F.col("bin") < F.col("maxb")).groupBy("t", "f", "bin").agg(F.sum(F.coalesce("gain", F.lit(0.0))).alias("gsum"))
-        w = Window.partitionBy("t").orderBy(F.col("gsum").desc(), "f", "bin")
-        return g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).collect()
+        """One (feature, bin) per tree and level: maximise the gain summed over
+        the level's nodes.  A node's gain at threshold b is its gain at its
+        last non-empty bin ≤ b (0 before its first bin and past its last),
+        so every node's step function is densified on the shared grid."""
+        c = cand.select(
+            "t", "node", "f", "bin",
+            F.when(F.col("bin") < F.col("maxb"), F.coalesce("rawgain", F.lit(0.0))).otherwise(F.lit(0.0)).alias("g"),
+            (F.col("bin") < F.col("maxb")).cast("int").alias("can"),
+        )
+        grid = c.select("t", "f", "bin").distinct()
+        nodes = c.select("t", "node", "f").distinct()
+        dense = grid.join(nodes, ["t", "f"]).join(c, ["t", "node", "f", "bin"], "left")
+        w = Window.partitionBy("t", "node", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        dense = dense.withColumn("g", F.coalesce(F.last("g", ignorenulls=True).over(w), F.lit(0.0)))
+        g = dense.groupBy("t", "f", "bin").agg(F.sum("g").alias("gsum"), F.max(F.coalesce("can", F.lit(0))).alias("can"))
+        g = g.where(F.col("can") == 1)
+        wr = Window.partitionBy("t").orderBy(F.col("gsum").desc(), "f", "bin")
+        return g.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == 1).collect()
 
     def node_totals(self, hist: DataFrame):
         tot = hist.where(F.col("f") == 0).groupBy("t", "node").agg(F.sum("G").alias("Gt"), F.sum("H").alias("Ht"), F.sum("C").alias("Ct"))
@@ -398,7 +419,7 @@ class _Grower:
                     best_sym = search.symmetric() if local else self.best_symmetric(self.candidates(hist, seed * 1000 + level))
                     choice = {r["t"]: (r["f"], r["bin"], r["gsum"]) for r in best_sym}
                     for t in range(n_trees):
-                        if t not in choice or choice[t][2] <= 1e-12:
+                        if t not in choice:  # oblivious trees grow to full depth
                             continue
                         f, b, _ = choice[t]
                         thr = float(self.edges[f][b]) if b < len(self.edges[f]) else float("inf")
@@ -509,16 +530,22 @@ class _LocalSearch:
 
     def symmetric(self):
         by_tree: dict[int, np.ndarray] = {}
+        can: dict[int, np.ndarray] = {}
+        bins = np.arange(self.B)[None, :]
         for (t, node), a in self.nodes.items():
             gain, _, _, _ = self._gains(t, node, a)
             C = a[2]
-            bins = np.arange(self.B)[None, :]
             maxb = np.where(C > 0, bins, -1).max(1, keepdims=True)
+            minb = np.where(C > 0, bins, self.B).min(1, keepdims=True)
             g = np.where(bins < maxb, np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
             by_tree[t] = by_tree.get(t, 0) + g
+            can[t] = can.get(t, False) | ((bins >= minb) & (bins < maxb))
         out = []
         for t, g in by_tree.items():
-            flat = int(np.argmax(g))
+            if not can[t].any():
+                continue
+            masked = np.where(can[t], g, -np.inf)
+            flat = int(np.argmax(masked))  # first max: lowest feature, then lowest bin
             f, b = divmod(flat, self.B)
             out.append({"t": t, "f": f, "bin": b, "gsum": float(g[f, b])})
         return out
