@@ -858,6 +858,65 @@ SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, round(CASE WHEN p_size
 FROM part, b"""
 
 
+# ------------------------------------- lookback workflows with SQL oracles
+
+
+def _events_lookback_cfg(spark, sf):
+    from .config import ModelSpec
+
+    ev = load(spark, sf, "events").select("ts", "event_id", "user_id", "value")
+    plan = profile.override_plan(profile.preprocessing_plan(ev, ["user_id"]), scaling="None")
+    cfg = PipelineConfig(("user_id",), "value", tuple(EVENTS_ORDER), plan, ModelSpec("linear_regression"), lookback=1)
+    return ev, cfg
+
+
+def q_lookback_recursive_sql(spark, sf):
+    """T1 + T2: OLS on (user_id, value_lag_1), Last split 10 %, predictions
+    fed back recursively from the last training value."""
+    ev, cfg = _events_lookback_cfg(spark, sf)
+    res = W.validate(ev, ValidationConfig(cfg, "Last split", 10))
+    return res.prediction.data.select("idx", r("Prediction").alias("Prediction"))
+
+
+def q_known_history_sql(spark, sf):
+    """The same model scored with the ACTUAL previous values."""
+    from ..operators.recursive import known_history_predict
+    from ..operators.rowindex import Indexed
+
+    ev, cfg = _events_lookback_cfg(spark, sf)
+    tr, va = sampling.last_split(W._index(ev, cfg), 10)
+    fitted = W.fit_pipeline(tr, cfg)
+    out = known_history_predict(fitted, tr, va.df, keep=["idx"])
+    return out.select("idx", r("Prediction").alias("Prediction"))
+
+
+_LB_FIT = """s AS (SELECT CAST(user_id AS DOUBLE) AS x, value AS y, row_number() OVER (ORDER BY ts, event_id) - 1 AS i,
+    count(*) OVER () AS n FROM events),
+cut AS (SELECT max(n) - greatest(1, (max(n) * 10 + 99) // 100) AS c FROM s),
+tr AS (SELECT s.x, s.y, s.i, lag(s.y) OVER (ORDER BY s.i) AS l1 FROM s, cut WHERE s.i < cut.c),
+t AS (SELECT * FROM tr WHERE i >= 1),
+m AS (SELECT covar_pop(x, x) AS s11, covar_pop(l1, l1) AS s22, covar_pop(x, l1) AS s12, covar_pop(x, y) AS s1y,
+             covar_pop(l1, y) AS s2y, avg(x) AS m1, avg(l1) AS m2, avg(y) AS my FROM t),
+co AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2,
+              m1, m2, my FROM m),
+k AS (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM co),
+va AS (SELECT s.x, s.y, s.i - cut.c AS j FROM s, cut WHERE s.i >= cut.c),
+h AS (SELECT y AS last_y FROM s, cut WHERE s.i = cut.c - 1)"""
+
+SQL_LOOKBACK_RECURSIVE = "WITH RECURSIVE " + _LB_FIT + f""",
+rec AS (SELECT 0 AS j, (SELECT b0 FROM k) + (SELECT b1 FROM k) * va.x + (SELECT b2 FROM k) * (SELECT last_y FROM h) AS p
+          FROM va WHERE va.j = 0
+        UNION ALL
+        SELECT rec.j + 1, (SELECT b0 FROM k) + (SELECT b1 FROM k) * va.x + (SELECT b2 FROM k) * rec.p
+          FROM rec JOIN va ON va.j = rec.j + 1)
+SELECT CAST(j AS BIGINT) AS idx, round(p, {D}) AS "Prediction" FROM rec"""
+
+SQL_KNOWN_HISTORY = "WITH " + _LB_FIT + f"""
+SELECT CAST(va.j AS BIGINT) AS idx,
+  round(k.b0 + k.b1 * va.x + k.b2 * coalesce(lag(va.y) OVER (ORDER BY va.j), (SELECT last_y FROM h)), {D}) AS "Prediction"
+FROM va, k"""
+
+
 # ------------------------------------------------ sources, gather, grid
 
 
@@ -1077,6 +1136,8 @@ def registry() -> dict:
         "tweedie_1": (_one_feature_model("tweedie_regressor", {"power": 0.0, "alpha": 1.0}), SQL_TWEEDIE_1),
         "pls_1": (_one_feature_model("pls_regression", {"n_components": 1}), SQL_PLS_1),
         "decision_stump": (q_decision_stump, SQL_DECISION_STUMP),
+        "lookback_recursive_sql": (q_lookback_recursive_sql, SQL_LOOKBACK_RECURSIVE),
+        "known_history_sql": (q_known_history_sql, SQL_KNOWN_HISTORY),
         "head_rows": (q_head_rows, SQL_HEAD_ROWS),
         "feature_families": (q_feature_families, SQL_FEATURE_FAMILIES),
         "gather_rows": (q_gather_rows, SQL_GATHER_ROWS),
