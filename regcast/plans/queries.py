@@ -744,6 +744,39 @@ def q_mrmr_regression(spark, sf):
     return spark.createDataFrame([(f, float(v)) for f, v in zip(feats, scores)], "Variable string, score double")
 
 
+def q_mutual_info(spark, sf):
+    """FS2 relevance: KSG mutual information (k = 3) of part features with the price."""
+    from ..operators.neighbors import ksg_mi
+
+    part = load(spark, sf, "part")
+    rows = [(f, float(round(ksg_mi(part, f, "p_retailprice", 3), DS))) for f in ("p_size", "p_partkey")]
+    return spark.createDataFrame(rows, "Variable string, mi double")
+
+
+def _mi_sql(x: str) -> str:
+    return f"""SELECT '{x}' AS "Variable", round(greatest(0.0, hn.hn1 + 1.5 - avg(hx.H) - avg(hy.H)), {DS}) AS mi
+FROM cnt JOIN harm hx ON hx.i = cnt.nx JOIN harm hy ON hy.i = cnt.ny,
+     (SELECT H AS hn1 FROM harm WHERE i = (SELECT count(*) FROM s) - 1) hn
+GROUP BY hn.hn1"""
+
+
+def _sql_mutual_info(x: str) -> str:
+    return f"""WITH s AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id,
+    {x} / stddev_pop({x}) OVER () AS x, p_retailprice / stddev_pop(p_retailprice) OVER () AS y FROM part),
+pairs AS (SELECT a.id, b.id AS did, round(greatest(abs(a.x - b.x), abs(a.y - b.y)), 9) AS d FROM s a JOIN s b ON a.id <> b.id),
+rk AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, did) AS k FROM pairs),
+rad AS (SELECT id, d AS r FROM rk WHERE k = 3),
+cnt AS (SELECT a.id, sum(CASE WHEN round(abs(a.x - b.x), 9) < rad.r THEN 1 ELSE 0 END) AS nx,
+               sum(CASE WHEN round(abs(a.y - b.y), 9) < rad.r THEN 1 ELSE 0 END) AS ny
+        FROM s a JOIN rad ON rad.id = a.id JOIN s b ON a.id <> b.id GROUP BY a.id),
+harm AS (SELECT 0 AS i, 0.0 AS H UNION ALL
+         SELECT range AS i, sum(1.0 / range) OVER (ORDER BY range) AS H FROM range(1, (SELECT count(*) FROM s) + 1))
+{_mi_sql(x)}"""
+
+
+SQL_MUTUAL_INFO = "(" + _sql_mutual_info("p_size") + ")\nUNION ALL\n(" + _sql_mutual_info("p_partkey") + ")"
+
+
 def q_feature_selection_pipeline(spark, sf):
     """FS0 inside a workflow: Relief picks 2 of the encoded part features."""
     from .config import FeatureSelection
@@ -1126,6 +1159,7 @@ def registry() -> dict:
         "knn": (q_knn, SQL_KNN),
         "relief_regression": (q_relief_regression, SQL_RELIEF_REGRESSION),
         "mrmr_regression": (q_mrmr_regression, None),
+        "mutual_info": (q_mutual_info, SQL_MUTUAL_INFO),
         "feature_selection_pipeline": (q_feature_selection_pipeline, None),
         **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
         **{f"ts_{n.lower().replace('-', '_')}": (_ts_query(n), None) for n in ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")},
