@@ -766,8 +766,8 @@ def _sql_mutual_info(x: str) -> str:
 pairs AS (SELECT a.id, b.id AS did, round(greatest(abs(a.x - b.x), abs(a.y - b.y)), 9) AS d FROM s a JOIN s b ON a.id <> b.id),
 rk AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, did) AS k FROM pairs),
 rad AS (SELECT id, d AS r FROM rk WHERE k = 3),
-cnt AS (SELECT a.id, sum(CASE WHEN round(abs(a.x - b.x), 9) < rad.r THEN 1 ELSE 0 END) AS nx,
-               sum(CASE WHEN round(abs(a.y - b.y), 9) < rad.r THEN 1 ELSE 0 END) AS ny
+cnt AS (SELECT a.id, sum(CASE WHEN round(abs(a.x - b.x), 9) < rad.r OR round(abs(a.x - b.x), 9) = 0 THEN 1 ELSE 0 END) AS nx,
+               sum(CASE WHEN round(abs(a.y - b.y), 9) < rad.r OR round(abs(a.y - b.y), 9) = 0 THEN 1 ELSE 0 END) AS ny
         FROM s a JOIN rad ON rad.id = a.id JOIN s b ON a.id <> b.id GROUP BY a.id),
 harm AS (SELECT 0 AS i, 0.0 AS H UNION ALL
          SELECT range AS i, sum(1.0 / range) OVER (ORDER BY range) AS H FROM range(1, (SELECT count(*) FROM s) + 1))
@@ -777,6 +777,39 @@ harm AS (SELECT 0 AS i, 0.0 AS H UNION ALL
 SQL_MUTUAL_INFO = "(" + _sql_mutual_info("p_size") + ")\nUNION ALL\n(" + _sql_mutual_info("p_partkey") + ")"
 
 
+def q_mutual_info_classif(spark, sf):
+    """FS4 relevance: KSG mutual information of document counts with the quality label."""
+    from ..operators.neighbors import ksg_mi_cd
+
+    docs = _docs(spark, sf)
+    rows = [(f, float(round(ksg_mi_cd(docs, f, "quality", 3), DS))) for f in ("n_chars", "n_words")]
+    return spark.createDataFrame(rows, "Variable string, mi double")
+
+
+def _sql_mi_classif(name: str, expr: str) -> str:
+    return f"""WITH d0 AS (SELECT d.doc_id, {expr} AS f, l.quality AS c FROM documents d JOIN labels l USING (doc_id)),
+sd AS (SELECT stddev_pop(f) AS sd FROM d0),
+cc AS (SELECT c, count(*) AS cnt FROM d0 GROUP BY c),
+s AS (SELECT row_number() OVER (ORDER BY d0.doc_id) - 1 AS id, d0.f / sd.sd AS x, d0.c, cc.cnt, least(3, cc.cnt - 1) AS k
+      FROM d0 JOIN cc USING (c), sd WHERE cc.cnt > 1),
+pairs AS (SELECT a.id, b.id AS did, a.k, round(abs(a.x - b.x), 9) AS d FROM s a JOIN s b ON a.c = b.c AND a.id <> b.id),
+rk AS (SELECT id, k, d, row_number() OVER (PARTITION BY id ORDER BY d, did) AS rn FROM pairs),
+rad AS (SELECT id, d AS r FROM rk WHERE rn = k),
+m AS (SELECT a.id, a.k, a.cnt, sum(CASE WHEN round(abs(a.x - b.x), 9) < rad.r OR round(abs(a.x - b.x), 9) = 0 THEN 1 ELSE 0 END) AS m
+      FROM s a JOIN rad ON rad.id = a.id JOIN s b ON true GROUP BY a.id, a.k, a.cnt),
+harm AS (SELECT 0 AS i, 0.0 AS H UNION ALL
+         SELECT range AS i, sum(1.0 / range) OVER (ORDER BY range) AS H FROM range(1, (SELECT count(*) FROM s) + 1))
+SELECT '{name}' AS "Variable",
+  round(greatest(0.0, (SELECT H FROM harm WHERE i = (SELECT count(*) FROM s) - 1) + avg(hk.H) - avg(hc.H) - avg(hm.H)), {DS}) AS mi
+FROM m JOIN harm hk ON hk.i = m.k - 1 JOIN harm hc ON hc.i = m.cnt - 1 JOIN harm hm ON hm.i = m.m - 1"""
+
+
+SQL_MUTUAL_INFO_CLASSIF = (
+    "(" + _sql_mi_classif("n_chars", "CAST(d.n_chars AS DOUBLE)") + ")\nUNION ALL\n("
+    + _sql_mi_classif("n_words", "CAST(len(string_split(d.text, ' ')) AS DOUBLE)") + ")"
+)
+
+
 def q_feature_selection_pipeline(spark, sf):
     """FS0 inside a workflow: Relief picks 2 of the encoded part features."""
     from .config import FeatureSelection
@@ -1160,6 +1193,7 @@ def registry() -> dict:
         "relief_regression": (q_relief_regression, SQL_RELIEF_REGRESSION),
         "mrmr_regression": (q_mrmr_regression, None),
         "mutual_info": (q_mutual_info, SQL_MUTUAL_INFO),
+        "mutual_info_classif": (q_mutual_info_classif, SQL_MUTUAL_INFO_CLASSIF),
         "feature_selection_pipeline": (q_feature_selection_pipeline, None),
         **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
         **{f"ts_{n.lower().replace('-', '_')}": (_ts_query(n), None) for n in ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")},

@@ -26,7 +26,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.csv(path, header=True, inferSchema=True)
     if ext == ".parquet":
         return spark.read.parquet(path)
-    raise ValueError("Unsupported file type. Upload a CSV or XLSX file.")
+    if ext == ".xlsx":
+        raise ValueError("XLSX is a single-machine spreadsheet format; convert it to CSV or Parquet for Spark.")
+    raise ValueError("Only CSV and XLSX files are supported.")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

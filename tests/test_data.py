@@ -56,8 +56,10 @@ def test_series_check_rejects_non_finite(spark):
 
 
 def test_read_table_rejects_other_extensions(spark, tmp_path):
-    with pytest.raises(ValueError, match="CSV or XLSX"):
+    with pytest.raises(ValueError, match="Only CSV and XLSX files are supported"):
         read_table(spark, str(tmp_path / "x.json"))
+    with pytest.raises(ValueError, match="convert it to CSV or Parquet"):
+        read_table(spark, str(tmp_path / "x.XLSX"))
 
 
 def test_csv_source_and_prediction_sink_round_trip(spark, base, tmp_path):

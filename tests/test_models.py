@@ -177,8 +177,8 @@ def test_ksg_mutual_information_matches_numpy(spark):
     dy = np.round(np.abs(ys[:, None] - ys[None]), 9)
     np.fill_diagonal(dx, np.inf)
     np.fill_diagonal(dy, np.inf)
-    nx = (dx < r[:, None]).sum(1)
-    ny = (dy < r[:, None]).sum(1)
+    nx = ((dx < r[:, None]) | (dx == 0)).sum(1)
+    ny = ((dy < r[:, None]) | (dy == 0)).sum(1)
     psi = NB._digamma_int
     ref = psi(np.array([n]))[0] + psi(np.array([3]))[0] - np.mean(psi(nx + 1)) - np.mean(psi(ny + 1))
     assert got == pytest.approx(max(ref, 0.0))
