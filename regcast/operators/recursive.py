@@ -211,3 +211,45 @@ def ar_forecast(intercept: float, coefs, history, horizon: int) -> list[float]:
         out.append(v)
         state.append(v)
     return out
+
+
+def ar2_forecast_by_series(df: DataFrame, series: str, order_by, value: str, horizon: int) -> DataFrame:
+    """AR(2) least-squares fit and recursive forecast for EVERY series at once.
+
+    One global row index over (series, order) keeps each series contiguous;
+    halo lags are taken per (series, block); each series' 3×3 moments are a
+    ``groupBy`` aggregate (map-side combined, so a hot series is just a
+    larger partial sum), the 2-lag normal equations are solved as column
+    expressions, and the horizon recursion is an ``aggregate`` over
+    ``sequence(1, horizon)`` — no per-series task, nothing per series on
+    the driver.  Output: (series, step, forecast)."""
+    from .rowindex import with_row_index
+
+    if horizon < 1:
+        raise ValueError("Forecast horizon must be at least one.")
+    ix = with_row_index(df.select(series, *order_by, F.col(value).cast("double").alias("_y")), [series, *order_by])
+    lagged = with_lags(ix.df, "_y", [1, 2], idx=ix.idx, names=["_l1", "_l2"], series=series)
+    y, x1, x2 = F.col("_y"), F.col("_l1"), F.col("_l2")
+    fit = lagged.where(x2.isNotNull()).groupBy(series).agg(
+        F.covar_pop(x1, x1).alias("s11"), F.covar_pop(x2, x2).alias("s22"), F.covar_pop(x1, x2).alias("s12"),
+        F.covar_pop(x1, y).alias("s1y"), F.covar_pop(x2, y).alias("s2y"),
+        F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), F.avg(y).alias("my"),
+    )
+    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
+    b1 = F.try_divide(F.col("s22") * F.col("s1y") - F.col("s12") * F.col("s2y"), det)
+    b2 = F.try_divide(F.col("s11") * F.col("s2y") - F.col("s12") * F.col("s1y"), det)
+    coef = fit.select(series, b1.alias("b1"), b2.alias("b2"), "m1", "m2", "my").withColumn(
+        "b0", F.col("my") - F.col("b1") * F.col("m1") - F.col("b2") * F.col("m2")
+    )
+    last = lagged.groupBy(series).agg(F.max_by(F.struct(y.alias("y1"), x1.alias("y2")), F.col(ix.idx)).alias("h"))
+    both = coef.join(last, series).where(F.col("b1").isNotNull())
+    init = F.struct(F.col("h.y1").alias("p1"), F.col("h.y2").alias("p2"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc, _i):
+        nxt = F.col("b0") + F.col("b1") * acc["p1"] + F.col("b2") * acc["p2"]
+        return F.struct(nxt.alias("p1"), acc["p1"].alias("p2"), F.concat(acc["out"], F.array(nxt)).alias("out"))
+
+    fc = both.select(series, F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), init, step)["out"].alias("fc"))
+    return fc.select(series, F.posexplode("fc").alias("step", "forecast")).select(
+        series, (F.col("step") + 1).cast("long").alias("step"), "forecast"
+    )

@@ -983,6 +983,31 @@ SELECT CAST(va.j AS BIGINT) AS idx,
 FROM va, k"""
 
 
+def q_ar_forecast_by_series(spark, sf):
+    """T1 + G1 + T2 for every user's event series at once (12 steps)."""
+    from ..operators.recursive import ar2_forecast_by_series
+
+    ev = load(spark, sf, "events")
+    fc = ar2_forecast_by_series(ev, "user_id", EVENTS_ORDER, "value", 12)
+    return fc.select("user_id", "step", r("forecast").alias("forecast"))
+
+
+SQL_AR_FORECAST_BY_SERIES = f"""WITH RECURSIVE s AS (SELECT user_id, value AS y,
+    lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, row_number() OVER w AS i FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS (SELECT user_id, covar_pop(l1, l1) AS s11, covar_pop(l2, l2) AS s22, covar_pop(l1, l2) AS s12,
+             covar_pop(l1, y) AS s1y, covar_pop(l2, y) AS s2y, avg(l1) AS m1, avg(l2) AS m2, avg(y) AS my
+      FROM s WHERE l2 IS NOT NULL GROUP BY user_id),
+c AS (SELECT user_id, (s22 * s1y - s12 * s2y) / nullif(s11 * s22 - s12 * s12, 0) AS b1,
+             (s11 * s2y - s12 * s1y) / nullif(s11 * s22 - s12 * s12, 0) AS b2, m1, m2, my FROM m),
+k AS (SELECT user_id, b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM c WHERE b1 IS NOT NULL),
+h AS (SELECT user_id, arg_max(y, i) AS y1, arg_max(l1, i) AS y2 FROM s GROUP BY user_id),
+fc AS (SELECT k.user_id, 1 AS step, k.b0 + k.b1 * h.y1 + k.b2 * h.y2 AS v, h.y1 AS p2 FROM k JOIN h USING (user_id)
+       UNION ALL
+       SELECT fc.user_id, fc.step + 1, k.b0 + k.b1 * fc.v + k.b2 * fc.p2, fc.v FROM fc JOIN k USING (user_id) WHERE fc.step < 12)
+SELECT user_id, CAST(step AS BIGINT) AS step, round(v, {D}) AS forecast FROM fc"""
+
+
 # ------------------------------------------------ sources, gather, grid
 
 
@@ -1206,6 +1231,7 @@ def registry() -> dict:
         "decision_stump": (q_decision_stump, SQL_DECISION_STUMP),
         "lookback_recursive_sql": (q_lookback_recursive_sql, SQL_LOOKBACK_RECURSIVE),
         "known_history_sql": (q_known_history_sql, SQL_KNOWN_HISTORY),
+        "ar_forecast_by_series": (q_ar_forecast_by_series, SQL_AR_FORECAST_BY_SERIES),
         "head_rows": (q_head_rows, SQL_HEAD_ROWS),
         "feature_families": (q_feature_families, SQL_FEATURE_FAMILIES),
         "gather_rows": (q_gather_rows, SQL_GATHER_ROWS),
