@@ -587,13 +587,61 @@ def _forest(df, features, target, n_trees, spec: GrowSpec, bootstrap: float | No
     return TreeEnsemble(list(features), trees, [1.0] * len(trees), 0.0, "mean")
 
 
-def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int, init: str = "mean", seed: int = SEED):
+def _holdout(binned: DataFrame, fraction: float) -> DataFrame:
+    """Flag an exact ceil(fraction·n) validation share by the seeded-hash rank."""
+    from math import ceil
+
+    from .sampling import shuffled_index
+
+    ix = shuffled_index(binned, "_rid", idx_col="_vrank")
+    n_val = ceil(ix.n * fraction)
+    return materialize(ix.df.withColumn("_val", F.col("_vrank") < n_val).drop("_vrank"))
+
+
+def _validation_loss(base: DataFrame, pending, lr, p) -> float:
+    """½·mean squared error on the held-out rows for the current ensemble."""
+    arrays = [t.arrays() for t in pending]
+
+    def run(batches):
+        acc, cnt = 0.0, 0.0
+        for b in batches:
+            bins = np.column_stack([b.column(f"b{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(np.int64)
+            Fv = _col(b, "_F")
+            for arr in arrays:
+                Fv = Fv + lr * arr[5][_walk(arr, bins, on_bins=True)]
+            r = _col(b, "_y") - Fv
+            acc += float(r @ r)
+            cnt += r.size
+        yield pa.RecordBatch.from_arrays([pa.array([acc]), pa.array([cnt])], names=["s", "n"])
+
+    row = base.where(F.col("_val")).mapInArrow(run, "s double, n double").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return 0.5 * row["s"] / max(row["n"], 1.0)
+
+
+def _should_stop(scores: list, n_iter_no_change: int, tol: float) -> bool:
+    """Stop when none of the last ``n_iter_no_change`` scores beats the score
+    just before them by more than ``tol`` (scores: higher is better)."""
+    ref_pos = n_iter_no_change + 1
+    if len(scores) < ref_pos:
+        return False
+    reference = scores[-ref_pos] + tol
+    return not any(sc > reference for sc in scores[-ref_pos + 1 :])
+
+
+def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int, init: str = "mean", seed: int = SEED,
+           early_stopping: dict | None = None):
     binned, edges, nb = _prepare(df, features, target, max_bins)
-    f0 = float(binned.agg(F.avg("_y")).first()[0]) if init == "mean" else 0.0
+    if early_stopping:
+        binned = _holdout(binned, early_stopping["validation_fraction"])
+        train_rows = binned.where(~F.col("_val"))
+    else:
+        train_rows = binned
+    f0 = float(train_rows.agg(F.avg("_y")).first()[0]) if init == "mean" else 0.0
     base = binned.withColumn("_F", F.lit(f0))
     trees: list[Tree] = []
     pending: list[Tree] = []  # trees not yet folded into _F
     p = len(features)
+    scores = [-_validation_loss(base, [], lr, p)] if early_stopping else []
 
     for k in range(n_rounds):
         recent = [t.arrays() for t in pending]
@@ -607,14 +655,22 @@ def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int, in
                     Fv = Fv + lr * arr[5][_walk(arr, bins, on_bins=True)]
             return Fv - y, np.ones_like(y)
 
-        grower = _Grower(base, features, edges, spec, nb)
+        grow_on = base.where(~F.col("_val")) if early_stopping else base
+        grower = _Grower(grow_on, features, edges, spec, nb)
         tree = grower.grow(1, grad, lambda rowid, t: np.ones(rowid.shape[0]), seed=seed + k)[0]
         trees.append(tree)
         pending.append(tree)
+        if early_stopping:
+            scores.append(-_validation_loss(base, pending, lr, p))
+            if _should_stop(scores, early_stopping["n_iter_no_change"], early_stopping["tol"]):
+                break
         if len(pending) >= REFRESH and k < n_rounds - 1:
             base = _fold_in(base, pending, lr, p)
             pending = []
-    return TreeEnsemble(list(features), trees, [lr] * len(trees), f0, "sum")
+    model = TreeEnsemble(list(features), trees, [lr] * len(trees), f0, "sum")
+    if early_stopping:
+        model.extra = {"n_iter": len(trees), "validation_scores": scores}
+    return model
 
 
 def _fold_in(base: DataFrame, pending, lr, p) -> DataFrame:
@@ -667,10 +723,14 @@ def gradient_boosting_fit(df, features, target, n_estimators=100, learning_rate=
 
 
 def hist_gradient_boosting_fit(df, features, target, max_iter=100, learning_rate=0.1, max_leaf_nodes=31, max_depth=None,
-                               min_samples_leaf=20, l2_regularization=0.0, max_bins=255, **_):
+                               min_samples_leaf=20, l2_regularization=0.0, max_bins=255, early_stopping="auto",
+                               validation_fraction=0.1, n_iter_no_change=10, tol=1e-7, **_):
+    """Early stopping "auto" is on above 10 000 rows, like the reference's default."""
     spec = GrowSpec(max_depth=max_depth, min_samples_leaf=min_samples_leaf, reg_lambda=l2_regularization,
                     max_leaf_nodes=max_leaf_nodes, policy="leaves")
-    return _boost(df, features, target, int(max_iter), float(learning_rate), spec, max_bins)
+    stop = early_stopping is True or (early_stopping == "auto" and df.count() > 10_000)
+    es = {"validation_fraction": float(validation_fraction), "n_iter_no_change": int(n_iter_no_change), "tol": float(tol)} if stop else None
+    return _boost(df, features, target, int(max_iter), float(learning_rate), spec, max_bins, early_stopping=es)
 
 
 def xgboost_fit(df, features, target, n_estimators=100, max_depth=6, learning_rate=0.3, reg_lambda=1.0,

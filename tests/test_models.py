@@ -215,3 +215,13 @@ def test_distributed_split_search_equals_driver_search(small, fit, kw, monkeypat
     monkeypatch.setattr(TR, "DRIVER_CELLS", 0)  # force the Spark window path
     dist = fit(df, ["a", "b"], "y", **kw)
     assert np.allclose(local.predict_numpy(X), dist.predict_numpy(X))
+
+
+def test_early_stopping_rule_and_holdout(small):
+    assert not TR._should_stop([-3.0, -2.0, -1.0], 2, 1e-7)
+    assert TR._should_stop([-1.0, -1.0, -1.0], 2, 1e-7)
+    df, X, y = small
+    m = TR.hist_gradient_boosting_fit(df, ["a", "b"], "y", max_iter=40, early_stopping=True, n_iter_no_change=2,
+                                      min_samples_leaf=5, learning_rate=0.5)
+    assert m.extra["n_iter"] == len(m.trees) <= 40
+    assert len(m.extra["validation_scores"]) == len(m.trees) + 1
