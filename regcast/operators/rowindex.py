@@ -48,20 +48,17 @@ def with_row_index(
     idx_col: str = "idx",
     num_partitions: int | None = None,
 ) -> Indexed:
-    spark = df.sparkSession
     drop_tmp = False
     if order_by is None:
         # no meaningful order: any stable one (materialised below)
         df = df.withColumn("_mid", F.monotonically_increasing_id())
         order_by, drop_tmp = ["_mid"], True
     order = _order_cols(order_by)
-    if num_partitions is None:
-        num_partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    tagged = (
-        df.repartitionByRange(num_partitions, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_m", F.monotonically_increasing_id())
-    )
+    # without an explicit count AQE sizes the range partitions from the data
+    # (advisory partition size), so tiny inputs do not fan out to hundreds of
+    # tasks and huge ones still spread over the cluster
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = ranged.sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     tagged = materialize(tagged)
     counts = (
         tagged.groupBy(F.shiftright("_m", _PID_SHIFT).alias("_p")).count().collect()

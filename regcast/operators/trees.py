@@ -45,6 +45,7 @@ SEED = 42
 MAX_DEPTH_CAP = 30
 REFRESH = 10
 DRIVER_CELLS = 2_000_000  # histogram cells searched on the driver; larger ones stay in Spark
+ROWS_PER_PART = 1_000_000  # binned rows per task in the per-level scans
 
 
 # ------------------------------------------------------------------ model
@@ -562,6 +563,13 @@ def _prepare(df: DataFrame, features, target: str, max_bins: int, weight: str |
     rid = F.col("idx").cast("long") if "idx" in df.columns else F.xxhash64(*[F.col(f) for f in features], F.col(target))
     src = df.select(*[F.col(f) for f in features], F.col(target).cast("double").alias("_y"), *extra, rid.alias("_rid"))
     binned = materialize(_binned(src, features, edges).drop(*features))
+    # every tree level scans this table: about ROWS_PER_PART binned rows per
+    # task (a few ints + doubles per row), never more tasks than partitions
+    from math import ceil
+
+    parts = max(1, min(binned.rdd.getNumPartitions(), ceil(binned.count() / ROWS_PER_PART)))
+    if parts < binned.rdd.getNumPartitions():
+        binned = binned.coalesce(parts)
     n_bins = max(len(e) for e in edges) + 1 if edges else 1
     return binned, edges, n_bins
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``regcast`` importable on every executor's Python workers.
+
+    Closures and Arrow functions reference this package, so it is zipped
+    once per SparkContext and distributed with ``addPyFile`` (the standard
+    way code reaches executors; equivalent to ``--py-files``).
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out_dir = tempfile.mkdtemp(prefix="regcast-pyfiles-")
+        zpath = os.path.join(out_dir, "regcast.zip")
+        with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _dirs, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+        sc.addPyFile(zpath)
+        _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory, setting a private one only if unset."""
     sc = spark.sparkContext
