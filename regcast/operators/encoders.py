@@ -159,8 +159,8 @@ class Preprocessor:
         return df.select(*[F.col(k) for k in keep], *self.expressions())
 
     # ---- persistence (IO4) ----------------------------------------------
-    def to_json(self) -> str:
-        if self.ordinal_tables:
+    def to_json(self, allow_tables: bool = False) -> str:
+        if self.ordinal_tables and not allow_tables:
             raise ValueError("Large ordinal vocabularies are saved as tables, not JSON.")
         return json.dumps(
             {

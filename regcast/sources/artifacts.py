@@ -40,8 +40,26 @@ def _jsonable(v):
     raise TypeError(f"not serialisable: {type(v)}")
 
 
-def to_document(fitted: FittedPipeline) -> dict:
+def to_document(fitted: FittedPipeline, tables: dict | None = None) -> dict:
+    """JSON document; row-sized parts go to ``tables`` (name → DataFrame)
+    when given (the on-storage writer), else they are refused."""
     cfg = fitted.config
+    from ..operators.neighbors import KNNModel
+
+    if isinstance(fitted.model, KNNModel):
+        if tables is None:
+            raise ValueError("A knn model keeps its training rows; save it with save_artifact.")
+        tables["knn_train"] = fitted.model.train
+        model_doc = {"kind": "knn", "features": fitted.model.features, "n_neighbors": fitted.model.n_neighbors,
+                     "weights": fitted.model.weights, "table": "knn_train"}
+    else:
+        model_doc = fitted.model.to_dict()
+    pre = fitted.preprocessor
+    if pre.ordinal_tables:
+        if tables is None:
+            raise ValueError("Large ordinal vocabularies are saved as tables; use save_artifact.")
+        for col, t in pre.ordinal_tables.items():
+            tables[f"ordinal_{col}"] = t
     return {
         "kind": _KIND,
         "version": fitted.version,
@@ -57,16 +75,17 @@ def to_document(fitted: FittedPipeline) -> dict:
             "feature_selection": [cfg.feature_selection.method, cfg.feature_selection.count] if cfg.feature_selection else None,
             "lookback": cfg.lookback,
         },
-        "preprocessor": json.loads(fitted.preprocessor.to_json()),
+        "preprocessor": json.loads(fitted.preprocessor.to_json(allow_tables=tables is not None)),
+        "ordinal_tables": sorted(pre.ordinal_tables),
         "encoded_names": list(fitted.encoded_names),
         "selected": list(fitted.selected),
         "scaler": [fitted.scaler.kind, fitted.scaler.shift, fitted.scaler.scale],
         "history": fitted.history,
-        "model": fitted.model.to_dict(),
+        "model": model_doc,
     }
 
 
-def from_document(doc: dict) -> FittedPipeline:
+def from_document(doc: dict, tables: dict | None = None) -> FittedPipeline:
     if not isinstance(doc, dict) or doc.get("kind") != _KIND:
         raise ValueError("The uploaded file is not a model artifact.")
     if doc.get("version") != ARTIFACT_VERSION:
@@ -86,14 +105,28 @@ def from_document(doc: dict) -> FittedPipeline:
         c["lookback"],
     )
     kind, shift, scale = doc["scaler"]
+    pre = Preprocessor.from_json(json.dumps(doc["preprocessor"]))
+    for col in doc.get("ordinal_tables", []):
+        if tables is None:
+            raise ValueError("This artifact keeps tables; load it with load_artifact.")
+        pre.ordinal_tables[col] = tables[f"ordinal_{col}"]
+    if doc["model"].get("kind") == "knn":
+        if tables is None:
+            raise ValueError("This artifact keeps tables; load it with load_artifact.")
+        from ..operators.neighbors import KNNModel
+
+        md = doc["model"]
+        model = KNNModel(md["features"], tables[md["table"]], int(md["n_neighbors"]), md["weights"])
+    else:
+        model = model_from_dict(doc["model"])
     return FittedPipeline(
         config=cfg,
         families=doc["feature_families"],
-        preprocessor=Preprocessor.from_json(json.dumps(doc["preprocessor"])),
+        preprocessor=pre,
         encoded_names=doc["encoded_names"],
         selected=doc["selected"],
         scaler=Scaler(kind, shift, scale),
-        model=model_from_dict(doc["model"]),
+        model=model,
         history=doc["history"],
         label=doc["model_label"],
         version=doc["version"],
@@ -113,13 +146,28 @@ def deserialize_artifact(data: str | bytes) -> FittedPipeline:
 
 
 def save_artifact(fitted: FittedPipeline, path: str, spark: SparkSession | None = None) -> None:
+    """One small JSON text file plus a Parquet table per row-sized part,
+    written by Spark to any Hadoop path (shared storage on a cluster)."""
     spark = spark or SparkSession.getActiveSession()
-    text = serialize_artifact(fitted)
-    spark.createDataFrame([(text,)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/artifact")
+    base = path.rstrip("/")
+    tables: dict = {}
+    text = json.dumps(to_document(fitted, tables), default=_jsonable)
+    for name, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{base}/{name}")
+    spark.createDataFrame([(text,)], "doc string").coalesce(1).write.mode("overwrite").text(f"{base}/artifact")
 
 
 def load_artifact(spark: SparkSession, path: str) -> FittedPipeline:
-    rows = spark.read.text(f"{path.rstrip('/')}/artifact").collect()
+    base = path.rstrip("/")
+    rows = spark.read.text(f"{base}/artifact").collect()
     if len(rows) != 1:
         raise ValueError("The uploaded file is not a model artifact.")
-    return deserialize_artifact(rows[0][0])
+    try:
+        doc = json.loads(rows[0][0])
+    except ValueError as e:
+        raise ValueError("The uploaded file is not a model artifact.") from e
+    names = list(doc.get("ordinal_tables", []))
+    tables = {f"ordinal_{c}": spark.read.parquet(f"{base}/ordinal_{c}") for c in names}
+    if isinstance(doc.get("model"), dict) and doc["model"].get("kind") == "knn":
+        tables[doc["model"]["table"]] = spark.read.parquet(f"{base}/{doc['model']['table']}")
+    return from_document(doc, tables)
