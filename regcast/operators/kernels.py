@@ -18,7 +18,7 @@ is the subset-of-regressors approximation.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -113,6 +113,7 @@ class KernelModel:
     fmap: LandmarkMap
     w: np.ndarray
     b: float = 0.0
+    extra: dict = field(default_factory=dict)
 
     def predict_numpy(self, X: np.ndarray) -> np.ndarray:
         return self.fmap(X) @ self.w + self.b
@@ -129,11 +130,11 @@ class KernelModel:
 
     def to_dict(self):
         return {"kind": "kernel", "class": "regcast.operators.kernels.KernelModel", "features": self.features,
-                "fmap": self.fmap.to_dict(), "w": self.w.tolist(), "b": self.b}
+                "fmap": self.fmap.to_dict(), "w": self.w.tolist(), "b": self.b, "extra": self.extra}
 
     @classmethod
     def from_dict(cls, d):
-        return cls(d["features"], LandmarkMap.from_dict(d["fmap"]), np.array(d["w"]), d["b"])
+        return cls(d["features"], LandmarkMap.from_dict(d["fmap"]), np.array(d["w"]), d["b"], d.get("extra", {}))
 
     def to_json(self):
         return json.dumps(self.to_dict())
@@ -205,6 +206,7 @@ def _svr(df, features, target, C, epsilon, nu, kernel, degree, gamma, coef0, n_l
         th0[r + 1] = np.sqrt(max(epsilon, 1e-6))
     th = lbfgs(fun, th0, max_iter=max_iter, tol=1e-9)
     model = KernelModel(list(features), fmap, th[:r], float(th[r]))
+    model.extra = {"epsilon": float(th[r + 1] ** 2) if nu is not None else float(epsilon), "smoothing": delta}
     return model
 
 

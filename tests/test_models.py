@@ -225,3 +225,42 @@ def test_early_stopping_rule_and_holdout(small):
                                       min_samples_leaf=5, learning_rate=0.5)
     assert m.extra["n_iter"] == len(m.trees) <= 40
     assert len(m.extra["validation_scores"]) == len(m.trees) + 1
+
+
+def test_nu_svr_nu_bounds_the_fraction_outside_the_tube(spark):
+    rng = np.random.default_rng(21)
+    x = rng.uniform(-2, 2, 150)
+    y = np.sin(x) + rng.normal(scale=0.2, size=150)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    for nu in (0.2, 0.6):
+        m = K.nu_svr_fit(df, ["x"], "y", nu=nu, C=10.0, gamma=1.0, n_landmarks=150, max_iter=300)
+        r = np.abs(y - m.predict_numpy(x[:, None]))
+        eps = m.extra["epsilon"]
+        # ν bounds the share of points outside the fitted tube (the hinge is
+        # smoothed over a width δ, so points within δ of the edge are inside)
+        assert np.mean(r > eps + m.extra["smoothing"]) <= nu + 0.02
+        assert np.mean(r >= eps - 1e-9) >= nu - 0.1  # and (about) the share on or outside it
+
+
+def test_linear_svr_matches_numpy_primal(spark):
+    from regcast.operators.kernels import _smooth_eps_loss
+
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=120)
+    y = 2 * x + 1 + rng.normal(scale=0.3, size=120)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    m = K.svr_fit(df, ["x"], "y", kernel="linear", C=1.0, epsilon=0.1, n_landmarks=120, max_iter=300)
+    # the same smoothed primal minimised in NumPy: with a linear kernel the
+    # landmark map is φ(x) = x·T (a scalar), so w_x = T·w
+    delta = 1e-3 * y.std()
+
+    def obj(th):
+        r = y - (th[0] * x + th[1])
+        loss, d, _ = _smooth_eps_loss(r, 0.1, delta)
+        return 0.5 * th[0] ** 2 + loss.mean(), np.array([th[0] - np.mean(d * x), -np.mean(d)])
+
+    from regcast.operators.optim import lbfgs
+
+    th = lbfgs(obj, np.array([0.0, y.mean()]), max_iter=500, tol=1e-12)
+    pred_ref = th[0] * x + th[1]
+    assert np.allclose(m.predict_numpy(x[:, None]), pred_ref, atol=1e-3)
