@@ -61,7 +61,7 @@ def lag_names(target: str, lookback: int) -> list[str]:
     return [f"{target}_lag_{k}" for k in range(1, lookback + 1)]
 
 
-def windows(df: DataFrame, value: str, lag_indices, idx: str = "idx", **kw) -> DataFrame:
+def windows(df: DataFrame, value: str, lag_indices, idx: str = "idx", series: str | None = None, **kw) -> DataFrame:
     """One training window per row for arbitrary sparse lags.
 
     ``window`` is ``array(lag_max, …, lag_min)`` (oldest first) and ``label``
@@ -69,8 +69,13 @@ def windows(df: DataFrame, value: str, lag_indices, idx: str = "idx", **kw) -> D
     """
     lag_indices = sorted(set(int(k) for k in lag_indices))
     names = [f"lag_{k}" for k in lag_indices]
-    out = with_lags(df, value, lag_indices, idx=idx, names=names, **kw)
+    out = with_lags(df, value, lag_indices, idx=idx, names=names, series=series, **kw)
     oldest_first = [F.col(n) for n in reversed(names)]
-    return out.where(F.col(idx) >= max(lag_indices)).select(
-        F.col(idx), *[F.col(n) for n in names], F.array(*oldest_first).alias("window"), F.col(value).cast("double").alias("label")
+    if series is not None:  # per-series starts are filtered by the caller's own index
+        out = out.where(F.col(names[-1]).isNotNull())
+    else:
+        out = out.where(F.col(idx) >= max(lag_indices))
+    return out.select(
+        *([F.col(series)] if series else []), F.col(idx), *[F.col(n) for n in names],
+        F.array(*oldest_first).alias("window"), F.col(value).cast("double").alias("label")
     )

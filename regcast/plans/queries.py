@@ -840,6 +840,17 @@ def _ts_query(model_name: str):
     return run
 
 
+def q_ts_by_series(spark, sf):
+    """T9 + T18 over every user's event series: one shared MLP window
+    network, per-series scalers and histories, 12-step forecasts."""
+    from .timeseries import TimeSeriesConfig, forecast_by_series, train_timeseries_by_series
+
+    ev = load(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    art, _n, _l = train_timeseries_by_series(ev, "user_id", "value", TimeSeriesConfig("MLP", **TS_QUERY), EVENTS_ORDER)
+    fc = forecast_by_series(art, 12)
+    return fc.select("user_id", "step", r("Prediction").alias("Prediction"))
+
+
 def q_ts_loss_table(spark, sf):
     """Per-epoch mean MSE of an MLP window network on events.value."""
     from .timeseries import TimeSeriesConfig, train_timeseries_model
@@ -1223,6 +1234,7 @@ def registry() -> dict:
         **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
         **{f"ts_{n.lower().replace('-', '_')}": (_ts_query(n), None) for n in ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")},
         "ts_loss_table": (q_ts_loss_table, None),
+        "ts_by_series": (q_ts_by_series, None),
         "lasso_1": (_one_feature_model("lasso", {"alpha": 1.0}), SQL_LASSO_1),
         "elastic_net_1": (_one_feature_model("elastic_net", {"alpha": 1.0, "l1_ratio": 0.5}), SQL_ELASTIC_NET_1),
         "kernel_ridge_1": (_one_feature_model("kernel_ridge", {"alpha": 1.0, "kernel": "linear"}), SQL_KERNEL_RIDGE_1),

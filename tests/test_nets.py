@@ -100,3 +100,21 @@ def test_training_needs_more_rows_than_max_lag(spark):
     df = spark.createDataFrame(pd.DataFrame({"t": range(3), "target": [1.0, 2.0, 3.0]}))
     with pytest.raises(ValueError, match="more rows than the max time lag"):
         train_timeseries_model(df, "target", TimeSeriesConfig("MLP", max_time_lag=3, lag_indices=(1, 2, 3)), ["t"])
+
+
+def test_many_series_share_a_network_and_keep_their_own_state(spark):
+    from regcast.operators.encoders import Scaler
+    from regcast.plans.timeseries import forecast_by_series, train_timeseries_by_series
+
+    rows = [(s, t, off + t) for s, off in (("a", 0.0), ("b", 100.0)) for t in range(15)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["sid", "t", "y"]))
+    cfg = TimeSeriesConfig("MLP", max_time_lag=3, lag_indices=(1, 2, 3), layer_sizes=(4,), epochs=2, batch_size=4)
+    art, n_win, losses = train_timeseries_by_series(df, "sid", "y", cfg, ["t"])
+    assert n_win == 24 and len(losses) == 2
+    st = art.states.orderBy("sid").toPandas()
+    assert [list(h) for h in st["history"]] == [[12.0, 13.0, 14.0], [112.0, 113.0, 114.0]]
+    fc = forecast_by_series(art, 3).toPandas()
+    for _, r in st.iterrows():
+        one = TimeSeriesArtifact(1, "y", cfg, Scaler("StandardScaler", r["_shift"], r["_scale"]), tuple(r["history"]), art.theta)
+        got = fc[fc.sid == r["sid"]].sort_values("step").Prediction.to_numpy()
+        assert np.allclose(forecast_values(one, 3), got)
