@@ -92,15 +92,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss).
 
-    An eager reliable checkpoint runs the plan once to count and again to
-    write the files; persisting first lets the write read the cached blocks
-    so the (possibly expensive) plan runs once.  The cache is released as
-    soon as the checkpoint files exist."""
-    from pyspark import StorageLevel
-
+    Not persisted first: the checkpoint write re-runs only the last stage
+    (shuffle outputs are reused), and an uncached plan keeps AQE's
+    coalesced partitioning, so small results do not fan out into hundreds
+    of tiny partitions downstream."""
     ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist(blocking=False)
+    return df.checkpoint(eager=True)
