@@ -33,6 +33,13 @@ SELECT page_id, host, path, rhost || rpath AS rule, coalesce(action, 'allow') AS
 """
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regcast.llm.simhash_dedup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.mixing import mix
 
@@ -55,6 +62,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
         "op1_url_filter": (op1_url_filter, OP1_SQL),
+        "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
         "op8_mixing": (op8_mixing, None),
         "op9_token_count": (op9_token_count, None),
         "op10_warc_revisits": (op10_warc_revisits, None),
