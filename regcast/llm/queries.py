@@ -40,6 +40,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regcast.llm.secret_scan import scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.withColumn("base_sha256", F.sha2("base", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.mixing import mix
 
@@ -63,6 +70,7 @@ def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     return {
         "op1_url_filter": (op1_url_filter, OP1_SQL),
         "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
+        "op6_secret_scan": (op6_secret_scan, None),
         "op8_mixing": (op8_mixing, None),
         "op9_token_count": (op9_token_count, None),
         "op10_warc_revisits": (op10_warc_revisits, None),

@@ -170,7 +170,7 @@ def fingerprint_components(points: DataFrame, bits: int = MAX_BITS) -> DataFrame
     tree = None
     if depth:
         share = min(1.0, SAMPLE_POINTS / n)
-        taken = points.filter(F.xxhash64("fp") < F.lit(int((2 * share - 1) * (2**63 - 1)))).select(F.xxhash64("fp").alias("h"), "fp").collect()
+        taken = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.xxhash64("fp").alias("h"), "fp").collect()
         tree = grow(np.array([r["fp"] for r in sorted(taken)], np.int64).view(np.uint64), depth)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
