@@ -40,6 +40,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regcast.llm.langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(~held_out(F.col("doc_id"))), "text", "lang", "doc_id")
+    texts = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.secret_scan import scan
 
@@ -70,6 +79,7 @@ def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     return {
         "op1_url_filter": (op1_url_filter, OP1_SQL),
         "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
+        "op4_language_id": (op4_language_id, None),
         "op6_secret_scan": (op6_secret_scan, None),
         "op8_mixing": (op8_mixing, None),
         "op9_token_count": (op9_token_count, None),
