@@ -40,6 +40,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regcast.llm.quality import quality
+
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.langid import held_out, predict, train
 
@@ -79,6 +86,7 @@ def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     return {
         "op1_url_filter": (op1_url_filter, OP1_SQL),
         "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
+        "op3_quality": (op3_quality, None),
         "op4_language_id": (op4_language_id, None),
         "op6_secret_scan": (op6_secret_scan, None),
         "op8_mixing": (op8_mixing, None),

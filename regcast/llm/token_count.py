@@ -87,16 +87,22 @@ class Encoder:
 
 
 def _frequent(docs: DataFrame, text_col: str, model: bytes) -> dict[str, int]:
+    """Each task offers its first documents' most frequent pre-tokens; the limit makes Spark ask only as many tasks as fill the table."""
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        read = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in b.column(0).slice(0, SAMPLE_DOCS - read).to_pylist():
                 seen.update(pretokens(t)[0])
+                read += 1
+            if read >= SAMPLE_DOCS:
+                break
         encoder = Encoder(model, {})
         top = [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ROWS]] if encoder.additive else []
         yield pa.RecordBatch.from_pydict({"key": pa.array(top, pa.string()), "n": pa.array([encoder.miss(k) for k in top], pa.int32())})
 
-    rows = docs.select(F.col(text_col)).filter(F.col(text_col) != "").limit(SAMPLE_DOCS).coalesce(1).mapInArrow(tally, "key string, n int").collect()
+    rows = docs.select(F.col(text_col)).filter(F.col(text_col) != "").mapInArrow(tally, "key string, n int").limit(TABLE_ROWS).collect()
     return {r["key"]: r["n"] for r in rows}
 
 
