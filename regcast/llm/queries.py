@@ -56,6 +56,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regcast.llm.decontam import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.secret_scan import scan
 
@@ -88,6 +94,7 @@ def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
         "op3_quality": (op3_quality, None),
         "op4_language_id": (op4_language_id, None),
+        "op5_decontamination": (op5_decontamination, None),
         "op6_secret_scan": (op6_secret_scan, None),
         "op8_mixing": (op8_mixing, None),
         "op9_token_count": (op9_token_count, None),
