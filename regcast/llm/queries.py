@@ -69,6 +69,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_sha256", F.sha2("base", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regcast.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.mixing import mix
 
@@ -96,6 +103,7 @@ def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "op4_language_id": (op4_language_id, None),
         "op5_decontamination": (op5_decontamination, None),
         "op6_secret_scan": (op6_secret_scan, None),
+        "op7_suffix_dedup": (op7_suffix_dedup, None),
         "op8_mixing": (op8_mixing, None),
         "op9_token_count": (op9_token_count, None),
         "op10_warc_revisits": (op10_warc_revisits, None),
