@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from regcast.llm.common import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -97,6 +98,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
         "op1_url_filter": (op1_url_filter, OP1_SQL),
         "op2_simhash_near_dedup": (op2_simhash_near_dedup, None),
         "op3_quality": (op3_quality, None),
