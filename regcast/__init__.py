@@ -16,13 +16,6 @@ from .operators.lags import lookback_features, windows, with_lags
 from .operators.models import REGISTRY, fit_model
 from .operators.rowindex import Indexed, with_row_index
 from .plans.config import FeatureSelection, ModelSpec, PipelineConfig, TrainingConfig, ValidationConfig
-from .plans.timeseries import (
-    TimeSeriesConfig,
-    forecast_by_series,
-    forecast_timeseries_model,
-    train_timeseries_by_series,
-    train_timeseries_model,
-)
 from .plans.workflows import predict, train, validate
 from .session import ensure_checkpoint_dir, local_session, ship_package
 from .sources.artifacts import deserialize_artifact, load_artifact, save_artifact, serialize_artifact

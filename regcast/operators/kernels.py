@@ -1,24 +1,31 @@
-"""Kernel models on landmark (Nyström) features — N1.
-
-``m`` landmark rows are picked by the seeded hash rank (a checked, fixed
-size: at most ``n_landmarks``) and shipped to the executors;
-``K(L, L) = U Λ Uᵀ`` is decomposed on the driver (m × m) and every row
-gets the features ``φ(x) = K(x, L) U Λ^{-1/2}`` inside Arrow tasks.  With
-m = n this reproduces the exact kernel solution (φ φᵀ = K); with m < n it
-is the subset-of-regressors approximation.
-
-* kernel_ridge / gaussian_process: ridge WITHOUT intercept on φ through the
-  distributed Gram (the GP mean with a fixed 1·RBF(1) kernel equals kernel
-  ridge with γ = ½ and λ = alpha);
-* svm / nu_svr: ε-insensitive primal on φ with an intercept, minimised by
-  L-BFGS over distributed loss/gradient partials (hinge smoothed over a
-  width of 1e-3·std(y)); ν-SVR treats ε as a free non-negative variable.
+"""Kernel models as linear models over explicit feature maps — N1.
+
+Every kernel becomes a feature map φ with φ(x)·φ(z) = K(x, z), applied to
+every row inside Arrow tasks; no row serves as a basis unless asked for:
+
+* linear: the features themselves (exact);
+* poly: all monomials up to the degree, with their multinomial weights
+  (exact; refused above ``MAX_MONOMIALS`` of them);
+* rbf: ``n_components`` random Fourier features, drawn from a fixed seed and
+  independent of the data (the kernel's error falls with 1/√n_components);
+* any kernel with an explicit ``n_landmarks``: Nyström features from that
+  many rows picked by the seeded hash rank (exact when it covers all rows).
+  The sigmoid kernel, which is not positive definite, needs this argument.
+
+kernel_ridge / gaussian_process: ridge WITHOUT intercept on φ through the
+distributed Gram (the GP mean with a fixed 1·RBF(1) kernel equals kernel
+ridge with γ = ½ and λ = alpha). svm / nu_svr: the primal
+½‖w‖² + C·Σ loss (ν-SVR: C·(ν·n·ε + Σ loss) with ε free), minimised by L-BFGS
+over distributed loss/gradient partials; the hinge is smoothed over a width
+of 1e-3·std(y).
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from itertools import combinations_with_replacement
+from math import comb, factorial
 
 import numpy as np
 import pandas as pd
@@ -30,7 +37,9 @@ from .gram import gram_mapped, total
 from .optim import lbfgs
 from .sampling import seeded_hash
 
-N_LANDMARKS = 1000
+N_COMPONENTS = 1000
+MAX_MONOMIALS = 5000
+SEED = 42
 
 
 def kernel_matrix(A: np.ndarray, B: np.ndarray, kernel: str, gamma: float, degree: int = 3, coef0: float = 0.0) -> np.ndarray:
@@ -78,7 +87,7 @@ def _landmarks(df: DataFrame, features, m: int) -> np.ndarray:
     return pdf[list(features)].to_numpy(dtype=float)
 
 
-def landmark_map(df, features, kernel, gamma, degree=3, coef0=0.0, n_landmarks=N_LANDMARKS) -> LandmarkMap:
+def landmark_map(df, features, kernel, gamma, degree=3, coef0=0.0, n_landmarks=1000) -> LandmarkMap:
     L = _landmarks(df, features, int(n_landmarks))
     K = kernel_matrix(L, L, kernel, gamma, degree, coef0)
     lam, U = np.linalg.eigh((K + K.T) / 2)
@@ -87,6 +96,92 @@ def landmark_map(df, features, kernel, gamma, degree=3, coef0=0.0, n_landmarks=N
     return LandmarkMap(L, T, kernel, float(gamma), int(degree), float(coef0))
 
 
+@dataclass
+class IdentityMap:
+    dim: int
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        return np.asarray(X, dtype=float)
+
+    def to_dict(self):
+        return {"map": "identity", "dim": self.dim}
+
+
+@dataclass
+class MonomialMap:
+    """(γ x·z + c)^d as a dot product: one feature for each multiset of d of the columns and the constant."""
+
+    p: int
+    gamma: float
+    degree: int
+    coef0: float
+
+    def __post_init__(self):
+        self.sets = [np.bincount(m, minlength=self.p + 1) for m in combinations_with_replacement(range(self.p + 1), self.degree)]
+        self.weight = np.array([np.sqrt(factorial(self.degree) / np.prod([factorial(int(k)) for k in m])) for m in self.sets])
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        Z = np.column_stack([np.sqrt(self.gamma) * np.asarray(X, dtype=float), np.full(len(X), np.sqrt(self.coef0))])
+        return np.column_stack([np.prod(Z**m, axis=1) for m in self.sets]) * self.weight
+
+    @property
+    def dim(self) -> int:
+        return len(self.sets)
+
+    def to_dict(self):
+        return {"map": "monomials", "p": self.p, "gamma": self.gamma, "degree": self.degree, "coef0": self.coef0}
+
+
+@dataclass
+class FourierMap:
+    """Random Fourier features of exp(-γ‖x - z‖²): cosines and sines of seeded Gaussian directions."""
+
+    p: int
+    gamma: float
+    n_components: int
+    seed: int = SEED
+
+    def __post_init__(self):
+        self.W = np.random.RandomState(self.seed).normal(scale=np.sqrt(2 * self.gamma), size=(self.p, self.n_components // 2))
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        z = np.asarray(X, dtype=float) @ self.W
+        return np.column_stack([np.cos(z), np.sin(z)]) / np.sqrt(self.W.shape[1])
+
+    @property
+    def dim(self) -> int:
+        return 2 * self.W.shape[1]
+
+    def to_dict(self):
+        return {"map": "fourier", "p": self.p, "gamma": self.gamma, "n_components": self.n_components, "seed": self.seed}
+
+
+MAPS = {"identity": IdentityMap, "monomials": MonomialMap, "fourier": FourierMap}
+
+
+def map_from_dict(d: dict):
+    if "map" not in d:
+        return LandmarkMap.from_dict(d)
+    return MAPS[d["map"]](**{k: v for k, v in d.items() if k != "map"})
+
+
+def feature_map(df, features, kernel, gamma, degree=3, coef0=0.0, n_components=N_COMPONENTS, n_landmarks=None):
+    p = len(features)
+    if n_landmarks is not None:
+        return landmark_map(df, features, kernel, gamma, degree, coef0, n_landmarks)
+    if kernel == "linear":
+        return IdentityMap(p)
+    if kernel == "poly":
+        if gamma < 0 or coef0 < 0 or comb(p + degree, degree) > MAX_MONOMIALS:
+            raise ValueError("This polynomial kernel has no small explicit map; give n_landmarks.")
+        return MonomialMap(p, float(gamma), int(degree), float(coef0))
+    if kernel == "rbf":
+        return FourierMap(p, float(gamma), int(n_components))
+    if kernel == "sigmoid":
+        raise ValueError("The sigmoid kernel has no explicit map; give n_landmarks.")
+    raise ValueError(f"Unsupported kernel: {kernel}")
+
+
 def _gamma(df, features, gamma, kernel_default: str):
     if isinstance(gamma, (int, float)):
         return float(gamma)
@@ -110,7 +205,7 @@ def _gamma(df, features, gamma, kernel_default: str):
 @dataclass
 class KernelModel:
     features: list
-    fmap: LandmarkMap
+    fmap: object
     w: np.ndarray
     b: float = 0.0
     extra: dict = field(default_factory=dict)
@@ -134,28 +229,30 @@ class KernelModel:
 
     @classmethod
     def from_dict(cls, d):
-        return cls(d["features"], LandmarkMap.from_dict(d["fmap"]), np.array(d["w"]), d["b"], d.get("extra", {}))
+        return cls(d["features"], map_from_dict(d["fmap"]), np.array(d["w"]), d["b"], d.get("extra", {}))
 
     def to_json(self):
         return json.dumps(self.to_dict())
 
 
-def _ridge_no_intercept(df, features, target, fmap: LandmarkMap, alpha: float) -> KernelModel:
+def _ridge_no_intercept(df, features, target, fmap, alpha: float) -> KernelModel:
     m = total(gram_mapped(df, features, target, fmap, fmap.dim))
     S = m.uncentered()
     r = fmap.dim
-    w = np.linalg.solve(S[:r, :r] + alpha * np.eye(r), S[:r, r])
+    lam, U = np.linalg.eigh(S[:r, :r])  # φ may have more columns than rows: directions without data get no weight
+    keep = lam > 1e-13 * max(lam.max(), 1e-300)
+    w = U[:, keep] @ ((U[:, keep].T @ S[:r, r]) / (lam[keep] + alpha))
     return KernelModel(list(features), fmap, w, 0.0)
 
 
-def kernel_ridge_fit(df, features, target, alpha=1.0, kernel="linear", gamma=None, degree=3, coef0=1.0, n_landmarks=N_LANDMARKS, **_):
+def kernel_ridge_fit(df, features, target, alpha=1.0, kernel="linear", gamma=None, degree=3, coef0=1.0, n_components=N_COMPONENTS, n_landmarks=None, **_):
     g = 1.0 / len(features) if gamma is None else float(gamma)
-    fmap = landmark_map(df, features, kernel, g, degree, coef0, n_landmarks)
+    fmap = feature_map(df, features, kernel, g, int(degree), float(coef0), n_components, n_landmarks)
     return _ridge_no_intercept(df, features, target, fmap, float(alpha))
 
 
-def gaussian_process_fit(df, features, target, alpha=1e-10, n_landmarks=N_LANDMARKS, **_):
-    fmap = landmark_map(df, features, "rbf", 0.5, n_landmarks=n_landmarks)
+def gaussian_process_fit(df, features, target, alpha=1e-10, n_components=N_COMPONENTS, n_landmarks=None, **_):
+    fmap = feature_map(df, features, "rbf", 0.5, n_components=n_components, n_landmarks=n_landmarks)
     return _ridge_no_intercept(df, features, target, fmap, float(alpha))
 
 
@@ -166,9 +263,9 @@ def _smooth_eps_loss(r: np.ndarray, eps: float, delta: float):
     return loss, d, np.where(a <= 0, 0.0, np.where(a <= delta, a / delta, 1.0))
 
 
-def _svr(df, features, target, C, epsilon, nu, kernel, degree, gamma, coef0, n_landmarks, max_iter):
+def _svr(df, features, target, C, epsilon, nu, kernel, degree, gamma, coef0, n_components, n_landmarks, max_iter):
     g = _gamma(df, features, gamma, kernel)
-    fmap = landmark_map(df, features, kernel, g, degree, coef0, n_landmarks)
+    fmap = feature_map(df, features, kernel, g, degree, coef0, n_components, n_landmarks)
     r = fmap.dim
     ystd = float(df.agg(F.stddev_pop(F.col(target).cast("double"))).first()[0] or 1.0)
     delta = 1e-3 * ystd
@@ -192,13 +289,13 @@ def _svr(df, features, target, C, epsilon, nu, kernel, degree, gamma, coef0, n_l
     def fun(th):
         f, gr = base(th)
         w = th[:r]
-        f = 0.5 * float(w @ w) + C * f / n
-        gr = gr * (C / n)
+        f = 0.5 * float(w @ w) + C * f
+        gr = gr * C
         gr[:r] += w
         if nu is not None:
-            f += C * nu * th[r + 1] ** 2
-            gr[r + 1] += C * nu * 2 * th[r + 1]
-        return f, gr
+            f += C * nu * n * th[r + 1] ** 2
+            gr[r + 1] += C * nu * n * 2 * th[r + 1]
+        return f / n, gr / n  # the same minimum, on a scale that does not grow with the rows
 
     th0 = np.zeros(r + (2 if nu is not None else 1))
     th0[r] = float(df.agg(F.avg(F.col(target).cast("double"))).first()[0])
@@ -210,11 +307,11 @@ def _svr(df, features, target, C, epsilon, nu, kernel, degree, gamma, coef0, n_l
     return model
 
 
-def svr_fit(df, features, target, kernel="rbf", C=1.0, epsilon=0.1, degree=3, gamma="scale", coef0=0.0, n_landmarks=N_LANDMARKS, max_iter=200, **_):
-    return _svr(df, features, target, float(C), float(epsilon), None, kernel, int(degree), gamma, float(coef0), n_landmarks, max_iter)
+def svr_fit(df, features, target, kernel="rbf", C=1.0, epsilon=0.1, degree=3, gamma="scale", coef0=0.0, n_components=N_COMPONENTS, n_landmarks=None, max_iter=200, **_):
+    return _svr(df, features, target, float(C), float(epsilon), None, kernel, int(degree), gamma, float(coef0), n_components, n_landmarks, max_iter)
 
 
-def nu_svr_fit(df, features, target, nu=0.5, C=1.0, kernel="rbf", degree=3, gamma="scale", coef0=0.0, n_landmarks=N_LANDMARKS, max_iter=200, **_):
+def nu_svr_fit(df, features, target, nu=0.5, C=1.0, kernel="rbf", degree=3, gamma="scale", coef0=0.0, n_components=N_COMPONENTS, n_landmarks=None, max_iter=200, **_):
     if not 0 < nu <= 1:
         raise ValueError("nu must be in (0, 1].")
-    return _svr(df, features, target, float(C), 0.1, float(nu), kernel, int(degree), gamma, float(coef0), n_landmarks, max_iter)
+    return _svr(df, features, target, float(C), 0.1, float(nu), kernel, int(degree), gamma, float(coef0), n_components, n_landmarks, max_iter)

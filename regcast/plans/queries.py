@@ -672,9 +672,9 @@ MODEL_QUERY_PARAMS = {
     "catboost": {"iterations": 10},
     "knn": {},
     "adaboost": {"n_estimators": 10},
-    "svm": {"n_landmarks": 200, "max_iter": 60},
-    "nu_svr": {"n_landmarks": 200, "max_iter": 60},
-    "gaussian_process": {"n_landmarks": 400},
+    "svm": {},
+    "nu_svr": {},
+    "gaussian_process": {},
     "mlp": {"hidden_layer_sizes": "16", "max_iter": 60},
     "voting_regressor": {"estimators": ["linear_regression", "ridge", "decision_tree", "elm"], "decision_tree__max_depth": 6},
 }
@@ -820,46 +820,6 @@ def q_feature_selection_pipeline(spark, sf):
     return res.prediction.data.select("idx", r("Prediction").alias("Prediction"))
 
 
-# ------------------------------------------------------ window networks
-
-# Query-sized network settings (the reference defaults are two layers of 64
-# and 100 epochs; the operators take them unchanged).
-TS_QUERY = {"max_time_lag": 5, "lag_indices": (1, 2, 3, 5), "layer_sizes": (8,), "epochs": 2, "batch_size": 32}
-
-
-def _ts_query(model_name: str):
-    def run(spark, sf):
-        from .timeseries import TimeSeriesConfig, forecast_timeseries_model, train_timeseries_model
-
-        ev = load(spark, sf, "events").select("ts", "event_id", "value")
-        cfg = TimeSeriesConfig(model_name, **TS_QUERY)
-        res = train_timeseries_model(ev, "value", cfg, EVENTS_ORDER)
-        fc = forecast_timeseries_model(res.artifact, 12, spark=spark)
-        return fc.data.select("idx", r("Prediction").alias("Prediction"))
-
-    return run
-
-
-def q_ts_by_series(spark, sf):
-    """T9 + T18 over every user's event series: one shared MLP window
-    network, per-series scalers and histories, 12-step forecasts."""
-    from .timeseries import TimeSeriesConfig, forecast_by_series, train_timeseries_by_series
-
-    ev = load(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    art, _n, _l = train_timeseries_by_series(ev, "user_id", "value", TimeSeriesConfig("MLP", **TS_QUERY), EVENTS_ORDER)
-    fc = forecast_by_series(art, 12)
-    return fc.select("user_id", "step", r("Prediction").alias("Prediction"))
-
-
-def q_ts_loss_table(spark, sf):
-    """Per-epoch mean MSE of an MLP window network on events.value."""
-    from .timeseries import TimeSeriesConfig, train_timeseries_model
-
-    ev = load(spark, sf, "events").select("ts", "event_id", "value")
-    res = train_timeseries_model(ev, "value", TimeSeriesConfig("MLP", **{**TS_QUERY, "epochs": 3}), EVENTS_ORDER)
-    return res.loss_table
-
-
 def q_lookback_validate(spark, sf):
     """T1 + T2 in a workflow: ridge with 3 target lags on events, Last split
     10 %, recursive predictions from the training history."""
@@ -1033,23 +993,6 @@ def q_head_rows(spark, sf):
 SQL_HEAD_ROWS = "SELECT o_orderkey, idx FROM (" + SQL_ROW_INDEX + ") WHERE idx < 100"
 
 
-def q_feature_families(spark, sf):
-    """IO5 + C2: type family of every lineitem column and whether it can be a
-    feature for the target ``l_extendedprice``."""
-    li = load(spark, sf, "lineitem")
-    fams = checks.schema_families(li, li.columns)
-    rows = [(c, fams[c], c != "l_extendedprice" and fams[c] in ("numeric", "string", "boolean")) for c in li.columns]
-    return spark.createDataFrame(rows, "column string, family string, candidate boolean")
-
-
-SQL_FEATURE_FAMILIES = """SELECT column_name AS "column",
-  CASE WHEN column_type IN ('TINYINT','SMALLINT','INTEGER','BIGINT','HUGEINT','FLOAT','DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'numeric'
-       WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE lower(column_type) END AS family,
-  column_name <> 'l_extendedprice' AND (column_type IN ('TINYINT','SMALLINT','INTEGER','BIGINT','HUGEINT','FLOAT','DOUBLE','VARCHAR','BOOLEAN')
-       OR column_type LIKE 'DECIMAL%') AS candidate
-FROM (DESCRIBE lineitem)"""
-
-
 def q_gather_rows(spark, sf):
     """Orders rows whose position is listed by the last expanding fold."""
     ix = _orders_ix(spark, sf)
@@ -1232,9 +1175,6 @@ def registry() -> dict:
         "mutual_info_classif": (q_mutual_info_classif, SQL_MUTUAL_INFO_CLASSIF),
         "feature_selection_pipeline": (q_feature_selection_pipeline, None),
         **{f"model_{k}": (_model_query(k), None) for k in MODEL_QUERY_PARAMS},
-        **{f"ts_{n.lower().replace('-', '_')}": (_ts_query(n), None) for n in ("MLP", "CNN", "RNN", "GRU", "LSTM", "Bi-LSTM", "ConvLSTM")},
-        "ts_loss_table": (q_ts_loss_table, None),
-        "ts_by_series": (q_ts_by_series, None),
         "lasso_1": (_one_feature_model("lasso", {"alpha": 1.0}), SQL_LASSO_1),
         "elastic_net_1": (_one_feature_model("elastic_net", {"alpha": 1.0, "l1_ratio": 0.5}), SQL_ELASTIC_NET_1),
         "kernel_ridge_1": (_one_feature_model("kernel_ridge", {"alpha": 1.0, "kernel": "linear"}), SQL_KERNEL_RIDGE_1),
@@ -1245,7 +1185,6 @@ def registry() -> dict:
         "known_history_sql": (q_known_history_sql, SQL_KNOWN_HISTORY),
         "ar_forecast_by_series": (q_ar_forecast_by_series, SQL_AR_FORECAST_BY_SERIES),
         "head_rows": (q_head_rows, SQL_HEAD_ROWS),
-        "feature_families": (q_feature_families, SQL_FEATURE_FAMILIES),
         "gather_rows": (q_gather_rows, SQL_GATHER_ROWS),
         "artifact_roundtrip": (q_artifact_roundtrip, None),
         "grid_search_summary": (q_grid_search_summary, None),

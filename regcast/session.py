@@ -82,7 +82,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
-        # Only reached in local runs: no cluster named a shared folder.
+        if sc.master.split("[")[0] != "local":
+            raise ValueError(f"Set {CHECKPOINT_CONF} to a folder that all executors share.")
+        # One machine: driver and executors share its temporary folder.
         configured = tempfile.mkdtemp(prefix="regcast-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)

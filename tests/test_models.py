@@ -249,18 +249,58 @@ def test_linear_svr_matches_numpy_primal(spark):
     x = rng.normal(size=120)
     y = 2 * x + 1 + rng.normal(scale=0.3, size=120)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
-    m = K.svr_fit(df, ["x"], "y", kernel="linear", C=1.0, epsilon=0.1, n_landmarks=120, max_iter=300)
-    # the same smoothed primal minimised in NumPy: with a linear kernel the
-    # landmark map is φ(x) = x·T (a scalar), so w_x = T·w
+    m = K.svr_fit(df, ["x"], "y", kernel="linear", C=1.0, epsilon=0.1, max_iter=300)
+    # the same smoothed primal, 1/2 w^2 + C * sum of the losses, minimised in NumPy
     delta = 1e-3 * y.std()
 
     def obj(th):
         r = y - (th[0] * x + th[1])
         loss, d, _ = _smooth_eps_loss(r, 0.1, delta)
-        return 0.5 * th[0] ** 2 + loss.mean(), np.array([th[0] - np.mean(d * x), -np.mean(d)])
+        return 0.5 * th[0] ** 2 + loss.sum(), np.array([th[0] - np.sum(d * x), -np.sum(d)])
 
     from regcast.operators.optim import lbfgs
 
     th = lbfgs(obj, np.array([0.0, y.mean()]), max_iter=500, tol=1e-12)
     pred_ref = th[0] * x + th[1]
-    assert np.allclose(m.predict_numpy(x[:, None]), pred_ref, atol=1e-3)
+    assert np.allclose(m.predict_numpy(x[:, None]), pred_ref, atol=5e-3)
+
+
+def _svr_objective(x, y, w, b, C, eps):
+    return 0.5 * w * w + C * np.maximum(np.abs(y - w * x - b) - eps, 0).sum()
+
+
+@pytest.mark.parametrize("C", [0.02, 1.0])
+def test_svr_minimises_the_summed_loss(spark, C):
+    """Against a fine grid over (slope, intercept) of the exact objective."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=60)
+    y = 3 * x - 1 + rng.normal(scale=0.5, size=60)
+    m = K.svr_fit(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), ["x"], "y", kernel="linear", C=C, epsilon=0.1, max_iter=300)
+    got = _svr_objective(x, y, m.w[0], m.b, C, 0.1)
+    grid = min(_svr_objective(x, y, w, b, C, 0.1) for w in np.linspace(0, 4, 201) for b in np.linspace(-3, 1, 201))
+    assert got <= grid * 1.002 + 1e-3
+
+
+def test_svr_repeated_rows_weigh_like_a_larger_c(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=40)
+    y = 2 * x + rng.normal(scale=0.4, size=40)
+    one = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    ten = spark.createDataFrame(pd.DataFrame({"x": np.tile(x, 10), "y": np.tile(y, 10)}))
+    for fit in (K.svr_fit, K.nu_svr_fit):
+        few = fit(one, ["x"], "y", kernel="linear", C=0.01, max_iter=300)
+        larger = fit(one, ["x"], "y", kernel="linear", C=0.1, max_iter=300)
+        more = fit(ten, ["x"], "y", kernel="linear", C=0.01, max_iter=300)
+        assert abs(more.w[0] - larger.w[0]) < 0.02 and abs(more.w[0] - few.w[0]) > 0.1
+
+
+def test_explicit_kernel_maps(spark):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(30, 3))
+    for degree, coef0 in ((2, 1.0), (3, 0.5)):
+        P = K.feature_map(None, ["a", "b", "c"], "poly", 0.4, degree, coef0)(X)
+        assert np.allclose(P @ P.T, K.kernel_matrix(X, X, "poly", 0.4, degree, coef0))
+    Z = K.feature_map(None, ["a", "b", "c"], "rbf", 0.3, n_components=20_000)(X)
+    assert np.abs(Z @ Z.T - K.kernel_matrix(X, X, "rbf", 0.3)).max() < 0.05
+    with pytest.raises(ValueError, match="n_landmarks"):
+        K.feature_map(None, ["a"], "sigmoid", 1.0)
