@@ -30,22 +30,24 @@ Randomness (bootstrap counts, random thresholds) comes from hashes of
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 SEED = 42
-MAX_DEPTH_CAP = 30
 REFRESH = 10
 DRIVER_CELLS = 2_000_000  # histogram cells searched on the driver; larger ones stay in Spark
-ROWS_PER_PART = 1_000_000  # binned rows per task in the per-level scans
+ROWS_PER_PART = 50_000  # binned rows per task in the per-level scans
+PARTIAL_CELLS = 1_000_000  # cells a task gathers before it sums equal ones
 
 
 # ------------------------------------------------------------------ model
@@ -211,19 +213,20 @@ class GrowSpec:
     col_fraction: float = 1.0
 
 
-def _uniform(seed: int, level_seed: int, *longs) -> float:
-    """The driver-side twin of ``pmod(xxhash64(seed, level_seed, longs…), 2³⁰) / 2³⁰``:
-    Spark hashes int literals as 4 bytes and long columns as 8 bytes, each
-    step seeded with the previous hash (initial seed 42), so both split
-    searches draw identical random thresholds."""
-    import struct
+def _uniform(*key: int) -> float:
+    """A uniform draw from the first 32 bits of the MD5 of the key; ``_uniform_col`` draws the same in Spark."""
+    return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) / float(1 << 32)
 
-    import xxhash
 
-    h = 42
-    for v, fmt in [(seed, "<i"), (level_seed, "<i"), *[(x, "<q") for x in longs]]:
-        h = xxhash.xxh64_intdigest(struct.pack(fmt, int(v)), seed=h)
-    return (h % (1 << 30)) / float(1 << 30)
+def _uniform_col(*key) -> Column:
+    text = F.concat_ws("|", *[F.lit(k) if isinstance(k, int) else F.col(k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def _columns_of_tree(level_seed: int, tree: int, p: int, fraction: float) -> list[int]:
+    """Exactly ceil(fraction * p) columns: those with the smallest draws for this tree."""
+    draw = sorted((_uniform(SEED, level_seed // 1000, tree, f), f) for f in range(p))
+    return sorted(f for _, f in draw[: max(1, ceil(fraction * p - 1e-9))])
 
 
 def _row_uniform(rowid: np.ndarray, tree: int, seed: int) -> np.ndarray:
@@ -266,54 +269,43 @@ class _Grower:
         tree_arrays = [t.arrays() for t in trees]
         active_lists = [np.asarray(sorted(a), dtype=np.int64) for a in active]
 
+        def summed(parts):
+            """Sums the gathered cells: sorted (tree, cell) keys and their G, H, C."""
+            key = np.concatenate([x[0] for x in parts], axis=1)
+            order = np.lexsort(key[::-1])
+            key, vals = key[:, order], np.concatenate([x[1] for x in parts], axis=1)[:, order]
+            first = np.flatnonzero(np.any(np.diff(key, axis=1, prepend=-1), axis=0))
+            return key[:, first], np.add.reduceat(vals, first, axis=1)
+
         def part(batches):
+            # one partial histogram for the whole task, whatever its number of batches
+            parts, size = [], 0
             for b in batches:
                 bins = np.column_stack([b.column(f"b{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(np.int64)
                 rowid = b.column("_rid").to_numpy(zero_copy_only=False)
                 g, h = grad_fn(b)
-                out_t, out_k, out_g, out_h, out_c = [], [], [], [], []
                 for t, arr in enumerate(tree_arrays):
                     act = active_lists[t]
                     if act.size == 0:
                         continue
                     w = weight_fn(rowid, t)
                     node = _walk(arr, bins, on_bins=True)
-                    pos = np.searchsorted(act, node)
-                    pos_c = np.minimum(pos, act.size - 1)
-                    ok = (act[pos_c] == node) & (w > 0)
-                    if not ok.any():
+                    slot = np.minimum(np.searchsorted(act, node), act.size - 1)
+                    r = np.flatnonzero((act[slot] == node) & (w > 0))
+                    if not r.size:
                         continue
-                    r = np.nonzero(ok)[0]
-                    slot = pos_c[r]
-                    keys = ((slot[:, None] * p + np.arange(p)[None, :]) * B + bins[r]).ravel()
-                    size = act.size * p * B
+                    cells, inv = np.unique(((node[r][:, None] * p + np.arange(p)[None, :]) * B + bins[r]).ravel(), return_inverse=True)
                     wr = np.repeat(w[r], p)
-                    cg = np.bincount(keys, weights=np.repeat(g[r], p) * wr, minlength=size)
-                    ch = np.bincount(keys, weights=np.repeat(h[r], p) * wr, minlength=size)
-                    cc = np.bincount(keys, weights=wr, minlength=size)
-                    nz = np.nonzero(cc)[0]
-                    out_t.append(np.full(nz.size, t, dtype=np.int64))
-                    out_k.append(nz.astype(np.int64) + 0)
-                    out_g.append(cg[nz])
-                    out_h.append(ch[nz])
-                    out_c.append(cc[nz])
-                    # map slot back to node id
-                    node_of_slot = act[nz // (p * B)]
-                    out_k[-1] = node_of_slot * (p * B) + nz % (p * B)
-                if out_t:
-                    key = np.concatenate(out_k)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(out_t)),
-                            pa.array(key // (p * B)),
-                            pa.array((key // B) % p),
-                            pa.array(key % B),
-                            pa.array(np.concatenate(out_g)),
-                            pa.array(np.concatenate(out_h)),
-                            pa.array(np.concatenate(out_c)),
-                        ],
-                        names=["t", "node", "f", "bin", "G", "H", "C"],
-                    )
+                    vals = np.stack([np.bincount(inv, weights=x) for x in (np.repeat(g[r], p) * wr, np.repeat(h[r], p) * wr, wr)])
+                    parts.append((np.stack([np.full(cells.size, t, dtype=np.int64), cells]), vals))
+                    size += cells.size
+                if size > PARTIAL_CELLS:
+                    parts = [summed(parts)]
+                    size = parts[0][0].shape[1]
+            if parts:
+                (t, key), (G, H, C) = summed(parts)
+                cols = [t, key // (p * B), (key // B) % p, key % B, G, H, C]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t", "node", "f", "bin", "G", "H", "C"])
 
         return self.data.mapInArrow(part, "t long, node long, f long, bin long, G double, H double, C double")
 
@@ -353,12 +345,13 @@ class _Grower:
         h = h.withColumn("rawgain", gain).withColumn("gain", F.when(valid, gain)).withColumn("valid", valid)
         if s.policy == "random":
             # one uniformly drawn threshold bin per (tree, node, feature)
-            u = F.pmod(F.xxhash64(F.lit(SEED), F.lit(level_seed), "t", "node", "f"), F.lit(1 << 30)) / float(1 << 30)
-            pick = F.col("minb") + F.floor(u * (F.col("maxb") - F.col("minb")))
+            pick = F.col("minb") + F.floor(_uniform_col(SEED, level_seed, "t", "node", "f") * (F.col("maxb") - F.col("minb")))
             h = h.where(F.col("bin") <= pick).withColumn("_last", F.max("bin").over(w_all)).where(F.col("bin") == F.col("_last")).drop("_last")
         if s.col_fraction < 1.0:
-            u = F.pmod(F.xxhash64(F.lit(SEED), F.lit(level_seed // 1000), "t", "f"), F.lit(1 << 30)) / float(1 << 30)
-            h = h.where(u < s.col_fraction)
+            own = F.array(*[F.array(*map(F.lit, _columns_of_tree(level_seed, t, self.p, s.col_fraction))) for t in range(self.n_trees)])
+            # a node keeps its row when its tree has none of the column's splits, so that its value is set
+            h = h.withColumn("valid", F.col("valid") & F.array_contains(F.get(own, F.col("t").cast("int")), F.col("f").cast("int")))
+            h = h.withColumn("gain", F.when(F.col("valid"), F.col("gain")))
         return h
 
     def best_per_node(self, cand: DataFrame):
@@ -400,7 +393,8 @@ class _Grower:
         trees = [Tree() for _ in range(n_trees)]
         active = [{0} for _ in range(n_trees)]
         leaves = [1] * n_trees
-        depth_cap = MAX_DEPTH_CAP if s.max_depth is None or s.max_depth < 0 else int(s.max_depth)
+        depth_cap = float("inf") if s.max_depth is None or s.max_depth < 0 else int(s.max_depth)
+        self.n_trees = n_trees
         level = 0
         while any(active) and level < depth_cap:
             partials = self.histograms(trees, active, grad_fn, weight_fn)
@@ -511,9 +505,8 @@ class _LocalSearch:
                     keep[f, cand[-1]] = True
             valid &= keep
         if s.col_fraction < 1.0:
-            for f in range(self.p):
-                if _uniform(SEED, self.seed // 1000, t, f) >= s.col_fraction:
-                    valid[f] = False
+            mine = _columns_of_tree(self.seed, t, self.p, s.col_fraction)
+            valid[[f for f in range(self.p) if f not in mine]] = False
         return gain, valid, (GL, HL), (Gt[0, 0], Ht[0, 0], Ct[0, 0])
 
     def best(self):
@@ -565,8 +558,6 @@ def _prepare(df: DataFrame, features, target: str, max_bins: int, weight: str |
     binned = materialize(_binned(src, features, edges).drop(*features))
     # every tree level scans this table: about ROWS_PER_PART binned rows per
     # task (a few ints + doubles per row), never more tasks than partitions
-    from math import ceil
-
     parts = max(1, min(binned.rdd.getNumPartitions(), ceil(binned.count() / ROWS_PER_PART)))
     if parts < binned.rdd.getNumPartitions():
         binned = binned.coalesce(parts)
@@ -597,8 +588,6 @@ def _forest(df, features, target, n_trees, spec: GrowSpec, bootstrap: float | No
 
 def _holdout(binned: DataFrame, fraction: float) -> DataFrame:
     """Flag an exact ceil(fraction·n) validation share by the seeded-hash rank."""
-    from math import ceil
-
     from .sampling import shuffled_index
 
     ix = shuffled_index(binned, "_rid", idx_col="_vrank")
