@@ -31,7 +31,17 @@ from ..functions.profile import MIN_MAX, NONE, ONE_HOT, ORDINAL, STANDARD, plan_
 from .rowindex import with_row_index
 
 MAP_LIMIT = 4096  # categories held as a literal map; above, a code table is joined
-BROADCAST_ROWS = 2_000_000  # code tables up to this many entries may be broadcast
+BROADCAST_BYTES = 8 << 20  # code tables up to this measured size may be broadcast
+MAX_ONE_HOT = 10_000  # columns that one-hot encoding of one variable may make
+
+
+def refuse_wide_one_hot(df: DataFrame, columns) -> None:
+    """Raises before any category reaches the driver if a variable has more than MAX_ONE_HOT."""
+    if columns:
+        row = df.agg(*[F.count_distinct(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        wide = [c for i, c in enumerate(columns) if row[f"n{i}"] > MAX_ONE_HOT]
+        if wide:
+            raise ValueError(f"One-hot encoding makes more than {MAX_ONE_HOT} columns for: " + ", ".join(wide))
 
 
 def _scale_or_one(s):
@@ -72,6 +82,7 @@ class Preprocessor:
         used = set(onehot) | {v for v, _ in ordinal} | set(std) | set(mm)
         remainder = [v for v in feature_order if v not in used]
 
+        refuse_wide_one_hot(df, onehot)
         aggs: list[Column] = []
         for i, v in enumerate(onehot + small_ord):
             aggs.append(F.array_sort(F.collect_set(F.col(v))).alias(f"cat{i}"))
@@ -146,8 +157,8 @@ class Preprocessor:
     def _join_code_tables(self, df: DataFrame) -> DataFrame:
         for v, table in self.ordinal_tables.items():
             t = table.select(F.col("category").alias(f"_cat_{v}"), F.col("code").alias(f"_code_{v}"))
-            n = t.count()
-            if n <= BROADCAST_ROWS:
+            size = t.agg(F.sum(F.octet_length(F.col(f"_cat_{v}").cast("string")) + 32)).first()[0] or 0
+            if size <= BROADCAST_BYTES:
                 t = F.broadcast(t)
             df = df.join(t, df[v] == t[f"_cat_{v}"], "left").drop(f"_cat_{v}")
         return df

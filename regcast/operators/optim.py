@@ -8,6 +8,7 @@ work stays on the executors inside whole-stage codegen.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -69,6 +70,8 @@ def lbfgs(
         x, f, g = x_new, f_new, g_new
         if converged:
             break
+    else:
+        warnings.warn(f"L-BFGS stopped after {max_iter} iterations before it converged.", stacklevel=2)
     return x
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import MIN_MAX, NONE, ONE_HOT, ORDINAL, STANDARD, plan_steps
 from ..operators import linear as L
+from ..operators.encoders import refuse_wide_one_hot
 from ..operators.gram import Moments, gram
 
 G1_KEYS = {
@@ -67,6 +68,7 @@ class _Design:
         self.steps = [s for s in steps if s[0] in set(cfg.features)]
         onehot = [s[0] for s in self.steps if s[2] == ONE_HOT]
         cats = {}
+        refuse_wide_one_hot(df, onehot)
         if onehot:
             row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(f"c{i}") for i, c in enumerate(onehot)]).first()
             cats = {c: list(row[f"c{i}"]) for i, c in enumerate(onehot)}
@@ -154,13 +156,14 @@ class FoldMoments:
     def test_r2(self, f, w, b, ay, dy) -> float:
         """R² of fold f's predictions from its own moments (no scan)."""
         m = self.per_fold[f]
-        U = m.uncentered()
-        p = len(w)
-        sx, sy = m.s[:p] + m.n * m.shift[:p], m.s[p] + m.n * m.shift[p]
-        # prediction ŷ = α + x·β with α = b·dy + ay, β = w·dy
+        # prediction ŷ = α + x·β with α = b·dy + ay, β = w·dy; from centred moments, which do not cancel
+        # when the mean is large: residuals spread around their mean, plus the mean itself
+        C, p = m.centered(), len(w)
         alpha, beta = b * dy + ay, w * dy
-        ss_res = (U[p, p] - 2 * (alpha * sy + beta @ U[:p, p]) + alpha * alpha * m.n + 2 * alpha * (beta @ sx) + beta @ U[:p, :p] @ beta)
-        ss_tot = m.centered()[p, p]
+        mean = m.s / m.n + m.shift
+        off = mean[p] - alpha - beta @ mean[:p]
+        ss_res = C[p, p] - 2 * (beta @ C[:p, p]) + beta @ C[:p, :p] @ beta + m.n * off * off
+        ss_tot = C[p, p]
         if ss_tot == 0:
             return 1.0 if abs(ss_res) < 1e-12 else 0.0
         return float(1.0 - ss_res / ss_tot)

@@ -811,7 +811,7 @@ SQL_MUTUAL_INFO_CLASSIF = (
 
 
 def q_feature_selection_pipeline(spark, sf):
-    """FS0 inside a workflow: Relief picks 2 of the encoded part features."""
+    """FS0 inside a workflow: F Regression picks 2 of the encoded part features."""
     from .config import FeatureSelection
 
     part, cfg = _part_cfg(spark, sf, ("p_size", "p_type", "p_partkey"))
@@ -1006,7 +1006,7 @@ SELECT o_orderkey, rn AS idx FROM s WHERE rn >= n - 4 * (n // 5) AND (rn - (n -
 
 
 def q_artifact_roundtrip(spark, sf):
-    """IO4: predictions of a saved-and-reloaded pipeline next to the original's."""
+    """IO4: by how much the predictions of a saved and reloaded pipeline differ from the original's."""
     from ..sources.artifacts import deserialize_artifact, serialize_artifact
 
     part, cfg = _part_cfg(spark, sf, MODEL_FEATURES, key="gradient_boosting", params={"n_estimators": 5})
@@ -1015,7 +1015,26 @@ def q_artifact_roundtrip(spark, sf):
     ix = with_row_index(part, ["p_partkey"])
     a = res.artifact.predict(ix.df, keep=["idx"]).withColumnRenamed("Prediction", "before")
     b = again.predict(ix.df, keep=["idx"]).withColumnRenamed("Prediction", "after")
-    return a.join(b, "idx").select("idx", r("before").alias("before"), r("after").alias("after"))
+    return a.join(b, "idx").select("idx", (F.col("after") - F.col("before")).alias("difference"))
+
+
+SQL_ARTIFACT_ROUNDTRIP = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, 0.0::DOUBLE AS difference FROM part"
+
+
+def q_csv_roundtrip(spark, sf):
+    """IO1 + IO2: part written as CSV by the prediction sink and read back by the source."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tables import read_table, write_predictions
+
+    path = f"{ensure_checkpoint_dir(spark)}/csv-roundtrip-{uuid.uuid4().hex}.csv"
+    write_predictions(load(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"), path)
+    back = read_table(spark, path)
+    return back.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_type", F.col("p_size").cast("long").alias("p_size"), r("p_retailprice").alias("p_retailprice"))
+
+
+SQL_CSV_ROUNDTRIP = f"SELECT p_partkey::BIGINT AS p_partkey, p_brand, p_type, p_size::BIGINT AS p_size, round(p_retailprice::DOUBLE, {DS}) AS p_retailprice FROM part"
 
 
 def q_grid_search_summary(spark, sf):
@@ -1186,7 +1205,8 @@ def registry() -> dict:
         "ar_forecast_by_series": (q_ar_forecast_by_series, SQL_AR_FORECAST_BY_SERIES),
         "head_rows": (q_head_rows, SQL_HEAD_ROWS),
         "gather_rows": (q_gather_rows, SQL_GATHER_ROWS),
-        "artifact_roundtrip": (q_artifact_roundtrip, None),
+        "artifact_roundtrip": (q_artifact_roundtrip, SQL_ARTIFACT_ROUNDTRIP),
+        "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
         "grid_search_summary": (q_grid_search_summary, None),
         "relief_classif": (q_relief_classif, SQL_RELIEF_CLASSIF),
         "mrmr_classif": (q_mrmr_classif, None),
