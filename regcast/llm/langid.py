@@ -48,7 +48,7 @@ def grams(word: str, size: int) -> list[str]:
 
 
 class Backoff(dict):
-    """word -> row of ``rows``; words that the model lacks are scored once and kept until the cache is full."""
+    """word -> row of ``rows``; words that the model lacks are scored once and kept until the cache is full (a full cache starts anew)."""
 
     def __init__(self, model: dict):
         self.known = model["words"], model["grams"]
@@ -63,18 +63,26 @@ class Backoff(dict):
         self.update(self.known[0])
         self.next = len(self.base)
 
-    def __missing__(self, word: str) -> int:
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the known n-grams of the longest size that has any."""
         known = self.known[1]
-        at = self.next
-        self.rows[at] = 0
         for size in SIZES:
             hit = [known[g] for g in grams(word, size) if g in known]
             if hit:
-                self.rows[at] = self.gram_rows[hit].mean(0)
-                break
-        self[word] = at
-        self.next += 1
-        return at
+                return hit
+        return []
+
+    def learn(self, words: set[str]) -> None:
+        """Scores words that the cache lacks, all at once."""
+        hits = {w: h for w in words if (h := self.backoff(w))}
+        sizes = np.fromiter(map(len, hits.values()), np.int64, len(hits))
+        first, self.next = self.next, self.next + len(words)
+        if hits:
+            flat = self.gram_rows[[i for h in hits.values() for i in h]]
+            self.rows[first : first + len(hits)] = np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes[:, None]
+        self.rows[first + len(hits) : self.next] = 0
+        self.update(zip(hits, range(first, first + len(hits)), strict=True))
+        self.update(zip(words - hits.keys(), range(first + len(hits), self.next), strict=True))
 
     def score(self, text: str | None) -> np.ndarray | None:
         words = words_of(text)
@@ -82,9 +90,14 @@ class Backoff(dict):
             return None
         total = np.zeros(self.rows.shape[1])
         for i in range(0, len(words), CACHE_ROWS // 2):
-            if self.next > len(self.rows) - CACHE_ROWS // 2:
+            part = words[i : i + CACHE_ROWS // 2]
+            new = {w for w in set(part) if w not in self}
+            if self.next + len(new) > len(self.rows):
                 self.reset()
-            total += self.rows[list(map(self.__getitem__, words[i : i + CACHE_ROWS // 2]))].sum(0)
+                new = {w for w in set(part) if w not in self}
+            if new:
+                self.learn(new)
+            total += self.rows[np.array(list(map(self.__getitem__, part)))].sum(0)
         return total
 
 
