@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +47,23 @@ class Words(dict):
         n = self[token] = self.vocabulary.get(word, -1) if word else -2
         return n
 
-    def of(self, text: str | None) -> np.ndarray:
-        ids = np.array(list(map(self.__getitem__, (text or "").lower().split())), np.int64)
-        return ids[ids != -2]
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of a batch of texts, one after the other, and the text that each belongs to."""
+        lists = _split(texts)
+        tokens = lists.flatten().dictionary_encode()
+        number = np.array(list(map(self.__getitem__, tokens.dictionary.to_pylist())), np.int64)
+        ids = number[tokens.indices.to_numpy()] if len(number) else number
+        text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        return ids[ids != -2], text[ids != -2]
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    return pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
 
 
 def plain_words(text: str | None) -> list[str]:
     """White-space tokens, lower-cased, with only their letters and digits."""
-    return [w for w in (PUNCTUATION.sub("", t) for t in (text or "").lower().split()) if w]
+    return [w for w in (PUNCTUATION.sub("", t) for t in _split(pa.array([text], pa.string()))[0].as_py()) if w]
 
 
 class Benchmark:
@@ -67,22 +77,26 @@ class Benchmark:
         self.items = [np.array([self.vocabulary[w] for w in words[i]], np.int64) for i in keep]
         self.codes = np.unique(np.concatenate([self.grams(x)[0] for x in self.items] or [np.empty(0, np.int64)]))
 
-    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and places of the n-grams of which every word is in the vocabulary."""
+    def grams(self, words: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and places of the n-grams of which every word is in the vocabulary, none across two texts."""
         n = len(words) - SEED_WORDS + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         known = words >= 0
         whole = np.logical_and.reduce([known[k : n + k] for k in range(SEED_WORDS)])
+        if text is not None:
+            whole &= text[:n] == text[SEED_WORDS - 1 :]
         at = np.flatnonzero(whole)
         code = np.zeros(len(at), np.int64)
         for k in range(SEED_WORDS):
             code = code * len(self.vocabulary) + words[at + k]
         return code, at
 
-    def hits(self, words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the sorted ``table`` that occur in ``words``, and where."""
-        code, at = self.grams(words)
+    def hits(self, words: np.ndarray, text: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the sorted ``table`` that occur in the texts, and where."""
+        code, at = self.grams(words, text)
+        if not len(table):
+            return at[:0], at[:0]
         row = np.minimum(np.searchsorted(table, code), len(table) - 1)
         found = table[row] == code
         return row[found], at[found]
@@ -100,12 +114,21 @@ class Benchmark:
         self.seeds = np.array(sorted(places), np.int64)
         self.places = [places[int(c)] for c in self.seeds]
 
-    def matches(self, words: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-        """(item, score, first word, behind the last word) of the items that align with ``least`` or more."""
-        if not len(self.seeds):
-            return []
+    def matches(self, texts: pa.Array, words: Words, least: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, score, first word, behind the last word) of the items that align with ``least`` or more."""
+        ids, text = words.of(texts)
+        row, at = self.hits(ids, text, self.seeds)
+        owner = text[at]
+        for i in np.flatnonzero(np.diff(owner, prepend=-1)):  # the first hit of each text that has any
+            k = owner[i]
+            a, b = np.searchsorted(text, (k, k + 1))
+            mine = slice(i, np.searchsorted(owner, k + 1))
+            for found in self._aligned(ids[a:b], row[mine], at[mine] - a, least):
+                yield int(k), *found
+
+    def _aligned(self, words: np.ndarray, rows: np.ndarray, places: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
         spans = defaultdict(list)
-        for row, at in zip(*self.hits(words, self.seeds), strict=True):
+        for row, at in zip(rows, places, strict=True):
             for i, q in self.places[row]:
                 m = len(self.items[i])
                 reach = int(m * MATCH * (1 - least) / -GAP) + 1  # more gaps than that cannot reach the score
@@ -184,8 +207,10 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
             block = plain.value
             words, seen = Words(block.vocabulary), np.zeros(len(block.codes), np.int64)
             for b in batches:
-                for text in b.column(0).to_pylist():
-                    seen[np.unique(block.hits(words.of(text), block.codes)[0])] += 1
+                ids, text = words.of(b.column(0))
+                row, at = block.hits(ids, text, block.codes)
+                pairs = np.unique(text[at] * len(block.codes) + row)  # a text counts once for each n-gram
+                seen += np.bincount(pairs % len(block.codes), minlength=len(block.codes))
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_pydict({"code": pa.array(some, pa.int64()), "n": pa.array(seen[some])})
 
@@ -215,7 +240,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             block = shared.value
             words = Words(block.vocabulary)
             for b in batches:
-                rows = [(k, *m) for k, text in enumerate(b.column(1).to_pylist()) for m in block.matches(words.of(text), min_score)]
+                rows = list(block.matches(b.column(1), words, min_score))
                 if rows:
                     k, i, *rest = zip(*rows, strict=True)
                     items = pa.array([block.ids[x] for x in i], b.schema.field(0).type if item == kind else None)
@@ -236,8 +261,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             block = shared.value
             words = Words(block.vocabulary)
             for b in batches:
-                clean = pa.array([not block.matches(words.of(t), min_score) for t in b.column(b.num_columns - 1).to_pylist()], pa.bool_())
-                yield b.filter(clean).select(b.schema.names[:-1])
+                clean = np.ones(b.num_rows, bool)
+                clean[[m[0] for m in block.matches(b.column(b.num_columns - 1), words, min_score)]] = False
+                yield b.filter(pa.array(clean)).select(b.schema.names[:-1])
 
         out = out.withColumn(copy, F.col(f"`{text_col}`")).mapInArrow(run, schema)
     return out
