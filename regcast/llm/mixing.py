@@ -10,6 +10,7 @@ text: a document's share follows from its own key and its source's cut.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,8 @@ from regcast.session import materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
+KEY_BITS = 60
 #: A mix names a weight for each source; longer lists are refused before they reach the driver.
 MAX_SOURCES = 100_000
 
@@ -48,6 +50,11 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_epochs: int = MA
     return out
 
 
+def random_key(identity: Column) -> Column:
+    """The first 60 bits of the MD5 as a long: hash-random, and the same on every engine."""
+    return F.conv(F.substring(F.md5(identity), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", size: Column | None = None, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 42) -> DataFrame:
     """``docs`` plus ``size``, ``source_size``, ``target`` and ``taken`` (tokens the mix takes, repeats counted).
 
@@ -65,7 +72,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     size_c, source_size, target, taken, key = fresh(docs, "size", "source_size", "target", "taken", "_key")
     ranked = fresh(docs, "_source", "_full", "_rest", "_cut_key", "_cut_size", "_ties")
     words = n_words(F.col(text_col)) if size is None else size.cast("long")
-    keyed = docs.withColumns({size_c: words, key: F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))})
+    keyed = docs.withColumns({size_c: words, key: random_key(F.concat_ws("|", F.lit(seed), F.col(id_col), F.col(text_col)))})
     slim = materialize(keyed.select(F.col(source_col).alias("source"), F.col(key).alias("key"), F.col(size_c).alias("size")))
 
     per = slim.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -75,12 +82,12 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     goal = targets([r["s"] for r in per], [weights[i % len(weights)] for i in range(len(per))], max_epochs)
     plan = []
     for r, t in zip(per, goal, strict=True):
-        full = min(max_epochs, int(t // r["s"])) if r["s"] else 0
+        full = min(max_epochs, math.floor(t / r["s"])) if r["s"] else 0
         plan.append((r["source"], r["s"], t, full, int(t - full * r["s"]) if full < max_epochs else 0, -(-r["n"] // RANGE_ROWS)))
     kind = docs.schema[source_col].dataType.simpleString()
     sources = spark.createDataFrame(plan, f"source {kind}, source_size long, target double, full int, rest long, ranges int")
 
-    at = F.least(F.col("ranges") - 1, F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * F.col("ranges")))
+    at = F.least(F.col("ranges") - 1, F.floor(F.col("key") / F.lit(2.0**KEY_BITS) * F.col("ranges")))
     s = sources.select(F.col("source").alias("src"), "rest", "ranges").filter("rest > 0")
     dealt = slim.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("src"))).select("src", "rest", "key", "size", at.alias("range"))
     before = W.Window.partitionBy("src").orderBy("range").rowsBetween(W.Window.unboundedPreceding, -1)

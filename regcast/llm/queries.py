@@ -70,6 +70,42 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_sha256", F.sha2("base", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
 
 
+def _op6_sql() -> str:
+    from regcast.llm.secret_scan import ADDED, BASE, KINDS, MAX_OWNERS, MIN_DISTINCT, PLACEHOLDER
+
+    def matches(kind: str) -> str:
+        pattern, group, least = (BASE | ADDED)[kind]
+        pattern = pattern.replace("'", "''")
+        return f"""
+  SELECT row, {KINDS.index(kind)} AS rank, '{kind}' AS kind, m[i] AS m, v[i] AS v,
+         list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT row, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS p FROM d))
+  WHERE length(v[i]) >= {least}"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(map(matches, KINDS))}),
+g AS (
+  SELECT *, a + length(m) AS b, len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+         AND NOT regexp_matches(v, '{PLACEHOLDER}') AS looks FROM f),
+s AS (
+  SELECT * FROM g WHERE rank < {len(BASE)} OR looks AND NOT EXISTS (
+    SELECT 1 FROM g h WHERE h.row = g.row AND h.rank < {len(BASE)} AND h.a < g.b AND g.a < h.b)),
+o AS (
+  SELECT v, bool_or(looks) AND count(DISTINCT coalesce('s' || source, 'null')) <= {MAX_OWNERS} AS live FROM s JOIN d USING (row) GROUP BY v),
+j AS (SELECT s.*, live, kind || ':' || a::BIGINT || ':' || b::BIGINT AS span FROM s JOIN o USING (v)),
+r AS (
+  SELECT row, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
+         string_agg(span, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}) AS base,
+         string_agg(span, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)} OR live) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY row)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN r USING (row)
+"""
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.suffix_dedup import suffix_dedup
 
@@ -83,6 +119,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws('|', '42', doc_id, text)), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM s),
+o AS (
+  SELECT *, sum(s) OVER () AS total, sum(w) OVER () AS weight,
+         coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
+         coalesce(sum(w) OVER (ORDER BY 3 * s / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0 FROM w),
+f AS (SELECT *, 3 * s * (weight - w0) <= (total - c0) * w AS filled FROM o),
+l AS (SELECT any_value(total) - coalesce(sum(3 * s) FILTER (filled), 0) AS lft, any_value(weight) - coalesce(sum(w) FILTER (filled), 0) AS wt FROM f),
+t AS (SELECT source, s AS source_size, CASE WHEN filled THEN (3 * s)::DOUBLE ELSE lft::DOUBLE / wt * w END AS target FROM f, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS whole FROM t),
+b AS (SELECT *, CASE WHEN whole < 3 THEN floor(target - whole * source_size) ELSE 0 END::BIGINT AS rest FROM e),
+g AS (SELECT source, key, size, count(*) AS n FROM d GROUP BY ALL),
+p AS (
+  SELECT *, coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT d.doc_id, d.size, b.source_size, b.target,
+       (b.whole * d.size + CASE WHEN p.before + p.size * p.n <= b.rest THEN d.size WHEN p.before < b.rest THEN (b.rest - p.before) // p.n ELSE 0 END)::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.key = d.key AND p.size = d.size
+"""
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.token_count import token_counts
 
@@ -93,7 +154,42 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.warc import crawl_log, header_text, resolve_revisits
 
     log = crawl_log(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return resolve_revisits(log).withColumn("headers", header_text(F.col("headers")))
+    return resolve_revisits(log).withColumns({"headers": header_text(F.col("headers")), "response_id": F.col("response_id").cast("string")})
+
+
+OP10_SQL = r"""
+WITH k AS (
+  SELECT page_id, url, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, '"n' || page_id || '"' AS new,
+         octet_length(encode(coalesce(html, '')))::VARCHAR AS size,
+         url || CASE WHEN contains(url, '?') THEN '&utm_medium=crawl#again' ELSE '?utm_medium=crawl#again' END AS url2 FROM pages),
+log AS (
+  SELECT page_id * 4 AS record_id, url, page_id * 10 AS ts, 'response' AS kind, [{'k': 'content-length', 'v': size}, {'k': 'content-type', 'v': 'text/html'}, {'k': 'date', 'v': 'd0'}, {'k': 'etag', 'v': tag}] AS own FROM k WHERE page_id % 7 IS DISTINCT FROM 0
+  UNION ALL SELECT page_id * 4 + 1, url2, page_id * 10 + 3, 'revisit', [{'k': 'content-length', 'v': '0'}, {'k': 'date', 'v': 'd3'}, {'k': 'etag', 'v': CASE WHEN page_id % 5 = 0 THEN '"stale"' ELSE 'W/' || tag END}] FROM k
+  UNION ALL SELECT page_id * 4 + 2, url, page_id * 10 + 5, 'response', [{'k': 'content-length', 'v': size}, {'k': 'content-type', 'v': 'text/html'}, {'k': 'date', 'v': 'd5'}, {'k': 'etag', 'v': new}] FROM k WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id * 4 + 3, url2, page_id * 10 + 8, 'revisit', [{'k': 'cache-control', 'v': 'max-age=60'}, {'k': 'date', 'v': 'd8'}, {'k': 'etag', 'v': CASE WHEN page_id % 3 = 0 THEN new ELSE tag END}, {'k': 'set-cookie', 'v': 'x'}] FROM k),
+u AS (SELECT *, regexp_replace(trim(url), '(?s)#.*$', '') AS bare FROM log),
+h AS (SELECT *, regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*') AS head FROM u),
+q AS (SELECT *, substr(bare, length(head) + 1) AS tail, regexp_extract(substr(bare, length(head) + 1), '^[^?]*') AS path FROM h),
+c AS (
+  SELECT *, array_to_string(list_filter(string_split(substr(tail, length(path) + 2), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^utm_[a-z]+(=|$)')), '&') AS query FROM q),
+r AS (
+  SELECT record_id, ts, kind, own, list_filter(own, lambda e: e.k = 'etag')[1].v AS etag,
+         CASE WHEN head <> '' THEN regexp_replace(regexp_replace(lower(head), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+           || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS url_key FROM c),
+a AS (SELECT url_key, ts, max(record_id) AS rid FROM r WHERE kind = 'response' AND url_key IS NOT NULL GROUP BY ALL),
+j AS (SELECT r.*, a.rid FROM r ASOF LEFT JOIN a ON r.url_key = a.url_key AND r.ts > a.ts),
+m AS (
+  SELECT j.*, b.own AS base,
+         CASE WHEN j.kind = 'response' THEN 'response' WHEN rid IS NULL THEN 'no_response'
+              WHEN regexp_replace(j.etag, '^W/', '') <> regexp_replace(b.etag, '^W/', '') THEN 'mismatch' ELSE 'resolved' END AS resolution
+  FROM j LEFT JOIN r b ON b.record_id = j.rid),
+x AS (SELECT *, list_filter(own, lambda e: e.k IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary')) AS upd FROM m),
+y AS (
+  SELECT *, CASE WHEN resolution = 'resolved' THEN list_sort(list_concat(list_filter(base, lambda e: NOT list_contains(list_transform(upd, lambda z: z.k), e.k)), upd)) ELSE own END AS hd FROM x)
+SELECT record_id, url_key, kind, CASE resolution WHEN 'resolved' THEN rid WHEN 'response' THEN record_id END::VARCHAR AS response_id, resolution,
+       array_to_string(list_transform(hd, lambda e: e.k || ': ' || e.v), chr(10)) AS headers
+FROM y
+"""
 
 
 def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
@@ -104,9 +200,9 @@ def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "op3_quality": (op3_quality, None),
         "op4_language_id": (op4_language_id, None),
         "op5_decontamination": (op5_decontamination, None),
-        "op6_secret_scan": (op6_secret_scan, None),
+        "op6_secret_scan": (op6_secret_scan, _op6_sql()),
         "op7_suffix_dedup": (op7_suffix_dedup, None),
-        "op8_mixing": (op8_mixing, None),
+        "op8_mixing": (op8_mixing, OP8_SQL),
         "op9_token_count": (op9_token_count, None),
-        "op10_warc_revisits": (op10_warc_revisits, None),
+        "op10_warc_revisits": (op10_warc_revisits, OP10_SQL),
     }
