@@ -102,8 +102,9 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
 
     n_assign, n_access, n_hex and ``base`` (kind:start:end, code points, end
     exclusive, by start and then kind) are of the base patterns; ``spans`` also
-    has the opaque spans whose value is live; n_live and n_example count the
-    spans (base and added) whose value is live or a copied example (base only).
+    has the opaque spans whose value is live. n_live counts the spans with a
+    live value, n_example all others (copied examples and values that do not
+    look random, opaque candidates among them).
     A null text is empty. Rows with equal texts get equal spans; null owners
     and ids are values like others; repeated rows each get their row. Other
     columns are left out.
@@ -111,7 +112,8 @@ def scan(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     prepare(docs.sparkSession)
     found = materialize(candidates(docs, text_col, owner_col, repo_col))
     judged = _judged(found, ownership(found, max_owners))
-    rows = found.join(judged, "key", "left")
+    # texts without a span have no key: they pass by the join instead of meeting in one of its tasks
+    rows = found.filter("key is not null").join(judged, "key", "left").unionByName(found.filter("key is null"), allowMissingColumns=True)
     slim = F.transform(F.concat(*BASE), lambda s: F.struct(s["start"], s["rank"], s["end"], s["width"]))
     live = F.coalesce("live", F.array().cast("array<struct<start:int,rank:int,end:int,width:int>>"))
     added = F.filter(live, lambda s: s["rank"] >= len(BASE))
