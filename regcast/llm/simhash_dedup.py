@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     known = linked.join(least, "component").select("fp", "component", "least")
     classes = points.join(known, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return found.join(classes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component", "component_id")
+    # written out, so that both sides of the last join are plain exchanges: a hot fingerprint is then split
+    return found.join(materialize(classes), "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component", "component_id")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
