@@ -14,10 +14,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 8 << 20
 
 
+#: Rows of an Arrow batch, where the session keeps Spark's default of 10,000: whole texts are wide rows, and a worker
+#: holds a batch several times over.
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and package on the executors (both idempotent)."""
+    """Checkpoint folder, package on the executors and batch size (all idempotent)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
