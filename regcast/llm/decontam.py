@@ -1,20 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words.
-
-1. One pass counts, over all documents, in how many of them each n-gram of the
-   benchmark occurs.
-2. Of every ``SEED_WINDOW`` neighbouring n-grams of an item the rarest becomes
-   a seed, however frequent it is: every run of SEED_WINDOW + SEED_WORDS - 1
-   unedited words holds one, also in passages that a large part of the corpus
-   copies.
-3. A second pass meets documents and items on seeds (the items are broadcast,
-   in blocks of bounded size, so no text is shuffled) and aligns the item with
-   the part of the document that an alignment of the wanted score can reach.
+"""Benchmark decontamination: a lossless filter on rare words, then Smith-Waterman alignment on words.
+
+1. One pass counts how often each word of the benchmark occurs in the documents.
+2. An alignment of the wanted score matches a known least number of an item's
+   words. So whichever of the item's words are left out, up to that number less
+   ``RARE``, it matches ``RARE`` of the others. Left out are the most frequent.
+3. A second pass takes every document with so many rare words of an item near
+   each other (the items are broadcast, in blocks of bounded size, so no text is
+   shuffled). What of it an alignment of the wanted score can reach is aligned.
+
+Both filters only drop pairs that cannot reach the score, whatever the edits.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from regcast.llm.common import BROADCAST_BYTES, fresh, prepare
 
-SEED_WORDS, SEED_WINDOW = 3, 3
+SEED_WORDS, SEED_WINDOW = 3, 3  # least words of an item; the second is read by the tests only
+RARE = 4  # rare words of an item that a document must hold
+HITS = 1 << 20  # rare words looked at at once
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 CACHE_ROWS = 300_000
@@ -67,7 +69,7 @@ def plain_words(text: str | None) -> list[str]:
 
 
 class Benchmark:
-    """A block of items: vocabulary, items as word numbers, and the codes of their n-grams."""
+    """A block of items: vocabulary, items as word numbers, and who has which rare words."""
 
     def __init__(self, items: list[tuple]):
         words = [plain_words(text) for _, text in items]
@@ -75,88 +77,72 @@ class Benchmark:
         keep = [i for i, ws in enumerate(words) if len(ws) >= SEED_WORDS]
         self.ids = [items[i][0] for i in keep]
         self.items = [np.array([self.vocabulary[w] for w in words[i]], np.int64) for i in keep]
-        self.codes = np.unique(np.concatenate([self.grams(x)[0] for x in self.items] or [np.empty(0, np.int64)]))
-
-    def grams(self, words: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and places of the n-grams of which every word is in the vocabulary, none across two texts."""
-        n = len(words) - SEED_WORDS + 1
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        known = words >= 0
-        whole = np.logical_and.reduce([known[k : n + k] for k in range(SEED_WORDS)])
-        if text is not None:
-            whole &= text[:n] == text[SEED_WORDS - 1 :]
-        at = np.flatnonzero(whole)
-        code = np.zeros(len(at), np.int64)
-        for k in range(SEED_WORDS):
-            code = code * len(self.vocabulary) + words[at + k]
-        return code, at
-
-    def hits(self, words: np.ndarray, text: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the sorted ``table`` that occur in the texts, and where."""
-        code, at = self.grams(words, text)
-        if not len(table):
-            return at[:0], at[:0]
-        row = np.minimum(np.searchsorted(table, code), len(table) - 1)
-        found = table[row] == code
-        return row[found], at[found]
-
-    def seed(self, frequency: np.ndarray) -> None:
-        """Keeps the rarest n-gram of every window of every item."""
-        places = defaultdict(list)
-        for i, words in enumerate(self.items):
-            code, _ = self.grams(words)
-            rank = frequency[np.searchsorted(self.codes, code)]
-            for a in range(max(1, len(code) - SEED_WINDOW + 1)):
-                q = min(range(a, min(len(code), a + SEED_WINDOW)), key=lambda x: (rank[x], code[x]))
-                if (i, q) not in places[int(code[q])]:
-                    places[int(code[q])].append((i, q))
-        self.seeds = np.array(sorted(places), np.int64)
-        self.places = [places[int(c)] for c in self.seeds]
+
+    def seed(self, frequency: np.ndarray, least: float) -> None:
+        """For every word the items that have it among their rare words, and what an alignment of ``least`` needs of each item."""
+        size = np.array([len(x) for x in self.items])
+        matched = np.maximum(1, np.ceil(least * size - 1e-9).astype(np.int64))  # words that such an alignment matches
+        self.need = np.minimum(RARE, matched)
+        lost = MATCH * size * (1 - least) / -max(MISMATCH, GAP)  # unmatched words of the text that still leave the score
+        self.span = size + (lost + 1e-9).astype(np.int64)
+        rare = [np.unique(x[np.lexsort((x, frequency[x]))][:n]) for x, n in zip(self.items, size - matched + self.need, strict=True)]
+        word, item = np.concatenate(rare), np.repeat(np.arange(len(rare)), [len(x) for x in rare])
+        self.postings = item[np.argsort(word, kind="stable")]
+        self.count = np.bincount(word, minlength=len(self.vocabulary) + 1)  # the last one is of unknown words, -1
+        self.first = np.cumsum(self.count) - self.count
+
+    def candidates(self, ids: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Sorted codes, text * items + item, of the pairs with enough rare words within an alignment's span."""
+        count, n = self.count[ids], len(self.items)
+        total, reach = np.cumsum(count), int(self.span.max())
+        found, a = [np.empty(0, np.int64)], 0
+        while a < len(ids):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - count[a] + HITS, side="right")))
+            c = count[a : b + reach]  # spans that start before b end there
+            at = np.repeat(np.arange(a, a + len(c)), c)
+            item = self.postings[np.arange(len(at)) + np.repeat(self.first[ids[a : a + len(c)]] - np.cumsum(c) + c, c)]
+            code = text[at] * n + item
+            order = np.argsort(code, kind="stable")
+            code, at, item = code[order], at[order], item[order]
+            for k in np.unique(self.need).tolist():
+                m = max(0, len(code) - k + 1)
+                near = (self.need[item[:m]] == k) & (code[:m] == code[k - 1 :]) & (at[k - 1 :] - at[:m] < self.span[item[:m]])
+                found.append(np.unique(code[:m][near]))
+            a = b
+        return np.unique(np.concatenate(found))
 
     def matches(self, texts: pa.Array, words: Words, least: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, behind the last word) of the items that align with ``least`` or more."""
         ids, text = words.of(texts)
-        row, at = self.hits(ids, text, self.seeds)
-        owner = text[at]
-        for i in np.flatnonzero(np.diff(owner, prepend=-1)):  # the first hit of each text that has any
-            k = owner[i]
-            a, b = np.searchsorted(text, (k, k + 1))
-            mine = slice(i, np.searchsorted(owner, k + 1))
-            for found in self._aligned(ids[a:b], row[mine], at[mine] - a, least):
-                yield int(k), *found
-
-    def _aligned(self, words: np.ndarray, rows: np.ndarray, places: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-        spans = defaultdict(list)
-        for row, at in zip(rows, places, strict=True):
-            for i, q in self.places[row]:
-                m = len(self.items[i])
-                reach = int(m * MATCH * (1 - least) / -GAP) + 1  # more gaps than that cannot reach the score
-                spans[i].append((max(0, int(at) - q - reach), min(len(words), int(at) - q + m + reach)))
-        out = []
-        for i, parts in spans.items():
-            item, best = self.items[i], None
-            for a, b in _merged(parts):
-                if _common(item, words[a:b]) < least * len(item):
+        edge = np.searchsorted(text, np.arange(len(texts) + 1))
+        value = np.full(len(self.vocabulary) + 1, max(MISMATCH, GAP))
+        for code in self.candidates(ids, text).tolist():
+            k, i = divmod(code, len(self.items))
+            item, own, best = self.items[i], ids[edge[k] : edge[k + 1]], None
+            value[item] = MATCH
+            parts = _reached(value[own], least * MATCH * len(item))
+            value[item] = value[-1]
+            for a, b in parts:
+                if _common(item, own[a:b]) < least * len(item):
                     continue
-                score, start, end = align(item, words[a:b])
-                if score >= least and (best is None or score > best[1]):
-                    best = i, score, a + start, a + end
+                score, start, end = align(item, own[a:b])
+                if score >= least and (best is None or score > best[0]):
+                    best = score, a + start, a + end
             if best:
-                out.append(best)
-        return out
+                yield k, i, *best
 
 
-def _merged(parts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    parts = sorted(parts)
-    a, b = parts[0]
-    for c, d in parts[1:]:
-        if c <= b:
-            b = max(b, d)
-        else:
-            yield a, b
-            a, b = c, d
-    yield a, b
+def _reached(value: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Runs of the places that lie in a run whose values add up to ``least`` or more: no alignment scores more than these."""
+    total = np.cumsum(value)
+    before = total - value
+    ending = total - np.minimum.accumulate(before)
+    starting = np.maximum.accumulate(total[::-1])[::-1] - before
+    at = np.flatnonzero(ending + starting - value >= least - 1e-9)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > 1)
+    return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist(), strict=True))
 
 
 def _common(item: np.ndarray, window: np.ndarray) -> int:
@@ -189,8 +175,8 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return int(best[0] // UNIT) / (MATCH * len(item)), int(NOWHERE - best[0] % UNIT), best[1]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> Iterator:
-    """Broadcast blocks of the benchmark with their seeds chosen by frequency in ``docs``."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, least: float) -> Iterator:
+    """Broadcast blocks of the benchmark with their rare words chosen by frequency in ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
@@ -205,19 +191,17 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 
         def count(batches: Iterator[pa.RecordBatch], plain=plain) -> Iterator[pa.RecordBatch]:
             block = plain.value
-            words, seen = Words(block.vocabulary), np.zeros(len(block.codes), np.int64)
+            words, seen = Words(block.vocabulary), np.zeros(len(block.vocabulary), np.int64)
             for b in batches:
-                ids, text = words.of(b.column(0))
-                row, at = block.hits(ids, text, block.codes)
-                pairs = np.unique(text[at] * len(block.codes) + row)  # a text counts once for each n-gram
-                seen += np.bincount(pairs % len(block.codes), minlength=len(block.codes))
+                ids, _ = words.of(b.column(0))
+                seen += np.bincount(ids[ids >= 0], minlength=len(seen))
             some = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_pydict({"code": pa.array(some, pa.int64()), "n": pa.array(seen[some])})
+            yield pa.RecordBatch.from_pydict({"word": pa.array(some, pa.int64()), "n": pa.array(seen[some])})
 
-        found = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-        frequency = np.zeros(len(block.codes), np.int64)
-        frequency[found.column("code").to_numpy()] = found.column("n").to_numpy()
-        block.seed(frequency)
+        found = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        frequency = np.zeros(len(block.vocabulary), np.int64)
+        frequency[found.column("word").to_numpy()] = found.column("n").to_numpy()
+        block.seed(frequency, least)
         yield spark.sparkContext.broadcast(block)
 
 
@@ -234,7 +218,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     names = [id_col, item_col if item_col != id_col else f"{item_col}_", "score", "start_word", "end_word"]
     schema = f"`{names[0]}` {kind}, `{names[1]}` {item}, score double, start_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for shared in _blocks(docs, benchmark, text_col, item_col, item_text):
+    for shared in _blocks(docs, benchmark, text_col, item_col, item_text, min_score):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -255,7 +239,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     (copy,) = fresh(docs, "_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs
-    for shared in _blocks(docs, benchmark, text_col, item_col, item_text):
+    for shared in _blocks(docs, benchmark, text_col, item_col, item_text, min_score):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value

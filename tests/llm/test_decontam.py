@@ -94,3 +94,32 @@ def test_blocks_of_the_benchmark_add_up(spark, monkeypatch):
     whole = sorted(map(str, D.contaminations(d, b).collect()))
     monkeypatch.setattr(D, "BROADCAST_BYTES", 600)
     assert sorted(map(str, D.contaminations(d, b).collect())) == whole
+
+
+@pytest.mark.parametrize("step", [3, 4, 5])
+@pytest.mark.parametrize("beside", [False, True])
+def test_one_edited_copy_is_found(spark, step, beside):
+    """Every step-th word replaced in one document, alone or beside intact copies, which make its own n-grams the frequent ones."""
+    item = [f"word{i}" for i in range(40)]
+    copy = ["changed" if i % step == step - 1 else w for i, w in enumerate(item)]
+    docs = [(1, " ".join(["before", *copy, "behind"]))] + [(k, " ".join(item)) for k in range(2, 6) if beside]
+    got = {r["doc_id"]: r["score"] for r in D.contaminations(spark.createDataFrame(docs, DOC), spark.createDataFrame([(7, " ".join(item))], ITEM)).collect()}
+    assert got == {k: brute_align(item, text.split()) for k, text in docs} and got[1] >= D.MIN_SCORE
+
+
+@pytest.mark.parametrize("hits", [1, 7, 1 << 20])
+def test_no_pair_of_the_wanted_score_is_missed(monkeypatch, hits):
+    """All pairs, with edits of any spread (insertions leave no two neighbours, so no n-gram), in chunks of any size."""
+    monkeypatch.setattr(D, "HITS", hits)
+    rng = random.Random(hits)
+    items = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvw", k=rng.randint(3, 25)))) for i in range(15)]
+    texts = []
+    for _ in range(60):
+        words = [w for x in rng.choice(items)[1].split() for w in ([x], [x, "new"], ["new"], [])[rng.choices(range(4), [6, 3, 2, 1])[0]]]
+        texts.append(" ".join(rng.choices("abcxyz", k=rng.randint(0, 30)) + words + rng.choices("abcxyz", k=5)))
+    texts += ["", None, " ".join(w + " new" for w in items[0][1].split())]
+    block, tokens = D.Benchmark(items), D.plain_words
+    block.seed(np.bincount([block.vocabulary[w] for t in texts for w in tokens(t) if w in block.vocabulary], minlength=len(block.vocabulary)), D.MIN_SCORE)
+    got = {(k, i): s for k, i, s, _, _ in block.matches(D.pa.array(texts, D.pa.string()), D.Words(block.vocabulary), D.MIN_SCORE)}
+    want = {(k, i): s for k, t in enumerate(texts) for i, x in items if (s := brute_align(tokens(x), tokens(t))) >= D.MIN_SCORE}
+    assert got == want and len(want) > 20 and (len(texts) - 1, 0) in got
