@@ -89,12 +89,12 @@ def segments(texts: list[bytes], length: int = LENGTH, width: int = ANCHOR) -> t
     a, b = np.concatenate([[0], cut]), np.append(cut, len(anchor))
     a, b = a[valid[a]], b[valid[a]]
     key = anchor[a]
-    # anchors that stand twice within reach of one window: their segments may repeat a window inside
+    # anchors that stand twice within reach of one window or of two neighbours, one run: their segments may repeat a window inside
     masked = np.where(valid, LIMIT - anchor, LIMIT)
     padded = np.concatenate([np.full(windows - 1, LIMIT), masked, np.full(windows - 1, LIMIT)])
     bound = LIMIT - _least(padded, windows)  # greatest anchor of the windows that a place is in
     place = np.flatnonzero(h == bound[: len(h)])
-    near = (h[place][1:] == h[place][:-1]) & (np.diff(place) < windows)
+    near = (h[place][1:] == h[place][:-1]) & (np.diff(place) <= windows)
     twice = np.isin(key, np.unique(h[place][1:][near]))
     digest, view = xxhash.xxh3_64_intdigest, memoryview(whole)
     context = np.fromiter((digest(view[i:j]) for i, j in zip(a.tolist(), (b + length - 1).tolist(), strict=True)), np.uint64, len(a))

@@ -61,6 +61,13 @@ def test_query_equals_brute_force(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in op7_suffix_dedup(spark, sf).collect()} == want
 
 
+def test_periods_inside_a_document(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop"), p)) * max(3, 400 // p) for p in range(1, 126)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.suffix_dedup(spark.createDataFrame(list(enumerate(texts, 1)), SCHEMA)).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts], S.LENGTH), 1))
+
+
 def test_nulls_repeats_and_extra_columns(spark):
     a, b = "one passage that is long enough to be cut, " * 3, "another text, also long enough, that no other has: " * 2
     rows = [(5, a, "x"), (5, a, "y"), (None, a, "z"), (2, None, None), (9, "", "w"), (7, b, "v"), (8, "short", "u")]
