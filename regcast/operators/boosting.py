@@ -1,11 +1,11 @@
-"""AdaBoost.R2 (``adaboost``) on the histogram tree engine.
+"""AdaBoost.R2 (``adaboost``) on exact trees.
 
 Each round fits a depth-3 tree to the current sample weights (weights
-enter the histogram sums — reweighting, where the reference resamples),
-measures the normalised losses with one aggregate (max error, then the
-weighted loss), updates the weights as a projection and checkpoints the
-binned table.  Prediction is the weighted median of the rounds'
-predictions (estimator weights ln(1/β)).
+enter the sums — reweighting, where the reference resamples), measures the
+largest error and the weighted losses in one pass, and multiplies each row's
+weight by a factor that follows from the tree alone; the factors are folded
+into a checkpointed column every ``REFRESH`` rounds. Prediction is the
+weighted median of the rounds' predictions (estimator weights ln(1/β)).
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import materialize
-from .trees import GrowSpec, Tree, _col, _Grower, _prepare, _walk
+from .trees import REFRESH, GrowSpec, Tree, _col, _grow_exact_trees, _matrix, _ones, _rows, _walk
 
 
 @dataclass
@@ -31,7 +30,7 @@ class AdaBoostModel:
 
     def predict_numpy(self, X: np.ndarray) -> np.ndarray:
         X = np.asarray(X, dtype=float)
-        preds = np.column_stack([t.arrays()[5][_walk(t.arrays(), X, on_bins=False)] for t in self.trees])
+        preds = np.column_stack([t.value[_walk(t, X, on_bins=False)] for t in self.trees])
         order = np.argsort(preds, axis=1, kind="stable")
         w = np.asarray(self.estimator_weights)[order]
         cdf = np.cumsum(w, axis=1)
@@ -57,58 +56,75 @@ class AdaBoostModel:
         return cls(d["features"], [Tree.from_dict(t) for t in d["trees"]], d["estimator_weights"])
 
 
-def adaboost_fit(df, features, target, n_estimators=50, learning_rate=1.0, loss="linear", max_depth=3, max_bins=255, **_):
+def adaboost_fit(df, features, target, n_estimators=50, learning_rate=1.0, loss="linear", max_depth=3, **_):
+    """Weights are a factor per round on the start weight 1: the column ``_w``
+    holds those up to the last checkpoint, newer rounds are applied on the fly.
+    Only ratios of weights matter, so they are never normalised."""
     if loss not in ("linear", "square", "exponential"):
         raise ValueError("loss must be linear, square or exponential")
-    binned, edges, nb = _prepare(df, features, target, max_bins)
-    n = binned.count()
-    data = materialize(binned.withColumn("_w", F.lit(1.0 / n)))
+    rows, _, n = _rows(df, features, target, binned=False)
+    data = rows.withColumn("_w", F.lit(1.0))
     p = len(features)
-    trees, weights = [], []
     spec = GrowSpec(max_depth=max_depth)
-    for k in range(int(n_estimators)):
+    trees, weights = [], []
+    pending: list[tuple] = []  # (tree, largest error, beta) of rounds not folded into _w yet
 
-        def grad(b):
-            y = _col(b, "_y")
-            w = _col(b, "_w")
-            return -y * w, w
+    def share(error, largest):
+        e = error / largest
+        return e if loss == "linear" else e * e if loss == "square" else 1.0 - np.exp(-e)
 
-        tree = _Grower(data, features, edges, spec, nb).grow(1, grad, lambda rowid, t: np.ones(rowid.shape[0]), seed=k)[0]
-        arr = tree.arrays()
+    def weight_of(b, rounds):
+        X, y, w = _matrix(b, p), _col(b, "_y"), _col(b, "_w")
+        for tree, largest, beta in rounds:
+            w = w * beta ** ((1.0 - share(np.abs(tree.value[_walk(tree, X, on_bins=False)] - y), largest)) * learning_rate)
+        return X, y, w
 
-        def with_err(batches, arr=arr):
+    def measure(tree, rounds, largest):
+        """Largest error, and sums of weights, errors and losses (with ``largest`` given) over all rows."""
+
+        def run(batches):
+            top, sums = 0.0, np.zeros(4)
             for b in batches:
-                bins = np.column_stack([b.column(f"b{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(np.int64)
-                err = np.abs(arr[5][_walk(arr, bins, on_bins=True)] - _col(b, "_y"))
-                yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(err)], names=b.schema.names + ["_e"])
+                X, y, w = weight_of(b, rounds)
+                e = np.abs(tree.value[_walk(tree, X, on_bins=False)] - y)
+                top = max(top, float(e.max(initial=0.0)))
+                sums += [w.sum(), w @ e, w @ (e * e), w @ share(e, largest) if largest else 0.0]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (top, *sums)], names=["top", "w", "e", "q", "l"])
+
+        out = data.mapInArrow(run, "top double, w double, e double, q double, l double").agg(F.max("top"), *[F.sum(c) for c in "weql"]).first()
+        return [float(v) for v in out]
 
-        scored = data.mapInArrow(with_err, T.StructType(list(data.schema.fields) + [T.StructField("_e", T.DoubleType())]))
-        max_err = float(scored.agg(F.max("_e")).first()[0])
-        if max_err == 0:
+    for k in range(int(n_estimators)):
+
+        def weighted(b, rounds=tuple(pending)):
+            _, y, w = weight_of(b, rounds)
+            return y, w
+
+        tree = _grow_exact_trees(data, p, n, 1, spec, weighted, _ones, seed=k)[0][0]
+        largest, total, linear, squared, _ = measure(tree, tuple(pending), 0.0)
+        if largest == 0:
             trees.append(tree)
             weights.append(1.0)
             break
-        e = F.col("_e") / F.lit(max_err)
-        if loss == "square":
-            e = e * e
-        elif loss == "exponential":
-            e = 1.0 - F.exp(-e)
-        scored = scored.withColumn("_l", e)
-        stats = scored.agg(F.sum(F.col("_w") * F.col("_l")).alias("el"), F.sum("_w").alias("sw")).first()
-        est_err = stats["el"] / stats["sw"]
+        lost = {"linear": linear / largest, "square": squared / largest**2}.get(loss)
+        est_err = (measure(tree, tuple(pending), largest)[4] if lost is None else lost) / total
         if est_err >= 0.5:
             if not trees:
                 trees.append(tree)
                 weights.append(1.0)
             break
         beta = est_err / (1.0 - est_err)
-        alpha_k = learning_rate * np.log(1.0 / beta) if beta > 0 else 1.0
         trees.append(tree)
-        weights.append(float(alpha_k))
+        weights.append(float(learning_rate * np.log(1.0 / beta)) if beta > 0 else 1.0)
         if beta <= 0:
             break
-        upd = F.col("_w") * F.pow(F.lit(beta), (1.0 - F.col("_l")) * learning_rate)
-        new = scored.withColumn("_w", upd).drop("_e", "_l")
-        total_w = new.agg(F.sum("_w")).first()[0]
-        data = materialize(new.withColumn("_w", F.col("_w") / F.lit(total_w)))
+        pending.append((tree, largest, beta))
+        if len(pending) >= REFRESH:
+
+            def fold(batches, rounds=tuple(pending)):
+                for b in batches:
+                    w = weight_of(b, rounds)[2]
+                    yield pa.RecordBatch.from_arrays([b.column(c) if c != "_w" else pa.array(w) for c in b.schema.names], names=b.schema.names)
+
+            data, pending = materialize(data.mapInArrow(fold, data.schema)), []
     return AdaBoostModel(list(features), trees, weights)

@@ -1,115 +1,137 @@
-"""H1: histogram trees grown level-synchronously on Spark.
-
-Data path (per tree level, ONE Spark job):
-
-1. features are binned once (≤ ``max_bins`` bins per feature; exact
-   distinct values when a feature has fewer, quantile edges otherwise) and
-   the binned table is checkpointed;
-2. a ``mapInArrow`` task walks each row down the partial trees (node
-   structure is tiny and shipped in the closure), computes the gradient
-   pair (g, h) and accumulates partial histograms per (tree, node,
-   feature, bin) with ``np.bincount`` — only non-empty cells leave the task;
-3. Spark sums the partial histograms (``groupBy``), turns them into
-   left/right statistics with a running window per (tree, node, feature)
-   and picks the best split per node with ``row_number`` — so only one
-   row per node (the model itself) reaches the driver.
-
-Growth policies: depth-wise (CART / XGBoost), random threshold (extra
-trees), leaf budget (LightGBM / HistGradientBoosting: the best-gain
-leaves of each level are split until ``max_leaf_nodes``), symmetric
-(CatBoost: one condition per level chosen by the summed gain).  Gain is
-``G_L²/(H_L+λ) + G_R²/(H_R+λ) − G²/(H+λ)`` (variance reduction when
-λ = 0, h = 1) and a leaf's value is ``−G/(H+λ)``.
-
-Boosting keeps the running prediction ``F`` as a column that is rewritten
-and checkpointed every ``REFRESH`` trees; in between, the most recent trees
-are applied on the fly, so lineage never grows past ``REFRESH`` trees.
-Randomness (bootstrap counts, random thresholds) comes from hashes of
-(seed, tree, row id), so a refit gives the same model on any partitioning.
+"""H1: regression trees grown on Spark, exact or on histograms.
+
+**Exact trees** (``decision_tree``, ``extra_tree``, forests, ``bagging``,
+``gradient_boosting``, ``adaboost``) try every split between two
+neighbouring values, on the raw columns:
+
+1. A node that fits a task (``SUBTREE_CELLS``) is grown there, with all that
+   lies below it: one job routes the rows by (tree, node), each group sorts
+   its columns once and grows level by level on prefix sums
+   (``grow_exact``), and one row per group brings the subtree back. The
+   number of jobs does not grow with the depth.
+2. Nodes above that size are split by jobs over the whole table
+   (``_TopPhase``), a bounded number of nodes a job. A first pass sums quantile
+   bins. A split inside a bin moves part of its weight k and sum s to the
+   left; the gain is convex in (k, s), and (k, s) lies in the parallelogram
+   that the bin's smallest and largest targets allow, so the gain at its four
+   corners bounds every split inside. Bins that could still win are cut finer,
+   until their remaining values are few enough to be listed. The split found
+   is the best of all, whatever the number of distinct values.
+
+**Histogram trees** (``hist_gradient_boosting``, ``xgboost``, ``lightgbm``,
+``catboost``) work on at most ``max_bins`` bins per feature, as these families
+do. One grower serves both sizes: histograms come from one job per step, or
+from one task where the whole table fits one. The larger child's histogram is
+its parent's less its sibling's. Policies: depth-wise; best-first with a leaf
+budget (a heap of gains; a step evaluates the children of all leaves that the
+budget may still reach, so the number of jobs follows the depth, not the
+leaves); symmetric (one condition per level).
+
+Model size: a tree's nodes come to the driver while all trees together have
+at most ``GATHER_NODES``. Beyond, subtrees stay a table and rows are scored by
+sending them to their subtrees.
+
+Boosting keeps the running prediction ``F`` as a column that is rewritten and
+checkpointed every ``REFRESH`` trees. Randomness (bootstrap counts, thresholds)
+comes from hashes of (seed, tree, row or path), so a refit gives the same model
+on any partitioning, and the same tree whichever phase grows a node.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import zlib
 from dataclasses import dataclass, field
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 SEED = 42
 REFRESH = 10
-DRIVER_CELLS = 2_000_000  # histogram cells searched on the driver; larger ones stay in Spark
-ROWS_PER_PART = 50_000  # binned rows per task in the per-level scans
-PARTIAL_CELLS = 1_000_000  # cells a task gathers before it sums equal ones
+ROWS_PER_PART = 50_000  # rows per task in scans of the whole table
+SUBTREE_CELLS = 4_000_000  # rows x (features + 4) of a node that a task takes over
+HIST_CELLS = 2_000_000  # histogram cells that one job brings to the driver
+VALUE_ROWS = 500_000  # rows of the bins whose values are listed one by one
+GATHER_NODES = 5_000_000  # nodes of a model kept on the driver (about 40 bytes each)
+CHUNK_ROWS = 200_000  # rows a task looks at together in the top phase
+CUTS = 255  # inner cuts of a bin that is cut finer
+TIE = 1e-10  # gains that differ by less (relative) are ties: lowest feature, then lowest value
 
 
 # ------------------------------------------------------------------ model
 
 
-@dataclass
 class Tree:
-    feat: list = field(default_factory=lambda: [-1])
-    thr_bin: list = field(default_factory=lambda: [0])
-    thr_val: list = field(default_factory=lambda: [0.0])
-    left: list = field(default_factory=lambda: [-1])
-    right: list = field(default_factory=lambda: [-1])
-    value: list = field(default_factory=lambda: [0.0])
-    depth: list = field(default_factory=lambda: [0])
-
-    def split(self, node: int, f: int, b: int, thr: float) -> tuple[int, int]:
-        d = self.depth[node] + 1
-        ids = []
-        for _ in range(2):
-            ids.append(len(self.feat))
-            self.feat.append(-1)
-            self.thr_bin.append(0)
-            self.thr_val.append(0.0)
-            self.left.append(-1)
-            self.right.append(-1)
-            self.value.append(0.0)
-            self.depth.append(d)
-        self.feat[node], self.thr_bin[node], self.thr_val[node] = f, b, thr
-        self.left[node], self.right[node] = ids
-        return ids[0], ids[1]
-
-    def arrays(self):
-        return (
-            np.asarray(self.feat, dtype=np.int64),
-            np.asarray(self.thr_bin, dtype=np.int64),
-            np.asarray(self.thr_val, dtype=float),
-            np.asarray(self.left, dtype=np.int64),
-            np.asarray(self.right, dtype=np.int64),
-            np.asarray(self.value, dtype=float),
-        )
+    """A tree as arrays, one entry per node; ``feat`` is -1 at a leaf.
 
-    def to_dict(self):
-        return {k: list(getattr(self, k)) for k in ("feat", "thr_bin", "thr_val", "left", "right", "value", "depth")}
+    A row goes left if its value is below ``thr_val`` (raw columns) or its bin at
+    most ``thr_bin`` (binned columns).
+    """
+
+    FIELDS = (("feat", "<i4", -1), ("thr_bin", "<i4", 0), ("thr_val", "<f8", 0.0), ("left", "<i4", -1), ("right", "<i4", -1), ("value", "<f8", 0.0), ("depth", "<i4", 0))
+
+    def __init__(self, **arrays):
+        for name, kind, empty in self.FIELDS:
+            setattr(self, name, np.asarray(arrays.get(name, [empty]), dtype=kind))
+
+    def __len__(self) -> int:
+        return len(self.feat)
+
+    def pack(self) -> bytes:
+        return b"".join(getattr(self, name).tobytes() for name, _, _ in self.FIELDS)
 
     @classmethod
-    def from_dict(cls, d):
-        return cls(**{k: list(v) for k, v in d.items()})
+    def unpack(cls, n: int, blob: bytes) -> Tree:
+        out, at = {}, 0
+        for name, kind, _ in cls.FIELDS:
+            out[name] = np.frombuffer(blob, dtype=kind, count=n, offset=at)
+            at += out[name].nbytes
+        return cls(**out)
 
+    def to_dict(self):
+        return {"n": len(self), "nodes": base64.b64encode(zlib.compress(self.pack(), 1)).decode()}
 
-def _walk(arrays, cols: np.ndarray, on_bins: bool) -> np.ndarray:
+    @classmethod
+    def from_dict(cls, d):
+        return cls.unpack(d["n"], zlib.decompress(base64.b64decode(d["nodes"])))
+
+    def graft(self, subs: list[tuple[int, Tree]]) -> Tree:
+        """This tree with its leaves ``node`` replaced by whole trees."""
+        cols = {name: [getattr(self, name).copy()] for name, _, _ in self.FIELDS}
+        size = len(self)
+        for node, sub in subs:
+            for name, _, _ in self.FIELDS:
+                values = getattr(sub, name)
+                if name in ("left", "right"):
+                    values = np.where(values > 0, values + (size - 1), values)
+                cols[name][0][node] = values[0]
+                cols[name].append(values[1:])
+            size += len(sub) - 1
+        return Tree(**{name: np.concatenate(c) for name, c in cols.items()})
+
+
+def _walk(tree: Tree, cols: np.ndarray, on_bins: bool) -> np.ndarray:
     """Leaf (or current node) index of every row; ``cols`` is (n, p)."""
-    feat, thr_bin, thr_val, left, right, _ = arrays
+    thr = tree.thr_bin if on_bins else tree.thr_val
     node = np.zeros(cols.shape[0], dtype=np.int64)
+    live = np.arange(cols.shape[0])
     while True:
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
+        at = node[live]
+        inner = tree.feat[at] >= 0
+        live, at = live[inner], at[inner]
+        if not live.size:
             return node
-        idx = np.nonzero(inner)[0]
-        x = cols[idx, f[idx]]
-        go_left = x <= thr_bin[node[idx]] if on_bins else x < thr_val[node[idx]]
-        node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
+        x = cols[live, tree.feat[at]]
+        go_left = x <= thr[at] if on_bins else x < thr[at]
+        node[live] = np.where(go_left, tree.left[at], tree.right[at])
 
 
 @dataclass
@@ -120,28 +142,83 @@ class TreeEnsemble:
     init: float = 0.0
     combine: str = "sum"  # "sum" (boosting) or "mean" (forests)
     extra: dict = field(default_factory=dict)
+    subtrees: DataFrame | None = None  # t, node, n, blob of every leaf of ``trees``, where they are too many to gather
 
     def predict_numpy(self, X: np.ndarray) -> np.ndarray:
+        if self.subtrees is not None:
+            raise ValueError("This model's subtrees are a table; score rows with transform.")
         X = np.asarray(X, dtype=float)
         out = np.zeros(X.shape[0])
         for t, w in zip(self.trees, self.weights):
-            arr = t.arrays()
-            out += w * arr[5][_walk(arr, X, on_bins=False)]
+            out += w * t.value[_walk(t, X, on_bins=False)]
         if self.combine == "mean":
             return out / max(len(self.trees), 1)
         return out + self.init
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        model = self
+        if self.subtrees is not None:
+            return self._transform_routed(df, output)
         feats = list(self.features)
+        model = df.sparkSession.sparkContext.broadcast(self)  # at most GATHER_NODES nodes
 
         @F.pandas_udf("double")
         def score(cols: pd.DataFrame) -> pd.Series:
-            return pd.Series(model.predict_numpy(cols[feats].to_numpy(dtype=float)))
+            return pd.Series(model.value.predict_numpy(cols[feats].to_numpy(dtype=float)))
 
         return df.withColumn(output, score(F.struct(*[F.col(c).cast("double").alias(c) for c in feats])))
 
+    def _transform_routed(self, df: DataFrame, output: str) -> DataFrame:
+        """Rows meet their subtrees in a shuffle by (tree, leaf of its top).
+
+        A leaf asked for by more than ``ROWS_PER_PART`` rows is split: its rows
+        are dealt over copies of that one subtree. A task streams through its
+        rows behind the subtree they need, so it holds one subtree at a time.
+        """
+        p, n_trees = len(self.features), len(self.trees)
+        tops = df.sparkSession.sparkContext.broadcast(self.trees)
+        keyed = materialize(df.withColumn("_row", F.monotonically_increasing_id()))  # ids that survive a lost executor
+        cols = keyed.select(F.col("_row"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(self.features)])
+        xs = ", ".join(f"x{j} double" for j in range(p))
+
+        def route(batches):
+            for b in batches:
+                X = _matrix(b, p)
+                for t, top in enumerate(tops.value):
+                    node = _walk(top, X, on_bins=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(node), t, dtype=np.int64)), pa.array(node), b.column("_row"), *[pa.array(X[:, j]) for j in range(p)]],
+                        names=["t", "node", "_row", *[f"x{j}" for j in range(p)]],
+                    )
+
+        asked = cols.mapInArrow(route, f"t long, node long, _row long, {xs}")
+        copies = asked.groupBy("t", "node").agg(F.ceil(F.count("*") / ROWS_PER_PART).alias("copies"))
+        model = self.subtrees.join(copies, ["t", "node"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        hot = copies.filter("copies > 1")
+        rows = asked.join(hot, ["t", "node"], "left").withColumn("part", F.pmod(F.xxhash64("_row"), F.coalesce("copies", F.lit(1))))
+        both = model.select("t", "node", "part", F.lit(-1).cast("long").alias("_row"), *[F.lit(0.0).alias(f"x{j}") for j in range(p)], "n", "blob").unionByName(
+            rows.select("t", "node", "part", "_row", *[f"x{j}" for j in range(p)], F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("blob"))
+        )
+
+        def score(batches):
+            tree = None
+            for b in batches:
+                row, n, blob, X = b.column("_row").to_numpy(), b.column("n").to_numpy(), b.column("blob"), _matrix(b, p)
+                heads = np.flatnonzero(row < 0)
+                cuts = np.concatenate([[0], heads, [len(row)]])
+                for a, z in zip(cuts[:-1], cuts[1:]):
+                    if a < z and row[a] < 0:
+                        tree = Tree.unpack(int(n[a]), blob[int(a)].as_py())
+                        a += 1
+                    if a < z:
+                        yield pa.RecordBatch.from_arrays([pa.array(row[a:z]), pa.array(tree.value[_walk(tree, X[a:z], on_bins=False)])], names=["_row", "value"])
+
+        met = both.repartition("t", "node", "part").sortWithinPartitions("t", "node", "part", "_row")
+        total = met.mapInArrow(score, "_row long, value double").groupBy("_row").agg(F.sum("value").alias(output))
+        return keyed.join(total.withColumn(output, F.col(output) / F.lit(float(n_trees))), "_row").drop("_row")
+
     def to_dict(self):
+        if self.subtrees is not None:
+            raise ValueError("This model's subtrees are a table; it has no JSON form.")
         return {
             "kind": "trees",
             "class": "regcast.operators.trees.TreeEnsemble",
@@ -161,6 +238,15 @@ class TreeEnsemble:
         return json.dumps(self.to_dict())
 
 
+def _col(b, name):
+    return b.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
+def _matrix(b, p: int, prefix: str = "x") -> np.ndarray:
+    """Columns x0.. (or b0..) of a batch as an (n, p) array."""
+    return np.column_stack([b.column(f"{prefix}{j}").to_numpy(zero_copy_only=False) for j in range(p)])
+
+
 # ---------------------------------------------------------------- binning
 
 
@@ -198,37 +284,6 @@ def _binned(df: DataFrame, features, edges) -> DataFrame:
     return out.select(*[F.col(f"_q{j}").cast("int").alias(f"b{j}") for j in range(len(features))], *df.columns)
 
 
-# --------------------------------------------------------------- growing
-
-
-@dataclass
-class GrowSpec:
-    max_depth: int | None = None
-    min_samples_split: int = 2
-    min_samples_leaf: int = 1
-    min_child_weight: float = 0.0
-    reg_lambda: float = 0.0
-    max_leaf_nodes: int | None = None
-    policy: str = "depth"  # depth | random | leaves | symmetric
-    col_fraction: float = 1.0
-
-
-def _uniform(*key: int) -> float:
-    """A uniform draw from the first 32 bits of the MD5 of the key; ``_uniform_col`` draws the same in Spark."""
-    return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) / float(1 << 32)
-
-
-def _uniform_col(*key) -> Column:
-    text = F.concat_ws("|", *[F.lit(k) if isinstance(k, int) else F.col(k).cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-
-
-def _columns_of_tree(level_seed: int, tree: int, p: int, fraction: float) -> list[int]:
-    """Exactly ceil(fraction * p) columns: those with the smallest draws for this tree."""
-    draw = sorted((_uniform(SEED, level_seed // 1000, tree, f), f) for f in range(p))
-    return sorted(f for _, f in draw[: max(1, ceil(fraction * p - 1e-9))])
-
-
 def _row_uniform(rowid: np.ndarray, tree: int, seed: int) -> np.ndarray:
     x = rowid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((tree * 7919 + seed) & 0xFFFFFFFF)
     x ^= x >> np.uint64(30)
@@ -253,360 +308,752 @@ def _poisson_counts(u: np.ndarray, lam: float) -> np.ndarray:
     return out
 
 
-class _Grower:
-    def __init__(self, data: DataFrame, features, edges, spec: GrowSpec, n_bins: int):
-        self.data = data
-        self.features = list(features)
-        self.p = len(features)
-        self.edges = edges
-        self.spec = spec
-        self.B = n_bins
-        self.n_parts = data.rdd.getNumPartitions()
+# ----------------------------------------------------- exact trees in a task
+
+
+@dataclass
+class GrowSpec:
+    max_depth: int | None = None
+    min_samples_split: int = 2
+    min_samples_leaf: int = 1
+    min_child_weight: float = 0.0
+    reg_lambda: float = 0.0
+    max_leaf_nodes: int | None = None
+    policy: str = "depth"  # depth | random | leaves | symmetric
+    col_fraction: float = 1.0
+
+    @property
+    def depth_cap(self) -> float:
+        return float("inf") if self.max_depth is None or self.max_depth < 0 else int(self.max_depth)
+
+
+def _mix(x) -> np.ndarray:
+    """A 64-bit hash of 64-bit keys (wrapping arithmetic)."""
+    x = np.atleast_1d(np.asarray(x, dtype=np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _child_keys(keys) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the left and right children: they name a node by its path alone."""
+    keys = np.atleast_1d(np.asarray(keys, dtype=np.uint64))
+    return _mix(keys * np.uint64(2)), _mix(keys * np.uint64(2) + np.uint64(1))
+
+
+def _root_key(seed: int, tree: int) -> np.uint64:
+    return _mix(_mix(np.uint64(seed))[0] ^ np.uint64(tree))[0]
+
+
+def _draw(keys, feature: int) -> np.ndarray:
+    """A uniform number in [0, 1) for each (node key, feature)."""
+    return (_mix(np.atleast_1d(np.asarray(keys, dtype=np.uint64)) ^ _mix(np.uint64(feature + 1))) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def _threshold(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The midpoint as a strict bound: x < result holds for x <= midpoint only, so for ``low`` and not for ``high``."""
+    mid = low / 2 + high / 2
+    mid = np.where((mid >= low) & (mid < high), mid, low)
+    return np.nextafter(mid, np.inf)
+
+
+def _drawn(low: np.ndarray, high: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A threshold between a node's smallest and largest value: x <= result goes left."""
+    t = low + u * (high - low)
+    return np.where((t >= low) & (t < high), t, low)
+
+
+def grow_exact(X: np.ndarray, y: np.ndarray, weight: np.ndarray, count: np.ndarray, spec: GrowSpec, depth: int = 0, key=np.uint64(0)) -> Tree:
+    """The whole subtree over these rows: every split between neighbouring values is tried.
 
-    def histograms(self, trees, active, grad_fn, weight_fn) -> DataFrame:
-        """Sum of (g·w, h·w, w) per (tree, node, feature, bin) for active nodes."""
-        p, B = self.p, self.B
-        tree_arrays = [t.arrays() for t in trees]
-        active_lists = [np.asarray(sorted(a), dtype=np.int64) for a in active]
+    All nodes of a level are handled together: each column stays sorted within
+    its node (a stable partition keeps it so), targets are centred on their
+    node's mean, and prefix sums give the gain S² · W / (W_left · W_right) of
+    every position. A node stops when its targets are equal, at the depth
+    limit, or where no position is allowed.
+    """
+    p = X.shape[1]
+    order = [np.argsort(X[:, f], kind="stable") for f in range(p)]
+    out = {name: [] for name, _, _ in Tree.FIELDS}
+    starts, ids, keys = np.array([0]), np.array([0]), np.atleast_1d(np.uint64(key))
+    size, n_nodes = np.array([len(y)]), 1
+    levels: list[dict] = []
+    slot, centred = np.zeros(len(y), dtype=np.int64), np.zeros(len(y))
+    while True:
+        rows = order[0]
+        seg = np.repeat(np.arange(len(starts)), size)
+        W = np.add.reduceat(weight[rows], starts)
+        C = np.add.reduceat(count[rows], starts)
+        mean = np.add.reduceat((weight * y)[rows], starts) / W
+        k = len(ids)
+        level = {"feat": np.full(k, -1), "thr_val": np.zeros(k), "left": np.full(k, -1), "right": np.full(k, -1), "value": mean, "depth": np.full(k, depth)}
+        levels.append(level)
+        pure = np.minimum.reduceat(y[rows], starts) == np.maximum.reduceat(y[rows], starts)
+        can = ~pure & (C >= spec.min_samples_split) & (depth < spec.depth_cap)
+        if not can.any():
+            break
+        slot[rows] = seg
+        centred[rows] = weight[rows] * (y[rows] - mean[seg])
+        best = np.full((p, k), -1.0)
+        at = np.zeros((p, k), dtype=np.int64)
+        drawn = np.zeros((p, k))
+        last = starts + size - 1
+        for f in range(p):
+            idx = order[f]
+            x = X[idx, f]
+            SL, WL, CL = (np.cumsum(v[idx]) for v in (centred, weight, count))
+            before = np.where(starts > 0, starts - 1, 0)
+            for v in (SL, WL, CL):
+                v -= np.where(starts > 0, v[before], 0.0)[seg]
+            WR = W[seg] - WL
+            ok = np.zeros(len(x), dtype=bool)
+            ok[:-1] = x[:-1] < x[1:]
+            ok[last] = False
+            ok &= (CL >= spec.min_samples_leaf) & (C[seg] - CL >= spec.min_samples_leaf) & (WL > 0) & (WR > 0) & can[seg]
+            if spec.policy == "random":
+                drawn[f] = _drawn(x[starts], x[last], _draw(keys, f))
+                below = np.add.reduceat((x <= drawn[f][seg]).astype(np.int64), starts)
+                chosen = np.zeros(len(x), dtype=bool)
+                chosen[starts + np.maximum(below, 1) - 1] = True
+                ok &= chosen
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(ok, SL * SL * W[seg] / (WL * WR), -1.0)
+            best[f] = np.maximum.reduceat(gain, starts)
+            hits = np.flatnonzero(ok & (gain >= (best[f] * (1 - TIE))[seg]))
+            if hits.size:
+                first = np.minimum(np.searchsorted(seg[hits], np.arange(k)), len(hits) - 1)
+                at[f] = hits[first]
+        top = best.max(axis=0)
+        split = can & (top >= 0)
+        if not split.any():
+            break
+        f_of = np.argmax(best >= top * (1 - TIE), axis=0)
+        pos = at[f_of, np.arange(k)]
+        low, high = np.zeros(k), np.zeros(k)
+        for f in range(p):
+            mine = split & (f_of == f)
+            low[mine], high[mine] = X[order[f][pos[mine]], f], X[order[f][np.minimum(pos[mine] + 1, len(rows) - 1)], f]
+        if spec.policy == "random":
+            low = drawn[f_of, np.arange(k)]
+            thr = np.nextafter(low, np.inf)
+        else:
+            thr = _threshold(low, high)
+        where = np.flatnonzero(split)
+        child = n_nodes + 2 * np.arange(len(where))
+        level["feat"][where], level["thr_val"][where] = f_of[where], thr[where]
+        level["left"][where], level["right"][where] = child, child + 1
+        n_nodes += 2 * len(where)
+        # stable partition of every column into the children of the nodes that split
+        kept = split[seg]
+        rank = np.cumsum(split) - 1
+        goes = np.zeros(len(y), dtype=bool)
+        live = rows[kept]
+        goes[live] = X[live, f_of[slot[live]]] <= low[slot[live]]
+        n_left = np.add.reduceat(goes[rows].astype(np.int64), starts)[where]
+        pair = np.stack([n_left, size[where] - n_left], axis=1).ravel()
+        new_starts = np.concatenate([[0], np.cumsum(pair)[:-1]])
+        for f in range(p):
+            idx = order[f][kept]
+            left = goes[idx]
+            s = rank[seg[kept]]
+            counted = np.cumsum(left)
+            base = np.concatenate([[0], counted])[new_starts[::2]]
+            left_rank = counted - base[s] - 1
+            place = np.arange(len(idx)) - new_starts[::2][s]
+            target = np.where(left, new_starts[::2][s] + left_rank, new_starts[1::2][s] + place - (left_rank + 1))
+            moved = np.empty_like(idx)
+            moved[target] = idx
+            order[f] = moved
+        left_keys, right_keys = _child_keys(keys[where])
+        keys = np.stack([left_keys, right_keys], axis=1).ravel()
+        ids = np.stack([child, child + 1], axis=1).ravel()
+        starts, size, depth = new_starts, pair, depth + 1
+    for name in ("feat", "thr_val", "left", "right", "value", "depth"):
+        out[name] = np.concatenate([lv[name] for lv in levels])
+    out["thr_bin"] = np.zeros(n_nodes)
+    return Tree(**out)
+
+
+# --------------------------------------- exact trees: nodes larger than a task
+
+
+class _Top:
+    """The part of a tree that jobs over the whole table grow: node lists on the driver."""
+
+    def __init__(self, key, n_rows: int):
+        self.feat, self.thr_val, self.left, self.right, self.value, self.depth = [-1], [0.0], [-1], [-1], [0.0], [0]
+        self.key, self.rows = [key], [n_rows]
+
+    def split(self, node: int, f: int, thr: float, rows: tuple[int, int]) -> tuple[int, int]:
+        first = len(self.feat)
+        for key, n in zip(_child_keys(self.key[node]), rows, strict=True):
+            self.feat.append(-1)
+            self.thr_val.append(0.0)
+            self.left.append(-1)
+            self.right.append(-1)
+            self.value.append(0.0)
+            self.depth.append(self.depth[node] + 1)
+            self.key.append(key[0])
+            self.rows.append(n)
+        self.feat[node], self.thr_val[node], self.left[node], self.right[node] = f, thr, first, first + 1
+        return first, first + 1
+
+    def tree(self) -> Tree:
+        return Tree(feat=self.feat, thr_val=self.thr_val, left=self.left, right=self.right, value=self.value, depth=self.depth, thr_bin=np.zeros(len(self.feat)))
+
+
+@dataclass
+class _Span:
+    """Rows of a node whose feature lies in [low, high], cut at ``cuts``, with what lies left of it."""
+
+    t: int
+    node: int
+    f: int
+    low: float
+    high: float
+    cuts: np.ndarray | None  # None: one cell per value
+    n: float = 0.0
+    before: np.ndarray = field(default_factory=lambda: np.zeros(4))  # weight, sum, count, rows
+
+
+CELL = ("w", "s", "c", "n")  # weight, weighted target, count, rows: summed per cell
+CELL_SCHEMA = "k long, bin long, x double, w double, s double, c double, n double, y0 double, y1 double, x0 double, x1 double"
+
+
+def _ordered_bits(x: float) -> int:
+    """Doubles as integers in the same order."""
+    b = int(np.float64(x).view(np.int64))
+    return b if b >= 0 else -(b & 0x7FFFFFFFFFFFFFFF)
+
+
+def _from_bits(b: int) -> float:
+    return float(np.int64(b).view(np.float64)) if b >= 0 else -float(np.int64(-b).view(np.float64))
+
+
+def _finer(low: float, high: float) -> np.ndarray:
+    """At most ``CUTS`` cuts in [low, high), evenly spread over the doubles between; a few passes reach single values."""
+    a, b = _ordered_bits(low), _ordered_bits(high)
+    return np.unique([_from_bits(a + (b - a) * j // (CUTS + 1)) for j in range(CUTS + 1)])
+
+
+class _TopPhase:
+    """Exact splits of nodes that do not fit a task."""
+
+    def __init__(self, data: DataFrame, p: int, spec: GrowSpec, rows_fn, weight_fn, shift: float):
+        self.data, self.p, self.spec, self.rows_fn, self.weight_fn, self.shift = data, p, spec, rows_fn, weight_fn, shift
+        self.edges = None
+
+    def coarse(self) -> list[np.ndarray]:
+        if self.edges is None:
+            probs = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+            self.edges = [np.unique(np.asarray(q, dtype=float)) for q in self.data.approxQuantile([f"x{j}" for j in range(self.p)], probs, 1e-3)]
+        return self.edges
+
+    def cells(self, tops: list[_Top], spans: list[_Span]) -> pd.DataFrame:
+        """Sums per (span, bin) or, where a span has no cuts, per (span, value)."""
+        p, rows_fn, weight_fn, shift = self.p, self.rows_fn, self.weight_fn, self.shift
+        trees = {s.t: tops[s.t].tree() for s in spans}
+        wanted: dict[int, dict[int, list]] = {}
+        for k, s in enumerate(spans):
+            wanted.setdefault(s.t, {}).setdefault(s.node, []).append((k, s.f, s.low, s.high, s.cuts))
 
         def summed(parts):
-            """Sums the gathered cells: sorted (tree, cell) keys and their G, H, C."""
-            key = np.concatenate([x[0] for x in parts], axis=1)
-            order = np.lexsort(key[::-1])
-            key, vals = key[:, order], np.concatenate([x[1] for x in parts], axis=1)[:, order]
-            first = np.flatnonzero(np.any(np.diff(key, axis=1, prepend=-1), axis=0))
-            return key[:, first], np.add.reduceat(vals, first, axis=1)
+            cols = [np.concatenate(c) for c in zip(*parts)]
+            order = np.lexsort((cols[2], cols[1], cols[0]))
+            cols = [c[order] for c in cols]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+            first = np.flatnonzero(new)
+            ops = [None, None, None, np.add, np.add, np.add, np.add, np.minimum, np.maximum, np.minimum, np.maximum]
+            return [c[first] if op is None else op.reduceat(c, first) for c, op in zip(cols, ops, strict=True)]
+
+        def look(X, y, h, rid):
+            for t, nodes in wanted.items():
+                count = weight_fn(rid, t)
+                used = np.flatnonzero(count > 0)
+                at = _walk(trees[t], X[used], on_bins=False)
+                order = np.argsort(at, kind="stable")
+                used, at = used[order], at[order]
+                for node, spans_here in nodes.items():
+                    a, z = np.searchsorted(at, [node, node + 1])
+                    rows = used[a:z]
+                    for k, f, low, high, cuts in spans_here if rows.size else ():
+                        x = X[rows, f]
+                        inside = np.flatnonzero((x >= low) & (x <= high))
+                        if not inside.size:
+                            continue
+                        x, r = x[inside], rows[inside]
+                        b = np.zeros(len(x), dtype=np.int64) if cuts is None else np.searchsorted(cuts, x, side="left")
+                        value = x if cuts is None else np.zeros(len(x))
+                        c = count[r]
+                        w = h[r] * c
+                        yield summed([(np.full(len(x), k), b, value, w, w * (y[r] - shift), c, np.ones(len(x)), y[r], y[r], x, x)])
 
         def part(batches):
-            # one partial histogram for the whole task, whatever its number of batches
-            parts, size = [], 0
-            for b in batches:
-                bins = np.column_stack([b.column(f"b{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(np.int64)
-                rowid = b.column("_rid").to_numpy(zero_copy_only=False)
-                g, h = grad_fn(b)
-                for t, arr in enumerate(tree_arrays):
-                    act = active_lists[t]
-                    if act.size == 0:
-                        continue
-                    w = weight_fn(rowid, t)
-                    node = _walk(arr, bins, on_bins=True)
-                    slot = np.minimum(np.searchsorted(act, node), act.size - 1)
-                    r = np.flatnonzero((act[slot] == node) & (w > 0))
-                    if not r.size:
-                        continue
-                    cells, inv = np.unique(((node[r][:, None] * p + np.arange(p)[None, :]) * B + bins[r]).ravel(), return_inverse=True)
-                    wr = np.repeat(w[r], p)
-                    vals = np.stack([np.bincount(inv, weights=x) for x in (np.repeat(g[r], p) * wr, np.repeat(h[r], p) * wr, wr)])
-                    parts.append((np.stack([np.full(cells.size, t, dtype=np.int64), cells]), vals))
-                    size += cells.size
-                if size > PARTIAL_CELLS:
+            held, parts, size = [], [], 0
+
+            def flush():
+                nonlocal parts
+                X, y, h, rid = (np.concatenate(c) for c in zip(*held))
+                parts += list(look(X, y, h, rid))
+                held.clear()
+                if parts:
                     parts = [summed(parts)]
-                    size = parts[0][0].shape[1]
-            if parts:
-                (t, key), (G, H, C) = summed(parts)
-                cols = [t, key // (p * B), (key // B) % p, key % B, G, H, C]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t", "node", "f", "bin", "G", "H", "C"])
 
-        return self.data.mapInArrow(part, "t long, node long, f long, bin long, G double, H double, C double")
+            for b in batches:
+                held.append((_matrix(b, p), *rows_fn(b), b.column("_rid").to_numpy(zero_copy_only=False)))
+                size += b.num_rows
+                if size >= CHUNK_ROWS:
+                    flush()
+                    size = 0
+            if held:
+                flush()
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=[c.split()[0] for c in CELL_SCHEMA.split(", ")])
+
+        low, high = [F.min(c).alias(c) for c in ("y0", "x0")], [F.max(c).alias(c) for c in ("y1", "x1")]
+        return self.data.mapInArrow(part, CELL_SCHEMA).groupBy("k", "bin", "x").agg(*[F.sum(c).alias(c) for c in CELL], *low, *high).orderBy("k", "bin", "x").toPandas()
+
+    def splits(self, tops: list[_Top], group: list[tuple[int, int]]) -> dict:
+        """(value, rows, best split or None) of every node of the group; a split is (feature, threshold, rows left)."""
+        spec = self.spec
+        random = spec.policy == "random"
+        edges = [np.empty(0)] * self.p if random else self.coarse()
+        spans = [_Span(t, node, f, -np.inf, np.inf, edges[f]) for t, node in group for f in range(self.p)]
+        first = self.cells(tops, spans)
+        by_span = dict(iter(first.groupby("k")))
+        facts: dict = {}
+        for k, s in enumerate(spans):
+            if s.f == 0:
+                own = by_span[k]
+                w, total, c, n = (float(own[x].sum()) for x in CELL)
+                stop = own["y0"].min() == own["y1"].max() or c < spec.min_samples_split or tops[s.t].depth[s.node] >= spec.depth_cap
+                facts[s.t, s.node] = {"w": w, "c": c, "n": n, "mean": total / w, "stop": stop, "found": []}
+        if random:
+            spans = [
+                _Span(s.t, s.node, s.f, -np.inf, np.inf, _drawn(own["x0"].to_numpy(), own["x1"].to_numpy(), _draw(tops[s.t].key[s.node], s.f)))
+                for s, own in ((s, by_span[k]) for k, s in enumerate(spans)) if not facts[s.t, s.node]["stop"] and own["x0"].iloc[0] < own["x1"].iloc[0]
+            ]
+            by_span = dict(iter(self.cells(tops, spans).groupby("k"))) if spans else {}
+        spans = [(s, by_span[k]) for k, s in enumerate(spans) if not facts[s.t, s.node]["stop"]]
+        while spans:
+            open_spans = [x for s, own in spans for x in self.search(s, own, facts[s.t, s.node])]
+            live = [s for s, bound in open_spans if not random and bound >= self.best(facts[s.t, s.node]) * (1 - 10 * TIE)]
+            spans = []
+            listed = sum(s.n for s in live) <= VALUE_ROWS
+            step = len(live) if listed else max(1, HIST_CELLS // (CUTS + 1))
+            for a in range(0, len(live), max(step, 1)):
+                some = live[a : a + step]
+                for s in some:
+                    s.cuts = None if listed else _finer(s.low, s.high)
+                by_span = dict(iter(self.cells(tops, some).groupby("k")))
+                spans += [(s, by_span[k]) for k, s in enumerate(some)]
+        out = {}
+        for at, fact in facts.items():
+            # ties as in ``grow_exact``: the lowest feature, then the lowest value among its own best
+            f_best = min((f for gain, f, *_ in fact["found"] if gain >= self.best(fact) * (1 - TIE)), default=None)
+            mine = [x for x in fact["found"] if x[1] == f_best]
+            found = sorted(x[2:] for x in mine if x[0] >= max(x[0] for x in mine) * (1 - TIE))
+            out[at] = (fact["mean"] + self.shift, (f_best, found[0][1], int(found[0][2])) if found else None)
+        return out
 
     @staticmethod
-    def summed(partials: DataFrame) -> DataFrame:
-        return partials.groupBy("t", "node", "f", "bin").agg(F.sum("G").alias("G"), F.sum("H").alias("H"), F.sum("C").alias("C"))
-
-    def candidates(self, hist: DataFrame, level_seed: int) -> DataFrame:
-        s = self.spec
-        lam = float(s.reg_lambda)
-        w_all = Window.partitionBy("t", "node", "f")
-        w_cum = w_all.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        h = (
-            hist.withColumn("Gt", F.sum("G").over(w_all))
-            .withColumn("Ht", F.sum("H").over(w_all))
-            .withColumn("Ct", F.sum("C").over(w_all))
-            .withColumn("GL", F.sum("G").over(w_cum))
-            .withColumn("HL", F.sum("H").over(w_cum))
-            .withColumn("CL", F.sum("C").over(w_cum))
-            .withColumn("minb", F.min("bin").over(w_all))
-            .withColumn("maxb", F.max("bin").over(w_all))
-        )
-        GR, HR, CR = F.col("Gt") - F.col("GL"), F.col("Ht") - F.col("HL"), F.col("Ct") - F.col("CL")
-        gain = (
-            F.col("GL") * F.col("GL") / (F.col("HL") + lam)
-            + GR * GR / (HR + lam)
-            - F.col("Gt") * F.col("Gt") / (F.col("Ht") + lam)
-        )
-        valid = (
-            (F.col("bin") < F.col("maxb"))
-            & (F.col("CL") >= s.min_samples_leaf)
-            & (CR >= s.min_samples_leaf)
-            & (F.col("HL") >= s.min_child_weight)
-            & (HR >= s.min_child_weight)
-            & (F.col("Ct") >= s.min_samples_split)
-        )
-        h = h.withColumn("rawgain", gain).withColumn("gain", F.when(valid, gain)).withColumn("valid", valid)
-        if s.policy == "random":
-            # one uniformly drawn threshold bin per (tree, node, feature)
-            pick = F.col("minb") + F.floor(_uniform_col(SEED, level_seed, "t", "node", "f") * (F.col("maxb") - F.col("minb")))
-            h = h.where(F.col("bin") <= pick).withColumn("_last", F.max("bin").over(w_all)).where(F.col("bin") == F.col("_last")).drop("_last")
-        if s.col_fraction < 1.0:
-            own = F.array(*[F.array(*map(F.lit, _columns_of_tree(level_seed, t, self.p, s.col_fraction))) for t in range(self.n_trees)])
-            # a node keeps its row when its tree has none of the column's splits, so that its value is set
-            h = h.withColumn("valid", F.col("valid") & F.array_contains(F.get(own, F.col("t").cast("int")), F.col("f").cast("int")))
-            h = h.withColumn("gain", F.when(F.col("valid"), F.col("gain")))
-        return h
-
-    def best_per_node(self, cand: DataFrame):
-        w = Window.partitionBy("t", "node").orderBy(F.col("valid").desc(), F.col("gain").desc_nulls_last(), "f", "bin")
-        best = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-        return best.select("t", "node", "f", "bin", "gain", "valid", "Gt", "Ht", "Ct", "GL", "HL").collect()
-
-    def best_symmetric(self, cand: DataFrame):
-        """One (feature, bin) per tree and level: maximise the gain summed over
-        the level's nodes.  A node's gain at threshold b is its gain at its
-        last non-empty bin ≤ b (0 before its first bin and past its last),
-        so every node's step function is densified on the shared grid."""
-        c = cand.select(
-            "t", "node", "f", "bin",
-            F.when(F.col("bin") < F.col("maxb"), F.coalesce("rawgain", F.lit(0.0))).otherwise(F.lit(0.0)).alias("g"),
-            (F.col("bin") < F.col("maxb")).cast("int").alias("can"),
-        )
-        grid = c.select("t", "f", "bin").distinct()
-        nodes = c.select("t", "node", "f").distinct()
-        dense = grid.join(nodes, ["t", "f"]).join(c, ["t", "node", "f", "bin"], "left")
-        w = Window.partitionBy("t", "node", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        dense = dense.withColumn("g", F.coalesce(F.last("g", ignorenulls=True).over(w), F.lit(0.0)))
-        g = dense.groupBy("t", "f", "bin").agg(F.sum("g").alias("gsum"), F.max(F.coalesce("can", F.lit(0))).alias("can"))
-        g = g.where(F.col("can") == 1)
-        wr = Window.partitionBy("t").orderBy(F.col("gsum").desc(), "f", "bin")
-        return g.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == 1).collect()
-
-    def node_totals(self, hist: DataFrame):
-        tot = hist.where(F.col("f") == 0).groupBy("t", "node").agg(F.sum("G").alias("Gt"), F.sum("H").alias("Ht"), F.sum("C").alias("Ct"))
-        return {(r["t"], r["node"]): (r["Gt"], r["Ht"], r["Ct"]) for r in tot.collect()}
-
-    def grow(self, n_trees: int, grad_fn, weight_fn, seed: int = 0) -> list[Tree]:
-        s = self.spec
-        lam = float(s.reg_lambda)
-
-        def leaf(G, H):
-            return -G / (H + lam) if H + lam > 0 else 0.0
-
-        trees = [Tree() for _ in range(n_trees)]
-        active = [{0} for _ in range(n_trees)]
-        leaves = [1] * n_trees
-        depth_cap = float("inf") if s.max_depth is None or s.max_depth < 0 else int(s.max_depth)
-        self.n_trees = n_trees
-        level = 0
-        while any(active) and level < depth_cap:
-            partials = self.histograms(trees, active, grad_fn, weight_fn)
-            cells = sum(len(a) for a in active) * self.p * self.B
-            # partial histograms are summed on the driver only when their
-            # total size (cells x input partitions) is bounded
-            local = cells * max(self.n_parts, 1) <= DRIVER_CELLS
-            hist = partials if local else self.summed(partials).persist()
-            try:
-                new_active = [set() for _ in range(n_trees)]
-                if local:
-                    search = _LocalSearch(partials.collect(), self.p, self.B, s, seed * 1000 + level)
-                if s.policy == "symmetric":
-                    totals = search.totals() if local else self.node_totals(hist)
-                    for (t, node), (G, H, C) in totals.items():
-                        trees[t].value[node] = leaf(G, H)
-                    best_sym = search.symmetric() if local else self.best_symmetric(self.candidates(hist, seed * 1000 + level))
-                    choice = {r["t"]: (r["f"], r["bin"], r["gsum"]) for r in best_sym}
-                    for t in range(n_trees):
-                        if t not in choice:  # oblivious trees grow to full depth
-                            continue
-                        f, b, _ = choice[t]
-                        thr = float(self.edges[f][b]) if b < len(self.edges[f]) else float("inf")
-                        for node in sorted(active[t]):
-                            l, r_ = trees[t].split(node, f, b, thr)
-                            new_active[t] |= {l, r_}
-                else:
-                    by_tree: dict[int, list] = {}
-                    best_rows = search.best() if local else self.best_per_node(self.candidates(hist, seed * 1000 + level))
-                    for r in best_rows:
-                        trees[r["t"]].value[r["node"]] = leaf(r["Gt"], r["Ht"])
-                        if r["valid"] and r["gain"] is not None and r["gain"] > 1e-12 * max(1.0, abs(r["Gt"])):
-                            by_tree.setdefault(r["t"], []).append(r)
-                    for t, rs in by_tree.items():
-                        rs.sort(key=lambda r: (-r["gain"], r["node"]))
-                        for r in rs:
-                            if s.max_leaf_nodes is not None and leaves[t] >= s.max_leaf_nodes:
-                                break
-                            f, b = r["f"], r["bin"]
-                            thr = float(self.edges[f][b]) if b < len(self.edges[f]) else float("inf")
-                            l, r_ = trees[t].split(r["node"], f, b, thr)
-                            trees[t].value[l] = leaf(r["GL"], r["HL"])
-                            trees[t].value[r_] = leaf(r["Gt"] - r["GL"], r["Ht"] - r["HL"])
-                            leaves[t] += 1
-                            new_active[t] |= {l, r_}
-            finally:
-                if not local:
-                    hist.unpersist()
-            active = new_active
-            level += 1
-        if s.policy == "symmetric" and any(active):
-            partials = self.histograms(trees, active, grad_fn, weight_fn)
-            cells = sum(len(a) for a in active) * self.p * self.B
-            if cells * max(self.n_parts, 1) <= DRIVER_CELLS:
-                totals = _LocalSearch(partials.collect(), self.p, self.B, s, 0).totals()
-            else:
-                totals = self.node_totals(self.summed(partials))
-            for (t, node), (G, H, C) in totals.items():
-                trees[t].value[node] = leaf(G, H)
-        return trees
-
-
-class _LocalSearch:
-    """Split search on a collected (size-checked) histogram with numpy;
-    same rules as the distributed window search."""
-
-    def __init__(self, rows, p: int, B: int, spec: GrowSpec, level_seed: int):
-        self.p, self.B, self.s, self.seed = p, B, spec, level_seed
-        self.nodes: dict = {}
-        for r in rows:
-            key = (r["t"], r["node"])
-            if key not in self.nodes:
-                self.nodes[key] = np.zeros((3, p, B))
-            a = self.nodes[key]
-            a[0, r["f"], r["bin"]] += r["G"]
-            a[1, r["f"], r["bin"]] += r["H"]
-            a[2, r["f"], r["bin"]] += r["C"]
-
-    def totals(self):
-        return {k: (a[0, 0].sum(), a[1, 0].sum(), a[2, 0].sum()) for k, a in self.nodes.items()}
-
-    def _gains(self, t, node, a):
-        s = self.s
-        lam = float(s.reg_lambda)
-        G, H, C = a
-        GL, HL, CL = np.cumsum(G, 1), np.cumsum(H, 1), np.cumsum(C, 1)
-        Gt, Ht, Ct = GL[:, -1:], HL[:, -1:], CL[:, -1:]
-        GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
-        nonempty = C > 0
-        bins = np.arange(self.B)[None, :]
-        maxb = np.where(nonempty, bins, -1).max(1, keepdims=True)
-        minb = np.where(nonempty, bins, self.B).min(1, keepdims=True)
+    def best(fact: dict) -> float:
+        return max((x[0] for x in fact["found"]), default=-1.0)
+
+    def search(self, s: _Span, own: pd.DataFrame, fact: dict) -> list[tuple[_Span, float]]:
+        """Notes the splits between the cells of a span and returns its cells that hold more, each with its bound."""
+        spec, W, C, N = self.spec, fact["w"], fact["c"], fact["n"]
+        w, total, c, n = (own[x].to_numpy() for x in CELL)
+        centred = total - fact["mean"] * w
+        sums = np.stack([w, centred, c, n])
+        upto = s.before[:, None] + np.cumsum(sums, axis=1)
+        x0, x1 = own["x0"].to_numpy(), own["x1"].to_numpy()
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = GL * GL / (HL + lam) + GR * GR / (HR + lam) - Gt * Gt / (Ht + lam)
-        valid = (
-            nonempty & (bins < maxb) & (CL >= s.min_samples_leaf) & (CR >= s.min_samples_leaf)
-            & (HL >= s.min_child_weight) & (HR >= s.min_child_weight) & (Ct >= s.min_samples_split)
-        )
-        if s.policy == "random":
-            keep = np.zeros_like(valid)
-            for f in range(self.p):
-                if maxb[f, 0] < 0:
-                    continue
-                u = _uniform(SEED, self.seed, t, node, f)
-                pick = minb[f, 0] + int(np.floor(u * (maxb[f, 0] - minb[f, 0])))
-                cand = np.nonzero(nonempty[f, : pick + 1])[0]
-                if cand.size:
-                    keep[f, cand[-1]] = True
-            valid &= keep
-        if s.col_fraction < 1.0:
-            mine = _columns_of_tree(self.seed, t, self.p, s.col_fraction)
-            valid[[f for f in range(self.p) if f not in mine]] = False
-        return gain, valid, (GL, HL), (Gt[0, 0], Ht[0, 0], Ct[0, 0])
-
-    def best(self):
-        out = []
-        for (t, node), a in sorted(self.nodes.items()):
-            gain, valid, (GL, HL), (Gt, Ht, Ct) = self._gains(t, node, a)
-            row = {"t": t, "node": node, "Gt": Gt, "Ht": Ht, "Ct": Ct, "valid": False, "gain": None, "f": 0, "bin": 0, "GL": 0.0, "HL": 0.0}
-            if valid.any():
-                g = np.where(valid, gain, -np.inf)
-                flat = int(np.argmax(g))  # first max: lowest feature, then lowest bin
-                f, b = divmod(flat, self.B)
-                row.update(valid=True, gain=float(g[f, b]), f=f, bin=b, GL=float(GL[f, b]), HL=float(HL[f, b]))
-            out.append(row)
+            gain = upto[1] ** 2 * W / (upto[0] * (W - upto[0]))
+        ok = (upto[2] >= spec.min_samples_leaf) & (C - upto[2] >= spec.min_samples_leaf) & (upto[3] < N) & (upto[0] > 0) & (upto[0] < W)
+        ok[-1] = False  # a span's last cell ends where the coarser pass has looked
+        i = np.flatnonzero(ok)
+        if i.size:
+            thr = np.nextafter(s.cuts[own["bin"].to_numpy()[i]], np.inf) if spec.policy == "random" else _threshold(x1[i], x0[i + 1])
+            keep = gain[i] >= max(self.best(fact), gain[i].max()) * (1 - 10 * TIE)
+            fact["found"] += [(float(g), s.f, float(x), float(b), float(m)) for g, x, b, m in zip(gain[i][keep], x1[i][keep], thr[keep], upto[3][i][keep], strict=True)]
+        wide = np.flatnonzero(x0 < x1)
+        if spec.policy == "random" or not wide.size:
+            return []
+        before = upto - sums
+        y0, y1 = own["y0"].to_numpy() - self.shift - fact["mean"], own["y1"].to_numpy() - self.shift - fact["mean"]
+        bound = np.full(len(w), -1.0)
+        span = np.maximum(y1 - y0, 1e-300)
+        corners = [(np.zeros_like(w), np.zeros_like(w)), (w, centred)]
+        k = np.clip((centred - w * y0) / span, 0, w)
+        corners.append((k, k * y1))
+        k = np.clip((w * y1 - centred) / span, 0, w)
+        corners.append((k, k * y0))
+        for k, part in corners:
+            left, moved = before[0] + k, before[1] + part
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bound = np.maximum(bound, np.where((left > 0) & (left < W), moved**2 * W / (left * (W - left)), np.where(np.abs(moved) > 0, np.inf, 0.0)))
+        # rounding of the sums must not hide a split
+        bound = bound * (1 + 1e-9) + 1e-12 * np.abs(fact["mean"]) ** 2
+        return [(_Span(s.t, s.node, s.f, x0[j], x1[j], None, float(n[j]), before[:, j].copy()), float(bound[j])) for j in wide]
+
+
+def _grow_exact_trees(data: DataFrame, p: int, n_rows: int, n_trees: int, spec: GrowSpec, rows_fn, weight_fn, seed: int = 0, shift: float = 0.0):
+    """Trees over ``data`` (x0.., _rid and what ``rows_fn`` reads): a list, or (tops, table of subtrees) beyond ``GATHER_NODES``."""
+    limit = max(2, SUBTREE_CELLS // (p + 4))
+    tops = [_Top(_root_key(seed, t), n_rows) for t in range(n_trees)]
+    big = [(t, 0) for t in range(n_trees) if n_rows > limit]
+    phase = _TopPhase(data, p, spec, rows_fn, weight_fn, shift)
+    done: set = set()
+    step = max(1, HIST_CELLS // (p * (CUTS + 1)))
+    while big:
+        found = {}
+        for a in range(0, len(big), step):
+            found |= phase.splits(tops, big[a : a + step])
+        big = []
+        for (t, node), (value, split) in found.items():
+            tops[t].value[node] = value
+            if split is None:
+                done.add((t, node))
+                continue
+            f, thr, n_left = split
+            for child in tops[t].split(node, f, thr, (n_left, tops[t].rows[node] - n_left)):
+                if tops[t].rows[child] > limit:
+                    big.append((t, child))
+    open_nodes = [(t, node) for t, top in enumerate(tops) for node, f in enumerate(top.feat) if f < 0 and (t, node) not in done]
+    trees = [top.tree() for top in tops]
+    if not open_nodes:
+        return trees, None
+    table = _subtrees(data, p, trees, tops, open_nodes, spec, rows_fn, weight_fn)
+    most = sum(min(2 * tops[t].rows[node], 2 ** min(spec.depth_cap - tops[t].depth[node] + 1, 60)) for t, node in open_nodes)
+    if most > GATHER_NODES:
+        table = materialize(table)
+        if table.agg(F.sum("n")).first()[0] > GATHER_NODES:
+            spark = data.sparkSession
+            ends = [(t, node, len(leaf), bytearray(leaf.pack())) for t, node in done for leaf in [Tree(value=[tops[t].value[node]], depth=[tops[t].depth[node]])]]
+            return trees, table.unionByName(spark.createDataFrame(ends, table.schema)) if ends else table
+    grown: dict[int, list] = {}
+    for r in table.collect():
+        grown.setdefault(r["t"], []).append((r["node"], Tree.unpack(r["n"], r["blob"])))
+    return [tree.graft(sorted(grown.get(t, []), key=lambda x: x[0])) for t, tree in enumerate(trees)], None
+
+
+def _subtrees(data: DataFrame, p: int, trees: list[Tree], tops: list[_Top], nodes: list[tuple[int, int]], spec: GrowSpec, rows_fn, weight_fn) -> DataFrame:
+    """t, node, n, blob: one subtree per open node, each grown in one task from at most ``SUBTREE_CELLS`` cells."""
+    open_by_tree: dict[int, np.ndarray] = {}
+    for t, node in nodes:
+        open_by_tree.setdefault(t, []).append(node)
+    open_by_tree = {t: np.array(sorted(v)) for t, v in open_by_tree.items()}
+    names = ["t", "node", "_rid", "y", "w", "c", *[f"x{j}" for j in range(p)]]
+    sent = data.sparkSession.sparkContext.broadcast(({t: trees[t] for t in open_by_tree}, {(t, node): (tops[t].key[node], tops[t].depth[node]) for t, node in nodes}))
+
+    def route(batches):
+        walked = sent.value[0]
+        for b in batches:
+            X, (y, h), rid = _matrix(b, p), rows_fn(b), b.column("_rid").to_numpy(zero_copy_only=False)
+            for t, mine in open_by_tree.items():
+                count = weight_fn(rid, t)
+                node = _walk(walked[t], X, on_bins=False)
+                r = np.flatnonzero((count > 0) & np.isin(node, mine))
+                if r.size:
+                    cols = [np.full(len(r), t, dtype=np.int64), node[r], rid[r], y[r], (h * count)[r], count[r].astype(float), *[X[r, j] for j in range(p)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    def grow(table: pa.Table) -> list:
+        t, node = table["t"][0].as_py(), table["node"][0].as_py()
+        order = np.argsort(table["_rid"].to_numpy(), kind="stable")  # sums in one order, whatever the partitioning
+        cols = [table[c].to_numpy()[order] for c in names[3:]]
+        key, depth = sent.value[1][t, node]
+        tree = grow_exact(np.column_stack(cols[3:]), *cols[:3], spec, depth, key)
+        return [pa.array([t]), pa.array([node]), pa.array([len(tree)]), pa.array([tree.pack()], pa.binary())]
+
+    out = ["t", "node", "n", "blob"]
+    if len(nodes) == 1:  # one group: no shuffle is needed to bring it together
+
+        def whole(batches):
+            found = list(route(batches))
+            if found:
+                yield pa.RecordBatch.from_arrays(grow(pa.Table.from_batches(found)), names=out)
+
+        return data.coalesce(1).mapInArrow(whole, "t long, node long, n long, blob binary")
+    spark = data.sparkSession
+    rows = sum(tops[t].rows[node] for t, node in nodes)
+    limit = max(2, SUBTREE_CELLS // (p + 4))
+    parts = min(len(nodes), max(4 * spark.sparkContext.defaultParallelism, ceil(rows / limit)))
+    routed = data.mapInArrow(route, "t long, node long, _rid long, y double, w double, c double, " + ", ".join(f"x{j} double" for j in range(p)))
+    return routed.repartition(parts, "t", "node").groupBy("t", "node").applyInArrow(lambda g: pa.Table.from_arrays(grow(g), names=out), "t long, node long, n long, blob binary")
+
+
+# ------------------------------------------------------------ histogram trees
+
+
+def _uniform(*key: int) -> float:
+    """A uniform draw from the first 32 bits of the MD5 of the key."""
+    return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) / float(1 << 32)
+
+
+def _columns_of_tree(level_seed: int, tree: int, p: int, fraction: float) -> list[int]:
+    """Exactly ceil(fraction * p) columns: those with the smallest draws for this tree."""
+    draw = sorted((_uniform(SEED, level_seed // 1000, tree, f), f) for f in range(p))
+    return sorted(f for _, f in draw[: max(1, ceil(fraction * p - 1e-9))])
+
+
+def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: list[int], n_bins: int) -> np.ndarray:
+    """Sums of g, h and rows per (node of ``nodes``, feature, bin): an array (nodes, 3, p, bins)."""
+    p, k = bins.shape[1], len(nodes)
+    by_id = np.argsort(nodes)
+    sorted_nodes = np.asarray(nodes)[by_id]
+    slot = np.minimum(np.searchsorted(sorted_nodes, node), k - 1)
+    r = np.flatnonzero(sorted_nodes[slot] == node)
+    cell = ((by_id[slot[r]][:, None] * p + np.arange(p)) * n_bins + bins[r]).ravel()
+    sums = [np.bincount(cell, weights=None if v is None else np.repeat(v[r], p), minlength=k * p * n_bins) for v in (g, h, None)]
+    return np.stack([s.astype(float).reshape(k, p, n_bins) for s in sums], axis=1)
+
+
+class _LocalHistograms:
+    """Histograms of rows that one task holds."""
+
+    def __init__(self, bins, g, h, n_bins):
+        self.bins, self.g, self.h, self.n_bins = bins, g, h, n_bins
+
+    def __call__(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+        return histograms(self.bins, self.g, self.h, _walk(tree, self.bins, on_bins=True), nodes, self.n_bins)
+
+
+class _SparkHistograms:
+    """Histograms by one job: a task sums its rows into one partial histogram, Spark sums the cells that are not empty."""
+
+    def __init__(self, data: DataFrame, p: int, n_bins: int, grad_fn):
+        self.data, self.p, self.n_bins, self.grad_fn = data, p, n_bins, grad_fn
+
+    def partials(self, tree: Tree, nodes: list[int]) -> DataFrame:
+        p, n_bins, grad_fn = self.p, self.n_bins, self.grad_fn
+
+        def part(batches):
+            total = None
+            for b in batches:
+                bins = _matrix(b, p, "b").astype(np.int64)
+                g, h = grad_fn(b)
+                own = histograms(bins, g, h, _walk(tree, bins, on_bins=True), nodes, n_bins)
+                total = own if total is None else total + own
+            if total is not None:
+                cells = np.moveaxis(total, 1, -1).reshape(-1, 3)
+                full = np.flatnonzero(cells[:, 2] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(full), *[pa.array(cells[full, i]) for i in range(3)]], names=["cell", "G", "H", "C"])
+
+        return self.data.mapInArrow(part, "cell long, G double, H double, C double")
+
+    def __call__(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+        out = np.zeros((len(nodes), 3, self.p, self.n_bins))
+        step = max(1, HIST_CELLS // (self.p * self.n_bins))
+        for a in range(0, len(nodes), step):
+            some = nodes[a : a + step]
+            rows = self.partials(tree, some).groupBy("cell").agg(F.sum("G").alias("G"), F.sum("H").alias("H"), F.sum("C").alias("C")).toPandas()
+            cells = np.zeros((len(some) * self.p * self.n_bins, 3))
+            cells[rows["cell"].to_numpy()] = rows[["G", "H", "C"]].to_numpy()
+            out[a : a + step] = np.moveaxis(cells.reshape(len(some), self.p, self.n_bins, 3), -1, 1)
         return out
 
-    def symmetric(self):
-        by_tree: dict[int, np.ndarray] = {}
-        can: dict[int, np.ndarray] = {}
-        bins = np.arange(self.B)[None, :]
-        for (t, node), a in self.nodes.items():
-            gain, _, _, _ = self._gains(t, node, a)
-            C = a[2]
-            maxb = np.where(C > 0, bins, -1).max(1, keepdims=True)
-            minb = np.where(C > 0, bins, self.B).min(1, keepdims=True)
-            g = np.where(bins < maxb, np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
-            by_tree[t] = by_tree.get(t, 0) + g
-            can[t] = can.get(t, False) | ((bins >= minb) & (bins < maxb))
-        out = []
-        for t, g in by_tree.items():
-            if not can[t].any():
+
+def _gains(hist: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain of splitting behind each bin, and sums up to each bin and in total (3, p, ...)."""
+    upto = np.cumsum(hist, axis=2)
+    total = upto[:, :, -1:]
+    (GL, HL, _), (GR, HR, _), (G, H, _) = upto, total - upto, total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = GL * GL / (HL + lam) + GR * GR / (HR + lam) - G * G / (H + lam)
+    return gain, upto, total
+
+
+def _best_split(hist: np.ndarray, spec: GrowSpec, columns: list[int]):
+    """(gain, feature, bin, sums left, sums of the node) of a node; gain is None where no split is allowed."""
+    gain, upto, total = _gains(hist, float(spec.reg_lambda))
+    rest = total - upto
+    bins = np.arange(hist.shape[2])[None, :]
+    filled = hist[2] > 0
+    last = np.where(filled, bins, -1).max(axis=1, keepdims=True)
+    ok = filled & (bins < last) & (upto[2] >= spec.min_samples_leaf) & (rest[2] >= spec.min_samples_leaf)
+    ok &= (upto[1] >= spec.min_child_weight) & (rest[1] >= spec.min_child_weight) & (total[2] >= spec.min_samples_split)
+    ok[[f for f in range(hist.shape[1]) if f not in columns]] = False
+    node = total[:, 0, 0]
+    if not ok.any():
+        return None, 0, 0, None, node
+    found = np.where(ok, gain, -np.inf)
+    top = found.max()
+    f, b = divmod(int(np.argmax(found >= top - TIE * abs(top))), hist.shape[2])  # ties: lowest feature, then lowest bin
+    return (float(found[f, b]) if found[f, b] > 1e-12 * max(1.0, abs(node[0])) else None), f, b, upto[:, f, b], node
+
+
+def _symmetric_split(hists: np.ndarray, spec: GrowSpec):
+    """The (feature, bin) with the largest sum of gains over a level's nodes; None where no column can be cut."""
+    score, can = 0.0, False
+    bins = np.arange(hists.shape[3])[None, :]
+    for hist in hists:
+        gain, _, _ = _gains(hist, float(spec.reg_lambda))
+        filled = hist[2] > 0
+        last = np.where(filled, bins, -1).max(axis=1, keepdims=True)
+        first = np.where(filled, bins, hist.shape[2]).min(axis=1, keepdims=True)
+        score = score + np.where(bins < last, np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
+        can = can | ((bins >= first) & (bins < last))
+    if not can.any():
+        return None
+    found = np.where(can, score, -np.inf)
+    top = found.max()
+    return divmod(int(np.argmax(found >= top - TIE * abs(top))), hists.shape[3])
+
+
+def grow_hist(source, spec: GrowSpec, edges: list[np.ndarray], p: int, seed: int = 0) -> Tree:
+    """One histogram tree; ``source(tree, nodes)`` gives the nodes' histograms.
+
+    Nodes are named by path (root 1, children 2i and 2i + 1). ``known`` holds a
+    node's best split once its histogram was seen; ``splits`` what the tree is
+    made of.
+    """
+    lam = float(spec.reg_lambda)
+    columns = _columns_of_tree(seed * 1000, 0, p, spec.col_fraction) if spec.col_fraction < 1.0 else list(range(p))
+
+    def leaf(sums) -> float:
+        return -sums[0] / (sums[1] + lam) if sums[1] + lam > 0 else 0.0
+
+    def build(splits: dict, sums: dict) -> tuple[Tree, dict]:
+        cols = {name: [] for name, _, _ in Tree.FIELDS}
+        order = [1]
+        for path in order:
+            if path in splits:
+                order += [2 * path, 2 * path + 1]
+        at = {path: i for i, path in enumerate(order)}
+        for path in order:
+            f, b = splits.get(path, (-1, 0))
+            cols["feat"].append(f)
+            cols["thr_bin"].append(b)
+            cols["thr_val"].append((edges[f][b] if b < len(edges[f]) else np.inf) if f >= 0 else 0.0)
+            cols["left"].append(at.get(2 * path, -1))
+            cols["right"].append(at.get(2 * path + 1, -1))
+            cols["value"].append(leaf(sums[path]))
+            cols["depth"].append(path.bit_length() - 1)
+        return Tree(**cols), at
+
+    def look(splits: dict, sums: dict, parents: list[int], hists: dict) -> dict:
+        """Histograms of the parents' children: the one with fewer rows is counted, the other is the difference."""
+        tree, at = build(splits, sums)
+        fewer = [2 * q if sums[2 * q][2] <= sums[2 * q + 1][2] else 2 * q + 1 for q in parents]
+        counted = source(tree, [at[c] for c in fewer])
+        return {x: y for q, c, own in zip(parents, fewer, counted, strict=True) for x, y in ((c, own), (c ^ 1, hists[q] - own))}
+
+    hists = {1: source(Tree(), [0])[0]}
+    sums = {1: hists[1][:, 0].sum(axis=1)}
+    splits: dict = {}
+    if spec.policy == "symmetric":
+        level, depth = [1], 0
+        while depth < spec.depth_cap:
+            choice = _symmetric_split(np.stack([hists[q] for q in level]), spec)
+            if choice is None:
+                break
+            f, b = choice
+            for q in level:
+                splits[q] = choice
+                sums[2 * q] = hists[q][:, f, : b + 1].sum(axis=1)
+                sums[2 * q + 1] = hists[q][:, f, b + 1 :].sum(axis=1)
+            depth += 1
+            if depth < spec.depth_cap:
+                hists = look(splits, sums, level, hists)
+            level = [c for q in level for c in (2 * q, 2 * q + 1)]
+        return build(splits, sums)[0]
+
+    known = {1: _best_split(hists[1], spec, columns)}
+    budget = spec.max_leaf_nodes if spec.max_leaf_nodes is not None else float("inf")
+    while True:
+        # the heap: leaves by gain; a leaf whose children are not known yet may be split, its children wait
+        splits, leaves, frontier, unknown = {}, 1, [1], []
+        while frontier and leaves < budget:
+            q = min(frontier, key=lambda x: (-(known[x][0] or 0.0), x.bit_length(), x))
+            frontier.remove(q)
+            gain, f, b, left, node = known[q]
+            if gain is None or q.bit_length() > spec.depth_cap:
                 continue
-            masked = np.where(can[t], g, -np.inf)
-            flat = int(np.argmax(masked))  # first max: lowest feature, then lowest bin
-            f, b = divmod(flat, self.B)
-            out.append({"t": t, "f": f, "bin": b, "gsum": float(g[f, b])})
-        return out
+            splits[q] = (f, b)
+            sums[2 * q], sums[2 * q + 1] = left, node - left
+            leaves += 1
+            if 2 * q in known:
+                frontier += [2 * q, 2 * q + 1]
+            elif q.bit_length() < spec.depth_cap:
+                unknown.append(q)
+        if not unknown or leaves - len(unknown) >= budget:
+            break
+        seen = look(splits, sums, unknown, hists)
+        hists |= seen
+        known |= {c: _best_split(own, spec, columns) for c, own in seen.items()}
+    return build(splits, sums)[0]
 
 
 # ----------------------------------------------------------------- driver
 
 
-def _prepare(df: DataFrame, features, target: str, max_bins: int, weight: str | None = None):
-    edges = bin_edges(df, features, max_bins)
-    extra = [F.col(weight).cast("double").alias("_w")] if weight else []
-    # row ids for the seeded bootstrap must not depend on partitioning: the
-    # pipeline's row index when present, else a hash of the row's values
+def _rows(df: DataFrame, features, target: str, binned: bool, max_bins: int = 255):
+    """The table that trees grow on, with row ids that do not depend on partitioning, its bin edges and row count."""
+    # the pipeline's row index when present, else a hash of the row's values
     rid = F.col("idx").cast("long") if "idx" in df.columns else F.xxhash64(*[F.col(f) for f in features], F.col(target))
-    src = df.select(*[F.col(f) for f in features], F.col(target).cast("double").alias("_y"), *extra, rid.alias("_rid"))
-    binned = materialize(_binned(src, features, edges).drop(*features))
-    # every tree level scans this table: about ROWS_PER_PART binned rows per
-    # task (a few ints + doubles per row), never more tasks than partitions
-    parts = max(1, min(binned.rdd.getNumPartitions(), ceil(binned.count() / ROWS_PER_PART)))
-    if parts < binned.rdd.getNumPartitions():
-        binned = binned.coalesce(parts)
-    n_bins = max(len(e) for e in edges) + 1 if edges else 1
-    return binned, edges, n_bins
+    y = F.col(target).cast("double").alias("_y")
+    if binned:
+        edges = bin_edges(df, features, max_bins)
+        data = _binned(df.select(*[F.col(f) for f in features], y, rid.alias("_rid")), features, edges).drop(*features)
+    else:
+        edges = []
+        data = df.select(*[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)], y, rid.alias("_rid"))
+    data = materialize(data)
+    n = data.count()
+    parts = max(1, min(data.rdd.getNumPartitions(), ceil(n / ROWS_PER_PART)))
+    return (data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data), edges, n
 
 
-def _col(b, name):
-    return b.column(name).to_numpy(zero_copy_only=False).astype(float)
+def _ones(rid: np.ndarray, t: int) -> np.ndarray:
+    return np.ones(rid.shape[0])
 
 
-def _forest(df, features, target, n_trees, spec: GrowSpec, bootstrap: float | None, max_bins: int, seed: int = SEED):
-    binned, edges, nb = _prepare(df, features, target, max_bins)
-    grower = _Grower(binned, features, edges, spec, nb)
+def _plain(b):
+    y = _col(b, "_y")
+    return y, np.ones_like(y)
 
-    def grad(b):
-        y = _col(b, "_y")
-        return -y, np.ones_like(y)
 
-    def weight(rowid, t):
-        if bootstrap is None:
-            return np.ones(rowid.shape[0])
-        return _poisson_counts(_row_uniform(rowid, t, seed), bootstrap)
+def _forest(df, features, target, n_trees, spec: GrowSpec, bootstrap: float | None, seed: int = SEED):
+    data, _, n = _rows(df, features, target, binned=False)
+    p = len(features)
+
+    def weight(rid, t):
+        return _ones(rid, t) if bootstrap is None else _poisson_counts(_row_uniform(rid, t, seed), bootstrap)
 
-    trees = grower.grow(n_trees, grad, weight, seed=seed)
-    return TreeEnsemble(list(features), trees, [1.0] * len(trees), 0.0, "mean")
+    shift = float(data.agg(F.avg("_y")).first()[0]) if n * (p + 4) > SUBTREE_CELLS else 0.0
+    trees, table = _grow_exact_trees(data, p, n, n_trees, spec, _plain, weight, seed, shift)
+    return TreeEnsemble(list(features), trees, [1.0] * len(trees), 0.0, "mean", subtrees=table)
 
 
-def _holdout(binned: DataFrame, fraction: float) -> DataFrame:
+def _holdout(data: DataFrame, fraction: float) -> DataFrame:
     """Flag an exact ceil(fraction·n) validation share by the seeded-hash rank."""
     from .sampling import shuffled_index
 
-    ix = shuffled_index(binned, "_rid", idx_col="_vrank")
+    ix = shuffled_index(data, "_rid", idx_col="_vrank")
     n_val = ceil(ix.n * fraction)
     return materialize(ix.df.withColumn("_val", F.col("_vrank") < n_val).drop("_vrank"))
 
 
+def _running(b, pending: list[Tree], lr: float, p: int, binned: bool) -> np.ndarray:
+    """The prediction so far: column ``_F`` and the trees that are not folded into it yet."""
+    out = _col(b, "_F")
+    if pending:
+        cols = _matrix(b, p, "b" if binned else "x")
+        for tree in pending:
+            out = out + lr * tree.value[_walk(tree, cols, on_bins=binned)]
+    return out
+
+
 def _validation_loss(base: DataFrame, pending, lr, p) -> float:
     """½·mean squared error on the held-out rows for the current ensemble."""
-    arrays = [t.arrays() for t in pending]
 
     def run(batches):
         acc, cnt = 0.0, 0.0
         for b in batches:
-            bins = np.column_stack([b.column(f"b{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(np.int64)
-            Fv = _col(b, "_F")
-            for arr in arrays:
-                Fv = Fv + lr * arr[5][_walk(arr, bins, on_bins=True)]
-            r = _col(b, "_y") - Fv
+            r = _col(b, "_y") - _running(b, pending, lr, p, binned=True)
             acc += float(r @ r)
             cnt += r.size
         yield pa.RecordBatch.from_arrays([pa.array([acc]), pa.array([cnt])], names=["s", "n"])
@@ -625,36 +1072,54 @@ def _should_stop(scores: list, n_iter_no_change: int, tol: float) -> bool:
     return not any(sc > reference for sc in scores[-ref_pos + 1 :])
 
 
-def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int, init: str = "mean", seed: int = SEED,
-           early_stopping: dict | None = None):
-    binned, edges, nb = _prepare(df, features, target, max_bins)
+def _hist_tree(data: DataFrame, p: int, n_rows: int, n_bins: int, edges, spec: GrowSpec, grad_fn, seed: int) -> Tree:
+    """One histogram tree: in one task where all rows fit it, else by one job per step."""
+    if n_rows * (p + 4) > SUBTREE_CELLS:
+        return grow_hist(_SparkHistograms(data, p, n_bins, grad_fn), spec, edges, p, seed)
+
+    def whole(batches):
+        parts = [(_matrix(b, p, "b").astype(np.int64), *grad_fn(b), b.column("_rid").to_numpy(zero_copy_only=False)) for b in batches]
+        if parts:
+            bins, g, h, rid = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(rid, kind="stable")
+            tree = grow_hist(_LocalHistograms(bins[order], g[order], h[order], n_bins), spec, edges, p, seed)
+            yield pa.RecordBatch.from_arrays([pa.array([len(tree)]), pa.array([tree.pack()], pa.binary())], names=["n", "blob"])
+
+    found = data.coalesce(1).mapInArrow(whole, "n long, blob binary").first()
+    return Tree.unpack(found["n"], found["blob"]) if found else Tree()
+
+
+def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int | None, init: str = "mean", seed: int = SEED, early_stopping: dict | None = None):
+    """Least-squares boosting; ``max_bins`` None grows exact trees."""
+    binned, p = max_bins is not None, len(features)
+    data, edges, n = _rows(df, features, target, binned, max_bins or 0)
+    n_bins = max((len(e) for e in edges), default=0) + 1
     if early_stopping:
-        binned = _holdout(binned, early_stopping["validation_fraction"])
-        train_rows = binned.where(~F.col("_val"))
+        data = _holdout(data, early_stopping["validation_fraction"])
+        train_rows = data.where(~F.col("_val"))
     else:
-        train_rows = binned
+        train_rows = data
     f0 = float(train_rows.agg(F.avg("_y")).first()[0]) if init == "mean" else 0.0
-    base = binned.withColumn("_F", F.lit(f0))
+    base = data.withColumn("_F", F.lit(f0))
     trees: list[Tree] = []
     pending: list[Tree] = []  # trees not yet folded into _F
-    p = len(features)
     scores = [-_validation_loss(base, [], lr, p)] if early_stopping else []
 
     for k in range(n_rounds):
-        recent = [t.arrays() for t in pending]
 
-        def grad(b, recent=recent):
-            y = _col(b, "_y")
-            Fv = _col(b, "_F")
-            if recent:
-                bins = np.column_stack([b.column(f"b{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(np.int64)
-                for arr in recent:
-                    Fv = Fv + lr * arr[5][_walk(arr, bins, on_bins=True)]
-            return Fv - y, np.ones_like(y)
+        def residual(b, pending=tuple(pending)):
+            r = _col(b, "_y") - _running(b, pending, lr, p, binned)
+            return r, np.ones_like(r)
+
+        def grad(b, residual=residual):
+            r, one = residual(b)
+            return -r, one
 
         grow_on = base.where(~F.col("_val")) if early_stopping else base
-        grower = _Grower(grow_on, features, edges, spec, nb)
-        tree = grower.grow(1, grad, lambda rowid, t: np.ones(rowid.shape[0]), seed=seed + k)[0]
+        if binned:
+            tree = _hist_tree(grow_on, p, n, n_bins, edges, spec, grad, seed + k)
+        else:
+            tree = _grow_exact_trees(grow_on, p, n, 1, spec, residual, _ones, seed + k)[0][0]
         trees.append(tree)
         pending.append(tree)
         if early_stopping:
@@ -662,7 +1127,7 @@ def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int, in
             if _should_stop(scores, early_stopping["n_iter_no_change"], early_stopping["tol"]):
                 break
         if len(pending) >= REFRESH and k < n_rounds - 1:
-            base = _fold_in(base, pending, lr, p)
+            base = _fold_in(base, pending, lr, p, binned)
             pending = []
     model = TreeEnsemble(list(features), trees, [lr] * len(trees), f0, "sum")
     if early_stopping:
@@ -670,53 +1135,42 @@ def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int, in
     return model
 
 
-def _fold_in(base: DataFrame, pending, lr, p) -> DataFrame:
-    arrays = [t.arrays() for t in pending]
-    schema = base.schema
+def _fold_in(base: DataFrame, pending, lr, p, binned: bool) -> DataFrame:
+    pending = tuple(pending)
 
     def upd(batches):
         for b in batches:
-            bins = np.column_stack([b.column(f"b{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(np.int64)
-            Fv = _col(b, "_F")
-            for arr in arrays:
-                Fv = Fv + lr * arr[5][_walk(arr, bins, on_bins=True)]
-            cols = [b.column(n) if n != "_F" else pa.array(Fv) for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            F_new = _running(b, pending, lr, p, binned)
+            yield pa.RecordBatch.from_arrays([b.column(c) if c != "_F" else pa.array(F_new) for c in b.schema.names], names=b.schema.names)
 
-    return materialize(base.mapInArrow(upd, schema))
+    return materialize(base.mapInArrow(upd, base.schema))
 
 
 # ------------------------------------------------------ registry entries
 
 
-def decision_tree_fit(df, features, target, max_depth=None, min_samples_split=2, max_bins=255, **_):
-    spec = GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split)
-    return _forest(df, features, target, 1, spec, None, max_bins)
+def decision_tree_fit(df, features, target, max_depth=None, min_samples_split=2, **_):
+    return _forest(df, features, target, 1, GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split), None)
 
 
-def extra_tree_fit(df, features, target, max_depth=None, min_samples_split=2, max_bins=255, **_):
-    spec = GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split, policy="random")
-    return _forest(df, features, target, 1, spec, None, max_bins)
+def extra_tree_fit(df, features, target, max_depth=None, min_samples_split=2, **_):
+    return _forest(df, features, target, 1, GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split, policy="random"), None)
 
 
-def random_forest_fit(df, features, target, n_estimators=100, max_depth=None, min_samples_split=2, max_bins=255, **_):
-    spec = GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split)
-    return _forest(df, features, target, int(n_estimators), spec, 1.0, max_bins)
+def random_forest_fit(df, features, target, n_estimators=100, max_depth=None, min_samples_split=2, **_):
+    return _forest(df, features, target, int(n_estimators), GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split), 1.0)
 
 
-def extra_trees_fit(df, features, target, n_estimators=100, max_depth=None, min_samples_split=2, max_bins=255, **_):
-    spec = GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split, policy="random")
-    return _forest(df, features, target, int(n_estimators), spec, None, max_bins)
+def extra_trees_fit(df, features, target, n_estimators=100, max_depth=None, min_samples_split=2, **_):
+    return _forest(df, features, target, int(n_estimators), GrowSpec(max_depth=max_depth, min_samples_split=min_samples_split, policy="random"), None)
 
 
-def bagging_fit(df, features, target, n_estimators=10, max_samples=1.0, max_bins=255, **_):
-    spec = GrowSpec(max_depth=None)
-    return _forest(df, features, target, int(n_estimators), spec, float(max_samples), max_bins)
+def bagging_fit(df, features, target, n_estimators=10, max_samples=1.0, **_):
+    return _forest(df, features, target, int(n_estimators), GrowSpec(), float(max_samples))
 
 
-def gradient_boosting_fit(df, features, target, n_estimators=100, learning_rate=0.1, max_depth=3, max_bins=255, **_):
-    spec = GrowSpec(max_depth=max_depth, min_samples_split=2)
-    return _boost(df, features, target, int(n_estimators), float(learning_rate), spec, max_bins)
+def gradient_boosting_fit(df, features, target, n_estimators=100, learning_rate=0.1, max_depth=3, **_):
+    return _boost(df, features, target, int(n_estimators), float(learning_rate), GrowSpec(max_depth=max_depth), None)
 
 
 def hist_gradient_boosting_fit(df, features, target, max_iter=100, learning_rate=0.1, max_leaf_nodes=31, max_depth=None,

@@ -202,21 +202,6 @@ def test_mlp_gradient_matches_finite_differences():
         assert np.allclose(g, num, atol=1e-4)
 
 
-@pytest.mark.parametrize("fit,kw", [
-    (TR.decision_tree_fit, {"max_depth": 4}),
-    (TR.extra_tree_fit, {"max_depth": 3}),
-    (TR.lightgbm_fit, {"n_estimators": 2, "num_leaves": 5, "min_child_samples": 5}),
-    (TR.catboost_fit, {"iterations": 2, "depth": 3}),
-    (TR.xgboost_fit, {"n_estimators": 2, "max_depth": 3}),
-])
-def test_distributed_split_search_equals_driver_search(small, fit, kw, monkeypatch):
-    df, X, y = small
-    local = fit(df, ["a", "b"], "y", **kw)
-    monkeypatch.setattr(TR, "DRIVER_CELLS", 0)  # force the Spark window path
-    dist = fit(df, ["a", "b"], "y", **kw)
-    assert np.allclose(local.predict_numpy(X), dist.predict_numpy(X))
-
-
 def test_early_stopping_rule_and_holdout(small):
     assert not TR._should_stop([-3.0, -2.0, -1.0], 2, 1e-7)
     assert TR._should_stop([-1.0, -1.0, -1.0], 2, 1e-7)

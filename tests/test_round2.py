@@ -75,19 +75,13 @@ def test_a_task_returns_one_partial_histogram(spark):
         rng = np.random.default_rng(1)
         df = spark.createDataFrame(pd.DataFrame({"b0": rng.integers(0, 4, 1000), "b1": rng.integers(0, 3, 1000), "_y": rng.normal(size=1000), "_rid": np.arange(1000)})).coalesce(1)
         df = df.selectExpr("cast(b0 as int) b0", "cast(b1 as int) b1", "_y", "_rid")
-        grower = trees._Grower(df, ["a", "b"], [np.arange(3.0), np.arange(2.0)], trees.GrowSpec(), 4)
-        y = lambda b: (-b.column("_y").to_numpy(), np.ones(b.num_rows))
-        rows = grower.histograms([trees.Tree()], [{0}], y, lambda r, t: np.ones(len(r))).collect()
+        grad = lambda b: (-b.column("_y").to_numpy(), np.ones(b.num_rows))
+        rows = trees._SparkHistograms(df, 2, 4, grad).partials(trees.Tree(), [0]).collect()
         assert len(rows) == 7 and sum(r["C"] for r in rows) == 2000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_spark_and_python_draw_the_same(spark):
-    df = spark.createDataFrame([(t, n) for t in range(3) for n in range(4)], "t long, node long").withColumn("u", trees._uniform_col(42, 9, "t", "node"))
-    assert all(r["u"] == trees._uniform(42, 9, r["t"], r["node"]) for r in df.collect())
-
-
 def test_digamma_series():
     n = np.array([1, 2, 10, 64, 65, 1000, 10**9])
     exact = [sum(1.0 / k for k in range(1, m)) - neighbors.EULER for m in n[:-1]]
