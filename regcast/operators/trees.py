@@ -799,43 +799,53 @@ def _columns_of_tree(level_seed: int, tree: int, p: int, fraction: float) -> lis
     return sorted(f for _, f in draw[: max(1, ceil(fraction * p - 1e-9))])
 
 
-def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: list[int], n_bins: int) -> np.ndarray:
-    """Sums of g, h and rows per (node of ``nodes``, feature, bin): an array (nodes, 3, p, bins)."""
-    p, k = bins.shape[1], len(nodes)
+def _offsets(edges: list[np.ndarray]) -> np.ndarray:
+    """Where each feature's bins start in a row of cells; the last entry is their number."""
+    return np.concatenate([[0], np.cumsum([len(e) + 1 for e in edges])]).astype(np.int64)
+
+
+def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: list[int], offsets: np.ndarray) -> np.ndarray:
+    """Sums of g, h and rows per (node of ``nodes``, cell): an array (nodes, 3, cells); a cell is a bin of a feature."""
+    k = len(nodes)
     by_id = np.argsort(nodes)
     sorted_nodes = np.asarray(nodes)[by_id]
     slot = np.minimum(np.searchsorted(sorted_nodes, node), k - 1)
     r = np.flatnonzero(sorted_nodes[slot] == node)
-    cell = ((by_id[slot[r]][:, None] * p + np.arange(p)) * n_bins + bins[r]).ravel()
-    sums = [np.bincount(cell, weights=None if v is None else np.repeat(v[r], p), minlength=k * p * n_bins) for v in (g, h, None)]
-    return np.stack([s.astype(float).reshape(k, p, n_bins) for s in sums], axis=1)
+    slot = by_id[slot[r]]
+    values = (g[r], h[r], None)
+    out = np.empty((k, 3, int(offsets[-1])))
+    for f, (a, z) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        at = slot * (z - a) + bins[r, f]
+        for i, v in enumerate(values):
+            out[:, i, a:z] = np.bincount(at, weights=v, minlength=k * (z - a)).reshape(k, z - a)
+    return out
 
 
 class _LocalHistograms:
     """Histograms of rows that one task holds."""
 
-    def __init__(self, bins, g, h, n_bins):
-        self.bins, self.g, self.h, self.n_bins = bins, g, h, n_bins
+    def __init__(self, bins, g, h, offsets):
+        self.bins, self.g, self.h, self.offsets = bins, g, h, offsets
 
     def __call__(self, tree: Tree, nodes: list[int]) -> np.ndarray:
-        return histograms(self.bins, self.g, self.h, _walk(tree, self.bins, on_bins=True), nodes, self.n_bins)
+        return histograms(self.bins, self.g, self.h, _walk(tree, self.bins, on_bins=True), nodes, self.offsets)
 
 
 class _SparkHistograms:
     """Histograms by one job: a task sums its rows into one partial histogram, Spark sums the cells that are not empty."""
 
-    def __init__(self, data: DataFrame, p: int, n_bins: int, grad_fn):
-        self.data, self.p, self.n_bins, self.grad_fn = data, p, n_bins, grad_fn
+    def __init__(self, data: DataFrame, p: int, offsets: np.ndarray, grad_fn):
+        self.data, self.p, self.offsets, self.grad_fn = data, p, offsets, grad_fn
 
     def partials(self, tree: Tree, nodes: list[int]) -> DataFrame:
-        p, n_bins, grad_fn = self.p, self.n_bins, self.grad_fn
+        p, offsets, grad_fn = self.p, self.offsets, self.grad_fn
 
         def part(batches):
             total = None
             for b in batches:
                 bins = _matrix(b, p, "b").astype(np.int64)
                 g, h = grad_fn(b)
-                own = histograms(bins, g, h, _walk(tree, bins, on_bins=True), nodes, n_bins)
+                own = histograms(bins, g, h, _walk(tree, bins, on_bins=True), nodes, offsets)
                 total = own if total is None else total + own
             if total is not None:
                 cells = np.moveaxis(total, 1, -1).reshape(-1, 3)
@@ -845,72 +855,75 @@ class _SparkHistograms:
         return self.data.mapInArrow(part, "cell long, G double, H double, C double")
 
     def __call__(self, tree: Tree, nodes: list[int]) -> np.ndarray:
-        out = np.zeros((len(nodes), 3, self.p, self.n_bins))
-        step = max(1, HIST_CELLS // (self.p * self.n_bins))
+        n_cells = int(self.offsets[-1])
+        out = np.zeros((len(nodes), 3, n_cells))
+        step = max(1, HIST_CELLS // n_cells)
         for a in range(0, len(nodes), step):
             some = nodes[a : a + step]
             rows = self.partials(tree, some).groupBy("cell").agg(F.sum("G").alias("G"), F.sum("H").alias("H"), F.sum("C").alias("C")).toPandas()
-            cells = np.zeros((len(some) * self.p * self.n_bins, 3))
+            cells = np.zeros((len(some) * n_cells, 3))
             cells[rows["cell"].to_numpy()] = rows[["G", "H", "C"]].to_numpy()
-            out[a : a + step] = np.moveaxis(cells.reshape(len(some), self.p, self.n_bins, 3), -1, 1)
+            out[a : a + step] = np.moveaxis(cells.reshape(len(some), n_cells, 3), -1, 1)
         return out
 
 
-def _gains(hist: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gain of splitting behind each bin, and sums up to each bin and in total (3, p, ...)."""
-    upto = np.cumsum(hist, axis=2)
-    total = upto[:, :, -1:]
-    (GL, HL, _), (GR, HR, _), (G, H, _) = upto, total - upto, total
+def _gains(hists: np.ndarray, offsets: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain of splitting behind each cell (nodes, cells), sums up to each cell of its feature, and the nodes' sums."""
+    upto = np.cumsum(hists, axis=2)
+    ends = upto[:, :, offsets[1:] - 1]
+    before = np.concatenate([np.zeros_like(ends[:, :, :1]), ends[:, :, :-1]], axis=2)
+    upto -= np.repeat(before, np.diff(offsets), axis=2)
+    total = upto[:, :, offsets[1] - 1]
+    (GL, HL), (G, H) = (upto[:, 0], upto[:, 1]), (total[:, 0, None], total[:, 1, None])
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = GL * GL / (HL + lam) + GR * GR / (HR + lam) - G * G / (H + lam)
+        gain = GL * GL / (HL + lam) + (G - GL) ** 2 / (H - HL + lam) - G * G / (H + lam)
     return gain, upto, total
 
 
-def _best_split(hist: np.ndarray, spec: GrowSpec, columns: list[int]):
-    """(gain, feature, bin, sums left, sums of the node) of a node; gain is None where no split is allowed."""
-    gain, upto, total = _gains(hist, float(spec.reg_lambda))
-    rest = total - upto
-    bins = np.arange(hist.shape[2])[None, :]
-    filled = hist[2] > 0
-    last = np.where(filled, bins, -1).max(axis=1, keepdims=True)
-    ok = filled & (bins < last) & (upto[2] >= spec.min_samples_leaf) & (rest[2] >= spec.min_samples_leaf)
-    ok &= (upto[1] >= spec.min_child_weight) & (rest[1] >= spec.min_child_weight) & (total[2] >= spec.min_samples_split)
-    ok[[f for f in range(hist.shape[1]) if f not in columns]] = False
-    node = total[:, 0, 0]
-    if not ok.any():
-        return None, 0, 0, None, node
+def _first_best(found: np.ndarray) -> np.ndarray:
+    """Along the last axis: ties go to the lowest feature, then to the lowest bin."""
+    top = found.max(axis=-1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        return np.argmax(found >= top - TIE * np.abs(top), axis=-1)
+
+
+def _best_splits(hists: np.ndarray, offsets: np.ndarray, spec: GrowSpec, columns: list[int]) -> list[tuple]:
+    """(gain, feature, bin, sums left, sums of the node) of each node; gain is None where no split is allowed."""
+    gain, upto, total = _gains(hists, offsets, float(spec.reg_lambda))
+    rest = total[:, :, None] - upto
+    ok = (hists[:, 2] > 0) & (rest[:, 2] > 0) & (upto[:, 2] >= spec.min_samples_leaf) & (rest[:, 2] >= spec.min_samples_leaf)
+    ok &= (upto[:, 1] >= spec.min_child_weight) & (rest[:, 1] >= spec.min_child_weight) & (total[:, 2, None] >= spec.min_samples_split)
+    feature = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    ok &= np.isin(feature, columns)
     found = np.where(ok, gain, -np.inf)
-    top = found.max()
-    f, b = divmod(int(np.argmax(found >= top - TIE * abs(top))), hist.shape[2])  # ties: lowest feature, then lowest bin
-    return (float(found[f, b]) if found[f, b] > 1e-12 * max(1.0, abs(node[0])) else None), f, b, upto[:, f, b], node
+    at = _first_best(found)
+    out = []
+    for i, c in enumerate(at):
+        good = ok[i, c] and found[i, c] > 1e-12 * max(1.0, abs(total[i, 0]))
+        out.append((float(found[i, c]) if good else None, int(feature[c]), int(c - offsets[feature[c]]), upto[i, :, c], total[i]))
+    return out
 
 
-def _symmetric_split(hists: np.ndarray, spec: GrowSpec):
+def _symmetric_split(hists: np.ndarray, offsets: np.ndarray, spec: GrowSpec):
     """The (feature, bin) with the largest sum of gains over a level's nodes; None where no column can be cut."""
-    score, can = 0.0, False
-    bins = np.arange(hists.shape[3])[None, :]
-    for hist in hists:
-        gain, _, _ = _gains(hist, float(spec.reg_lambda))
-        filled = hist[2] > 0
-        last = np.where(filled, bins, -1).max(axis=1, keepdims=True)
-        first = np.where(filled, bins, hist.shape[2]).min(axis=1, keepdims=True)
-        score = score + np.where(bins < last, np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
-        can = can | ((bins >= first) & (bins < last))
+    gain, upto, total = _gains(hists, offsets, float(spec.reg_lambda))
+    inside = (upto[:, 2] > 0) & (upto[:, 2] < total[:, 2, None])
+    can = inside.any(axis=0)
     if not can.any():
         return None
-    found = np.where(can, score, -np.inf)
-    top = found.max()
-    return divmod(int(np.argmax(found >= top - TIE * abs(top))), hists.shape[3])
+    at = int(_first_best(np.where(can, np.where(inside, np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0), 0.0).sum(axis=0), -np.inf)))
+    f = int(np.searchsorted(offsets, at, side="right")) - 1
+    return f, at - int(offsets[f])
 
 
-def grow_hist(source, spec: GrowSpec, edges: list[np.ndarray], p: int, seed: int = 0) -> Tree:
+def grow_hist(source, spec: GrowSpec, edges: list[np.ndarray], seed: int = 0) -> Tree:
     """One histogram tree; ``source(tree, nodes)`` gives the nodes' histograms.
 
     Nodes are named by path (root 1, children 2i and 2i + 1). ``known`` holds a
     node's best split once its histogram was seen; ``splits`` what the tree is
     made of.
     """
-    lam = float(spec.reg_lambda)
+    lam, p, offsets = float(spec.reg_lambda), len(edges), _offsets(edges)
     columns = _columns_of_tree(seed * 1000, 0, p, spec.col_fraction) if spec.col_fraction < 1.0 else list(range(p))
 
     def leaf(sums) -> float:
@@ -942,26 +955,26 @@ def grow_hist(source, spec: GrowSpec, edges: list[np.ndarray], p: int, seed: int
         return {x: y for q, c, own in zip(parents, fewer, counted, strict=True) for x, y in ((c, own), (c ^ 1, hists[q] - own))}
 
     hists = {1: source(Tree(), [0])[0]}
-    sums = {1: hists[1][:, 0].sum(axis=1)}
+    sums = {1: hists[1][:, : offsets[1]].sum(axis=1)}
     splits: dict = {}
     if spec.policy == "symmetric":
         level, depth = [1], 0
         while depth < spec.depth_cap:
-            choice = _symmetric_split(np.stack([hists[q] for q in level]), spec)
+            choice = _symmetric_split(np.stack([hists[q] for q in level]), offsets, spec)
             if choice is None:
                 break
             f, b = choice
             for q in level:
                 splits[q] = choice
-                sums[2 * q] = hists[q][:, f, : b + 1].sum(axis=1)
-                sums[2 * q + 1] = hists[q][:, f, b + 1 :].sum(axis=1)
+                own, cut = hists[q][:, offsets[f] : offsets[f + 1]], b + 1
+                sums[2 * q], sums[2 * q + 1] = own[:, :cut].sum(axis=1), own[:, cut:].sum(axis=1)
             depth += 1
             if depth < spec.depth_cap:
                 hists = look(splits, sums, level, hists)
             level = [c for q in level for c in (2 * q, 2 * q + 1)]
         return build(splits, sums)[0]
 
-    known = {1: _best_split(hists[1], spec, columns)}
+    known = {1: _best_splits(hists[1][None], offsets, spec, columns)[0]}
     budget = spec.max_leaf_nodes if spec.max_leaf_nodes is not None else float("inf")
     while True:
         # the heap: leaves by gain; a leaf whose children are not known yet may be split, its children wait
@@ -983,7 +996,7 @@ def grow_hist(source, spec: GrowSpec, edges: list[np.ndarray], p: int, seed: int
             break
         seen = look(splits, sums, unknown, hists)
         hists |= seen
-        known |= {c: _best_split(own, spec, columns) for c, own in seen.items()}
+        known |= dict(zip(seen, _best_splits(np.stack(list(seen.values())), offsets, spec, columns), strict=True))
     return build(splits, sums)[0]
 
 
@@ -1047,19 +1060,23 @@ def _running(b, pending: list[Tree], lr: float, p: int, binned: bool) -> np.ndar
     return out
 
 
-def _validation_loss(base: DataFrame, pending, lr, p) -> float:
-    """½·mean squared error on the held-out rows for the current ensemble."""
+def _validation_losses(base: DataFrame, trees, lr, p) -> list[float]:
+    """½·mean squared error on the held-out rows for column ``_F`` and 0, 1, ... of ``trees`` on top of it, in one pass."""
+    trees = tuple(trees)
 
     def run(batches):
-        acc, cnt = 0.0, 0.0
+        acc, cnt = np.zeros(len(trees) + 1), 0.0
         for b in batches:
-            r = _col(b, "_y") - _running(b, pending, lr, p, binned=True)
-            acc += float(r @ r)
-            cnt += r.size
-        yield pa.RecordBatch.from_arrays([pa.array([acc]), pa.array([cnt])], names=["s", "n"])
+            now, y, bins = _col(b, "_F"), _col(b, "_y"), _matrix(b, p, "b")
+            cnt += y.size
+            for i in range(len(trees) + 1):
+                if i:
+                    now = now + lr * trees[i - 1].value[_walk(trees[i - 1], bins, on_bins=True)]
+                acc[i] += float((y - now) @ (y - now))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(acc))), pa.array(acc), pa.array(np.full(len(acc), cnt))], names=["i", "s", "n"])
 
-    row = base.where(F.col("_val")).mapInArrow(run, "s double, n double").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
-    return 0.5 * row["s"] / max(row["n"], 1.0)
+    rows = base.where(F.col("_val")).mapInArrow(run, "i long, s double, n double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    return [0.5 * r["s"] / max(r["n"], 1.0) for r in sorted(rows, key=lambda r: r["i"])]
 
 
 def _should_stop(scores: list, n_iter_no_change: int, tol: float) -> bool:
@@ -1072,28 +1089,38 @@ def _should_stop(scores: list, n_iter_no_change: int, tol: float) -> bool:
     return not any(sc > reference for sc in scores[-ref_pos + 1 :])
 
 
-def _hist_tree(data: DataFrame, p: int, n_rows: int, n_bins: int, edges, spec: GrowSpec, grad_fn, seed: int) -> Tree:
-    """One histogram tree: in one task where all rows fit it, else by one job per step."""
-    if n_rows * (p + 4) > SUBTREE_CELLS:
-        return grow_hist(_SparkHistograms(data, p, n_bins, grad_fn), spec, edges, p, seed)
+def _hist_tree(data: DataFrame, edges, spec: GrowSpec, grad_fn, seed: int) -> Tree:
+    """One histogram tree over a table of any size: one job per step."""
+    return grow_hist(_SparkHistograms(data, len(edges), _offsets(edges), grad_fn), spec, edges, seed)
 
-    def whole(batches):
-        parts = [(_matrix(b, p, "b").astype(np.int64), *grad_fn(b), b.column("_rid").to_numpy(zero_copy_only=False)) for b in batches]
-        if parts:
-            bins, g, h, rid = (np.concatenate(c) for c in zip(*parts))
-            order = np.argsort(rid, kind="stable")
-            tree = grow_hist(_LocalHistograms(bins[order], g[order], h[order], n_bins), spec, edges, p, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([len(tree)]), pa.array([tree.pack()], pa.binary())], names=["n", "blob"])
 
-    found = data.coalesce(1).mapInArrow(whole, "n long, blob binary").first()
-    return Tree.unpack(found["n"], found["blob"]) if found else Tree()
+def _rounds_in_task(data: DataFrame, p: int, edges, spec: GrowSpec, lr: float, seeds: list[int], binned: bool) -> list[Tree]:
+    """The next rounds' trees of a table that fits a task: one job instead of one or more per round."""
+    offsets = _offsets(edges)
+
+    def whole(batches):
+        parts = [(_matrix(b, p, "b" if binned else "x"), _col(b, "_y"), _col(b, "_F"), b.column("_rid").to_numpy(zero_copy_only=False)) for b in batches]
+        if not parts:
+            return
+        X, y, now, rid = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(rid, kind="stable")  # sums in one order, whatever the partitioning
+        X, y, now, one = X[order], y[order], now[order], np.ones(len(y))
+        for seed in seeds:
+            if binned:
+                tree = grow_hist(_LocalHistograms(X.astype(np.int64), now - y, one, offsets), spec, edges, seed)
+            else:
+                tree = grow_exact(X, y - now, one, one, spec, 0, _root_key(seed, 0))
+            now = now + lr * tree.value[_walk(tree, X, on_bins=binned)]
+            yield pa.RecordBatch.from_arrays([pa.array([seed]), pa.array([len(tree)]), pa.array([tree.pack()], pa.binary())], names=["seed", "n", "blob"])
+
+    rows = data.coalesce(1).mapInArrow(whole, "seed long, n long, blob binary").collect()
+    return [Tree.unpack(r["n"], r["blob"]) for r in sorted(rows, key=lambda r: r["seed"])]
 
 
 def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int | None, init: str = "mean", seed: int = SEED, early_stopping: dict | None = None):
     """Least-squares boosting; ``max_bins`` None grows exact trees."""
     binned, p = max_bins is not None, len(features)
     data, edges, n = _rows(df, features, target, binned, max_bins or 0)
-    n_bins = max((len(e) for e in edges), default=0) + 1
     if early_stopping:
         data = _holdout(data, early_stopping["validation_fraction"])
         train_rows = data.where(~F.col("_val"))
@@ -1103,30 +1130,36 @@ def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int | N
     base = data.withColumn("_F", F.lit(f0))
     trees: list[Tree] = []
     pending: list[Tree] = []  # trees not yet folded into _F
-    scores = [-_validation_loss(base, [], lr, p)] if early_stopping else []
+    scores = [-v for v in _validation_losses(base, [], lr, p)] if early_stopping else []
 
-    for k in range(n_rounds):
+    while len(trees) < n_rounds:
+        grow_on = base.where(~F.col("_val")) if early_stopping else base
+        seeds = list(range(seed + len(trees), seed + min(n_rounds, len(trees) + REFRESH - len(pending))))
+        if n * (p + 4) <= SUBTREE_CELLS:
+            new = _rounds_in_task(grow_on, p, edges, spec, lr, seeds, binned)
+        else:
 
-        def residual(b, pending=tuple(pending)):
-            r = _col(b, "_y") - _running(b, pending, lr, p, binned)
-            return r, np.ones_like(r)
+            def residual(b, pending=tuple(pending)):
+                r = _col(b, "_y") - _running(b, pending, lr, p, binned)
+                return r, np.ones_like(r)
 
-        def grad(b, residual=residual):
-            r, one = residual(b)
-            return -r, one
+            def grad(b, residual=residual):
+                r, one = residual(b)
+                return -r, one
 
-        grow_on = base.where(~F.col("_val")) if early_stopping else base
-        if binned:
-            tree = _hist_tree(grow_on, p, n, n_bins, edges, spec, grad, seed + k)
-        else:
-            tree = _grow_exact_trees(grow_on, p, n, 1, spec, residual, _ones, seed + k)[0][0]
-        trees.append(tree)
-        pending.append(tree)
+            if binned:
+                new = [_hist_tree(grow_on, edges, spec, grad, seeds[0])]
+            else:
+                new = _grow_exact_trees(grow_on, p, n, 1, spec, residual, _ones, seeds[0])[0]
         if early_stopping:
-            scores.append(-_validation_loss(base, pending, lr, p))
-            if _should_stop(scores, early_stopping["n_iter_no_change"], early_stopping["tol"]):
-                break
-        if len(pending) >= REFRESH and k < n_rounds - 1:
+            scores += [-v for v in _validation_losses(base, pending + new, lr, p)[-len(new) :]]
+            for k in range(len(scores) - len(new), len(scores)):
+                if _should_stop(scores[: k + 1], early_stopping["n_iter_no_change"], early_stopping["tol"]):
+                    new, scores, n_rounds = new[: len(new) - (len(scores) - 1 - k)], scores[: k + 1], 0
+                    break
+        trees += new
+        pending += new
+        if len(pending) >= REFRESH and len(trees) < n_rounds:
             base = _fold_in(base, pending, lr, p, binned)
             pending = []
     model = TreeEnsemble(list(features), trees, [lr] * len(trees), f0, "sum")

@@ -76,7 +76,7 @@ def test_a_task_returns_one_partial_histogram(spark):
         df = spark.createDataFrame(pd.DataFrame({"b0": rng.integers(0, 4, 1000), "b1": rng.integers(0, 3, 1000), "_y": rng.normal(size=1000), "_rid": np.arange(1000)})).coalesce(1)
         df = df.selectExpr("cast(b0 as int) b0", "cast(b1 as int) b1", "_y", "_rid")
         grad = lambda b: (-b.column("_y").to_numpy(), np.ones(b.num_rows))
-        rows = trees._SparkHistograms(df, 2, 4, grad).partials(trees.Tree(), [0]).collect()
+        rows = trees._SparkHistograms(df, 2, np.array([0, 4, 8]), grad).partials(trees.Tree(), [0]).collect()
         assert len(rows) == 7 and sum(r["C"] for r in rows) == 2000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

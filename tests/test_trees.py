@@ -164,11 +164,11 @@ def test_subtrees_kept_as_a_table_score_the_same(spark, monkeypatch, cells):
         kept.to_dict()
 
 
-def best_first(bins, g, h, spec, columns):
+def best_first(bins, g, h, spec, columns, offsets):
     """Splits the leaf of the largest gain until the budget is used; leaves as (rows) -> value."""
     def best(rows):
-        hist = TR.histograms(bins[rows], g[rows], h[rows], np.zeros(len(rows), dtype=int), [0], bins.max() + 1)[0]
-        return TR._best_split(hist, spec, columns)
+        hist = TR.histograms(bins[rows], g[rows], h[rows], np.zeros(len(rows), dtype=int), [0], offsets)
+        return TR._best_splits(hist, offsets, spec, columns)[0]
 
     n, heap, leaves = 0, [], [np.arange(len(g))]
     first = best(leaves[0])
@@ -201,11 +201,10 @@ def test_leaf_budget_is_best_first(spark, kw):
     rows, edges, n = TR._rows(df, names(X), "y", True, 255)
     local = rows.orderBy("_rid").toPandas()
     bins = local[["b0", "b1", "b2"]].to_numpy().astype(np.int64)
-    want, leaves = best_first(bins, -local["_y"].to_numpy(), np.ones(n), spec, [0, 1, 2])
+    want, leaves = best_first(bins, -local["_y"].to_numpy(), np.ones(n), spec, [0, 1, 2], TR._offsets(edges))
     grad = lambda b: (-TR._col(b, "_y"), np.ones(b.num_rows))
-    n_bins = max(map(len, edges)) + 1
-    in_task = TR._hist_tree(rows, 3, n, n_bins, edges, spec, grad, 0)
-    by_jobs = TR.grow_hist(TR._SparkHistograms(rows, 3, n_bins, grad), spec, edges, 3)
+    in_task = TR._rounds_in_task(rows.selectExpr("*", "0d as _F"), 3, edges, spec, 1.0, [0], True)[0]
+    by_jobs = TR._hist_tree(rows, edges, spec, grad, 0)
     for tree in (in_task, by_jobs):
         assert (tree.feat < 0).sum() == leaves <= kw["max_leaf_nodes"]
         assert np.allclose(tree.value[TR._walk(tree, bins, True)], want)
