@@ -1,23 +1,21 @@
-"""Kernel models as linear models over explicit feature maps — N1.
+"""Kernel models — N1. Exact by default (``kernel_exact``), explicit feature maps on request.
 
-Every kernel becomes a feature map φ with φ(x)·φ(z) = K(x, z), applied to
-every row inside Arrow tasks; no row serves as a basis unless asked for:
+Without ``n_components`` and ``n_landmarks``, kernel_ridge, gaussian_process, svm
+and nu_svr are solved on the kernel itself. Given either, the kernel becomes a
+map φ with φ(x)·φ(z) ≈ K(x, z), applied to every row inside Arrow tasks:
 
 * linear: the features themselves (exact);
 * poly: all monomials up to the degree, with their multinomial weights
   (exact; refused above ``MAX_MONOMIALS`` of them);
 * rbf: ``n_components`` random Fourier features, drawn from a fixed seed and
   independent of the data (the kernel's error falls with 1/√n_components);
-* any kernel with an explicit ``n_landmarks``: Nyström features from that
-  many rows picked by the seeded hash rank (exact when it covers all rows).
-  The sigmoid kernel, which is not positive definite, needs this argument.
-
-kernel_ridge / gaussian_process: ridge WITHOUT intercept on φ through the
-distributed Gram (the GP mean with a fixed 1·RBF(1) kernel equals kernel
-ridge with γ = ½ and λ = alpha). svm / nu_svr: the primal
-½‖w‖² + C·Σ loss (ν-SVR: C·(ν·n·ε + Σ loss) with ε free), minimised by L-BFGS
-over distributed loss/gradient partials; the hinge is smoothed over a width
-of 1e-3·std(y).
+* any kernel with ``n_landmarks``: Nyström features from that many rows picked
+  by the seeded hash rank (exact when it covers all rows).
+
+kernel_ridge / gaussian_process are ridge WITHOUT intercept on φ (the GP mean
+with a fixed 1·RBF(1) kernel equals kernel ridge with γ = ½ and λ = alpha). svm /
+nu_svr on a map minimise the primal ½‖w‖² + C·Σ loss by L-BFGS, the hinge
+smoothed over a width of 1e-3·std(y); the exact dual has no smoothing.
 """
 
 from __future__ import annotations
@@ -37,7 +35,6 @@ from .gram import gram_mapped, total
 from .optim import lbfgs
 from .sampling import seeded_hash
 
-N_COMPONENTS = 1000
 MAX_MONOMIALS = 5000
 SEED = 42
 
@@ -162,10 +159,14 @@ MAPS = {"identity": IdentityMap, "monomials": MonomialMap, "fourier": FourierMap
 def map_from_dict(d: dict):
     if "map" not in d:
         return LandmarkMap.from_dict(d)
+    if d["map"] == "pivots":
+        from .kernel_exact import PivotMap
+
+        return PivotMap.from_dict(d)
     return MAPS[d["map"]](**{k: v for k, v in d.items() if k != "map"})
 
 
-def feature_map(df, features, kernel, gamma, degree=3, coef0=0.0, n_components=N_COMPONENTS, n_landmarks=None):
+def feature_map(df, features, kernel, gamma, degree=3, coef0=0.0, n_components=None, n_landmarks=None):
     p = len(features)
     if n_landmarks is not None:
         return landmark_map(df, features, kernel, gamma, degree, coef0, n_landmarks)
@@ -245,13 +246,26 @@ def _ridge_no_intercept(df, features, target, fmap, alpha: float) -> KernelModel
     return KernelModel(list(features), fmap, w, 0.0)
 
 
-def kernel_ridge_fit(df, features, target, alpha=1.0, kernel="linear", gamma=None, degree=3, coef0=1.0, n_components=N_COMPONENTS, n_landmarks=None, **_):
+def _exact(n_components, n_landmarks) -> bool:
+    return n_components is None and n_landmarks is None
+
+
+def kernel_ridge_fit(df, features, target, alpha=1.0, kernel="linear", gamma=None, degree=3, coef0=1.0, n_components=None, n_landmarks=None, **_):
+    """Exact for every kernel; the sigmoid kernel, which is not positive definite, needs ``n_landmarks``."""
     g = 1.0 / len(features) if gamma is None else float(gamma)
+    if kernel in ("rbf", "poly") and _exact(n_components, n_landmarks):
+        from .kernel_exact import Kernel, solve_ridge
+
+        return solve_ridge(df, features, target, Kernel(kernel, g, int(degree), float(coef0)), float(alpha))
     fmap = feature_map(df, features, kernel, g, int(degree), float(coef0), n_components, n_landmarks)
     return _ridge_no_intercept(df, features, target, fmap, float(alpha))
 
 
-def gaussian_process_fit(df, features, target, alpha=1e-10, n_components=N_COMPONENTS, n_landmarks=None, **_):
+def gaussian_process_fit(df, features, target, alpha=1e-10, n_components=None, n_landmarks=None, **_):
+    if _exact(n_components, n_landmarks):
+        from .kernel_exact import Kernel, solve_ridge
+
+        return solve_ridge(df, features, target, Kernel("rbf", 0.5), float(alpha))
     fmap = feature_map(df, features, "rbf", 0.5, n_components=n_components, n_landmarks=n_landmarks)
     return _ridge_no_intercept(df, features, target, fmap, float(alpha))
 
@@ -265,6 +279,11 @@ def _smooth_eps_loss(r: np.ndarray, eps: float, delta: float):
 
 def _svr(df, features, target, C, epsilon, nu, kernel, degree, gamma, coef0, n_components, n_landmarks, max_iter):
     g = _gamma(df, features, gamma, kernel)
+    if _exact(n_components, n_landmarks):
+        from .kernel_exact import Kernel, solve_svr
+
+        return solve_svr(df, features, target, Kernel(kernel, g, degree, coef0), C, epsilon, nu, max_iter)
+    max_iter = min(max_iter, 200)
     fmap = feature_map(df, features, kernel, g, degree, coef0, n_components, n_landmarks)
     r = fmap.dim
     ystd = float(df.agg(F.stddev_pop(F.col(target).cast("double"))).first()[0] or 1.0)
@@ -307,11 +326,11 @@ def _svr(df, features, target, C, epsilon, nu, kernel, degree, gamma, coef0, n_c
     return model
 
 
-def svr_fit(df, features, target, kernel="rbf", C=1.0, epsilon=0.1, degree=3, gamma="scale", coef0=0.0, n_components=N_COMPONENTS, n_landmarks=None, max_iter=200, **_):
+def svr_fit(df, features, target, kernel="rbf", C=1.0, epsilon=0.1, degree=3, gamma="scale", coef0=0.0, n_components=None, n_landmarks=None, max_iter=2000, **_):
     return _svr(df, features, target, float(C), float(epsilon), None, kernel, int(degree), gamma, float(coef0), n_components, n_landmarks, max_iter)
 
 
-def nu_svr_fit(df, features, target, nu=0.5, C=1.0, kernel="rbf", degree=3, gamma="scale", coef0=0.0, n_components=N_COMPONENTS, n_landmarks=None, max_iter=200, **_):
+def nu_svr_fit(df, features, target, nu=0.5, C=1.0, kernel="rbf", degree=3, gamma="scale", coef0=0.0, n_components=None, n_landmarks=None, max_iter=2000, **_):
     if not 0 < nu <= 1:
         raise ValueError("nu must be in (0, 1].")
     return _svr(df, features, target, float(C), 0.1, float(nu), kernel, int(degree), gamma, float(coef0), n_components, n_landmarks, max_iter)

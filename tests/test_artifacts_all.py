@@ -20,9 +20,7 @@ SMALL = {
     "lightgbm": {"n_estimators": 3},
     "catboost": {"iterations": 3},
     "adaboost": {"n_estimators": 3},
-    "svm": {"n_landmarks": 50, "max_iter": 20},
     "nu_svr": {"n_landmarks": 50, "max_iter": 20},
-    "gaussian_process": {"n_landmarks": 50},
     "mlp": {"hidden_layer_sizes": "5", "max_iter": 10},
     "elm": {"n_hidden": 10},
     "voting_regressor": {"estimators": ["ridge", "decision_tree", "elm"]},
