@@ -147,14 +147,14 @@ def _x(b, p: int) -> np.ndarray:
     return np.column_stack([b.column(f"x{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(float)
 
 
-def _draw_rows(data: DataFrame, p: int, kernel: Kernel, fmap: PivotMap | None, seed: int) -> tuple[np.ndarray, float, float]:
-    """Rows drawn in proportion to their residual, and the largest residual and diagonal of all rows."""
+def _draw_rows(data: DataFrame, p: int, kernel: Kernel, fmap: PivotMap | None, seed: int) -> tuple[np.ndarray, float, float, float]:
+    """Rows drawn in proportion to their residual; the largest residual and diagonal of all rows, and the rounding (a residual below 0)."""
     from .trees import _mix
 
     sent = data.sparkSession.sparkContext.broadcast(fmap)
 
     def run(batches):
-        keep, most, scale = [], 0.0, 0.0
+        keep, most, scale, noise = [], 0.0, 0.0, 0.0
         for b in batches:
             X, rid = _x(b, p), b.column("_rid").to_numpy(zero_copy_only=False)
             for a in range(0, len(X), BLOCK):
@@ -163,27 +163,28 @@ def _draw_rows(data: DataFrame, p: int, kernel: Kernel, fmap: PivotMap | None, s
                 scale = max(scale, float(rest.max(initial=0.0)))
                 if sent.value is not None:
                     rest = rest - (sent.value(part) ** 2).sum(axis=1)
-                most = max(most, float(rest.max(initial=0.0)))
+                most, noise = max(most, float(rest.max(initial=0.0))), max(noise, float(-rest.min(initial=0.0)))
                 u = ((_mix(rid[a : a + BLOCK].astype(np.uint64) ^ np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
                 keep.append(np.column_stack([-np.log(u) / np.maximum(rest, 1e-300), part]))
             if keep:
                 found = np.concatenate(keep)
                 keep = [found[np.argsort(found[:, 0], kind="stable")[:DRAWN]]]
         rows = keep[0] if keep else np.empty((0, p + 1))
-        yield pa.RecordBatch.from_arrays([pa.array([most]), pa.array([scale]), pa.array([len(rows)]), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())], names=["most", "scale", "n", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([most]), pa.array([scale]), pa.array([noise]), pa.array([len(rows)]), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())], names=["most", "scale", "noise", "n", "rows"])
 
-    found = data.mapInArrow(run, "most double, scale double, n long, rows binary").collect()
+    found = data.mapInArrow(run, "most double, scale double, noise double, n long, rows binary").collect()
     rows = np.concatenate([np.frombuffer(r["rows"], dtype=float).reshape(r["n"], p + 1) for r in found])
     rows = np.unique(rows[np.lexsort(rows.T[::-1])][:DRAWN, 1:], axis=0)  # equal rows would repeat a pivot
-    return rows, max(r["most"] for r in found), max(r["scale"] for r in found)
+    return rows, *(max(r[c] for r in found) for c in ("most", "scale", "noise"))
 
 
 def pivot_map(data: DataFrame, p: int, kernel: Kernel, tol: float) -> tuple[PivotMap | None, bool]:
     """Pivots until every residual is at most ``tol`` (relative to the diagonal): the map, and whether that was reached."""
     fmap, seed = None, SEED
     while True:
-        rows, most, scale = _draw_rows(data, p, kernel, fmap, seed)
-        if most <= tol * scale:
+        rows, most, scale, noise = _draw_rows(data, p, kernel, fmap, seed)
+        least = max(tol * scale, 8 * noise)
+        if most <= least:
             return fmap, True
         if fmap is not None and fmap.dim >= MAX_RANK:
             return fmap, False
@@ -197,7 +198,7 @@ def pivot_map(data: DataFrame, p: int, kernel: Kernel, tol: float) -> tuple[Pivo
         left = np.diag(R).copy()
         while len(chosen) < len(rows):
             i = int(np.argmax(left))
-            if left[i] <= tol * scale:
+            if left[i] <= least:
                 break
             k = len(chosen)
             column = (R[:, i] - L[:, :k] @ L[i, :k]) / np.sqrt(left[i])
