@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from regcast.session import ensure_checkpoint_dir, materialize, ship_package
 
@@ -32,6 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or other signs, as column functions take it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def schema_of(fields: list[StructField], *more: tuple[str, DataType]) -> StructType:
+    """Columns kept as they are, whatever their names and types, and new ones behind them."""
+    return StructType([*[StructField(f.name, f.dataType) for f in fields], *[StructField(n, t) for n, t in more]])
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: Spark's own takes a dot for a path."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=[f"c{i}" for i in range(out.num_columns)])
+
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -22,8 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType
 
-from regcast.llm.common import BROADCAST_BYTES, fresh, prepare
+from regcast.llm.common import BROADCAST_BYTES, fresh, map_arrow, prepare, quoted, schema_of
 
 SEED_WORDS, SEED_WINDOW = 3, 3  # least words of an item; the second is read by the tests only
 RARE = 4  # rare words of an item that a document must hold
@@ -179,12 +181,12 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     """Broadcast blocks of the benchmark with their rare words chosen by frequency in ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
+    items = benchmark.select(F.col(quoted(item_col)).alias("item"), F.col(quoted(item_text)).alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BROADCAST_BYTES)
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        block = Benchmark(sorted(((r["item"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        block = Benchmark(sorted(((r["item"], r["text"]) for r in rows), key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1])))
         if not block.items:
             continue
         plain = spark.sparkContext.broadcast(block)
@@ -198,7 +200,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_pydict({"word": pa.array(some, pa.int64()), "n": pa.array(seen[some])})
 
-        found = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        found = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         frequency = np.zeros(len(block.vocabulary), np.int64)
         frequency[found.column("word").to_numpy()] = found.column("n").to_numpy()
         block.seed(frequency, least)
@@ -214,9 +216,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     documents and items each get their rows; an empty table gives none. Other
     columns are left out.
     """
-    kind, item = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    names = [id_col, item_col if item_col != id_col else f"{item_col}_", "score", "start_word", "end_word"]
-    schema = f"`{names[0]}` {kind}, `{names[1]}` {item}, score double, start_word long, end_word long"
+    item_type = benchmark.schema[item_col].dataType
+    names = [id_col, *fresh(docs.select(quoted(id_col)), item_col, "score", "start_word", "end_word")]
+    schema = schema_of([docs.schema[id_col]], *zip(names[1:], (item_type, DoubleType(), LongType(), LongType()), strict=True))
+    item_arrow = to_arrow_type(item_type)
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in _blocks(docs, benchmark, text_col, item_col, item_text, min_score):
 
@@ -227,17 +230,21 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 rows = list(block.matches(b.column(1), words, min_score))
                 if rows:
                     k, i, *rest = zip(*rows, strict=True)
-                    items = pa.array([block.ids[x] for x in i], b.schema.field(0).type if item == kind else None)
+                    items = pa.array([block.ids[x] for x in i], item_arrow)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), items, *map(pa.array, rest)], names=names)
 
-        out = out.unionAll(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema))
+        out = out.unionAll(map_arrow(docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))), run, schema))
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the documents that copy an item; same columns, decided in the pass that aligns."""
+    """``docs`` without the documents that copy an item; same columns, decided in the pass that aligns.
+
+    Null and empty texts copy nothing and stay; repeated rows are judged alike;
+    an empty table stays empty, an empty benchmark drops nothing.
+    """
     (copy,) = fresh(docs, "_text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = schema_of(docs.schema.fields)
     out = docs
     for shared in _blocks(docs, benchmark, text_col, item_col, item_text, min_score):
 
@@ -249,5 +256,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean[[m[0] for m in block.matches(b.column(b.num_columns - 1), words, min_score)]] = False
                 yield b.filter(pa.array(clean)).select(b.schema.names[:-1])
 
-        out = out.withColumn(copy, F.col(f"`{text_col}`")).mapInArrow(run, schema)
+        out = map_arrow(out.withColumn(copy, F.col(quoted(text_col))), run, schema)
     return out

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from regcast.llm.common import fresh, prepare
+from regcast.llm.common import fresh, map_arrow, prepare, quoted, schema_of
 
 SAMPLE_DOCS = 400
 MAX_LANGUAGES = 1_000
@@ -108,7 +109,7 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample_docs: int = SAMPLE_DOCS) -> dict:
     """Frequencies per language as log rows: languages, words, word_rows, grams, gram_rows."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null and id is not null")
+    labelled = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang")).filter("lang is not null and text is not null and id is not null")
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -180,9 +181,9 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 sure.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*b.schema.names[:-1], pred, score])
 
-    sent = docs.withColumn(copy, F.col(f"`{text_col}`"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{pred}` string, `{score}` double"
-    return sent.mapInArrow(run, schema)
+    sent = docs.withColumn(copy, F.col(quoted(text_col)))
+    schema = schema_of(docs.schema.fields, (pred, StringType()), (score, DoubleType()))
+    return map_arrow(sent, run, schema)
 
 
 def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:

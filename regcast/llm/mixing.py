@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from regcast.llm.common import fresh, n_words, prepare
+from regcast.llm.common import fresh, n_words, prepare, quoted
 from regcast.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -71,9 +71,9 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     prepare(spark)
     size_c, source_size, target, taken, key = fresh(docs, "size", "source_size", "target", "taken", "_key")
     ranked = fresh(docs, "_source", "_full", "_rest", "_cut_key", "_cut_size", "_ties")
-    words = n_words(F.col(text_col)) if size is None else size.cast("long")
-    keyed = docs.withColumns({size_c: words, key: random_key(F.concat_ws("|", F.lit(seed), F.col(id_col), F.col(text_col)))})
-    slim = materialize(keyed.select(F.col(source_col).alias("source"), F.col(key).alias("key"), F.col(size_c).alias("size")))
+    words = n_words(F.col(quoted(text_col))) if size is None else size.cast("long")
+    keyed = docs.withColumns({size_c: words, key: random_key(F.concat_ws("|", F.lit(seed), F.col(quoted(id_col)), F.col(quoted(text_col))))})
+    slim = materialize(keyed.select(F.col(quoted(source_col)).alias("source"), F.col(key).alias("key"), F.col(size_c).alias("size")))
 
     per = slim.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
@@ -106,5 +106,5 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     rows = materialize(table)  # one row per source: at most MAX_SOURCES
     me, cut_at = F.struct(F.col(key), F.col(size_c)), F.struct(F.col(ranked[3]), F.col(ranked[4]))
     part = F.when(F.col(ranked[3]).isNull(), F.lit(0)).when(me < cut_at, F.col(size_c)).when(me == cut_at, F.col(ranked[2])).otherwise(0)
-    joined = keyed.join(F.broadcast(rows), F.col(f"`{source_col}`").eqNullSafe(F.col(ranked[0])), "left")
+    joined = keyed.join(F.broadcast(rows), F.col(quoted(source_col)).eqNullSafe(F.col(ranked[0])), "left")
     return joined.withColumn(taken, (F.col(ranked[1]) * F.col(size_c) + part).cast("long")).drop(key, *ranked[:5])

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
-from regcast.llm.common import fresh, maybe_broadcast, prepare
+from regcast.llm.common import fresh, map_arrow, maybe_broadcast, prepare, quoted, schema_of
 
 BUCKETS = 1 << 14
 #: The raw distribution gets one count a bucket; the target gets PRIOR * BUCKETS counts that follow the raw distribution,
@@ -83,8 +84,8 @@ def measures(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
 def ratios(docs: DataFrame, good: DataFrame, text_col: str, id_col: str) -> np.ndarray:
     """log p_target - log p_raw of every bucket, over all documents. ``good`` has the ids of the target."""
     (mark,) = fresh(docs, "_good")
-    good = maybe_broadcast(good.select(F.col(good.columns[0]).alias("_gid"), F.lit(True).alias(mark)).filter("_gid is not null").distinct())
-    marked = docs.join(good, F.col(f"`{id_col}`") == F.col("_gid"), "left").select(F.col(text_col).cast("binary"), F.coalesce(mark, F.lit(False)))
+    good = maybe_broadcast(good.select(F.col(quoted(good.columns[0])).alias("_gid"), F.lit(True).alias(mark)).filter("_gid is not null").distinct())
+    marked = docs.join(good, F.col(quoted(id_col)) == F.col("_gid"), "left").select(F.col(quoted(text_col)).cast("binary"), F.coalesce(mark, F.lit(False)))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -99,7 +100,7 @@ def ratios(docs: DataFrame, good: DataFrame, text_col: str, id_col: str) -> np.n
         some = np.flatnonzero(count[0])
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "raw": pa.array(count[0][some]), "good": pa.array(count[1][some])})
 
-    summed = marked.mapInArrow(tally, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    summed = marked.toDF("text", "good").mapInArrow(tally, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[summed.column("bucket").to_numpy()] = summed.column("raw").to_numpy()
     target[summed.column("bucket").to_numpy()] = summed.column("good").to_numpy()
@@ -137,8 +138,8 @@ def quality(docs: DataFrame, good: DataFrame, text_col: str = "text", id_col: st
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(5)] + [pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *new[:6]])
 
-    kept = docs.select(*[f"`{c}`" for c in rest], F.col(text_col).cast("binary"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"`{n}` long" for n in new[:5]] + [f"`{new[5]}` double"])
+    kept = docs.select(*map(quoted, rest), F.col(quoted(text_col)).cast("binary"))
+    schema = schema_of(kept.schema.fields[:-1], *[(n, LongType()) for n in new[:5]], (new[5], DoubleType()))
     n, repeat = F.col(new[0]), F.col(new[4])
     failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
-    return kept.mapInArrow(run, schema).withColumn(new[6], failed).withColumn(new[7], ~F.col(new[6]) & (F.col(new[5]) >= threshold))
+    return map_arrow(kept, run, schema).withColumn(new[6], failed).withColumn(new[7], ~F.col(new[6]) & (F.col(new[5]) >= threshold))

@@ -67,11 +67,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regcast.llm.secret_scan import scan
 
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.withColumn("base_sha256", F.sha2("base", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+    return out.withColumn("base_sha256", F.sha2("base", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_repos")
 
 
 def _op6_sql() -> str:
-    from regcast.llm.secret_scan import ADDED, BASE, KINDS, MAX_OWNERS, MIN_DISTINCT, PLACEHOLDER
+    from regcast.llm.secret_scan import ADDED, BASE, KINDS, MAX_OWNERS, MAX_REPOS, MIN_DISTINCT, PLACEHOLDER
 
     def matches(kind: str) -> str:
         pattern, group, least = (BASE | ADDED)[kind]
@@ -87,21 +87,22 @@ def _op6_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(map(matches, KINDS))}),
 g AS (
-  SELECT *, a + length(m) AS b, len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
-         AND NOT regexp_matches(v, '{PLACEHOLDER}') AS looks FROM f),
+  SELECT *, a + length(m) AS b, NOT regexp_matches(v, '{PLACEHOLDER}')
+         AND (rank < {len(BASE)} OR len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')) AS looks FROM f),
 s AS (
   SELECT * FROM g WHERE rank < {len(BASE)} OR looks AND NOT EXISTS (
     SELECT 1 FROM g h WHERE h.row = g.row AND h.rank < {len(BASE)} AND h.a < g.b AND g.a < h.b)),
 o AS (
-  SELECT v, bool_or(looks) AND count(DISTINCT coalesce('s' || source, 'null')) <= {MAX_OWNERS} AS live FROM s JOIN d USING (row) GROUP BY v),
-j AS (SELECT s.*, live, kind || ':' || a::BIGINT || ':' || b::BIGINT AS span FROM s JOIN o USING (v)),
+  SELECT v, count(DISTINCT (coalesce('s' || source, 'null'), coalesce(doc_id::VARCHAR, 'null'))) AS repos,
+         count(DISTINCT coalesce('s' || source, 'null')) > {MAX_OWNERS} OR repos > {MAX_REPOS} AS copied, bool_or(looks) AND NOT copied AS live FROM s JOIN d USING (row) GROUP BY v),
+j AS (SELECT s.*, live, copied, repos, kind || ':' || a::BIGINT || ':' || b::BIGINT AS span FROM s JOIN o USING (v)),
 r AS (
   SELECT row, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
          string_agg(span, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}) AS base,
          string_agg(span, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)} OR live) AS spans,
-         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY row)
+         count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_example, max(repos) AS n_repos FROM j GROUP BY row)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_repos, 0) AS n_repos
 FROM d LEFT JOIN r USING (row)
 """
 

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from regcast.llm.common import fresh, maybe_broadcast, prepare
+from regcast.llm.common import fresh, map_arrow, maybe_broadcast, prepare, quoted, schema_of
 from regcast.llm.components import connected_components
 from regcast.session import materialize
 
@@ -66,9 +67,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", k: int = SHINGLE, name
             got = pa.array([fingerprint(t, k) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], names=[*b.schema.names[:-1], name])
 
-    kept = docs.select(*[f"`{c}`" for c in rest], F.col(text_col).cast("binary"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}, `{name}` long" if rest else f"`{name}` long")
+    kept = docs.select(*map(quoted, rest), F.col(quoted(text_col)).cast("binary"))
+    return map_arrow(kept, run, schema_of(kept.schema.fields[:-1], (name, LongType())))
 
 
 def distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     left out, so their names cannot clash. An empty table gives an empty one.
     """
     prepare(docs.sparkSession)
-    found = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", k, "fp"))
+    found = materialize(fingerprints(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "text", k, "fp"))
     points = materialize(found.groupBy("fp").agg(F.min("id").alias("first")))
     star = fingerprint_components(points, bits)
     member = star.select(F.col("u").alias("fp"), F.col("v").alias("component")).unionAll(star.select("v", "v").distinct())
@@ -211,22 +211,24 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k:
     """``docs`` with one document of each near-duplicate group: that with the smallest id.
 
     Rows that share an id (or have none) are told apart by their whole row: of
-    those that stand for one group, the row with the smallest hash stays.
+    those that stand for one group, the row with the smallest hash stays. Null
+    and empty texts form one group like equal texts do. An empty table stays
+    empty; other columns, whatever their names, are kept as they are.
     """
-    groups = materialize(near_duplicates(docs, text_col, id_col, k, bits))
-    shared = groups.groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col("n").__gt__(1) | F.col(id_col).isNull()).select(id_col)
-    gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).unionAll(shared).distinct()
+    groups = materialize(near_duplicates(docs, text_col, id_col, k, bits)).toDF("_id", "fingerprint", "component", "component_id")
+    shared = groups.groupBy("_id").agg(F.count("*").alias("n")).filter(F.col("n").__gt__(1) | F.col("_id").isNull()).select("_id")
+    gone = groups.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").unionAll(shared).distinct()
     (gid,) = fresh(docs, "_gone")
-    gone = maybe_broadcast(gone.select(F.col(id_col).alias(gid)))
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col(gid), "left_anti").filter(F.col(f"`{id_col}`").isNotNull())
+    gone = maybe_broadcast(gone.select(F.col("_id").alias(gid)))
+    kept = docs.join(gone, F.col(quoted(id_col)) == F.col(gid), "left_anti").filter(F.col(quoted(id_col)).isNotNull())
     if shared.isEmpty():
         return kept
     fp, comp, cid = fresh(docs, "_fp", "_component", "_component_id")
-    odd = docs.join(shared.select(F.col(id_col).alias(gid)), F.col(f"`{id_col}`").eqNullSafe(F.col(gid)), "left_semi")
+    odd = docs.join(shared.select(F.col("_id").alias(gid)), F.col(quoted(id_col)).eqNullSafe(F.col(gid)), "left_semi")
     (copy,) = fresh(docs, "_text")
-    odd = fingerprints(odd.withColumn(copy, F.col(text_col)), copy, k, fp)
+    odd = fingerprints(odd.withColumn(copy, F.col(quoted(text_col))), copy, k, fp)
     classes = groups.select(F.col("fingerprint").alias(fp), F.col("component").alias(comp), F.col("component_id").alias(cid)).distinct()
-    stand = odd.join(classes, fp).filter(F.col(f"`{id_col}`").eqNullSafe(F.col(cid)))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    stand = odd.join(classes, fp).filter(F.col(quoted(id_col)).eqNullSafe(F.col(cid)))
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns])
     one = stand.groupBy(comp).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
     return kept.unionByName(one.select("row.*"))

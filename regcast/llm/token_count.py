@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from regcast.llm.common import fresh, prepare
+from regcast.llm.common import fresh, map_arrow, prepare, quoted, schema_of
 
 MODEL = "piece_bpe_32k.model"
 #: The frequent table: pre-tokens counted on at most SAMPLE_DOCS documents. It only saves work; counts do not depend on it.
@@ -102,7 +103,7 @@ def _frequent(docs: DataFrame, text_col: str, model: bytes) -> dict[str, int]:
         top = [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ROWS]] if encoder.additive else []
         yield pa.RecordBatch.from_pydict({"key": pa.array(top, pa.string()), "n": pa.array([encoder.miss(k) for k in top], pa.int32())})
 
-    rows = docs.select(F.col(text_col)).filter(F.col(text_col) != "").mapInArrow(tally, "key string, n int").limit(TABLE_ROWS).collect()
+    rows = docs.select(F.col(quoted(text_col)).alias("text")).filter("text != ''").mapInArrow(tally, "key string, n int").limit(TABLE_ROWS).collect()
     return {r["key"]: r["n"] for r in rows}
 
 
@@ -134,6 +135,6 @@ def token_counts(docs: DataFrame, text_col: str = "text", model_path: str | None
             cols = b.columns[:-1] + [got]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], n_tokens])
 
-    kept = docs.select(*[f"`{c}`" for c in rest], F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias(n_bytes), F.col(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + f", `{n_tokens}` long"
-    return kept.mapInArrow(count, schema).withColumn(over, F.col(n_tokens) > max_tokens)
+    kept = docs.select(*map(quoted, rest), F.coalesce(F.octet_length(quoted(text_col)), F.lit(0)).cast("long").alias(n_bytes), F.col(quoted(text_col)))
+    schema = schema_of(kept.schema.fields[:-1], (n_tokens, LongType()))
+    return map_arrow(kept, count, schema).withColumn(over, F.col(n_tokens) > max_tokens)
