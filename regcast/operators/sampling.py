@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .rowindex import Indexed, with_row_index
 
 SEED = 42
+# The texts of the errors below.
 
 
 def seeded_hash(keys, seed: int = SEED) -> Column:

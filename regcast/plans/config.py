@@ -1,4 +1,7 @@
-"""Frozen configuration objects (the "query" of a regression workflow)."""
+"""Frozen configuration objects (the "query" of a regression workflow).
+
+Fixed values: the names of the options and their defaults.
+"""
 
 from __future__ import annotations
 

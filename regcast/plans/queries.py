@@ -20,6 +20,7 @@ from ..operators.lags import lookback_features, windows
 from ..operators.linear import moments_of, ols_from_moments
 from ..operators.recursive import ar_forecast
 from ..operators.rowindex import with_row_index
+from ..sources import tables
 from ..sources.tables import load
 from .config import PipelineConfig, TrainingConfig, ValidationConfig
 from . import workflows as W
@@ -706,6 +707,41 @@ k AS (SELECT idx, y, row_number() OVER (PARTITION BY idx ORDER BY dist, did) AS
 SELECT idx, round(avg(y), {D}) AS "Prediction" FROM k WHERE r <= 5 GROUP BY idx"""
 
 
+def q_decision_tree_2(spark, sf):
+    """decision_tree of depth 2 on raw columns, one of them with a value per row (exact splits, no bins)."""
+    part, cfg = _part_cfg(spark, sf, ("p_size", "p_partkey"), key="decision_tree", params={"max_depth": 2}, scaling="None")
+    res = W.train(part, TrainingConfig(cfg, "Last percent", 100), test=part)
+    return res.prediction.data.select("idx", r("Prediction").alias("Prediction"))
+
+
+def _tree_level_sql(rows: str, level: int) -> str:
+    """Best split of every node of ``rows`` (id, y, node): all values of both features tried; then the nodes below."""
+    k = level
+    return f"""a{k} AS (SELECT r.id, r.y, r.node, l.f, l.x FROM {rows} r JOIN l USING (id)),
+v{k} AS (SELECT node, f, x, count(*) AS c, sum(y) AS s FROM a{k} GROUP BY ALL),
+c{k} AS (SELECT *, sum(c) OVER w AS cl, sum(s) OVER w AS sl, sum(c) OVER (PARTITION BY node, f) AS ct, sum(s) OVER (PARTITION BY node, f) AS st,
+         lead(x) OVER w AS nx FROM v{k} WINDOW w AS (PARTITION BY node, f ORDER BY x)),
+g{k} AS (SELECT node, f, (x + nx) / 2 AS thr, (sl - cl * st / ct) ** 2 * ct / (cl * (ct - cl)) AS gain FROM c{k} WHERE nx IS NOT NULL),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, thr) AS rn FROM g{k}) WHERE rn = 1),
+n{k} AS (SELECT a.id, a.y, 2 * a.node + CASE WHEN a.x <= b.thr THEN 0 ELSE 1 END AS node FROM a{k} a JOIN b{k} b ON a.node = b.node AND a.f = b.f)"""
+
+
+SQL_DECISION_TREE_2 = f"""WITH l AS (SELECT p_partkey AS id, 0 AS f, p_size::DOUBLE AS x FROM part UNION ALL SELECT p_partkey, 1, p_partkey::DOUBLE FROM part),
+n0 AS (SELECT p_partkey AS id, p_retailprice AS y, 1 AS node FROM part),
+{_tree_level_sql("n0", 1)},
+{_tree_level_sql("n1", 2)}
+SELECT row_number() OVER (ORDER BY id) - 1 AS idx, round(avg(y) OVER (PARTITION BY node), {D}) AS "Prediction" FROM n2"""
+
+
+def q_candidate_features(spark, sf):
+    """IO5: every column but the target may be a feature; the selected table holds the features and the target."""
+    part = load(spark, sf, "part")
+    return tables.select_frame(part, tables.candidate_features(part, "p_retailprice"), "p_retailprice")
+
+
+SQL_CANDIDATE_FEATURES = "SELECT * EXCLUDE (p_retailprice), p_retailprice FROM part"
+
+
 def q_relief_regression(spark, sf):
     from ..operators.neighbors import relief_scores
 
@@ -1198,6 +1234,8 @@ def registry() -> dict:
         "tweedie_1": (_one_feature_model("tweedie_regressor", {"power": 0.0, "alpha": 1.0}), SQL_TWEEDIE_1),
         "pls_1": (_one_feature_model("pls_regression", {"n_components": 1}), SQL_PLS_1),
         "decision_stump": (q_decision_stump, SQL_DECISION_STUMP),
+        "decision_tree_2": (q_decision_tree_2, SQL_DECISION_TREE_2),
+        "candidate_features": (q_candidate_features, SQL_CANDIDATE_FEATURES),
         "lookback_recursive_sql": (q_lookback_recursive_sql, SQL_LOOKBACK_RECURSIVE),
         "known_history_sql": (q_known_history_sql, SQL_KNOWN_HISTORY),
         "ar_forecast_by_series": (q_ar_forecast_by_series, SQL_AR_FORECAST_BY_SERIES),
