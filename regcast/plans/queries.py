@@ -255,7 +255,7 @@ SELECT o_orderkey, rn AS idx FROM s WHERE rn < greatest(1, (n * 20 + 99) // 100)
 
 def q_random_split(spark, sf):
     orders = load(spark, sf, "orders").select("o_orderkey")
-    train, test = sampling.random_split(orders, "o_orderkey", 25)
+    train, test = sampling.random_split(orders, "o_orderkey", 25, indexed=False)
     return train.df.select("o_orderkey", F.lit("train").alias("split")).unionByName(
         test.df.select("o_orderkey", F.lit("test").alias("split"))
     )
@@ -283,7 +283,7 @@ def _fold_sql(k: int) -> str:
 
 def q_kfold_random(spark, sf):
     orders = load(spark, sf, "orders").select("o_orderkey")
-    return sampling.kfold_random(orders, "o_orderkey", 7).df.select("o_orderkey", "fold")
+    return sampling.kfold_random(orders, "o_orderkey", 7, indexed=False).df.select("o_orderkey", "fold")
 
 
 SQL_KFOLD_RANDOM = _HASH_RN + f"\nSELECT o_orderkey, {_fold_sql(7)} FROM s"

@@ -66,3 +66,30 @@ def test_split_argument_errors(base):
 def test_training_row_count_rule():
     assert sampling.training_row_count(20, 40) == 8
     assert sampling.training_row_count(3, 1) == max(1, ceil(3 * 1 / 100))
+
+
+@pytest.mark.parametrize("listed,digits", [(10_000, 4), (2, 1)])
+def test_hash_cuts_equal_the_ranks(spark, monkeypatch, listed, digits):
+    """Cuts by counting passes (one digit at a time, buckets of 2 rows at most listed) select what a full sort would."""
+    monkeypatch.setattr(sampling, "LISTED", listed)
+    monkeypatch.setattr(sampling, "DIGITS", digits)
+    df = spark.range(500).selectExpr("id as row", "cast(id % 7 as string) as s").repartition(6)
+    order = [r["row"] for r in sampling.shuffled_index(df, ["row", "s"]).df.orderBy("idx").collect()]
+    ranks = [0, 1, 2, 77, 250, 499, 500]
+    n, cuts = sampling.hash_cuts(df, ["row", "s"], ranks)
+    assert n == 500
+    for rank, cut in zip(ranks, cuts, strict=True):
+        assert {r["row"] for r in df.where(cut).collect()} == set(order[:rank])
+
+
+def test_splits_and_folds_without_an_index_move_no_row(spark, base):
+    df = spark.range(300).withColumnRenamed("id", "row")
+    for a, b in zip(sampling.random_split(df, "row", 30), sampling.random_split(df, "row", 30, indexed=False), strict=True):
+        assert a.n == b.n and {r["row"] for r in a.df.collect()} == {r["row"] for r in b.df.collect()}
+        assert "Exchange" not in b.df._jdf.queryExecution().executedPlan().toString()
+    folds = sampling.kfold_random(df, "row", 7, indexed=False)
+    want = {r["row"]: r["fold"] for r in sampling.kfold_random(df, "row", 7).df.collect()}
+    assert {r["row"]: r["fold"] for r in folds.df.collect()} == want
+    assert "Exchange" not in folds.df._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        sampling.kfold_random(base, "row", 21, indexed=False)
