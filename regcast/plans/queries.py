@@ -914,6 +914,50 @@ SQL_TWEEDIE_1 = _one_sql("sxy / (sxx + n * 1.0)")
 SQL_PLS_1 = _one_sql("sxy / sxx")
 
 
+GRID_ALPHAS = (1.0, 1e5, 1e6)
+
+
+def q_grid_search_1(spark, sf):
+    """W4 + A5 on one raw feature: ridge alpha grid, 3 unshuffled folds of the seeded order, mean R² per candidate."""
+    from .config import ModelSpec
+
+    part, cfg = _part_cfg(spark, sf, ("p_size",), scaling="None")
+    spec = ModelSpec("ridge", {}, True, {"model__alpha": list(GRID_ALPHAS)}, 3)
+    res = W.train(part, TrainingConfig(PipelineConfig(cfg.features, cfg.target, cfg.order_by, cfg.plan, spec), "Random percent", 100))
+    gs = res.grid_search
+    rows = [(float(c["model__alpha"]), float(round(sc, DS)), c["model__alpha"] == gs.best_parameters["model__alpha"]) for c, sc in gs.scores]
+    return spark.createDataFrame(rows, "alpha double, mean_r2 double, best boolean")
+
+
+SQL_GRID_SEARCH_1 = f"""WITH h AS (SELECT p_size AS x, p_retailprice AS y, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY md5(concat(CAST(p_partkey AS VARCHAR), '|42')), p_partkey) - 1 AS rn FROM part),
+f AS (SELECT x, y, {_fold_sql(3)} FROM h),
+g AS (SELECT DISTINCT fold AS held FROM f),
+tr AS (SELECT held, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx, avg(x) AS mx, avg(y) AS my FROM f JOIN g ON fold <> held GROUP BY held),
+a AS (SELECT unnest([{", ".join(f"{v}::DOUBLE" for v in GRID_ALPHAS)}]) AS alpha),
+te AS (SELECT held, alpha, 1 - sum((y - my - sxy / (sxx + alpha) * (x - mx)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f JOIN tr ON fold = held, a GROUP BY held, alpha),
+m AS (SELECT alpha, avg(r2) AS r FROM te GROUP BY alpha)
+SELECT alpha, round(r, {DS}) AS mean_r2, r = max(r) OVER () AS best FROM m"""
+
+
+def q_boosting_round(spark, sf):
+    """gradient_boosting, one round of depth 1 on a column with a value per row."""
+    return _one_feature_model("gradient_boosting", {"n_estimators": 1, "max_depth": 1})(spark, sf)
+
+
+SQL_BOOSTING_ROUND = f"""WITH m AS (SELECT avg(p_retailprice) AS my FROM part),
+v AS (SELECT p_partkey AS x, count(*) AS c, sum(p_retailprice - my) AS s FROM part, m GROUP BY p_partkey),
+cum AS (SELECT x, sum(c) OVER (ORDER BY x) AS cl, sum(s) OVER (ORDER BY x) AS sl, sum(c) OVER () AS ct, sum(s) OVER () AS st, lead(x) OVER (ORDER BY x) AS nx FROM v),
+g AS (SELECT (x + nx) / 2.0 AS thr, sl / cl AS ml, (st - sl) / (ct - cl) AS mr, sl * sl / cl + (st - sl) * (st - sl) / (ct - cl) AS gain FROM cum WHERE nx IS NOT NULL),
+b AS (SELECT thr, ml, mr FROM g ORDER BY gain DESC, thr LIMIT 1)
+SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, round(my + 0.1 * CASE WHEN p_partkey < thr THEN ml ELSE mr END, {D}) AS "Prediction" FROM part, b, m"""
+
+
+def _mrmr_sql(relevance: str) -> str:
+    """Two features: the more relevant one is chosen first, so it scores 2 and the other 1."""
+    return f'SELECT "Variable", CAST(3 - row_number() OVER (ORDER BY mi DESC) AS DOUBLE) AS score FROM ({relevance})'
+
+
 def q_decision_stump(spark, sf):
     """decision_tree with max_depth=1 on p_size (exact thresholds)."""
     return _one_feature_model("decision_tree", {"max_depth": 1}, "p_size")(spark, sf)
@@ -1223,7 +1267,7 @@ def registry() -> dict:
         "ar_forecast": (q_ar_forecast, SQL_AR_FORECAST),
         "knn": (q_knn, SQL_KNN),
         "relief_regression": (q_relief_regression, SQL_RELIEF_REGRESSION),
-        "mrmr_regression": (q_mrmr_regression, None),
+        "mrmr_regression": (q_mrmr_regression, _mrmr_sql(SQL_MUTUAL_INFO)),
         "mutual_info": (q_mutual_info, SQL_MUTUAL_INFO),
         "mutual_info_classif": (q_mutual_info_classif, SQL_MUTUAL_INFO_CLASSIF),
         "feature_selection_pipeline": (q_feature_selection_pipeline, None),
@@ -1232,6 +1276,10 @@ def registry() -> dict:
         "elastic_net_1": (_one_feature_model("elastic_net", {"alpha": 1.0, "l1_ratio": 0.5}), SQL_ELASTIC_NET_1),
         "kernel_ridge_1": (_one_feature_model("kernel_ridge", {"alpha": 1.0, "kernel": "linear"}), SQL_KERNEL_RIDGE_1),
         "tweedie_1": (_one_feature_model("tweedie_regressor", {"power": 0.0, "alpha": 1.0}), SQL_TWEEDIE_1),
+        "lars_1": (_one_feature_model("lars", {}), SQL_PLS_1),
+        "lasso_lars_1": (_one_feature_model("lasso_lars", {"alpha": 1.0}), SQL_LASSO_1),
+        "boosting_round": (q_boosting_round, SQL_BOOSTING_ROUND),
+        "grid_search_1": (q_grid_search_1, SQL_GRID_SEARCH_1),
         "pls_1": (_one_feature_model("pls_regression", {"n_components": 1}), SQL_PLS_1),
         "decision_stump": (q_decision_stump, SQL_DECISION_STUMP),
         "decision_tree_2": (q_decision_tree_2, SQL_DECISION_TREE_2),
@@ -1245,7 +1293,7 @@ def registry() -> dict:
         "csv_roundtrip": (q_csv_roundtrip, SQL_CSV_ROUNDTRIP),
         "grid_search_summary": (q_grid_search_summary, None),
         "relief_classif": (q_relief_classif, SQL_RELIEF_CLASSIF),
-        "mrmr_classif": (q_mrmr_classif, None),
+        "mrmr_classif": (q_mrmr_classif, _mrmr_sql(SQL_MUTUAL_INFO_CLASSIF)),
         "elm_classifier": (q_elm_classifier, None),
         "acf_by_series": (q_acf_by_series, SQL_ACF_BY_SERIES),
         "lookback_validate": (q_lookback_validate, None),
