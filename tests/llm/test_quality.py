@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from regcast.llm import quality as Q
 
@@ -32,7 +33,7 @@ def brute(text):
 
 
 def brute_ratio(texts, good):
-    """{id: llr} by plain dictionaries."""
+    """{id: llr} by plain dictionaries, every document's own n-grams left out of both distributions."""
 
     def buckets(text):
         h = [zlib.crc32(w.encode()) for w in words_of(text or "")]
@@ -45,12 +46,15 @@ def brute_ratio(texts, good):
             raw[b] += 1
             target[b] += i in good
     n, m = sum(raw), sum(target)
-    out = {}
+    prior, out = Q.PRIOR_SHARE * m, {}
     for i, t in texts.items():
+        own = buckets(t)
         score = []
-        for b in buckets(t):
-            p = (raw[b] + 1) / (n + Q.BUCKETS)
-            score.append(math.log((target[b] + Q.PRIOR * Q.BUCKETS * p) / (m + Q.PRIOR * Q.BUCKETS) / p))
+        for b in own:
+            here = own.count(b)
+            p = (raw[b] - here + 1) / (n - len(own) + Q.BUCKETS)
+            left, total = (target[b] - here, m - len(own)) if i in good else (target[b], m)
+            score.append(math.log((left + prior * p) / (total + prior) / p))
         out[i] = sum(score) / len(score) if score else 0.0
     return out
 
@@ -61,21 +65,40 @@ def test_query_equals_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] == 1}
     want = brute_ratio(texts, good)
+    own = sorted(want[i] for i in good if not brute(texts[i])[-1])
+    cut = math.floor(own[math.floor(Q.LOSE * len(own))] / Q.STEP) * Q.STEP
     rows = op3_quality(spark, SF).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert tuple(r[c] for c in BASE) == brute(texts[r["doc_id"]])
         assert r["llr"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
-        assert r["kept"] == (not r["base_failed"] and r["llr"] >= Q.THRESHOLD)
+        if abs(r["llr"] - cut) > 1e-9:
+            assert r["kept"] == (not r["base_failed"] and r["llr"] >= cut)
 
 
-def test_labelled_good_stays_and_bad_goes(spark):
-    from regcast.llm.queries import op3_quality
+def labelled(spark, share):
+    """Shares kept at sf0.1 of the good documents whose label the operator did not see, and of the bad ones."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    seen = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(100)) < share
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = Q.quality(docs, labels.filter((F.col("quality") == 1) & seen).select("doc_id"))
+    rows = out.join(labels, "doc_id").withColumn("seen", seen).filter("n_words >= 40").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1 and (share == 100 or not r["seen"])]
+    return np.mean(good), np.mean([r["kept"] for r in rows if r["quality"] == 0])
+
+
+@pytest.mark.parametrize("share", [10, 50, 100])
+def test_verdict_does_not_hang_on_the_number_of_labels(spark, share):
+    good, bad = labelled(spark, share)
+    assert good > 0.9 and bad < 0.2, (good, bad)
+
 
-    sf = "/root/testdata/sf0.01"
-    rows = op3_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("n_words >= 40").collect()
-    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+def test_threshold_of(spark):
+    scores = spark.createDataFrame([(i / 100,) for i in range(100)], "s double")
+    assert Q.threshold_of(scores, 0.05) == pytest.approx(0.05, abs=Q.STEP)
+    assert Q.threshold_of(scores, 0.0) == pytest.approx(0.0, abs=Q.STEP)
+    assert Q.threshold_of(scores.limit(0)) == float("-inf")
 
 
 @pytest.mark.parametrize("text", ["a b c d e f g h " * 5, "a " * 100, "x y\nx y\n\n\n \n x y", "one two three four five six seven eight nine", "é ü # | é x", "a b c d e f g h i a b c d e f g h j " + " ".join(map(str, range(50)))])
