@@ -25,8 +25,9 @@ from pyspark.sql.types import LongType
 from regcast.llm.common import fresh, map_arrow, prepare, quoted, schema_of
 
 MODEL = "piece_bpe_32k.model"
-#: The frequent table: pre-tokens counted on at most SAMPLE_DOCS documents. It only saves work; counts do not depend on it.
-SAMPLE_DOCS, TABLE_ROWS = 2_000, 32_768
+#: The frequent table: pre-tokens counted on about SAMPLE_DOCS documents drawn from the whole table by SAMPLE_TASKS tasks. It
+#: only saves work; counts do not depend on it.
+SAMPLE_DOCS, SAMPLE_TASKS, TABLE_ROWS = 8_000, 8, 32_768
 #: Entries of a worker's cache; a full cache starts anew.
 CACHE_ROWS = 200_000
 SPACES = re.compile(r" +[^ ]*")
@@ -88,23 +89,26 @@ class Encoder:
 
 
 def _frequent(docs: DataFrame, text_col: str, model: bytes) -> dict[str, int]:
-    """Each task offers its first documents' most frequent pre-tokens; the limit makes Spark ask only as many tasks as fill the table."""
+    """The sample's most frequent pre-tokens and their lengths; of each task's share only TABLE_ROWS rows reach the driver."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        read = 0
         for b in batches:
-            for t in b.column(0).slice(0, SAMPLE_DOCS - read).to_pylist():
+            for t in b.column(0).to_pylist():
                 seen.update(pretokens(t)[0])
-                read += 1
-            if read >= SAMPLE_DOCS:
-                break
         encoder = Encoder(model, {})
-        top = [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ROWS]] if encoder.additive else []
-        yield pa.RecordBatch.from_pydict({"key": pa.array(top, pa.string()), "n": pa.array([encoder.miss(k) for k in top], pa.int32())})
-
-    rows = docs.select(F.col(quoted(text_col)).alias("text")).filter("text != ''").mapInArrow(tally, "key string, n int").limit(TABLE_ROWS).collect()
-    return {r["key"]: r["n"] for r in rows}
+        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ROWS] if encoder.additive else []
+        yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in top], pa.string()), "seen": pa.array([c for _, c in top], pa.int64()), "n": pa.array([encoder.miss(k) for k, _ in top], pa.int32())})
+
+    rows = docs.select(F.col(quoted(text_col)).alias("text"))
+    share = SAMPLE_DOCS / max(1, docs.count())
+    drawn = rows.filter(F.rand(42) < share).filter("text != ''").repartition(SAMPLE_TASKS)
+    found = sorted(drawn.mapInArrow(tally, "key string, seen long, n int").collect())
+    total: Counter = Counter()
+    for r in found:
+        total[r["key"]] += r["seen"]
+    length = {r["key"]: r["n"] for r in found}
+    return {k: length[k] for k, _ in total.most_common(TABLE_ROWS)}
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", model_path: str | None = None, max_tokens: int = 4096) -> DataFrame:

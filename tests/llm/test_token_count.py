@@ -49,3 +49,19 @@ def test_nulls_repeats_empty_table_and_clashing_names(spark):
     assert out.columns == ["doc_id", "n_tokens", "n_bytes", "n_tokens_", "over_limit"]
     assert sorted((r["n_bytes"], r["n_tokens_"]) for r in out.collect()) == [(0, 0), (0, 0), (3, 2)]
     assert T.token_counts(df.limit(0)).count() == 0
+
+
+def test_frequent_table_is_drawn_from_every_partition(spark):
+    left = [(" ".join(f"l{i}x{j}" for j in range(40)),) for i in range(40)]
+    right = [("both " + " ".join(f"r{i}x{j}" for j in range(40)),) for i in range(40)]
+    df = spark.createDataFrame(left + right, "text string").repartition(4)
+    got = T._frequent(df, "text", SP.serialized_model_proto())
+    assert len(got) == 3201 and got["both"] == len(SP.encode("both"))
+    assert next(iter(got)) == "both"
+
+
+def test_frequent_table_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(T, "TABLE_ROWS", 5)
+    df = spark.createDataFrame([(f"a b c w{i} v{i}",) for i in range(50)], "text string")
+    got = T._frequent(df, "text", SP.serialized_model_proto())
+    assert len(got) == 5 and {"a", "b", "c"} <= set(got)
