@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .trees import REFRESH, GrowSpec, Tree, _col, _grow_exact_trees, _matrix, _ones, _rows, _walk
+from .trees import REFRESH, GrowSpec, RowKinds, Tree, _col, _grow_exact_trees, _matrix, _merged, _ones, _rows, _walk
 
 
 @dataclass
@@ -63,30 +63,37 @@ def adaboost_fit(df, features, target, n_estimators=50, learning_rate=1.0, loss=
     if loss not in ("linear", "square", "exponential"):
         raise ValueError("loss must be linear, square or exponential")
     rows, _, n = _rows(df, features, target, binned=False)
-    data = rows.withColumn("_w", F.lit(1.0))
     p = len(features)
+    merged = _merged(rows, [f"x{j}" for j in range(p)], n)
+    kinds = RowKinds(rows, merged[0], p) if merged else None
+    data = (kinds.data if kinds else rows).withColumn("_w", F.lit(1.0))
     spec = GrowSpec(max_depth=max_depth)
     trees, weights = [], []
-    pending: list[tuple] = []  # (tree, largest error, beta) of rounds not folded into _w yet
+    pending: list[tuple] = []  # (prediction, largest error, beta) of rounds not folded into _w yet
 
     def share(error, largest):
         e = error / largest
         return e if loss == "linear" else e * e if loss == "square" else 1.0 - np.exp(-e)
 
+    def told(tree):
+        """What predicts a batch's rows: the tree, or its values for the kinds of rows."""
+        values = tree.value[_walk(tree, kinds.X, on_bins=False)] if kinds else None
+        return (lambda b: values[b.column("_kind").to_numpy(zero_copy_only=False)]) if kinds else lambda b: tree.value[_walk(tree, _matrix(b, p), on_bins=False)]
+
     def weight_of(b, rounds):
-        X, y, w = _matrix(b, p), _col(b, "_y"), _col(b, "_w")
-        for tree, largest, beta in rounds:
-            w = w * beta ** ((1.0 - share(np.abs(tree.value[_walk(tree, X, on_bins=False)] - y), largest)) * learning_rate)
-        return X, y, w
+        y, w = _col(b, "_y"), _col(b, "_w")
+        for predict, largest, beta in rounds:
+            w = w * beta ** ((1.0 - share(np.abs(predict(b) - y), largest)) * learning_rate)
+        return y, w
 
-    def measure(tree, rounds, largest):
+    def measure(predict, rounds, largest):
         """Largest error, and sums of weights, errors and losses (with ``largest`` given) over all rows."""
 
         def run(batches):
             top, sums = 0.0, np.zeros(4)
             for b in batches:
-                X, y, w = weight_of(b, rounds)
-                e = np.abs(tree.value[_walk(tree, X, on_bins=False)] - y)
+                y, w = weight_of(b, rounds)
+                e = np.abs(predict(b) - y)
                 top = max(top, float(e.max(initial=0.0)))
                 sums += [w.sum(), w @ e, w @ (e * e), w @ share(e, largest) if largest else 0.0]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (top, *sums)], names=["top", "w", "e", "q", "l"])
@@ -97,17 +104,22 @@ def adaboost_fit(df, features, target, n_estimators=50, learning_rate=1.0, loss=
     for k in range(int(n_estimators)):
 
         def weighted(b, rounds=tuple(pending)):
-            _, y, w = weight_of(b, rounds)
-            return y, w
-
-        tree = _grow_exact_trees(data, p, n, 1, spec, weighted, _ones, seed=k)[0][0]
-        largest, total, linear, squared, _ = measure(tree, tuple(pending), 0.0)
+            return weight_of(b, rounds)
+
+        if kinds:
+            kinds.data = data
+            grown = kinds.grow([0], lambda b, t, weighted=weighted: (weighted(b)[1], np.ones(b.num_rows)), spec, k).first()
+            tree = Tree.unpack(grown["n"], grown["blob"])
+        else:
+            tree = _grow_exact_trees(data, p, n, 1, spec, weighted, _ones, seed=k)[0][0]
+        predict = told(tree)
+        largest, total, linear, squared, _ = measure(predict, tuple(pending), 0.0)
         if largest == 0:
             trees.append(tree)
             weights.append(1.0)
             break
         lost = {"linear": linear / largest, "square": squared / largest**2}.get(loss)
-        est_err = (measure(tree, tuple(pending), largest)[4] if lost is None else lost) / total
+        est_err = (measure(predict, tuple(pending), largest)[4] if lost is None else lost) / total
         if est_err >= 0.5:
             if not trees:
                 trees.append(tree)
@@ -118,12 +130,12 @@ def adaboost_fit(df, features, target, n_estimators=50, learning_rate=1.0, loss=
         weights.append(float(learning_rate * np.log(1.0 / beta)) if beta > 0 else 1.0)
         if beta <= 0:
             break
-        pending.append((tree, largest, beta))
+        pending.append((predict, largest, beta))
         if len(pending) >= REFRESH:
 
             def fold(batches, rounds=tuple(pending)):
                 for b in batches:
-                    w = weight_of(b, rounds)[2]
+                    w = weight_of(b, rounds)[1]
                     yield pa.RecordBatch.from_arrays([b.column(c) if c != "_w" else pa.array(w) for c in b.schema.names], names=b.schema.names)
 
             data, pending = materialize(data.mapInArrow(fold, data.schema)), []

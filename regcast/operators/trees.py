@@ -31,6 +31,12 @@ Model size: a tree's nodes come to the driver while all trees together have
 at most ``GATHER_NODES``. Beyond, subtrees stay a table and rows are scored by
 sending them to their subtrees.
 
+A table beyond a task whose distinct rows of features (or bins) fit one is merged
+first: least squares needs of equal rows their number and mean target only
+(``_merged``). Bootstrap draws and the weights of AdaBoost differ between equal
+rows: there tasks sum them per kind of row (``RowKinds``). Where the distinct
+rows do not fit a task either, the jobs over the whole table above do the work.
+
 Boosting keeps the running prediction ``F`` as a column that is rewritten and
 checkpointed every ``REFRESH`` trees. Randomness (bootstrap counts, thresholds)
 comes from hashes of (seed, tree, row or path), so a refit gives the same model
@@ -61,6 +67,7 @@ SUBTREE_CELLS = 4_000_000  # rows x (features + 4) of a node that a task takes o
 HIST_CELLS = 2_000_000  # histogram cells that one job brings to the driver
 VALUE_ROWS = 500_000  # rows of the bins whose values are listed one by one
 GATHER_NODES = 5_000_000  # nodes of a model kept on the driver (about 40 bytes each)
+KIND_SUMS = 8_000_000  # sums of kinds of rows that a task keeps at once
 CHUNK_ROWS = 200_000  # rows a task looks at together in the top phase
 CUTS = 255  # inner cuts of a bin that is cut finer
 TIE = 1e-10  # gains that differ by less (relative) are ties: lowest feature, then lowest value
@@ -726,13 +733,18 @@ def _grow_exact_trees(data: DataFrame, p: int, n_rows: int, n_trees: int, spec:
     if not open_nodes:
         return trees, None
     table = _subtrees(data, p, trees, tops, open_nodes, spec, rows_fn, weight_fn)
+    ends = [(t, node, Tree(value=[tops[t].value[node]], depth=[tops[t].depth[node]])) for t, node in done]
     most = sum(min(2 * tops[t].rows[node], 2 ** min(spec.depth_cap - tops[t].depth[node] + 1, 60)) for t, node in open_nodes)
+    return _gathered(table, trees, ends, most)
+
+
+def _gathered(table: DataFrame, trees: list[Tree], ends: list[tuple], most: float):
+    """The whole trees from a table of subtrees, or (trees, table) where their nodes are more than ``GATHER_NODES``."""
     if most > GATHER_NODES:
         table = materialize(table)
         if table.agg(F.sum("n")).first()[0] > GATHER_NODES:
-            spark = data.sparkSession
-            ends = [(t, node, len(leaf), bytearray(leaf.pack())) for t, node in done for leaf in [Tree(value=[tops[t].value[node]], depth=[tops[t].depth[node]])]]
-            return trees, table.unionByName(spark.createDataFrame(ends, table.schema)) if ends else table
+            leaves = [(t, node, len(leaf), bytearray(leaf.pack())) for t, node, leaf in ends]
+            return trees, table.unionByName(table.sparkSession.createDataFrame(leaves, table.schema)) if leaves else table
     grown: dict[int, list] = {}
     for r in table.collect():
         grown.setdefault(r["t"], []).append((r["node"], Tree.unpack(r["n"], r["blob"])))
@@ -753,7 +765,7 @@ def _subtrees(data: DataFrame, p: int, trees: list[Tree], tops: list[_Top], node
         for b in batches:
             X, (y, h), rid = _matrix(b, p), rows_fn(b), b.column("_rid").to_numpy(zero_copy_only=False)
             for t, mine in open_by_tree.items():
-                count = weight_fn(rid, t)
+                count = weight_fn(rid, t) * _rows_of(b)
                 node = _walk(walked[t], X, on_bins=False)
                 r = np.flatnonzero((count > 0) & np.isin(node, mine))
                 if r.size:
@@ -804,15 +816,17 @@ def _offsets(edges: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(e) + 1 for e in edges])]).astype(np.int64)
 
 
-def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: list[int], offsets: np.ndarray) -> np.ndarray:
-    """Sums of g, h and rows per (node of ``nodes``, cell): an array (nodes, 3, cells); a cell is a bin of a feature."""
+def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: list[int], offsets: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sums of g, h and rows per (node of ``nodes``, cell): an array (nodes, 3, cells); a cell is a bin of a feature.
+
+    ``rows`` tells how many rows each stands for (one without it)."""
     k = len(nodes)
     by_id = np.argsort(nodes)
     sorted_nodes = np.asarray(nodes)[by_id]
     slot = np.minimum(np.searchsorted(sorted_nodes, node), k - 1)
     r = np.flatnonzero(sorted_nodes[slot] == node)
     slot = by_id[slot[r]]
-    values = (g[r], h[r], None)
+    values = (g[r], h[r], None if rows is None else rows[r])
     out = np.empty((k, 3, int(offsets[-1])))
     for f, (a, z) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         at = slot * (z - a) + bins[r, f]
@@ -824,11 +838,11 @@ def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray,
 class _LocalHistograms:
     """Histograms of rows that one task holds."""
 
-    def __init__(self, bins, g, h, offsets):
-        self.bins, self.g, self.h, self.offsets = bins, g, h, offsets
+    def __init__(self, bins, g, h, offsets, rows=None):
+        self.bins, self.g, self.h, self.offsets, self.rows = bins, g, h, offsets, rows
 
     def __call__(self, tree: Tree, nodes: list[int]) -> np.ndarray:
-        return histograms(self.bins, self.g, self.h, _walk(tree, self.bins, on_bins=True), nodes, self.offsets)
+        return histograms(self.bins, self.g, self.h, _walk(tree, self.bins, on_bins=True), nodes, self.offsets, self.rows)
 
 
 class _SparkHistograms:
@@ -1020,6 +1034,77 @@ def _rows(df: DataFrame, features, target: str, binned: bool, max_bins: int = 25
     return (data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data), edges, n
 
 
+def _rows_of(b) -> np.ndarray:
+    """How many rows of the table each row of the batch stands for."""
+    return _col(b, "_many") if "_many" in b.schema.names else np.ones(b.num_rows)
+
+
+def _merged(data: DataFrame, columns: list[str], n: int) -> tuple[DataFrame, int] | None:
+    """One row for all that agree in ``columns``: their number ``_many``, mean target ``_y`` and squares around it ``_ss``.
+
+    Least squares sees no more of them. None where the table fits a task
+    anyway, or the merged rows would not fit one.
+    """
+    width = len([c for c in columns if c != "_val"]) + 4
+    if n * width <= SUBTREE_CELLS:
+        return None
+    few = data.groupBy(*columns).agg(F.count("*").cast("double").alias("_many"), F.avg("_y").alias("_y"), (F.var_pop("_y") * F.count("*")).alias("_ss"), F.min("_rid").alias("_rid"))
+    few = materialize(few)
+    found = (few.where(~F.col("_val")) if "_val" in columns else few).count()
+    return (few, found) if found * width <= SUBTREE_CELLS else None
+
+
+class RowKinds:
+    """Rows numbered by the distinct values of their features, where these fit a task.
+
+    A task sums what trees need per kind, so its output does not grow with its
+    rows; the features of the kinds (at most ``SUBTREE_CELLS`` numbers) are broadcast.
+    """
+
+    def __init__(self, data: DataFrame, kinds: DataFrame, p: int):
+        from .rowindex import with_row_index
+
+        self.p, spark = p, data.sparkSession
+        columns = [f"x{j}" for j in range(p)]
+        numbered = with_row_index(kinds.select(*columns), columns, "_kind")
+        self.n = numbered.n
+        self.X = numbered.df.orderBy("_kind").select(*columns).toPandas().to_numpy(dtype=float)
+        self.sent = spark.sparkContext.broadcast(self.X)
+        right = F.broadcast(numbered.df.select(*[F.col(c).alias(f"_k{c}") for c in columns], "_kind"))
+        same = F.lit(True)
+        for c in columns:
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{c}"))
+        self.data = materialize(data.join(right, same).drop(*columns, *[f"_k{c}" for c in columns]))
+        self.tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def grow(self, trees: list[int], weigh, spec: GrowSpec, seed: int) -> DataFrame:
+        """t, node, n, blob of whole trees; ``weigh(batch, t)`` gives the rows' weights and counts."""
+        n, sent = self.n, self.sent
+
+        def part(batches):
+            sums = np.zeros((len(trees), 3, n))
+            for b in batches:
+                kind, y = b.column("_kind").to_numpy(zero_copy_only=False), _col(b, "_y")
+                for i, t in enumerate(trees):
+                    w, c = weigh(b, t)
+                    for j, v in enumerate((w, w * y, c)):
+                        sums[i, j] += np.bincount(kind, weights=v, minlength=n)
+            for i, t in enumerate(trees):
+                yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([sums[i].tobytes()], pa.binary())], names=["t", "sums"])
+
+        def whole(g: pa.Table) -> pa.Table:
+            t = g["t"][0].as_py()
+            total = sum(np.frombuffer(v.as_py(), dtype=float).reshape(3, n) for v in sorted(g["sums"], key=lambda v: v.as_py()))
+            has = total[0] > 0
+            w, s, c = total[:, has]
+            tree = grow_exact(sent.value[has], s / w, w, c, spec, 0, _root_key(seed, t))
+            return pa.Table.from_arrays([pa.array([t]), pa.array([0]), pa.array([len(tree)]), pa.array([tree.pack()], pa.binary())], names=["t", "node", "n", "blob"])
+
+        rows = self.data.coalesce(min(self.tasks, self.data.rdd.getNumPartitions()))
+        parts = rows.mapInArrow(part, "t long, sums binary").repartition(min(len(trees), self.tasks), "t")
+        return parts.groupBy("t").applyInArrow(whole, "t long, node long, n long, blob binary")
+
+
 def _ones(rid: np.ndarray, t: int) -> np.ndarray:
     return np.ones(rid.shape[0])
 
@@ -1036,6 +1121,25 @@ def _forest(df, features, target, n_trees, spec: GrowSpec, bootstrap: float | No
     def weight(rid, t):
         return _ones(rid, t) if bootstrap is None else _poisson_counts(_row_uniform(rid, t, seed), bootstrap)
 
+    merged = _merged(data, [f"x{j}" for j in range(p)], n)
+    if merged and bootstrap is None:
+        data, n = merged
+    elif merged:
+        kinds = RowKinds(data, merged[0], p)
+
+        def drawn(b, t):
+            count = weight(b.column("_rid").to_numpy(zero_copy_only=False), t)
+            return count, count
+
+        tables = []
+        step = max(1, KIND_SUMS // (3 * kinds.n))
+        for a in range(0, n_trees, step):
+            tables.append(kinds.grow(list(range(a, min(n_trees, a + step))), drawn, spec, seed))
+        whole = tables[0]
+        for more in tables[1:]:
+            whole = whole.unionByName(more)
+        trees, table = _gathered(whole, [Tree()] * n_trees, [], n_trees * min(2 * kinds.n, 2 ** min(spec.depth_cap + 1, 60)))
+        return TreeEnsemble(list(features), trees, [1.0] * len(trees), 0.0, "mean", subtrees=table)
     shift = float(data.agg(F.avg("_y")).first()[0]) if n * (p + 4) > SUBTREE_CELLS else 0.0
     trees, table = _grow_exact_trees(data, p, n, n_trees, spec, _plain, weight, seed, shift)
     return TreeEnsemble(list(features), trees, [1.0] * len(trees), 0.0, "mean", subtrees=table)
@@ -1067,12 +1171,13 @@ def _validation_losses(base: DataFrame, trees, lr, p) -> list[float]:
     def run(batches):
         acc, cnt = np.zeros(len(trees) + 1), 0.0
         for b in batches:
-            now, y, bins = _col(b, "_F"), _col(b, "_y"), _matrix(b, p, "b")
-            cnt += y.size
+            now, y, bins, w = _col(b, "_F"), _col(b, "_y"), _matrix(b, p, "b"), _rows_of(b)
+            cnt += w.sum()
+            within = _col(b, "_ss").sum() if "_ss" in b.schema.names else 0.0
             for i in range(len(trees) + 1):
                 if i:
                     now = now + lr * trees[i - 1].value[_walk(trees[i - 1], bins, on_bins=True)]
-                acc[i] += float((y - now) @ (y - now))
+                acc[i] += float((w * (y - now)) @ (y - now)) + within
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(acc))), pa.array(acc), pa.array(np.full(len(acc), cnt))], names=["i", "s", "n"])
 
     rows = base.where(F.col("_val")).mapInArrow(run, "i long, s double, n double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
@@ -1099,17 +1204,17 @@ def _rounds_in_task(data: DataFrame, p: int, edges, spec: GrowSpec, lr: float, s
     offsets = _offsets(edges)
 
     def whole(batches):
-        parts = [(_matrix(b, p, "b" if binned else "x"), _col(b, "_y"), _col(b, "_F"), b.column("_rid").to_numpy(zero_copy_only=False)) for b in batches]
+        parts = [(_matrix(b, p, "b" if binned else "x"), _col(b, "_y"), _col(b, "_F"), b.column("_rid").to_numpy(zero_copy_only=False), _rows_of(b)) for b in batches]
         if not parts:
             return
-        X, y, now, rid = (np.concatenate(c) for c in zip(*parts))
+        X, y, now, rid, w = (np.concatenate(c) for c in zip(*parts))
         order = np.argsort(rid, kind="stable")  # sums in one order, whatever the partitioning
-        X, y, now, one = X[order], y[order], now[order], np.ones(len(y))
+        X, y, now, w = X[order], y[order], now[order], w[order]
         for seed in seeds:
             if binned:
-                tree = grow_hist(_LocalHistograms(X.astype(np.int64), now - y, one, offsets), spec, edges, seed)
+                tree = grow_hist(_LocalHistograms(X.astype(np.int64), w * (now - y), w, offsets, w), spec, edges, seed)
             else:
-                tree = grow_exact(X, y - now, one, one, spec, 0, _root_key(seed, 0))
+                tree = grow_exact(X, y - now, w, w, spec, 0, _root_key(seed, 0))
             now = now + lr * tree.value[_walk(tree, X, on_bins=binned)]
             yield pa.RecordBatch.from_arrays([pa.array([seed]), pa.array([len(tree)]), pa.array([tree.pack()], pa.binary())], names=["seed", "n", "blob"])
 
@@ -1127,6 +1232,8 @@ def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int | N
     else:
         train_rows = data
     f0 = float(train_rows.agg(F.avg("_y")).first()[0]) if init == "mean" else 0.0
+    columns = [f"{'b' if binned else 'x'}{j}" for j in range(p)] + (["_val"] if early_stopping else [])
+    data, n = _merged(data, columns, n) or (data, n)
     base = data.withColumn("_F", F.lit(f0))
     trees: list[Tree] = []
     pending: list[Tree] = []  # trees not yet folded into _F
