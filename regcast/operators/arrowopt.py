@@ -19,11 +19,12 @@ def arrow_objective(
     df: DataFrame,
     x_cols,
     y_col: str,
-    partial: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]],
+    partial: Callable[..., tuple[float, np.ndarray]],
+    weight: str | None = None,
 ) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """``partial(X, y, theta) -> (loss_sum, grad_sum)`` over a batch."""
+    """``partial(X, y, theta) -> (loss_sum, grad_sum)`` over a batch; the column ``weight`` is its last argument where named."""
     x_cols = list(x_cols)
-    data = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x_cols)], F.col(y_col).cast("double").alias("y"))
+    data = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x_cols)], F.col(y_col).cast("double").alias("y"), *([F.col(weight).alias("w")] if weight else []))
 
     def fun(theta: np.ndarray):
         th = np.asarray(theta, dtype=float).copy()
@@ -36,7 +37,7 @@ def arrow_objective(
                     continue
                 X = np.column_stack([b.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(len(x_cols))])
                 y = b.column("y").to_numpy(zero_copy_only=False)
-                f, g = partial(X, y, th)
+                f, g = partial(X, y, th, *([b.column("w").to_numpy(zero_copy_only=False)] if weight else []))
                 acc_f += f
                 acc_g += g
                 seen = True

@@ -105,6 +105,13 @@ class KernelDualModel:
     kernel: Kernel
     extra: dict = field(default_factory=dict)
 
+    @property
+    def w(self) -> np.ndarray:
+        """The weights of the features; only a linear kernel has them."""
+        if self.kernel.name != "linear":
+            raise AttributeError(f"A model on the {self.kernel.name} kernel has no feature weights.")
+        return self.a @ self.X
+
     def predict_numpy(self, X: np.ndarray) -> np.ndarray:
         X = np.asarray(X, dtype=float)
         out = np.full(len(X), self.b)
@@ -143,6 +150,21 @@ def _table(df: DataFrame, features, target: str) -> DataFrame:
     return materialize(data.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())))
 
 
+def _weighted(data: DataFrame, p: int) -> DataFrame:
+    """The column ``w`` added: 1, or in a large table the number of rows with equal features, merged to their mean target.
+
+    A squared loss sees no more of them, so the solution is that of all rows.
+    """
+    from .trees import _merged
+
+    names = [f"x{j}" for j in range(p)]
+    merged = _merged(data.withColumnRenamed("y", "_y"), names, data.count())
+    if merged is None:
+        return data.withColumn("w", F.lit(1.0))
+    few = merged[0].select(*names, F.col("_y").alias("y"), "_rid", F.col("_many").alias("w"))
+    return materialize(few.repartition(data.sparkSession.sparkContext.defaultParallelism))
+
+
 def _x(b, p: int) -> np.ndarray:
     return np.column_stack([b.column(f"x{j}").to_numpy(zero_copy_only=False) for j in range(p)]).astype(float)
 
@@ -219,8 +241,8 @@ def pivot_map(data: DataFrame, p: int, kernel: Kernel, tol: float) -> tuple[Pivo
         fmap = PivotMap(np.concatenate([fmap.pivots, rows[chosen]]) if fmap else rows[chosen], inverse, kernel)
 
 
-def _gram(data: DataFrame, p: int, fmap: PivotMap) -> tuple[np.ndarray, np.ndarray]:
-    """ΦᵀΦ and Φᵀy: tasks return stripes of their sums as binary cells, Spark adds them stripe by stripe."""
+def _gram(data: DataFrame, p: int, fmap: PivotMap, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """ΦᵀWΦ and ΦᵀWy (W the rows' weights, or 1): tasks return stripes of their sums as binary cells, Spark adds them stripe by stripe."""
     m = fmap.dim
     sent = data.sparkSession.sparkContext.broadcast(fmap)
 
@@ -228,9 +250,10 @@ def _gram(data: DataFrame, p: int, fmap: PivotMap) -> tuple[np.ndarray, np.ndarr
         total = np.zeros((m, m + 1))
         for b in batches:
             X, y = _x(b, p), b.column("y").to_numpy(zero_copy_only=False)
+            w = b.column("w").to_numpy(zero_copy_only=False) if weighted else np.ones(len(y))
             for a in range(0, len(X), BLOCK):
                 phi = sent.value(X[a : a + BLOCK])
-                total += phi.T @ np.column_stack([phi, y[a : a + BLOCK]])
+                total += (phi * w[a : a + BLOCK, None]).T @ np.column_stack([phi, y[a : a + BLOCK]])
         for i in range(0, m, STRIPE):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i : i + STRIPE].tobytes()], pa.binary())], names=["i", "cells"])
 
@@ -252,6 +275,7 @@ class KernelRows:
             raise ValueError(f"An exact kernel on {n} rows needs {n}² evaluations a step; set n_landmarks or n_components.")
         pdf = data.toPandas().sort_values("_rid", kind="stable")
         self.X, self.y, self.n, self.kernel = pdf[[f"x{j}" for j in range(p)]].to_numpy(), pdf["y"].to_numpy(), n, kernel
+        self.w = pdf["w"].to_numpy() if "w" in pdf else np.ones(n)
         self.spark = data.sparkSession
         self.sent = self.spark.sparkContext.broadcast(self.X)
         self.parts = min(-(-n // BLOCK), 4 * self.spark.sparkContext.defaultParallelism)
@@ -297,11 +321,14 @@ class KernelRows:
 
 
 def solve_ridge(df: DataFrame, features, target: str, kernel: Kernel, alpha: float, max_iter: int = 500, tol: float = 1e-10):
-    """(K + αI)a = y without an intercept, exact: a linear model on the pivots' map, or the dual over all rows."""
+    """(K + αW⁻¹)a = y without an intercept, exact: a linear model on the pivots' map, or the dual over all rows.
+
+    W holds the rows that each one stands for (``_weighted``), so it is 1 unless equal rows were merged.
+    """
     from .kernels import KernelModel
 
     p = len(features)
-    data = _table(df, features, target)
+    data = _weighted(_table(df, features, target), p)
     fmap, complete = pivot_map(data, p, kernel, max(1e-13, min(1e-10, 1e-3 * alpha)))
     if fmap is None:  # a kernel that is zero everywhere
         return KernelModel(list(features), _zero_map(p, kernel), np.zeros(1), 0.0)
@@ -313,7 +340,12 @@ def solve_ridge(df: DataFrame, features, target: str, kernel: Kernel, alpha: flo
         return KernelModel(list(features), fmap, w, 0.0, {"rank": fmap.dim})
     rows = KernelRows(data, p, kernel)
     # the preconditioner ΦΦᵀ + δI, with δ the mean of what the pivots leave and α
-    delta = alpha + max((float(kernel.diagonal(rows.X).sum()) - float(np.trace(S))) / rows.n, 1e-12)
+    if (rows.w != 1).any():
+        S, _ = _gram(data, p, fmap, weighted=False)
+        lam, U = np.linalg.eigh((S + S.T) / 2)
+        lam = np.maximum(lam, 0.0)
+    noise = alpha / rows.w
+    delta = float(noise.mean()) + max((float(kernel.diagonal(rows.X).sum()) - float(np.trace(S))) / rows.n, 1e-12)
 
     def precondition(r: np.ndarray) -> np.ndarray:
         u = rows.projected(fmap, r)
@@ -328,7 +360,7 @@ def solve_ridge(df: DataFrame, features, target: str, kernel: Kernel, alpha: flo
         if steps == max_iter:
             warnings.warn(f"Conjugate gradients stopped after {max_iter} steps at a relative residual of {np.linalg.norm(r) / np.linalg.norm(rows.y):.1e}.", stacklevel=2)
             break
-        q = rows.times(d) + alpha * d
+        q = rows.times(d) + noise * d
         step = rz / float(d @ q)
         a, r = a + step * d, r - step * q
         z = precondition(r)

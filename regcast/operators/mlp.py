@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrowopt import arrow_objective
 from .optim import lbfgs
+from .trees import SUBTREE_CELLS, _merged, _rows
 
 ACTS = ("identity", "logistic", "tanh", "relu")
 
@@ -94,14 +95,15 @@ class Net:
             acts.append(_act(z, kind))
         return acts
 
-    def loss_grad(self, X, y, th):
-        """Σ ½(ŷ−y)² and its gradient over a batch."""
+    def loss_grad(self, X, y, th, w=None):
+        """Σ ½(ŷ−y)² and its gradient over a batch; ``w`` tells how many rows each stands for."""
         layers = self.unpack(th)
         acts = self.forward(X, th)
         out = acts[-1][:, 0]
         err = out - y
-        loss = 0.5 * float(err @ err)
-        delta = (err * _dact(acts[-1][:, 0], self.output))[:, None]
+        weighed = err if w is None else w * err
+        loss = 0.5 * float(weighed @ err)
+        delta = (weighed * _dact(acts[-1][:, 0], self.output))[:, None]
         grads = []
         for li in range(len(layers) - 1, -1, -1):
             W, _c = layers[li]
@@ -145,14 +147,21 @@ class MLPModel:
 
 
 def train_net(df: DataFrame, x_cols, y_col: str, net: Net, alpha: float, max_iter: int, seed: int = 42) -> np.ndarray:
-    n = df.count()
-    base = arrow_objective(df, x_cols, y_col, net.loss_grad)
+    n, p = df.count(), len(x_cols)
+    weight, within = None, 0.0
+    if n * (p + 4) > SUBTREE_CELLS:  # equal rows of features: their number, mean target and the constant around it
+        names = [f"x{j}" for j in range(p)]
+        merged = _merged(_rows(df, x_cols, y_col, binned=False)[0], names, n)
+        if merged:
+            df, x_cols, y_col, weight = merged[0], names, "_y", "_many"
+            within = 0.5 * float(df.agg(F.sum("_ss")).first()[0])
+    base = arrow_objective(df, x_cols, y_col, net.loss_grad, weight)
     weight_mask = np.concatenate([np.concatenate([np.ones(a * b), np.zeros(b)]) for a, b in net.shapes()])
 
     def fun(th):
         f, g = base(th)
         wpart = th * weight_mask
-        return f / n + 0.5 * alpha * float(wpart @ wpart) / n, g / n + alpha * wpart / n
+        return (f + within) / n + 0.5 * alpha * float(wpart @ wpart) / n, g / n + alpha * wpart / n
 
     return lbfgs(fun, net.init(seed), max_iter=max_iter, tol=1e-10)
 
