@@ -11,14 +11,17 @@ Ridge and Gaussian process (K + αI)a = y:
    system, preconditioned by φ (Woodbury). Each product K·v is a job over row
    blocks; a task computes one block of K at a time and drops it.
 
-Support vector machines: the dual by block coordinate descent. The driver
+Support vector machines: over the pivots by Newton steps (kernel_newton), where these
+reproduce a positive semidefinite kernel and there are more than ``DIRECT_ROWS``
+rows. Elsewhere the dual by block coordinate descent. The driver
 picks the most violating variables, their kernel columns come from one job per
 block of rows, a working-set solver moves them, and the next job updates K·β.
 It stops at libsvm's optimality tolerance; the relative duality gap is kept.
 
 Exact kernels cost O(n²) evaluations, and the training rows are the model. The
 rows and vectors of length n are broadcast; more than ``MAX_CELLS`` numbers are
-refused (set n_landmarks or n_components there).
+refused (set n_landmarks or n_components there). Over pivots no rows are broadcast, and
+the model is the pivots.
 """
 
 from __future__ import annotations
@@ -57,6 +60,11 @@ class Kernel:
 
         return kernel_matrix(A, B, self.name, self.gamma, self.degree, self.coef0)
 
+    @property
+    def definite(self) -> bool:
+        """Whether no choice of rows gives its matrix a negative eigenvalue."""
+        return self.name == "linear" or (self.gamma >= 0 and (self.name == "rbf" or (self.name == "poly" and self.coef0 >= 0)))
+
     def diagonal(self, A: np.ndarray) -> np.ndarray:
         dot = (A * A).sum(axis=1)
         return {"rbf": np.ones(len(A)), "linear": dot, "poly": (self.gamma * dot + self.coef0) ** self.degree, "sigmoid": np.tanh(self.gamma * dot + self.coef0)}[self.name]
@@ -96,7 +104,7 @@ class PivotMap:
 
 @dataclass
 class KernelDualModel:
-    """f(x) = Σ a_i k(x_i, x) + b over the training rows with a weight."""
+    """f(x) = Σ a_i k(x_i, x) + b over the training rows with a weight, or over pivots."""
 
     features: list
     X: np.ndarray
@@ -377,6 +385,7 @@ def _zero_map(p: int, kernel: Kernel) -> PivotMap:
 # ------------------------------------------------- support vector regression
 
 WORKING_SET = 512
+DIRECT_ROWS = 2048  # up to so many rows a few working sets solve the dual
 TOLERANCE = 1e-3  # libsvm's stopping tolerance on the violation
 
 
@@ -426,7 +435,14 @@ def solve_svr(df: DataFrame, features, target: str, kernel: Kernel, C: float, ep
     relative duality gap, the violation and the number of steps.
     """
     p = len(features)
-    rows = KernelRows(_table(df, features, target), p, kernel)
+    data = _table(df, features, target)
+    if kernel.definite and (n := data.count()) > DIRECT_ROWS:
+        from .kernel_newton import newton_svr
+
+        model = newton_svr(data, n, features, kernel, C, epsilon, nu, max_iter, tol)
+        if model is not None:
+            return model
+    rows = KernelRows(data, p, kernel)
     n, y = rows.n, rows.y
     sign = np.concatenate([np.ones(n), -np.ones(n)])
     group = np.zeros(2 * n, dtype=int) if nu is None else (sign < 0).astype(int)
