@@ -5,7 +5,8 @@ Objective (as the reference's regressor): ½·mean squared error +
 ``RandomState(42)`` (layer by layer: weights, then biases).  Training is
 full-batch L-BFGS whose loss and gradient are summed over the rows by
 Arrow tasks (NumPy forward/backward per batch) — one Spark job per
-iteration, ``max_iter`` iterations.  The reference's optimiser is
+iteration, ``max_iter`` iterations.  Up to ``TASK_WORK`` rows × parameters a
+job takes longer to start than to run: there one task makes all iterations.  The reference's optimiser is
 mini-batch Adam with its own shuffling; we minimise the same objective
 deterministically instead.
 """
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .arrowopt import arrow_objective
 from .optim import lbfgs
-from .trees import SUBTREE_CELLS, _merged, _rows
+from .trees import MERGE_ROWS, SUBTREE_CELLS, _merged, _rows
 
+TASK_WORK = 40_000_000  # rows x parameters of a fit that one task makes
 ACTS = ("identity", "logistic", "tanh", "relu")
 
 
@@ -149,21 +151,29 @@ class MLPModel:
 def train_net(df: DataFrame, x_cols, y_col: str, net: Net, alpha: float, max_iter: int, seed: int = 42) -> np.ndarray:
     n, p = df.count(), len(x_cols)
     weight, within = None, 0.0
-    if n * (p + 4) > SUBTREE_CELLS:  # equal rows of features: their number, mean target and the constant around it
+    if n >= MERGE_ROWS or n * (p + 4) > SUBTREE_CELLS:  # equal rows of features: their number, mean target and the constant around it
         names = [f"x{j}" for j in range(p)]
         merged = _merged(_rows(df, x_cols, y_col, binned=False)[0], names, n)
         if merged:
             df, x_cols, y_col, weight = merged[0], names, "_y", "_many"
             within = 0.5 * float(df.agg(F.sum("_ss")).first()[0])
-    base = arrow_objective(df, x_cols, y_col, net.loss_grad, weight)
+    held = merged[1] if weight else n
     weight_mask = np.concatenate([np.concatenate([np.ones(a * b), np.zeros(b)]) for a, b in net.shapes()])
 
-    def fun(th):
-        f, g = base(th)
-        wpart = th * weight_mask
-        return (f + within) / n + 0.5 * alpha * float(wpart @ wpart) / n, g / n + alpha * wpart / n
+    def regular(base):
+        def fun(th):
+            f, g = base(th)
+            wpart = th * weight_mask
+            return (f + within) / n + 0.5 * alpha * float(wpart @ wpart) / n, g / n + alpha * wpart / n
 
-    return lbfgs(fun, net.init(seed), max_iter=max_iter, tol=1e-10)
+        return fun
+
+    objective = arrow_objective(df, x_cols, y_col, net.loss_grad, weight)
+
+    def train(base):
+        return lbfgs(regular(base), net.init(seed), max_iter=max_iter, tol=1e-10)
+
+    return objective.in_task(train) if held * net.n_params() <= TASK_WORK else train(objective)
 
 
 def mlp_fit(df, features, target, hidden_layer_sizes="100", activation="relu", alpha=1e-4, max_iter=200, **_):

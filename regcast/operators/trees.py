@@ -31,14 +31,14 @@ Model size: a tree's nodes come to the driver while all trees together have
 at most ``GATHER_NODES``. Beyond, subtrees stay a table and rows are scored by
 sending them to their subtrees.
 
-A table beyond a task whose distinct rows of features (or bins) fit one is merged
-first: least squares needs of equal rows their number and mean target only
-(``_merged``). Bootstrap draws and the weights of AdaBoost differ between equal
+A table beyond a task, or of ``MERGE_ROWS`` rows of which half are equal to others, is
+merged first where its distinct rows of features (or bins) fit a task: least squares
+needs of equal rows their number and mean target only (``_merged``). Bootstrap draws and the weights of AdaBoost differ between equal
 rows: there tasks sum them per kind of row (``RowKinds``). Where the distinct
 rows do not fit a task either, the jobs over the whole table above do the work.
 
 Boosting keeps the running prediction ``F`` as a column that is rewritten and
-checkpointed every ``REFRESH`` trees. Randomness (bootstrap counts, thresholds)
+checkpointed every ``REFRESH`` trees, or ``TASK_ROUNDS`` of a table that fits a task. Randomness (bootstrap counts, thresholds)
 comes from hashes of (seed, tree, row or path), so a refit gives the same model
 on any partitioning, and the same tree whichever phase grows a node.
 """
@@ -62,6 +62,8 @@ from ..session import materialize
 
 SEED = 42
 REFRESH = 10
+TASK_ROUNDS = 100  # boosting rounds of one task, where it holds the whole table
+MERGE_ROWS = 10_000  # from so many rows on, equal rows are merged even where the table fits a task
 ROWS_PER_PART = 50_000  # rows per task in scans of the whole table
 SUBTREE_CELLS = 4_000_000  # rows x (features + 4) of a node that a task takes over
 HIST_CELLS = 2_000_000  # histogram cells that one job brings to the driver
@@ -1042,16 +1044,17 @@ def _rows_of(b) -> np.ndarray:
 def _merged(data: DataFrame, columns: list[str], n: int) -> tuple[DataFrame, int] | None:
     """One row for all that agree in ``columns``: their number ``_many``, mean target ``_y`` and squares around it ``_ss``.
 
-    Least squares sees no more of them. None where the table fits a task
-    anyway, or the merged rows would not fit one.
+    Least squares sees no more of them. None where the merged rows would not fit a
+    task, and where all rows fit one and are few or seldom equal.
     """
     width = len([c for c in columns if c != "_val"]) + 4
-    if n * width <= SUBTREE_CELLS:
+    if n < MERGE_ROWS and n * width <= SUBTREE_CELLS:
         return None
     few = data.groupBy(*columns).agg(F.count("*").cast("double").alias("_many"), F.avg("_y").alias("_y"), (F.var_pop("_y") * F.count("*")).alias("_ss"), F.min("_rid").alias("_rid"))
     few = materialize(few)
     found = (few.where(~F.col("_val")) if "_val" in columns else few).count()
-    return (few, found) if found * width <= SUBTREE_CELLS else None
+    fits = found * width <= SUBTREE_CELLS
+    return (few, found) if fits and (n * width > SUBTREE_CELLS or 2 * found <= n) else None
 
 
 class RowKinds:
@@ -1241,8 +1244,10 @@ def _boost(df, features, target, n_rounds, lr, spec: GrowSpec, max_bins: int | N
 
     while len(trees) < n_rounds:
         grow_on = base.where(~F.col("_val")) if early_stopping else base
-        seeds = list(range(seed + len(trees), seed + min(n_rounds, len(trees) + REFRESH - len(pending))))
-        if n * (p + 4) <= SUBTREE_CELLS:
+        in_task = n * (p + 4) <= SUBTREE_CELLS
+        at_once = TASK_ROUNDS if in_task and not early_stopping else REFRESH - len(pending)
+        seeds = list(range(seed + len(trees), seed + min(n_rounds, len(trees) + at_once)))
+        if in_task:
             new = _rounds_in_task(grow_on, p, edges, spec, lr, seeds, binned)
         else:
 
